@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, packing, topk
+from . import bpe, dedup, language, packing, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
     "op2_exact_dedup": dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op6_packing": packing.op6_packing,
+    "op9_language": language.op9_language,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE_SQL = {"op1_top_k": topk.ORACLE, "op2_exact_dedup": dedup.ORACLE}
