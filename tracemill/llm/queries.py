@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, language, licences, lm, packing, topk, toxicity
+from . import bpe, dedup, language, licences, lm, packing, repeats, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
     "op2_exact_dedup": dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_licences": licences.op4_licences,
+    "op5_repeats": repeats.op5_repeats,
     "op6_packing": packing.op6_packing,
     "op8_lm_score": lm.op8_lm_score,
     "op9_language": language.op9_language,
