@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, language, licences, lm, packing, repeats, topk, toxicity
+from . import bpe, dedup, jaccard, language, licences, lm, packing, repeats, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_licences": licences.op4_licences,
     "op5_repeats": repeats.op5_repeats,
     "op6_packing": packing.op6_packing,
+    "op7_jaccard": jaccard.op7_jaccard,
     "op8_lm_score": lm.op8_lm_score,
     "op9_language": language.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
