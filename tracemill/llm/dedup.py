@@ -76,10 +76,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, in their own columns. Rows that repeat both id and text of one that stays are kept."""
-    groups = exact_groups(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    gone = written(exact_groups(docs).filter(~F.col("kept")).select("doc_id", "text_sha256").distinct(), "dedup-gone")
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__sha") == F.col("g.text_sha256"))
     keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    same = (keyed["doc_id"].eqNullSafe(groups["doc_id"])) & (keyed["__sha"] == groups["text_sha256"])
-    return keyed.join(groups, same, "left_semi").drop("__sha")
+    return keyed.alias("d").join(gone.alias("g"), same, "left_anti").drop("__sha")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -243,8 +243,9 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """The documents whose id is the least of their group, in their own columns."""
-    kept = groups(docs, size).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    gone = written(groups(docs, size).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "jaccard-gone")
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
