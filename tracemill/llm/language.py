@@ -14,6 +14,8 @@ from .shared import held_out, text_pieces
 CELLS, ORDERS = 1 << 16, (1, 2, 3)
 #: Rounds of expectation maximisation, languages of a text at most, penalty of each language beyond the first.
 ROUNDS, MOST, PENALTY = 12, 4, 3.0
+#: Least share of the second language, of all in one mixture, for which sets of several are weighed.
+SECOND = 0.01
 
 
 def letters(text: str) -> np.ndarray:
@@ -100,17 +102,17 @@ def mixtures(likely: np.ndarray, weight: np.ndarray, first: np.ndarray, allowed:
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
     full = np.flatnonzero(np.diff(first))
-    share = allowed / np.maximum(allowed.sum(1, keepdims=True), 1)
+    share = (allowed / np.maximum(allowed.sum(1, keepdims=True), 1)).astype(np.float32)
     fit_ = np.zeros(n)
     for _ in range(rounds):
         joint = likely * share[doc]
-        total = joint.sum(1) + 1e-30
+        total = joint.sum(1) + np.float32(1e-30)
         if len(full):
             sums = np.add.reduceat(joint * (weight / total)[:, None], first[full], axis=0)
-            share[full] = sums / np.maximum(sums.sum(1, keepdims=True), 1e-30)
+            share[full] = sums / np.maximum(sums.sum(1, keepdims=True), np.float32(1e-30))
     if len(full):
-        total = (likely * share[doc]).sum(1) + 1e-30
-        fit_[full] = np.add.reduceat(weight * np.log(total), first[full])
+        total = (likely * share[doc]).sum(1) + np.float32(1e-30)
+        fit_[full] = np.add.reduceat((weight * np.log(total)).astype(np.float64), first[full])
     return share, fit_
 
 
@@ -132,23 +134,33 @@ def predict(docs: DataFrame, langs: list[str], log: np.ndarray) -> DataFrame:
             rows = np.zeros((len(grams), len(langs)), np.float32)
             for k in range(len(ORDERS)):
                 rows += log[grams[:, k] + k * CELLS]
-            word = np.add.reduceat(rows, starts[:-1], axis=0).astype(np.float64) / len(ORDERS)
+            word = np.add.reduceat(rows, starts[:-1], axis=0) / np.float32(len(ORDERS))
             likely = np.exp(word - word.max(1, keepdims=True))
-            weight = np.maximum(size, 0).astype(np.float64)
-            base, _ = mixtures(likely, weight, first, np.ones((n, len(langs))))
+            weight = np.maximum(size, 0).astype(np.float32)
+            base, _ = mixtures(likely, weight, first, np.ones((n, len(langs)), np.float32), ROUNDS // 2)
             order = np.argsort(-base, 1, kind="stable")
-            best = np.full(n, -np.inf)
-            share = base
             seen = np.diff(first)
-            for m in range(1, min(MOST, len(langs)) + 1):
-                allowed = np.zeros((n, len(langs)))
-                np.put_along_axis(allowed, order[:, :m], 1.0, 1)
-                got, value = mixtures(likely, weight, first, allowed)
-                value = value - PENALTY * (m - 1) * np.log(seen + 1.0)
-                better = value > best + 1e-9
-                best = np.where(better, value, best)
-                share = np.where(better[:, None], got, share)
-                chosen = np.where(better, m, chosen).astype(np.int32)
+            share = np.zeros_like(base)
+            share[np.arange(n), order[:, 0]] = 1
+            best = np.zeros(n)
+            full = np.flatnonzero(seen)
+            word_best = np.log(np.take_along_axis(likely, np.repeat(order[:, :1], seen, 0), 1)[:, 0] + np.float32(1e-30))
+            best[full] = np.add.reduceat((weight * word_best).astype(np.float64), first[:-1][full])
+            chosen[:] = 1
+            # a set of more languages can only win where a second one has a share
+            mixed = np.flatnonzero((np.sort(base, 1)[:, -2:-1] > SECOND).any(1) & (seen > 0)) if len(langs) > 1 else np.zeros(0, int)
+            if len(mixed):
+                rows_of = np.concatenate([np.arange(first[i], first[i + 1]) for i in mixed])
+                sub_first = np.concatenate(([0], np.cumsum(seen[mixed])))
+                for m in range(2, min(MOST, len(langs)) + 1):
+                    allowed = np.zeros((len(mixed), len(langs)), np.float32)
+                    np.put_along_axis(allowed, order[mixed, :m], 1.0, 1)
+                    got, value = mixtures(likely[rows_of], weight[rows_of], sub_first, allowed)
+                    value = value - PENALTY * (m - 1) * np.log(seen[mixed] + 1.0)
+                    better = value > best[mixed] + 1e-9
+                    best[mixed] = np.where(better, value, best[mixed])
+                    share[mixed] = np.where(better[:, None], got, share[mixed])
+                    chosen[mixed] = np.where(better, m, chosen[mixed])
             top = share.argmax(1)
             for i in np.flatnonzero(seen):
                 names[i], score[i] = langs[top[i]], min(1.0, share[i, top[i]])
