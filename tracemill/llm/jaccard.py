@@ -17,7 +17,7 @@ RARE, SLACK = 16, 0.02
 #: Ratio of neighbouring size classes, and spare parts of a set as a share of its class's least size.
 RATIO, SPARE = 1.25, 0.16
 #: Rounds in which each node of a bucket is compared with one other before all that is still apart is.
-ROUNDS = 3
+ROUNDS = 4
 #: Documents that are told apart by a broadcast of their ids (8 bytes each); beyond it the join is shuffled.
 BROADCAST_KEYS = 500_000
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(64)]
@@ -78,16 +78,29 @@ def _sets(docs: DataFrame, make, schema: str, size: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, size: int) -> DataFrame:
-    """(token, node, n): the tokens of each set's extended prefix, in the order of hashes."""
+    """(token, node, n, e): the e tokens of each set's extended prefix, in the order of hashes."""
 
     def make(batch, h, first, node, _):
         n = np.diff(first)
-        take = np.where(n > 0, np.minimum(n, n - (PERCENT * n + 99) // 100 + 1 + slack(n)), 0)
+        length = np.where(n > 0, np.minimum(n, n - (PERCENT * n + 99) // 100 + 1 + slack(n)), 0)
         once = np.zeros(len(n), bool)
         once[np.unique(node, return_index=True)[1]] = True  # copies in one piece count once
-        take = np.where(once, take, 0)
+        take = np.where(once, length, 0)
         keep = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(first[:-1], take)
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.repeat(node, take)), pa.array(np.repeat(n, take).astype(np.int32))], ["token", "node", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.repeat(node, take)), pa.array(np.repeat(n, take).astype(np.int32)), pa.array(np.repeat(length, take).astype(np.int32))], ["token", "node", "n", "e"])
+
+    return _sets(docs.select("text"), make, "token long, node long, n int, e int", size)
+
+
+def wholes(docs: DataFrame, size: int) -> DataFrame:
+    """(token, node, n): all tokens of each set."""
+
+    def make(batch, h, first, node, _):
+        n = np.diff(first)
+        for k in range(0, len(h), 200_000):
+            some = slice(k, k + 200_000)
+            owner = np.searchsorted(first, np.arange(k, min(k + 200_000, len(h))), "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(node[owner]), pa.array(n[owner].astype(np.int32))], ["token", "node", "n"])
 
     return _sets(docs.select("text"), make, "token long, node long, n int", size)
 
@@ -102,7 +115,11 @@ def parts_of(h: np.ndarray, n: int, c: int) -> tuple[np.ndarray, int]:
     part = (mixed(h + np.uint64(7)) % np.uint64(count)).astype(np.int64)
     sums = np.zeros(count, np.uint64)
     np.add.at(sums, part, mixed(h + np.uint64(13)))
-    return mixed(sums ^ mixed(np.arange(count, dtype=np.uint64) + np.uint64(c << 40))).view(np.int64), spare
+    keys = mixed(sums ^ mixed(np.arange(count, dtype=np.uint64) + np.uint64(c << 40))).view(np.int64)
+    used = np.bincount(part, minlength=count) > 0
+    empty = count - int(used.sum())
+    # empty parts say little: they are left out where enough others must be shared
+    return (keys[used], spare - empty) if empty <= spare else (keys, spare)
 
 
 def combinations(docs: DataFrame, size: int) -> DataFrame:
@@ -129,39 +146,60 @@ def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if few else keys, "doc_id", "left_semi")
 
 
-def _listed(shared: DataFrame) -> DataFrame:
-    """(bucket, node, n): the distinct lists of nodes that share a rare token."""
-    lists = shared.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("nodes")).select("nodes").distinct()
-    return lists.select(F.xxhash64("nodes.node", F.lit(3)).alias("bucket"), F.explode("nodes").alias("x")).select("bucket", "x.*")
+def _pairs(shared: DataFrame, *kept: str) -> DataFrame:
+    """(x, y, i): the nodes of every two that share a rare token, with n and the columns `kept`, and how many they share.
+    Lists of nodes that many tokens have are taken once."""
+    lists = shared.groupBy("token", *(["class"] if "class" in shared.columns else [])).agg(F.sort_array(F.collect_list(F.struct("node", "n", *kept))).alias("nodes"))
+    lists = lists.groupBy("nodes", *(["class"] if "class" in shared.columns else [])).agg(F.count("*").alias("w"))
+    own = ["class"] if "class" in shared.columns else []
+    left = lists.select(*own, "w", "nodes", F.posexplode("nodes").alias("p", "x"))
+    both = left.select(*own, "w", "x", F.explode(F.slice("nodes", F.col("p") + 2, F.lit(RARE))).alias("y"))
+    return both.groupBy("x", "y", *own).agg(F.sum("w").alias("i"))
 
 
-def buckets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(bucket, node, n): every two similar sets are in one bucket at least.
+def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """(x, y) nodes, and (bucket, node, n) of large groups: every two similar sets are a pair or in one bucket.
 
-    Sets of similarity 0.8 share more than `slack` tokens of their extended prefixes. One of these is rare, and then
-    its bucket has both, unless both sets have about as many frequent tokens there. Such sets are split into parts, of
-    which two similar sets have more than `spare` in common: the combinations of tokens in these are the buckets, the
-    rare ones for sets with at most `spare` frequent combinations, all for the others.
+    Sets of similarity 0.8 share more than `slack` tokens of their extended prefixes. One of these is rare, unless both
+    sets are heavy: have about as many frequent tokens there. Tokens of heavy sets are counted anew, over all of the
+    set; then one of those shared is rare, unless 0.8 of either set are frequent tokens. Such sets are split into parts,
+    of which two similar sets have more than `spare` in common; the combinations of tokens in these are indexed. One of
+    them is rare, unless both sets have more than `spare` frequent ones; those of such sets are the buckets. Pairs whose
+    rare tokens in common, with all frequent ones and all after the prefix, are too few are left out.
     """
-    spark = docs.sparkSession
+    enough = lambda i: i * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
+    least = lambda c: F.least(f"x.{c}", f"y.{c}")
+    alike = least("n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
+    ends = [F.col("x.node").alias("x"), F.col("y.node").alias("y")]
     tokens = prefixes(docs, size)
     often = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = written(tokens.join(often, "token", "left_semi").distinct(), "jaccard-shared")
-    df = shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = shared.join(df, "token")
-    found = _listed(shared.filter(F.col("df") <= RARE))
-    heavy = shared.filter(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("f"), F.max("n").alias("n")).filter(F.col("f") >= F.floor(F.col("n") * (SLACK * PERCENT / 100)) + 2)
-    heavy = written(heavy.join(nodes, "node").select("node", "doc_id"), "jaccard-heavy")
+    shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
+    busy = shared.filter(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("f"), F.max("n").alias("n"))
+    busy = busy.select("node", "f", (F.col("f") >= F.floor(F.col("n") * (SLACK * PERCENT / 100)) + 2).alias("heavy"))
+    busy = written(busy.join(nodes, "node"), "jaccard-heavy")
+    rare = shared.filter(F.col("df") <= RARE).join(busy.select("node", "f", "heavy"), "node", "left").fillna({"f": 0, "heavy": False})
+    after = F.greatest(F.col("x.n") - F.col("x.e"), F.col("y.n") - F.col("y.e"))
+    out = _pairs(rare, "e", "f", "heavy").filter(alike & enough(F.col("i") + least("f") + after) & ~(F.col("x.heavy") & F.col("y.heavy"))).select(*ends)
+    heavy = busy.filter("heavy").select("node", "doc_id")
+    if heavy.isEmpty():
+        return out, None
+    full = written(wholes(_only(docs, heavy), size).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-whole")
+    full = full.join(full.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
+    busy = full.filter(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("f"), F.max("n").alias("n"))
+    busy = written(busy.select("node", "f", (F.col("f") * 100 >= F.col("n") * PERCENT).alias("heavy")).join(nodes, "node"), "jaccard-heavier")
+    rare = full.filter(F.col("df") <= RARE).join(busy.select("node", "f", "heavy"), "node", "left").fillna({"f": 0, "heavy": False})
+    out = out.unionByName(_pairs(rare, "f", "heavy").filter(alike & enough(F.col("i") + least("f")) & ~(F.col("x.heavy") & F.col("y.heavy"))).select(*ends))
+    heavy = busy.filter("heavy").select("node", "doc_id")
     if heavy.isEmpty():
-        return found
-    parts = combinations(_only(docs, heavy), size).join(heavy.select("node"), "node", "left_semi").distinct()
-    parts = written(parts, "jaccard-parts")
-    df = parts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    parts = parts.join(df, "token")
-    found = found.unionByName(_listed(parts.filter(F.col("df") <= RARE)))
+        return out, None
+    parts = written(combinations(_only(docs, heavy), size).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-parts")
+    parts = parts.join(parts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     hot = parts.filter(F.col("df") > RARE)
-    crowded = hot.groupBy("node", "class").agg(F.count("*").alias("f"), F.max("spare").alias("spare")).filter("f > spare").select("node", "class")
-    return found.unionByName(hot.join(crowded, ["node", "class"], "left_semi").select(F.col("token").alias("bucket"), "node", "n"))
+    busy = hot.groupBy("node", "class").agg(F.count("*").alias("f"), F.max("spare").alias("spare"))
+    rare = parts.filter(F.col("df") <= RARE).join(busy.select("node", "class", "f"), ["node", "class"], "left").fillna({"f": 0})
+    out = out.unionByName(_pairs(rare, "f", "spare").filter(alike & (F.col("i") + least("f") > least("spare"))).select(*ends))
+    return out, hot.join(busy.filter("f > spare").select("node", "class"), ["node", "class"], "left_semi").select(F.col("token").alias("bucket"), "node", "n")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,9 +235,9 @@ def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included.
 
-    Documents with equal sets are one node. Nodes that share a bucket are candidates: in `ROUNDS` rounds each is
-    compared with one other of its bucket, so that large groups fall together; then all that are still in different
-    components are, so that no link is lost. Null, empty and white texts have no shingles and stay alone; rows with a
+    Documents with equal sets are one node. Candidate pairs are verified on whole sets. Nodes of a large group's bucket
+    are, in `ROUNDS` rounds, compared with one other of it each, so that the group falls together; then all that are
+    still in different components are compared, so that no link is lost. Null, empty and white texts have no shingles and stay alone; rows with a
     null doc_id get the least id of the others, if any; rows repeat as they do in the input; empty tables give no rows;
     other columns are not read.
     """
@@ -213,8 +251,13 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     nodes = nodes.select("node", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("different sets share a name")).cast("long")).otherwise(F.col("doc_id")).alias("doc_id"))
     nodes = written(nodes, "jaccard-nodes")
-    members = written(buckets(docs, nodes, size).distinct(), "jaccard-members")
-    labels = written(members.select("node").distinct().withColumn("label", F.col("node")), "jaccard-nodes")
+    pairs, members = candidates(docs, nodes, size)
+    pairs = written(pairs.distinct(), "jaccard-pairs")
+    every = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
+    if members is not None:
+        members = written(members, "jaccard-members")
+        every = every.unionByName(members.select("node"))
+    labels = written(every.distinct().withColumn("label", F.col("node")), "jaccard-nodes")
 
     def tokens(batch, h, first, a, b):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.LargeListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "set"])
@@ -222,14 +265,15 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     mine = _only(docs, nodes.join(labels, "node", "left_semi"))
     sets = written(_sets(mine, tokens, "node long, set array<long>", size).join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-    for k in range(ROUNDS + 1):
-        at = members.join(labels, "node")
-        mixed_ = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(k))).alias("c")).filter("lo <> hi")
-        if k < ROUNDS:
-            pairs = at.join(mixed_.select("bucket", "c"), "bucket").filter((F.col("label") != F.col("c.label")) & near(F.col("n"), F.col("c.n")))
+    for k in range(-1, ROUNDS + 1 if members is not None else 0):
+        if k >= 0:
+            at = members.join(labels, "node")
+            split = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(k))).alias("c")).filter("lo <> hi")
+        if 0 <= k < ROUNDS:
+            pairs = at.join(split.select("bucket", "c"), "bucket").filter((F.col("label") != F.col("c.label")) & near(F.col("n"), F.col("c.n")))
             pairs = pairs.select(F.least("node", "c.node").alias("x"), F.greatest("node", "c.node").alias("y"))
-        else:
-            at = at.join(mixed_.select("bucket"), "bucket", "left_semi")
+        elif k == ROUNDS:
+            at = at.join(split.select("bucket"), "bucket", "left_semi")
             other = at.select("bucket", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
             pairs = at.join(other, "bucket").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("other")) & near(F.col("n"), F.col("m"))).select(F.col("node").alias("x"), "y")
         found = written(linked(pairs.distinct(), sets), "jaccard-links")
