@@ -17,7 +17,9 @@ RARE, SLACK = 16, 0.02
 #: Ratio of neighbouring size classes, and spare parts of a set as a share of its class's least size.
 RATIO, SPARE = 1.25, 0.16
 #: Rounds in which each node of a bucket is compared with one other before all that is still apart is.
-ROUNDS = 4
+ROUNDS = 3
+#: Nodes of either side of a cell in which what is still apart is compared.
+STRAYS, OTHERS = 256, 1024
 #: Documents that are told apart by a broadcast of their ids (8 bytes each); beyond it the join is shuffled.
 BROADCAST_KEYS = 500_000
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(64)]
@@ -158,7 +160,7 @@ def _pairs(shared: DataFrame, *kept: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
-    """(x, y) nodes, and (bucket, node, n) of large groups: every two similar sets are a pair or in one bucket.
+    """(x, y) nodes, and (bucket, node, n, class) of large groups: every two similar sets are a pair or in one bucket.
 
     Sets of similarity 0.8 share more than `slack` tokens of their extended prefixes. One of these is rare, unless both
     sets are heavy: have about as many frequent tokens there. Tokens of heavy sets are counted anew, over all of the
@@ -199,7 +201,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame,
     busy = hot.groupBy("node", "class").agg(F.count("*").alias("f"), F.max("spare").alias("spare"))
     rare = parts.filter(F.col("df") <= RARE).join(busy.select("node", "class", "f"), ["node", "class"], "left").fillna({"f": 0})
     out = out.unionByName(_pairs(rare, "f", "spare").filter(alike & (F.col("i") + least("f") > least("spare"))).select(*ends))
-    return out, hot.join(busy.filter("f > spare").select("node", "class"), ["node", "class"], "left_semi").select(F.col("token").alias("bucket"), "node", "n")
+    return out, hot.join(busy.filter("f > spare").select("node", "class"), ["node", "class"], "left_semi").select(F.col("token").alias("bucket"), "node", "n", "class")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,6 +211,54 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("i").cast("long") * 100 >= PERCENT * (F.col("m") + F.col("n") - F.col("i")).cast("long")).select("x", "y")
 
 
+def links_of_cell(left, right):
+    """(x, y) of different labels whose sets are similar; intersections are counted as products of 0/1 matrices, a slice
+    of the tokens that both sides have at a time."""
+    import pandas as pd
+
+    if not len(left) or not len(right):
+        return pd.DataFrame({"x": [], "y": []}, dtype="int64")
+    sides = []
+    for side in (left, right):
+        sizes = side["set"].map(len).to_numpy()
+        sides.append((np.repeat(np.arange(len(side)), sizes), np.concatenate(side["set"].to_list()), sizes))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    shared = np.zeros((len(left), len(right)), np.float32)
+    at = [np.searchsorted(common, t) for _, t, _ in sides]
+    ok = [(p < len(common)) & (common[np.minimum(p, len(common) - 1)] == t) if len(common) else np.zeros(len(t), bool) for p, (_, t, _) in zip(at, sides, strict=True)]
+    for start in range(0, len(common), 4096):
+        both = []
+        for p, use, (row, _, sizes) in zip(at, ok, sides, strict=True):
+            m = np.zeros((len(sizes), 4096), np.float32)
+            mine = use & (p >= start) & (p < start + 4096)
+            m[row[mine], p[mine] - start] = 1
+            both.append(m)
+        shared += both[0] @ both[1].T
+    i = shared.astype(np.int64)
+    hit = i * 100 >= PERCENT * (sides[0][2][:, None] + sides[1][2][None, :] - i)
+    hit &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
+    a, b = np.nonzero(hit)
+    a, b = left["node"].to_numpy()[a], right["node"].to_numpy()[b]
+    return pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)})
+
+
+def strays(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y) of all similar nodes of one size class that are in different components. nodes: (class, node, label).
+
+    Of each class the nodes outside its largest component meet all of its nodes in cells of bounded size, which return
+    links only: as many comparisons as there are such nodes times the class, but no row for each pair."""
+    largest = nodes.groupBy("class", "label").agg(F.count("*").alias("c")).groupBy("class").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    # as many rows as there are size classes
+    sizes = F.broadcast(largest.filter(F.col("all") > F.col("most")).select("class", "main", F.ceil((F.col("all") - F.col("most")) / STRAYS).alias("p"), F.ceil(F.col("all") / OTHERS).alias("q")))
+    held = nodes.join(sizes, "class").join(sets, "node")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+    left = held.filter(F.col("label") != F.col("main")).select("class", "node", "label", "set", place("p", 1).alias("i"), spread("q").alias("j"))
+    right = held.select("class", "node", "label", "set", place("q", 2).alias("j"), spread("p").alias("i"))
+    right = right.toDF("class", "node", "label", "set", "j", "i")  # columns of its own
+    return left.groupBy("class", "i", "j").cogroup(right.groupBy("class", "i", "j")).applyInPandas(links_of_cell, "x long, y long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component. Labels spread along edges and jump to their own labels, so that
     the rounds are about the logarithm of the longest path."""
@@ -266,17 +316,13 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
     sets = written(_sets(mine, tokens, "node long, set array<long>", size).join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
     for k in range(-1, ROUNDS + 1 if members is not None else 0):
-        if k >= 0:
+        if 0 <= k < ROUNDS:
             at = members.join(labels, "node")
             split = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(k))).alias("c")).filter("lo <> hi")
-        if 0 <= k < ROUNDS:
             pairs = at.join(split.select("bucket", "c"), "bucket").filter((F.col("label") != F.col("c.label")) & near(F.col("n"), F.col("c.n")))
             pairs = pairs.select(F.least("node", "c.node").alias("x"), F.greatest("node", "c.node").alias("y"))
-        elif k == ROUNDS:
-            at = at.join(split.select("bucket"), "bucket", "left_semi")
-            other = at.select("bucket", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = at.join(other, "bucket").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("other")) & near(F.col("n"), F.col("m"))).select(F.col("node").alias("x"), "y")
-        found = written(linked(pairs.distinct(), sets), "jaccard-links")
+        links = linked(pairs.distinct(), sets) if k < ROUNDS else strays(members.select("class", "node").distinct().join(labels, "node"), sets)
+        found = written(links, "jaccard-links")
         if not found.isEmpty():
             labels = _relabelled(labels, found)
     joined = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
