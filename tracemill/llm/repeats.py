@@ -74,7 +74,7 @@ def parsed(docs: DataFrame, length: int, spread: int) -> DataFrame:
 
     def rows(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 4 << 20):
+            for batch, text in text_pieces(whole, 2 << 20):
                 raw, offsets = text_bytes(text)
                 p = Parse(raw, offsets, length, spread)
                 n = np.arange(len(p.text)) - np.searchsorted(p.text, p.text)
@@ -88,7 +88,7 @@ def triggers(docs: DataFrame, length: int, spread: int) -> DataFrame:
 
     def rows(batches):
         for whole in batches:
-            for _, text in text_pieces(whole, 8 << 20):
+            for _, text in text_pieces(whole, 2 << 20):
                 raw, offsets = text_bytes(text)
                 gram, n = np.unique(Parse(raw, offsets, length, spread, names=False).gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
@@ -122,10 +122,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> Dat
     often = triggers(docs, length, spread).filter("n > 1").select("gram")
     parse = written(parsed(docs, length, spread).join(often, "gram", "left_semi"), "repeats-parse")
     entries = parse.groupBy("gram", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("at"))
-    entries = written(entries.select("gram", "phrase", "c", "at.key", "at.n"), "repeats-dictionary")
+    entries = written(entries.select(F.monotonically_increasing_id().alias("id"), "gram", "phrase", "c", "at.key", "at.n"), "repeats-dictionary")
     forks = entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
     open_ = entries.join(forks, "gram", "left_semi")
-    lists = written(open_.groupBy("key").agg(F.collect_list(F.struct("n", "gram", "phrase", "c")).alias("phrases")), "repeats-open")
+    lists = written(open_.groupBy("key").agg(F.collect_list(F.struct("n", "id", "c")).alias("phrases")), "repeats-open")
 
     def strings(batches):
         for whole in batches:
@@ -147,14 +147,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> Dat
                 at = p.begin[here][which] + off
                 for k in range(0, len(at), 200_000):
                     some = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one[at[some]].view(np.int64)), pa.array(two[at[some]].view(np.int64)), flat.field("gram").take(pa.array(which[some])), flat.field("phrase").take(pa.array(which[some])), pa.array(off[some].astype(np.int16)), pa.array(np.minimum(c[which[some]], 2).astype(np.int16))],
-                        ["a", "b", "gram", "phrase", "off", "c"],
-                    )
-
-    all_ = written(_with(_source(docs), lists).select("text", "phrases").mapInArrow(strings, "a long, b long, gram long, phrase long, off short, c short"), "repeats-strings")
-    twice = all_.groupBy("a", "b").agg(F.sum("c").alias("s")).filter("s > 1").select("a", "b")
-    found = all_.filter("c = 1").join(twice, ["a", "b"], "left_semi").groupBy("gram", "phrase").agg(F.collect_list("off").alias("offs"))
+                    yield pa.RecordBatch.from_arrays([pa.array(one[at[some]].view(np.int64)), pa.array(two[at[some]].view(np.int64)), flat.field("id").take(pa.array(which[some])), pa.array((2 * off[some] + (c[which[some]] > 1)).astype(np.int32))], ["a", "b", "id", "code"])
+
+    # code: twice the offset, and 1 if the phrase stands more than once. Half of a name finds what may repeat, the whole decides
+    all_ = written(_with(_source(docs), lists).select("text", "phrases").mapInArrow(strings, "a long, b long, id long, code int"), "repeats-strings")
+    half = written(all_.groupBy("a").agg(F.sum(F.col("code") % 2 + 1).alias("s")).filter("s > 1").select("a"), "repeats-halves")
+    some = written(all_.join(half, "a", "left_semi"), "repeats-candidates")
+    twice = some.groupBy("a", "b").agg(F.sum(F.col("code") % 2 + 1).alias("s")).filter("s > 1").select("a", "b")
+    found = some.filter("code % 2 = 0").join(twice, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_list((F.col("code") / 2).cast("short")).alias("offs"))
+    found = entries.join(found, "id").select("gram", "phrase", "offs")
     whole = entries.filter("c > 1").select("gram", "phrase", F.lit(None).cast("array<smallint>").alias("offs"))
     hits = parse.join(whole.unionByName(found), ["gram", "phrase"]).select("key", "n", "offs")
     return written(hits.groupBy("key").agg(F.collect_list(F.struct("n", "offs")).alias("hits")), "repeats-hits")
@@ -189,7 +190,7 @@ def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataF
 
     def cut(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 4 << 20):
+            for batch, text in text_pieces(whole, 2 << 20):
                 raw, offsets = text_bytes(text)
                 gone = spans(raw, offsets, batch.column("hits"), length, spread)
                 total = np.concatenate(([0], np.cumsum(gone)))
@@ -218,7 +219,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD)
 
     def cut(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 4 << 20):
+            for batch, text in text_pieces(whole, 2 << 20):
                 raw, offsets = text_bytes(text)
                 gone = spans(raw, offsets, batch.column("hits"), length, spread)
                 kept = [raw[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if gone[a:b].any() else t for a, b, t in zip(offsets[:-1], offsets[1:], text.to_pylist(), strict=True)]
