@@ -26,7 +26,7 @@ def _powers(which: int, n: int, inverse: bool) -> np.ndarray:
         have = np.ones(max(n, 1), np.uint64)
         have[1:] = np.uint64(base)
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 1 << 22:
+        if n <= 1 << 21:
             _grown[which, inverse] = have
     return have[:n]
 

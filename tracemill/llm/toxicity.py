@@ -173,7 +173,7 @@ def _words(rows: DataFrame) -> DataFrame:
                     own |= {m[:k] + "*" for m in own if len(m) > k and m[-1] != "*"}
                 for w in own:
                     seen.setdefault(w, [0, 0])[0 if y else 1] += 1
-                if len(seen) > 400_000:
+                if len(seen) > 150_000:
                     yield pack(seen)
                     seen = {}
         yield pack(seen)

@@ -20,7 +20,7 @@ UNSAFE = "<\\||[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{
 #: One piece for either tokenizer: Latin letters that no normaliser changes, after at most one space.
 PLAIN = re.compile("(?: ?)[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Units that a worker remembers, twice.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def cuts(raw: np.ndarray, offsets: np.ndarray, apart: bool = False) -> np.ndarray:
