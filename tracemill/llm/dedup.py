@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +26,20 @@ def bucket_bits(depth: int):
 
 
 def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> list[tuple[int, DataFrame]]:
-    """Leaves (bits, n) by depth. Buckets with too many keys split in two, one more bit of the key each time,
-    as when a directory doubles; the keys are distinct, so that a group of copies never overfills a bucket."""
+    """Leaves (bits, n) by depth. The directory begins at the depth at which buckets would be full if keys spread evenly.
+    Buckets with too many keys split in two, one more bit of the key each time, as when a directory doubles; the keys
+    are distinct, so that a group of copies never overfills a bucket. The counts of each depth are a small table in the
+    shared folder."""
+    depth = max(0, math.ceil(math.log2(max(1, keys.count()) / bucket_keys)))
     leaves, inside = [], keys
-    for depth in range(64):
-        counts = inside.groupBy(bucket_bits(depth).alias("bits")).agg(F.count("*").alias("n"))
+    while True:
+        counts = written(inside.groupBy(bucket_bits(depth).alias("bits")).agg(F.count("*").alias("n")), "dedup-directory")
         leaves.append((depth, counts.filter(F.col("n") <= bucket_keys)))
-        overfull = counts.filter(F.col("n") > bucket_keys)
-        if overfull.isEmpty():
-            break
-        inside = inside.withColumn("bits", bucket_bits(depth)).join(overfull.select("bits"), "bits", "left_semi").drop("bits")
-    return leaves
+        overfull = counts.filter(F.col("n") > bucket_keys).select("bits")
+        if depth == 63 or overfull.isEmpty():
+            return leaves
+        inside = keys.withColumn("bits", bucket_bits(depth)).join(overfull, "bits", "left_semi").drop("bits")
+        depth += 1
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -46,30 +51,30 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Entries (key, digest, id, length) are an index in the shared folder. Buckets of distinct keys are split until none
     is overfull; in the tasks that own a bucket, entries with one key chain by digest, counted before the shuffle so
-    that large groups arrive as sums. Of chains with more than one entry the texts are read again and compared with
-    the head's, byte by byte; two different texts with one key, digest and length end the job.
+    that large groups arrive as sums. Of chains with more than one entry the texts are read again and compared byte by
+    byte, where they are read and then where these meet; two different texts with one key, digest and length end the job.
     """
     text = normalised(F.col(text_col))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
-    chain = ["key", "text_sha256", "n_bytes"]
-    entries = written(
-        source.select("doc_id", "n_chars", F.xxhash64("text").alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes")), "dedup-entries"
-    )
+    chain = ["key", "digest", "n_bytes"]
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    entries = written(source.select("doc_id", "n_chars", F.xxhash64("text").alias("key"), digest, F.octet_length("text").alias("n_bytes")), "dedup-entries")
     sums = [F.count("*").alias("group_size"), F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("o"))).alias("best")]
     chains = written(entries.groupBy(chain).agg(*sums).select(*chain, "group_size", (-F.col("best.o")).alias("keep_id")), "dedup-chains")
-    placed = None
+    heads = None
     for depth, leaves in directory(chains.select("key").distinct(), bucket_keys):
-        part = chains.withColumn("bits", bucket_bits(depth)).join(leaves.select("bits"), "bits", "left_semi")
-        part = part.withColumn("depth", F.lit(depth))
-        placed = part if placed is None else placed.unionByName(part)
-    heads = placed.filter("group_size > 1")
+        part = chains.filter("group_size > 1").withColumn("bits", bucket_bits(depth)).join(leaves.select("bits"), "bits", "left_semi").drop("bits")
+        heads = part if heads is None else heads.unionByName(part)
+    heads = written(heads, "dedup-heads")
     keys = heads.select("key").distinct()
     keys = F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-    again = source.select("doc_id", "text", F.xxhash64("text").alias("key")).join(keys, "key", "left_semi")
-    again = again.select("doc_id", "key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.octet_length("text").alias("n_bytes"), "text")
-    first = again.select(F.col("doc_id").alias("keep_id"), *chain, F.col("text").alias("head")).join(heads.select(*chain, "keep_id"), [*chain, "keep_id"], "left_semi").dropDuplicates([*chain, "keep_id"])
-    compared = again.join(first, chain).filter(F.col("text") != F.col("head")).select(F.raise_error(F.lit("different texts share key, digest and length")).alias("x"))
-    out = entries.join(placed, chain, "left")
+    again = source.select("text", F.xxhash64("text").alias("key")).join(keys, "key", "left_semi")
+    again = again.select("key", digest, F.octet_length("text").alias("n_bytes"), "text")
+    texts = again.groupBy(chain).agg(F.collect_set("text").alias("texts"))  # one, or the job ends
+    compared = texts.filter(F.size("texts") > 1).select(F.raise_error(F.lit("different texts share key, digest and length")).alias("x"))
+    out = entries.join(heads, chain, "left").select(
+        "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
     out = out.unionByName(compared.select(*[(F.col("x").cast(kind) if name == "text_sha256" else F.lit(None).cast(kind)).alias(name) for name, kind in out.dtypes]))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
