@@ -1,9 +1,9 @@
 """All queries by name, with their SQL."""
 
-from . import comparisons, selections, texts, traces
+from . import comparisons, monitors, selections, texts, traces
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (comparisons, traces, selections, texts):
+for _module in (comparisons, monitors, traces, selections, texts):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
