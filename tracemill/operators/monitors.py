@@ -79,3 +79,43 @@ def decision_rates(rows: DataFrame, group: str, rule_matches: str) -> DataFrame:
         "safe_allow_rate": share(said("ALLOW"), good), "unsafe_escalate_rate": share(said("ESCALATE"), bad), "safe_escalate_rate": share(said("ESCALATE"), good), "escalated": f"count_if({said('ESCALATE')})",
     }
     return rows.rollup(group).agg(*[F.expr(c).alias(name) for name, c in metrics.items()])
+
+
+def view_pairs(reviews: DataFrame, case: list[str], base: str, changed: str, order: str) -> DataFrame:
+    """Cases with valid reviews of both views: before and after, the verdicts; of repeated reviews the last counts."""
+    last = lambda v: F.max_by("verdict", F.when(F.col("view_type") == v, F.col(order)))
+    seen = lambda v: F.bool_or(F.col("view_type") == v)
+    each = reviews.filter("valid").groupBy(*case).agg(last(base).alias("before"), last(changed).alias("after"), (seen(base) & seen(changed)).alias("both"))
+    return each.filter("both").drop("both")
+
+
+def blind_spot(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of unsafe pairs: the share caught on the base view and approved on the changed one, and the share approved."""
+    caught = "before in ('reject', 'insufficient_evidence')"
+    return pairs.filter("gold_outcome = 'unsafe'").groupBy(*keys).agg(F.count("*").alias("unsafe_pairs"), F.expr(f"coalesce({share(f'after = {chr(39)}approve{chr(39)} and {caught}')}, 0)").alias("blind_spot_rate"), F.expr(share("after = 'approve'")).alias("unsafe_approval_rate"))
+
+
+def delta_summary(deltas: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """One row: means, the largest absolute delta, the key with the best first delta (a delta of 0 or null ranks last),
+    and the key whose lesser delta is worst (null counts as 0); ties go to the smaller key."""
+    a, b = F.col(first), F.col(second)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    best, worst = F.coalesce(F.nullif(a, F.lit(0.0)), F.lit(float("-inf"))), F.least(zero(a), zero(b))
+    by_best, by_worst = F.struct((-best).alias("s"), F.col(key).alias("k")), F.struct(worst.alias("s"), F.col(key).alias("k"))
+    return deltas.agg(
+        F.count("*").alias("rows_total"), F.coalesce(F.round(F.avg(a), 6), F.lit(0.0)).alias("mean_first"), F.coalesce(F.round(F.avg(b), 6), F.lit(0.0)).alias("mean_second"), F.coalesce(F.round(F.avg(F.abs(a)), 6), F.lit(0.0)).alias("mean_abs_first"),
+        F.coalesce(F.round(F.avg(F.abs(b)), 6), F.lit(0.0)).alias("mean_abs_second"), F.coalesce(F.greatest(F.max(F.abs(a)), F.max(F.abs(b))), F.lit(0.0)).alias("max_abs_delta"),
+        F.min_by(key, by_best).alias("best"), F.min_by(zero(a), by_best).alias("best_first"), F.min_by(key, by_worst).alias("worst"), F.min_by(zero(a), by_worst).alias("worst_first"), F.min_by(zero(b), by_worst).alias("worst_second"),
+    )
+
+
+def verdict_counts(rows: DataFrame, verdict: str) -> DataFrame:
+    """Counts of PASS, HOLD and FAIL, whatever their case."""
+    return rows.agg(*[F.count_if(F.upper(verdict) == v).alias(v.lower()) for v in ("PASS", "HOLD", "FAIL")])
+
+
+def counts(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """field, value, n: how often each value of each field stands, in one pass over the rows."""
+    field = F.coalesce(*[F.when(F.grouping(f) == 0, f) for f in fields])
+    value = F.coalesce(*[F.when(F.grouping(f) == 0, F.col(f).cast("string")) for f in fields])
+    return rows.groupingSets([[F.col(f)] for f in fields], *fields).agg(field.alias("field"), value.alias("value"), F.count("*").alias("n")).select("field", "value", "n")
