@@ -160,6 +160,41 @@ def test_lm(docs):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
 
 
+@pytest.mark.parametrize(("arc", "state"), [(1e-6, 1e-4), (0.02, 0.05)])
+def test_lm_backoff(docs, arc, state, monkeypatch):
+    """No share of the corpus says which n-grams and histories count."""
+    from tracemill.llm.shared import held_out
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "ARC", arc)
+    monkeypatch.setattr(lm, "STATE", state)
+    texts = {i: [*words(t), None] for i, t in enumerate(TEXTS)}
+    c, total = Counter(), 0
+    for i, w in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            total += len(w)
+            c.update(tuple(w[j : j + k]) for k in (1, 2, 3) for j in range(len(w) - k + 1))
+    kinds = sum(len(g) == 1 for g in c)
+    arcs = {}
+    for g, n in c.items():
+        if len(g) > 1 and n >= 2:
+            arcs.setdefault(g[:-1], []).append(g[-1])
+
+    def p(h, x):
+        if not h:
+            return (c[x,] - 0.75) / total if c[x,] else 0.75 * kinds / total
+        if x in arcs.get(h, []):
+            return (c[*h, x] - 0.75) / c[h]
+        if h not in arcs:
+            return p(h[1:], x)
+        return (1 - sum(p(h, y) for y in arcs[h])) / (1 - sum(p(h[1:], y) for y in arcs[h])) * p(h[1:], x)
+
+    got = by_id(lm.score(docs, *lm.fit(docs.filter(~held_out(F.col("doc_id"), 7)))))
+    for i, w in texts.items():
+        want = sum(math.log10(p(tuple(w[max(0, j - 2) : j]), x)) for j, x in enumerate(w))
+        assert abs(got[i]["score"] - want) < 1e-6 * max(1, abs(want))
+
+
 def test_language(spark):
     made = {"en": ["the", "and", "with", "thing", "other"], "de": ["der", "und", "nicht", "schön", "über"]}
     rows = [(i, " ".join(RNG.choice(made["en" if i % 2 else "de"], 30)), "en" if i % 2 else "de") for i in range(60)] + [(100, None, "en"), (101, "123 !", "de"), (102, "the and with thing", None)]

@@ -1,4 +1,4 @@
-"""Language-model scores: a backoff automaton over words, with the counts of rare words joined in."""
+"""Language-model scores: backoff over n-grams as sums of one value for each n-gram, looked up in tasks or joined in."""
 
 from __future__ import annotations
 
@@ -7,14 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import LOWER, Rolling, words
+from .rolling import LOWER, Rolling, mixed, words
 from .shared import held_out, text_bytes, text_pieces, written
 
 #: The token that ends each text.
 END = np.uint64(1)
-#: Shares of all training tokens: from the first on, a word is scored in the tasks, and an n-gram is an arc, so that there
-#: are at most a million of either; from the second on, a word or n-gram is a state, at most ten thousand for each order.
+#: Shares of all training tokens, which say where n-grams are looked up and never what is counted: from the first on in the
+#: tasks, the others by joins; from the second on they are broadcast to the n-grams that contain them.
 ARC, STATE = 1e-6, 1e-4
+#: Least count of an n-gram of two or more words, at every size of the corpus.
+LEAST = 2
+#: Bits of the filter of each order's n-grams, and of the part of it that a code's first byte chooses.
+FILTER, PART = 1 << 27, 1 << 19
 #: What absolute discounting takes from each count; the longest n-gram.
 DISCOUNT, ORDER = 0.75, 3
 
@@ -85,159 +89,219 @@ def position(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-class Automaton:
-    """States are histories: none, frequent words, frequent n-grams. Arcs are n-grams; where a state has none for a
-    word, its failure arc leads to the state of the history without its first word, at the cost of a weight."""
-
-    def __init__(self, total: int, kinds: int, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.total, self.kinds = total, kinds
-        self.words, self.counts = keys[order], counts[order]
-        self.unigram = np.log10((self.counts - DISCOUNT) / total)
-        #: For each order from 2 on: histories (code of the history), weights of failure, codes of arcs, log probabilities.
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        heads = np.flatnonzero((self.counts >= STATE * total) & (self.words != END))
-        self.heads, self.head_counts = heads, self.counts[heads]
-
-    def states(self, w: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each token and each order, the state that its history is, or -1. w: places of words."""
-        out, start = [], np.zeros(len(w), bool)
-        start[first[:-1]] = True
-        before = np.concatenate(([-1], w[:-1]))
-        before[start] = -1
-        for k, (histories, _, _, _) in enumerate(self.levels):
-            if k == 0:
-                state = np.where(before >= 0, position(histories, before), -1)
-            else:
-                # the history of order k + 1 ends with the word before, and begins with the state that it had
-                prior = np.concatenate(([-1], out[-1][:-1]))
-                prior[start] = -1
-                state = np.where((prior >= 0) & (before >= 0), position(histories, prior * len(self.words) + before), -1)
-            out.append(state)
-        return out
-
-    def scores(self, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each token as far as tasks know it, and whether the word's own count is still to come."""
-        out, done = np.zeros(len(w)), np.zeros(len(w), bool)
-        states = self.states(w, first)
-        for (_, weight, arcs, log), state in zip(self.levels[::-1], states[::-1], strict=True):
-            here = np.flatnonzero(~done & (state >= 0))
-            at = np.where(w[here] >= 0, position(arcs, state[here] * len(self.words) + w[here]), -1)
-            hit = at >= 0
-            out[here[hit]] += log[at[hit]]
-            done[here[hit]] = True
-            out[here[~hit]] += weight[state[here[~hit]]]
-        rest = ~done & (w >= 0)
-        out[rest] += self.unigram[w[rest]]
-        return out, ~done & (w < 0)
-
-    def _below(self, history: np.ndarray, word: np.ndarray, level: int) -> np.ndarray:
-        """Log probability of words after histories (places of the words before, the nearest last), by the levels below."""
-        if level == 0:
-            return self.unigram[word]
-        histories, weight, arcs, log = self.levels[level - 1]
-        code = history[:, -1]
-        if level == 2:
-            code = np.where((s := position(self.levels[0][0], history[:, -2])) >= 0, s * len(self.words) + history[:, -1], -1)
-        state = position(histories, code)
-        at = np.where(state >= 0, position(arcs, state * len(self.words) + word), -1)
-        lower = self._below(history, word, level - 1)
-        return np.where(at >= 0, log[np.maximum(at, 0)] if len(log) else 0.0, np.where(state >= 0, weight[np.maximum(state, 0)] if len(weight) else 0.0, 0.0) + lower)
-
-    def add(self, histories: np.ndarray, seen: np.ndarray, codes: np.ndarray, counts: np.ndarray, last: np.ndarray) -> None:
-        """The next order. histories: their codes, sorted; seen: how often each occurs; codes, counts: n-grams, sorted;
-        last: for each history, the places of its words that the level below needs."""
-        size = len(self.words)
-        state, word = codes // size, codes % size
-        log = np.log10(np.maximum(counts - DISCOUNT, 1e-9) / seen[state])
-        lower = self._below(last[state], word, len(self.levels)) if len(codes) else np.zeros(0)
-        free = 1 - np.bincount(state, 10.0**log, len(histories))
-        rest = 1 - np.bincount(state, 10.0**lower, len(histories))
-        weight = np.log10(np.maximum(free, 1e-12) / np.maximum(rest, 1e-12))
-        self.levels.append((histories, weight, codes, log))
-
-
-def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, Automaton]:
-    """All counts of words (w, n), written to the shared folder, and the automaton. docs: the training texts."""
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Codes of the n-grams that begin with the shorter n-gram a and end with b."""
+    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + mixed(b ^ np.uint64(0x5851F42D4C957F2D)))
+
+
+def grams(w: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the codes of the n-grams that end at each token, and whether they lie in one text."""
+    inside = np.ones(len(w), bool)
+    inside[first[:-1]] = False
+    out = [(w, np.ones(len(w), bool))]
+    for _ in range(1, order):
+        code, ok = out[-1]
+        out.append((joint(np.concatenate((code[:1], code[:-1])), code), inside & ok & np.concatenate((ok[:1], ok[:-1]))))
+    return out
+
+
+def passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """True for all codes in the filter, and for few others as long as it is not full."""
+    out = np.ones(len(codes), bool)
+    for place in places(codes):
+        here = np.flatnonzero(out)
+        at = place[here]
+        out[here] = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def places(codes: np.ndarray) -> list[np.ndarray]:
+    part = (codes >> np.uint64(56)).astype(np.int64) * PART
+    return [part + ((codes >> np.uint64(shift)) % np.uint64(PART)).astype(np.int64) for shift in (0, 20)]
+
+
+def filter_of(table: DataFrame) -> np.ndarray:
+    """A filter of the codes w; each task makes the parts that it owns, of a size that does not grow with the table."""
+
+    def parts(batches):
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            codes = batch.column("w").to_numpy().view(np.uint64)
+            owner = (codes >> np.uint64(56)).astype(np.int64)
+            for k in np.unique(owner):
+                bits = own.setdefault(int(k), np.zeros(PART, bool))
+                for place in places(codes[owner == k]):
+                    bits[place - k * PART] = True
+        for k, bits in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
+
+    out = np.zeros(FILTER >> 3, np.uint8)
+    spread = table.select("w", F.shiftrightunsigned("w", 56).alias("part")).repartition("part").select("w")
+    for row in spread.mapInArrow(parts, "part long, bits binary").toLocalIterator():
+        out[row["part"] * PART >> 3 : (row["part"] + 1) * PART >> 3] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def counted(docs: DataFrame, order: int, known) -> DataFrame:
+    """(w, a, b, n): the n-grams of this order that occur LEAST times, their codes and those of their beginnings and ends.
+    An n-gram that occurs so often has a beginning and an end that do; known, a broadcast filter, passes those."""
+
+    def merged(parts):
+        a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, inverse = np.unique(joint(a, b), return_index=True, return_inverse=True)
+        return a[at], b[at], np.bincount(inverse, n).astype(np.int64)
+
+    def batch(a, b, n):
+        for i in range(0, len(a), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000].view(np.int64)), pa.array(b[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000])], ["a", "b", "n"])
+
+    def count(batches):
+        parts, size = [], 0
+        for whole in batches:
+            for _, text in text_pieces(whole, 2 << 20):
+                below, within = grams(*tokens(text), order - 1)[-1]
+                start = within.copy()
+                if order == 2:
+                    start[:] = below != END
+                use = np.flatnonzero(start[:-1] & within[1:])
+                if known is not None:
+                    ok = np.zeros(len(below), bool)
+                    ok[within] = passes(known.value, below[within])
+                    use = use[ok[use] & ok[use + 1]]
+                a, b = below[use], below[use + 1]
+                parts.append(merged([(a, b, np.ones(len(a)))]))
+                size += len(parts[-1][0])
+                if size > 1_000_000:
+                    yield from batch(*merged(parts))
+                    parts, size = [], 0
+        if parts:
+            yield from batch(*merged(parts))
+
+    def coded(batches):
+        for x in batches:
+            w = joint(x.column("a").to_numpy().view(np.uint64), x.column("b").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *x.columns], ["w", *x.schema.names])
+
+    sums = docs.select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    return sums.mapInArrow(coded, "w long, a long, b long, n long")
+
+
+def looked_up(rows: DataFrame, column: str, table: DataFrame, often: DataFrame) -> DataFrame:
+    """rows with what the table holds for the code in this column; codes that many rows have are broadcast."""
+    often = F.broadcast(often.withColumnRenamed("w", column))
+    table = table.withColumnRenamed("w", column)
+    hot = rows.join(F.broadcast(table.join(often, column, "left_semi")), column)
+    return hot.unionByName(rows.join(often, column, "left_anti").join(table, column))
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes an intermediate table of fit, which later ones were written from, in the shared folder."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Model:
+    """total, kinds: training tokens, and different ones. tables: for each order (w, n, value). The log probability of a
+    text is the sum of the values of all its n-grams: that of a word is log p(word), that of a longer n-gram is
+    log p(word | history) less the weight of failure and log p(word | shorter history), which its shorter n-grams bring;
+    each brings the weight of failure that it has as a history too. Of n-grams that do not occur LEAST times the value
+    is 0. frequent: of each order codes, counts and values; filters: of each order from 2 on."""
+
+    def __init__(self, total: int, kinds: int, tables: list[DataFrame], filters: list):
+        self.total, self.kinds, self.tables, self.filters = total, kinds, tables, filters
+        self.frequent = []
+        for table in tables:
+            rows = table.filter(F.col("n") >= max(ARC * total, 1)).toPandas()  # at most 1 / ARC rows
+            codes = rows["w"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(codes)
+            self.frequent.append((codes[order], rows["n"].to_numpy(np.int64)[order], rows["value"].to_numpy(np.float64)[order]))
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, Model]:
+    """All counts and values of words (w, n, value), written to the shared folder as those of longer n-grams are, and the
+    model. docs: the training texts."""
     spark = docs.sparkSession
     counts = written(tallied(docs, lambda w, first: w), "lm-words")
     row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
     total, kinds = row["total"] or 0, row["kinds"]
-    known = counts.filter(F.col("n") >= max(ARC * total, 1)).toPandas()  # at most 1 / ARC rows
-    auto = Automaton(total, kinds, known["w"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64))
-    histories, seen, last = auto.heads, auto.head_counts, auto.heads[:, None]
-    for _ in range(2, order + 1):
-        if not len(histories):
-            break
-        sent, size = spark.sparkContext.broadcast((auto, histories)), len(auto.words)
-
-        def ngrams(w, first, sent=sent, size=size):
-            model, own = sent.value
-            at = position(model.words, w)
-            start = np.zeros(len(w), bool)
-            start[first[:-1]] = True
-            before = np.concatenate(([-1], at[:-1]))
-            before[start] = -1
-            if model.levels:
-                prior = np.concatenate(([-1], model.states(at, first)[-1][:-1]))
-                prior[start] = -1
-                before = np.where((prior >= 0) & (before >= 0), prior * size + before, -1)
-            state = np.where(before >= 0, position(own, before), -1)
-            use = (state >= 0) & (at >= 0)
-            return (state[use] * size + at[use]).astype(np.uint64)
-
-        found = tallied(docs, ngrams).filter(F.col("n") >= max(ARC * total, 2)).toPandas().sort_values("w")
-        codes, n = found["w"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        auto.add(histories, seen, codes, n, last)
-        ends = auto.words[codes % size] == END if len(codes) else np.zeros(0, bool)
-        chosen = (n >= STATE * total) & ~ends
-        state, word = codes[chosen] // size, codes[chosen] % size
-        last = np.column_stack((last[state][:, -1:], word)) if len(codes) else last[:0]
-        histories, seen = codes[chosen], n[chosen]
-    return counts, auto
-
-
-def score(docs: DataFrame, counts: DataFrame, auto: Automaton) -> DataFrame:
+    log = F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(total, 1))))
+    lower = written(counts.select("w", "n", log.alias("log"), log.alias("value")), "lm-lower")
+    removed(counts)
+    tables, filters, known = [], [], None
+    for k in range(2, order + 1):
+        often = lower.filter(F.col("n") >= STATE * total).select("w")  # at most 1 / STATE rows
+        found = written(counted(docs, k, known), "lm-grams")
+        below = written(looked_up(found, "b", lower.select("w", F.col("log").alias("below")), often).select("w", "a", "n", "below"), "lm-below")
+        sums = below.groupBy("a").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("mass"), F.sum(F.pow(F.lit(10.0), "below")).alias("rest")).withColumnRenamed("a", "w")
+        left = lambda x: F.greatest(1 - x, F.lit(1e-12))
+        weights = written(sums.join(lower.select("w", F.col("n").alias("seen")), "w").select("w", "seen", F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("rest"))).alias("weight")), "lm-weights")
+        tables.append(written(lower.join(weights, "w", "left").select("w", "n", (F.col("value") + F.coalesce("weight", F.lit(0.0))).alias("value")), "lm-values"))
+        log = F.log10((F.col("n") - DISCOUNT) / F.col("seen"))
+        next_ = written(looked_up(below, "a", weights, often).select("w", "n", log.alias("log"), (log - F.col("below") - F.col("weight")).alias("value")), "lm-lower")
+        for table in (found, below, weights, lower):
+            removed(table)
+        lower = next_
+        filters.append(filter_of(lower))
+        known = spark.sparkContext.broadcast(filters[-1])
+    tables.append(lower.select("w", "n", "value"))
+    return tables[0], Model(total, kinds, tables, filters)
+
+
+def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
-    Words that are too rare for the automaton's tables join their counts afterwards, so that no table grows with the
-    corpus on the driver. Unknown words are one class, which gets what discounting took from the known ones. Null and
-    empty texts are their end alone. Repeated rows repeat, empty tables give none; other columns are not read. Without
-    training texts all probabilities are 1.
+    Values of n-grams that are too rare for the tasks' tables are joined in afterwards, so that no table grows with the
+    corpus on the driver; of longer n-grams only those that a filter passes are. Unknown words are one class, which gets
+    what discounting took from the known ones. Null and empty texts are their end alone. Repeated rows repeat, empty
+    tables give none; other columns are not read. Without training texts all probabilities are 1.
     """
-    total, kinds = auto.total, auto.kinds
-    sent = docs.sparkSession.sparkContext.broadcast(auto)
-    base = np.log10((auto.counts + 1) / (total + kinds + 1))
+    total, kinds, orders = model.total, model.kinds, len(model.tables)
+    sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.filters))
+    lists = ["rare", *[f"open{k}" for k in range(2, orders + 1)]]
 
     def scored(batches):
-        model = sent.value
+        frequent, filters = sent.value
+        base = np.log10((frequent[0][1] + 1) / (total + kinds + 1))
         for whole in batches:
             for batch, text in text_pieces(whole, 2 << 20):
                 w, first = tokens(text)
-                at = position(model.words, w)
-                log, open_ = model.scores(at, first)
-                plain = np.where(at >= 0, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
                 add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-                rare = at < 0
-                # the count of a rare word settles base and known; open says that the score needs it too
-                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(add(rare.astype(np.int64)).astype(np.int64))))), pa.array(w[rare].view(np.int64)))
-                assert bool((open_ == rare).all())
+                log, late = np.zeros(len(w)), []
+                for k, (codes, ok) in enumerate(grams(w, first, orders)):
+                    here = np.flatnonzero(ok)
+                    if k:
+                        here = here[passes(filters[k - 1], codes[here])]
+                    at = position(frequent[k][0], codes[here])
+                    hit = at >= 0
+                    log[here[hit]] += frequent[k][2][at[hit]]
+                    open_ = np.zeros(len(w), bool)
+                    open_[here[~hit]] = True
+                    ends = np.concatenate(([0], np.cumsum(open_)))[first]
+                    late.append(pa.LargeListArray.from_arrays(pa.array(ends), pa.array(codes[open_].view(np.int64))).cast(pa.list_(pa.int64())))
+                    if not k:
+                        plain = np.where(hit, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
+                        known = add(hit.astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(add((~rare).astype(np.int64)).astype(np.int64)), pa.array(add(plain)), pa.array(add(log)), lists.cast(pa.list_(pa.int64()))],
-                    ["key", "doc_id", "held_out", "n_tokens", "known", "base", "log", "rare"],
+                    [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log)), *late],
+                    ["key", "doc_id", "held_out", "n_tokens", "known", "base", "log", *lists],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), "text")
-    rows = written(rows.mapInArrow(scored, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double, rare array<long>"), "lm-scored")
+    rows = written(rows.mapInArrow(scored, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double, " + ", ".join(f"{x} array<long>" for x in lists)), "lm-scored")
     n, unseen = F.coalesce(F.col("n"), F.lit(0)), np.log10(DISCOUNT * kinds / total) if total else 0.0
     joined = rows.select("key", F.explode("rare").alias("w")).join(counts, "w", "left")
     late = joined.groupBy("key").agg(
         F.count("n").alias("late_known"),
         F.sum(F.log10((n + 1) / F.lit(float(total + kinds + 1)))).alias("late_base"),
-        F.sum(F.when(n > 0, F.log10((n - DISCOUNT) / F.lit(float(max(total, 1))))).otherwise(F.lit(float(unseen)))).alias("late_log"),
+        F.sum(F.coalesce("value", F.lit(float(unseen)))).alias("late_log"),
     )
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    out = rows.drop("rare").join(late, "key", "left")
+    out = rows.drop(*lists).join(written(late, "lm-late"), "key", "left")
+    for name, table in zip(lists[1:], model.tables[1:], strict=True):
+        own = rows.select("key", F.explode(name).alias("w")).join(table.select("w", "value"), "w").groupBy("key").agg(F.sum("value").alias(name))
+        out = out.join(written(own, "lm-late"), "key", "left").withColumn("log", add("log", name))
     return out.select("doc_id", "held_out", "n_tokens", add("known", "late_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), add("base", "late_base").alias("base_score"), add("log", "late_log").alias("score"))
 
 
