@@ -144,6 +144,18 @@ def test_jaccard(docs, rare, monkeypatch):
     assert {r["doc_id"] for r in jaccard.one_of_each(docs).collect()} == set(label.values())
 
 
+def test_stages_on_repeated_rows(spark):
+    """A table that was appended twice, and equal texts without ids, leave each text once and whole."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"w{x}" for x in RNG.integers(0, 10**6, 60)) for _ in range(5)]
+    rows = [(i, t, "en", "s", len(t), "k", 1, "l") for i, t in [*enumerate(texts[:4]), (None, texts[4])]]
+    docs = _stored(spark, rows + rows).drop("key")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = corpus_pipeline.written(stage(spark, docs, ""), "stage")
+    assert sorted(r["text"] for r in docs.collect()) == sorted(texts)
+
+
 def test_lm(docs):
     from tracemill.llm.shared import held_out
     from pyspark.sql import functions as F

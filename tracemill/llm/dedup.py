@@ -80,12 +80,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, in their own columns. Rows that repeat both id and text of one that stays are kept."""
-    gone = written(exact_groups(docs).filter(~F.col("kept")).select("doc_id", "text_sha256").distinct(), "dedup-gone")
+    """One row of each group, in its own columns: the one with the most code points, on ties the smallest id, on ties
+    (rows that repeat an id, rows without one) the first. The input has to give its rows in the same partitions and
+    order each time it is read, as tables in files do."""
+    groups = written(exact_groups(docs).select("text_sha256", "group_size"), "dedup-groups")  # unfiltered: texts are compared
+    groups = groups.filter("group_size > 1").select("text_sha256").distinct()
+    groups = F.broadcast(groups) if groups.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else groups
+    source = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = source.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    rows = written(rows.join(groups, "text_sha256", "left_semi"), "dedup-rows")
+    best = rows.groupBy("text_sha256").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("o"), (-F.col("__row")).alias("r"))).alias("best"))
+    gone = written(rows.join(best.select((-F.col("best.r")).alias("__row")), "__row", "left_anti").select("__row"), "dedup-gone")
     gone = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__sha") == F.col("g.text_sha256"))
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    return keyed.alias("d").join(gone.alias("g"), same, "left_anti").drop("__sha")
+    return source.join(gone, "__row", "left_anti").drop("__row")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
