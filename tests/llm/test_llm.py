@@ -156,6 +156,19 @@ def test_stages_on_repeated_rows(spark):
     assert sorted(r["text"] for r in docs.collect()) == sorted(texts)
 
 
+def test_jaccard_by_row(spark):
+    """Rows without ids, and different texts of one id, go and stay by their own texts."""
+    texts = [[f"t{k}w{x}" for x in range(100)] for k in range(4)]
+    near = lambda w, n: " ".join([*w[:-n], *(f"{x}y" for x in w[-n:])])
+    a, b, c, d = (" ".join(w) for w in texts)
+    bridge, far = near(texts[3], 6), near(texts[3], 12)
+    rows = [(1, a), (None, near(texts[0], 3)), (None, b), (2, c), (7, near(texts[2], 3)), (7, "a text that has nothing to do with it"), (4, d), (None, bridge), (9, far)]
+    docs = _stored(spark, [(i, t, "en", "s", len(t), "k", 1, "l") for i, t in rows])
+    component = {(r["doc_id"], r["component_id"]) for r in jaccard.groups(docs).collect()}
+    assert (9, 4) in component and (None, 4) in component
+    assert sorted(r["text"] for r in jaccard.one_of_each(docs).collect()) == sorted([a, b, c, d, rows[5][1]])
+
+
 def test_lm(docs):
     from tracemill.llm.shared import held_out
     from pyspark.sql import functions as F

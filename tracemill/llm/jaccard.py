@@ -20,7 +20,7 @@ RATIO, SPARE = 1.25, 0.16
 ROUNDS = 3
 #: Nodes of either side of a cell in which what is still apart is compared.
 STRAYS, OTHERS = 256, 1024
-#: Documents that are told apart by a broadcast of their ids (8 bytes each); beyond it the join is shuffled.
+#: Documents that are told apart by a broadcast of their rows (8 bytes each); beyond it the join is shuffled.
 BROADCAST_KEYS = 500_000
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(64)]
 
@@ -142,10 +142,10 @@ def combinations(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The documents whose sets the nodes are, one or a few of each."""
-    keys = nodes.select("doc_id").distinct()
+    """The documents whose sets the nodes are, one of each."""
+    keys = nodes.select("row").distinct()
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, "doc_id", "left_semi")
+    return docs.join(F.broadcast(keys) if few else keys, "row", "left_semi")
 
 
 def _pairs(shared: DataFrame, *kept: str) -> DataFrame:
@@ -183,7 +183,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame,
     rare = shared.filter(F.col("df") <= RARE).join(busy.select("node", "f", "heavy"), "node", "left").fillna({"f": 0, "heavy": False})
     after = F.greatest(F.col("x.n") - F.col("x.e"), F.col("y.n") - F.col("y.e"))
     out = _pairs(rare, "e", "f", "heavy").filter(alike & enough(F.col("i") + least("f") + after) & ~(F.col("x.heavy") & F.col("y.heavy"))).select(*ends)
-    heavy = busy.filter("heavy").select("node", "doc_id")
+    heavy = busy.filter("heavy").select("node", "row")
     if heavy.isEmpty():
         return out, None
     full = written(wholes(_only(docs, heavy), size).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-whole")
@@ -192,7 +192,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame,
     busy = written(busy.select("node", "f", (F.col("f") * 100 >= F.col("n") * PERCENT).alias("heavy")).join(nodes, "node"), "jaccard-heavier")
     rare = full.filter(F.col("df") <= RARE).join(busy.select("node", "f", "heavy"), "node", "left").fillna({"f": 0, "heavy": False})
     out = out.unionByName(_pairs(rare, "f", "heavy").filter(alike & enough(F.col("i") + least("f")) & ~(F.col("x.heavy") & F.col("y.heavy"))).select(*ends))
-    heavy = busy.filter("heavy").select("node", "doc_id")
+    heavy = busy.filter("heavy").select("node", "row")
     if heavy.isEmpty():
         return out, None
     parts = written(combinations(_only(docs, heavy), size).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-parts")
@@ -282,24 +282,18 @@ def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return written(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "jaccard-nodes")
 
 
-def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included.
-
-    Documents with equal sets are one node. Candidate pairs are verified on whole sets. Nodes of a large group's bucket
-    are, in `ROUNDS` rounds, compared with one other of it each, so that the group falls together; then all that are
-    still in different components are compared, so that no link is lost. Null, empty and white texts have no shingles and stay alone; rows with a
-    null doc_id get the least id of the others, if any; rows repeat as they do in the input; empty tables give no rows;
-    other columns are not read.
-    """
+def _labelled(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, n, node) of all documents, and (node, best, doc_id, row, label) of all that have shingles: best says
+    which row of the node comes first. row is the row's monotonically_increasing_id."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def summary(batch, h, first, a, b):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(a), pa.array(b)], ["doc_id", "n", "node", "check"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first)), pa.array(a), pa.array(b)], ["row", "doc_id", "n", "node", "check"])
 
-    rows = written(_sets(docs, summary, "doc_id long, n long, node long, check long", size), "jaccard-rows")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    nodes = nodes.select("node", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("different sets share a name")).cast("long")).otherwise(F.col("doc_id")).alias("doc_id"))
+    rows = written(_sets(docs, summary, "row long, doc_id long, n long, node long, check long", size), "jaccard-rows")
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    nodes = nodes.select("node", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("different sets share a name")).cast("long")).otherwise(F.col("best.doc_id")).alias("doc_id"), "best", F.col("best.row").alias("row"))
     nodes = written(nodes, "jaccard-nodes")
     pairs, members = candidates(docs, nodes, size)
     pairs = written(pairs.distinct(), "jaccard-pairs")
@@ -325,17 +319,33 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
         found = written(links, "jaccard-links")
         if not found.isEmpty():
             labels = _relabelled(labels, found)
-    joined = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows, nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links lead to, itself included.
+
+    Documents with equal sets are one node. Candidate pairs are verified on whole sets. Nodes of a large group's bucket
+    are, in `ROUNDS` rounds, compared with one other of it each, so that the group falls together; then all that are
+    still in different components are compared, so that no link is lost. Null, empty and white texts have no shingles and stay alone; rows with a
+    null doc_id get the least id of the others, if any; rows repeat as they do in the input; empty tables give no rows;
+    other columns are not read. The input has to give its rows in the same partitions and order each time it is read,
+    as tables in files do.
+    """
+    rows, joined = _labelled(docs, size)
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(joined.join(least, "label").select("node", "component_id"), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """The documents whose id is the least of their group, in their own columns."""
-    gone = written(groups(docs, size).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "jaccard-gone")
+    """One row of each group, in its own columns: the one with the least id, on ties (rows that repeat an id, groups
+    without one) the first. Rows without shingles stay."""
+    rows, joined = _labelled(docs, size)
+    kept = joined.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    gone = written(rows.filter("n > 0").select("row").join(kept, "row", "left_anti").withColumnRenamed("row", "__row"), "jaccard-gone")
     gone = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
