@@ -252,3 +252,64 @@ def test_empty_tables(docs):
     for f in (dedup.exact_groups, bpe.encode_digest, repeats.remove, packing.pack, jaccard.groups):
         assert f(none).count() == 0
     assert lm.score(none, *lm.fit(none)).count() == 0
+
+
+def test_suffix_array_and_parts():
+    raw = np.frombuffer(("ab" * 300 + "the cat " * 60 + "ab" * 130).encode(), np.uint8)
+    for length in (5, 20, 200):
+        places = np.arange(len(raw) - length + 1)
+        order, new = repeats.suffix_array(raw, places, length)
+        got = [raw[p : p + length].tobytes() for p in places[order]]
+        assert got == sorted(got)
+        assert new.tolist() == [i == 0 or got[i] != got[i - 1] for i in range(len(got))]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 5000, "y" * 30, None, "é" * 3000])], ["text"])
+    seen = []
+    for b, owner, base, some, offsets in repeats.parts(batch, 200, 1000):
+        for i in range(len(owner)):
+            t = (b.column("text")[int(owner[i])].as_py() or "").encode()
+            part = some[offsets[i] : offsets[i + 1]].tobytes()
+            assert t[base[i] : base[i] + len(part)] == part
+            seen += [(t, int(base[i]) + k) for k in range(len(part) - 199)]
+    assert len(seen) == len(set(seen)) == 5000 - 199 + 6000 - 199
+
+
+@pytest.mark.parametrize("pieces", [["two words"], ["x", "y"], [""], ["a b c"], ["a b c d e"], ["a b c d e f"], [None, "one"]])
+def test_jaccard_small_pieces(spark, pieces):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(pieces)], "doc_id long, text string").coalesce(1)
+    n = [max(len((t or "").split()) - 4, min(1, len((t or "").split()))) for t in pieces]
+    assert [r["n_shingles"] for r in jaccard.groups(df).orderBy("doc_id").collect()] == n
+
+
+def test_long_words(spark):
+    """Words that a polynomial modulo a power of two takes for equal."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard.groups(df).orderBy("doc_id").collect()] == [1, 2, 1]
+    got = lm.score(df, *lm.fit(df.filter("doc_id = 1"))).orderBy("doc_id").collect()
+    assert [r["n_known"] for r in got] == [2, 1, 2]
+
+
+def test_crowded_grams(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 2)
+    test_repeats(docs)
+
+
+def test_stages_keep_columns(spark):
+    """Names that operators use for themselves are no danger in the input."""
+    names = ["doc_id", "text", "lang", "n_chars", "key", "__key", "__sha", "__row", "row", "rest", "d", "g", "hits", "kept", "node", "label"]
+    shared = " ".join(f"s{x}" for x in range(60))
+    texts = [f"{' '.join(f'{k}w{x}' for x in range(80))} {shared}" for k in range(3)]
+    rows = [(i, t, "en", len(t or ""), *[f"{c}{i}" for c in names[4:]]) for i, t in enumerate([*texts, texts[0], None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars int, " + ", ".join(f"{c} string" for c in names[4:]))
+    for stage in (dedup.drop_copies, jaccard.one_of_each, repeats.without_repeats):
+        out = stage(df)
+        assert out.dtypes == df.dtypes
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in names[4:])
+    got = {r["doc_id"]: r["text"] for r in repeats.without_repeats(df.filter("doc_id <> 3")).collect()}
+    assert all(shared[10:] not in t and f"{k}w79" in t for k, t in got.items() if t) and got[4] is None and got[5] == ""

@@ -1,4 +1,4 @@
-"""Removal of long repeated byte strings by prefix-free parsing."""
+"""Removal of long repeated byte strings by prefix-free parsing: suffix arrays of the dictionary, weighed by the parse."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import Rolling
-from .shared import text_bytes, text_pieces, written
+from .shared import keyed, own_columns, text_bytes, text_pieces, written
 
 #: Bytes of a string that must repeat, and of the window whose least hash is a trigger. A trigger's gram and a window
 #: of triggers together are one string, so that strings which are equal have the same trigger.
@@ -19,23 +21,43 @@ LENGTH, SPREAD = 200, 101
 BROADCAST_KEYS = 500_000
 #: Low bits that tell places of equal grams apart; only differences of up to SPREAD count.
 PLACE = np.uint64((1 << 24) - 1)
+#: Bytes of texts that are parsed at once; a longer text is parsed in parts.
+PIECE = 1 << 19
+#: Bytes of phrases of which one suffix array is made, and phrases with one gram that it takes (300 bytes each at most).
+#: Phrases of grams with more of them go the way of `scattered`.
+ARRAY, CROWD = 1 << 20, 2_048
+#: Bits of a rank; a suffix array has fewer places.
+RANK = 21
+_BYTES = "gram long, phrase long, c long, data binary"
+
+
+def parts(whole: pa.RecordBatch, length: int, limit: int = PIECE):
+    """(batch, owner, base, raw, offsets): pieces of texts of about `limit` bytes. Part i, raw[offsets[i]:offsets[i + 1]],
+    stands in the text of row owner[i], base[i] bytes from its beginning. Texts longer than that come in parts which
+    overlap by length - 1 bytes, so that each string of `length` bytes lies in one."""
+    for batch, text in text_pieces(whole, limit):
+        raw, offsets = text_bytes(text)
+        if len(text) > 1 or len(raw) <= 2 * limit:
+            yield batch, np.arange(len(text)), np.zeros(len(text), np.int64), raw, offsets
+            continue
+        for a in range(0, len(raw) - length + 1, limit):
+            some = raw[a : a + limit + length - 1]
+            yield batch, np.zeros(1, np.int64), np.array([a]), some, np.array([0, len(some)])
 
 
 class Parse:
-    """The phrases of all texts of a piece: phrase i covers raw[begin[i]:end[i]] and holds the strings of LENGTH bytes
-    that start in begin[i] .. end[i] - LENGTH. Each such string of a text lies in exactly one phrase, and neighbours
+    """The phrases of all parts of a piece: phrase i covers raw[begin[i]:end[i]] and holds the strings of LENGTH bytes
+    that start in begin[i] .. end[i] - LENGTH. Each such string of a part lies in exactly one phrase, and neighbours
     overlap by LENGTH - 1 bytes. Where a phrase is cut depends on the rolling hashes of its bytes alone."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, spread: int = SPREAD, names: bool = True):
-        self.raw, self.length = raw, length
-        size = length - spread + 1
-        sums = Rolling(raw)
-        grams = sums.grams(size)
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, spread: int = SPREAD):
+        self.raw = raw
+        grams = Rolling(raw).grams(length - spread + 1)
         n = len(raw) - length + 1
         starts, stops = offsets[:-1], np.maximum(offsets[1:] - length + 1, offsets[:-1])
         if n <= 0 or not (stops > starts).any():
             self.begin = self.end = self.text = np.zeros(0, np.int64)
-            self.gram = self.phrase = np.zeros(0, np.uint64)
+            self.gram = np.zeros(0, np.uint64)
             return
         low = (grams & ~PLACE) | (PLACE - (np.arange(len(grams), dtype=np.uint64) & PLACE))
         reach = 1
@@ -62,119 +84,205 @@ class Parse:
         place = PLACE - (low[begin] & PLACE)
         trigger = begin + ((place - begin.astype(np.uint64)) & PLACE).astype(np.int64)
         self.gram = grams[trigger]
-        self.phrase = sums.of(self.begin, self.end) if names else self.gram
 
+    def names(self) -> np.ndarray:
+        data, name = memoryview(np.ascontiguousarray(self.raw)), xxhash.xxh3_64_intdigest
+        return np.fromiter((name(data[a:b]) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)), np.uint64, len(self.begin))
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
-
-def parsed(docs: DataFrame, length: int, spread: int) -> DataFrame:
-    """(gram, phrase, key, n): the phrases of each text, in order."""
+def parsed(texts: DataFrame, length: int, spread: int) -> DataFrame:
+    """(gram, phrase, key, begin, size): the phrases of each text, where they stand in it."""
 
     def rows(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 2 << 20):
-                raw, offsets = text_bytes(text)
+            for batch, owner, base, raw, offsets in parts(whole, length):
                 p = Parse(raw, offsets, length, spread)
-                n = np.arange(len(p.text)) - np.searchsorted(p.text, p.text)
-                yield pa.RecordBatch.from_arrays([pa.array(p.gram.view(np.int64)), pa.array(p.phrase.view(np.int64)), batch.column("key").take(pa.array(p.text)), pa.array(n.astype(np.int32))], ["gram", "phrase", "key", "n"])
+                begin = p.begin - offsets[p.text] + base[p.text]
+                yield pa.RecordBatch.from_arrays([pa.array(p.gram.view(np.int64)), pa.array(p.names().view(np.int64)), batch.column("key").take(pa.array(owner[p.text])), pa.array(begin.astype(np.int32)), pa.array((p.end - p.begin).astype(np.int16))], ["gram", "phrase", "key", "begin", "size"])
 
-    return _source(docs).mapInArrow(rows, "gram long, phrase long, key long, n int")
+    return texts.mapInArrow(rows, "gram long, phrase long, key long, begin int, size short")
 
 
-def triggers(docs: DataFrame, length: int, spread: int) -> DataFrame:
+def triggers(texts: DataFrame, length: int, spread: int) -> DataFrame:
     """(gram, n): how often triggers occur; tasks count before the shuffle."""
 
     def rows(batches):
         for whole in batches:
-            for _, text in text_pieces(whole, 2 << 20):
-                raw, offsets = text_bytes(text)
-                gram, n = np.unique(Parse(raw, offsets, length, spread, names=False).gram, return_counts=True)
+            for _, _, _, raw, offsets in parts(whole, length):
+                gram, n = np.unique(Parse(raw, offsets, length, spread).gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _few(keys: DataFrame) -> tuple[DataFrame, bool]:
+def _few(keys: DataFrame) -> DataFrame:
     """The keys, to be broadcast if there are few."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return (F.broadcast(keys) if few else keys), few
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
-def _with(docs: DataFrame, lists: DataFrame) -> DataFrame:
+def _with(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """Texts joined to the list that their key has; only texts with one are shuffled."""
-    keys, _ = _few(lists.select("key"))
-    return docs.join(keys, "key", "left_semi").join(lists, "key")
+    return texts.join(_few(lists.select("key")), "key", "left_semi").join(lists, "key")
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+
+
+def suffix_array(raw: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings raw[p:p + length] of these places by their bytes, and for each place of that order
+    whether its string differs from the one before. Ranks of the first 8 bytes of all suffixes give those of three times
+    as many, until three of them cover the strings."""
+    n, block = len(raw), min(8, length)
+    if n >= 1 << RANK:
+        raise ValueError("too many bytes for one suffix array")
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    first = np.zeros((n, 8), np.uint8)
+    first[:, :block] = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n, :block]
+    rank, depth = _ranks(first.view(">u8")[:, 0].astype(np.uint64)), block
+
+    def three(at: np.ndarray, a: int, b: int) -> np.ndarray:
+        later = [np.where(at + x < n, rank[np.minimum(at + x, n - 1)], np.uint64(0)) for x in (a, b)]
+        return (rank[at] << np.uint64(2 * RANK)) | (later[0] << np.uint64(RANK)) | later[1]
+
+    while 3 * depth < length:
+        rank, depth = _ranks(three(np.arange(n), depth, 2 * depth)), 3 * depth
+    keys = three(places, min(depth, length - depth), length - depth)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    return order, np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+
+
+def groups_of_grams(batches, size: int = ARRAY):
+    """Tables of whole groups of rows with one gram, of about `size` bytes of data; the rows come sorted by gram."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).combine_chunks()
+        held = table if held is None or not held.num_rows else pa.concat_tables([held, table]).combine_chunks()
+        if not held.num_rows:
+            continue
+        gram = held.column("gram").to_numpy()
+        cuts = np.flatnonzero(gram[1:] != gram[:-1]) + 1
+        ends = np.cumsum(pc.binary_length(held.column("data")).to_numpy())
+        start = 0
+        for cut in cuts.tolist():
+            if ends[cut - 1] - (ends[start - 1] if start else 0) >= size:
+                yield held.slice(start, cut - start)
+                start = cut
+        held = held.slice(start)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def repeated_strings(dictionary: DataFrame, length: int) -> DataFrame:
+    """(gram, phrase, offs): in phrases that stand once in the parse (c = 1), where strings start that stand elsewhere
+    too. dictionary: gram, phrase, c, data. All phrases with one gram meet in one task, and with them all that can hold
+    equal strings. The suffix array of their bytes puts equal strings next to each other; the parse says how often each
+    of them stands in the corpus, which is as often as its phrase does."""
 
+    def rows(batches):
+        for table in groups_of_grams(batches):
+            data = table.column("data").combine_chunks().cast(pa.large_binary())
+            raw, bounds = text_bytes(data)
+            c = table.column("c").to_numpy()
+            sizes = np.diff(bounds) - length + 1
+            phrase = np.repeat(np.arange(len(sizes)), sizes)
+            off = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order, new = suffix_array(raw, bounds[:-1][phrase] + off, length)
+            if not len(order):
+                continue
+            heads = np.flatnonzero(new)
+            often = np.add.reduceat(c[phrase[order]], heads) > 1
+            hit = order[np.repeat(often, np.diff(np.append(heads, len(order))))]
+            hit = np.sort(hit[c[phrase[hit]] == 1])
+            which, first = np.unique(phrase[hit], return_index=True)
+            offs = pa.ListArray.from_arrays(pa.array(np.append(first, len(hit)).astype(np.int32)), pa.array(off[hit].astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([table.column(x).combine_chunks().take(pa.array(which)) for x in ("gram", "phrase")] + [offs], ["gram", "phrase", "offs"])
+
+    return dictionary.repartition("gram").sortWithinPartitions("gram").mapInArrow(rows, "gram long, phrase long, offs array<short>")
+
+
+def scattered(dictionary: DataFrame, length: int) -> DataFrame:
+    """The same for grams that too many phrases share for one task (a passage in ever other surroundings): one row for
+    each string, counted by 128-bit names before the shuffle, so that neither a gram nor a string is one task's work."""
 
-def repeated(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
-    """(key, hits): for each text with repeated strings its phrases n and, in each, the offsets at which such strings
-    start (null: at all). key is the row's monotonically_increasing_id.
+    def strings(batches):
+        name = xxhash.xxh3_128_digest
+        for batch in batches:
+            raw, bounds = text_bytes(batch.column("data").cast(pa.large_binary()))
+            data, c = memoryview(np.ascontiguousarray(raw)), batch.column("c").to_numpy()
+            step = max(1, PIECE // (SPREAD * 64))
+            for k in range(0, len(c), step):
+                sizes = np.diff(bounds[k : k + step + 1]) - length + 1
+                which = np.repeat(np.arange(k, k + len(sizes)), sizes)
+                off = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                two = np.frombuffer(b"".join([name(data[a : a + length]) for a in (bounds[:-1][which] + off).tolist()]), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1])), *(batch.column(x).take(pa.array(which)) for x in ("gram", "phrase")), pa.array(off.astype(np.int16)), pa.array(np.minimum(c[which], 2))],
+                    ["a", "b", "gram", "phrase", "off", "c"],
+                )
+
+    all_ = written(dictionary.mapInArrow(strings, "a long, b long, gram long, phrase long, off short, c long"), "repeats-strings")
+    twice = all_.groupBy("a", "b").agg(F.sum("c").alias("s")).filter("s > 1").select("a", "b")
+    return all_.filter("c = 1").join(twice, ["a", "b"], "left_semi").groupBy("gram", "phrase").agg(F.collect_list("off").alias("offs"))
+
+
+def repeated(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
+    """(key, hits): for each text with repeated strings its phrases (begin, size) and, in each, the offsets at which such
+    strings start (null: at all). texts: key, text, as written.
 
     The dictionary is the distinct phrases; the parse says where they stand. A phrase that stands twice repeats with
     all its strings. Of the others only those can hold a repeated string that share their trigger's gram with another
-    phrase: their strings, and one copy of those that the other holds, are put into corpus order, here that of 128-bit
-    names, and neighbours that are equal repeat. Since phrases overlap by length - 1 bytes, no string reaches into the
-    next phrase, so that the order of the parse is never needed to tell two strings apart.
+    phrase. Since neighbours overlap by length - 1 bytes, each place of a string in the corpus is one place in a phrase
+    of the dictionary, once for each time that the phrase stands in the parse: the suffix array of the dictionary, with
+    these counts, is the order of the corpus to the depth of a string, and what follows the phrase is not needed.
     """
-    spark = docs.sparkSession
-    often = triggers(docs, length, spread).filter("n > 1").select("gram")
-    parse = written(parsed(docs, length, spread).join(often, "gram", "left_semi"), "repeats-parse")
-    entries = parse.groupBy("gram", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("at"))
-    entries = written(entries.select(F.monotonically_increasing_id().alias("id"), "gram", "phrase", "c", "at.key", "at.n"), "repeats-dictionary")
-    forks = entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
-    open_ = entries.join(forks, "gram", "left_semi")
-    lists = written(open_.groupBy("key").agg(F.collect_list(F.struct("n", "id", "c")).alias("phrases")), "repeats-open")
+    texts = texts.select("key", "text")
+    often = triggers(texts, length, spread).filter("n > 1").select("gram")
+    parse = written(parsed(texts, length, spread).join(often, "gram", "left_semi"), "repeats-parse")
+    entries = written(parse.groupBy("gram", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "begin", "size")).alias("at")), "repeats-dictionary")
+    forks = written(entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1"), "repeats-forks")
 
-    def strings(batches):
+    def bytes_(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 1 << 20):
+            for batch, text in text_pieces(whole, PIECE):
                 raw, offsets = text_bytes(text)
-                p = Parse(raw, offsets, length, spread, names=False)
-                if not len(p.begin):
-                    continue
-                one, two = Rolling(raw).grams(length), Rolling(raw, 1).grams(length)
-                first = np.searchsorted(p.text, np.arange(len(offsets)))
                 items = batch.column("phrases")
                 owner = np.repeat(np.arange(len(items)), np.asarray(items.value_lengths()))
                 flat = items.flatten()
-                n, c = (flat.field(x).to_numpy() for x in ("n", "c"))
-                here = first[owner] + n
-                sizes = p.end[here] - p.begin[here] - length + 1
-                which = np.repeat(np.arange(len(here)), sizes)
-                off = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                at = p.begin[here][which] + off
-                for k in range(0, len(at), 200_000):
-                    some = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(one[at[some]].view(np.int64)), pa.array(two[at[some]].view(np.int64)), flat.field("id").take(pa.array(which[some])), pa.array((2 * off[some] + (c[which[some]] > 1)).astype(np.int32))], ["a", "b", "id", "code"])
-
-    # code: twice the offset, and 1 if the phrase stands more than once. Half of a name finds what may repeat, the whole decides
-    all_ = written(_with(_source(docs), lists).select("text", "phrases").mapInArrow(strings, "a long, b long, id long, code int"), "repeats-strings")
-    half = written(all_.groupBy("a").agg(F.sum(F.col("code") % 2 + 1).alias("s")).filter("s > 1").select("a"), "repeats-halves")
-    some = written(all_.join(half, "a", "left_semi"), "repeats-candidates")
-    twice = some.groupBy("a", "b").agg(F.sum(F.col("code") % 2 + 1).alias("s")).filter("s > 1").select("a", "b")
-    found = some.filter("code % 2 = 0").join(twice, ["a", "b"], "left_semi").groupBy("id").agg(F.collect_list((F.col("code") / 2).cast("short")).alias("offs"))
-    found = entries.join(found, "id").select("gram", "phrase", "offs")
+                begin, size = (flat.field(x).to_numpy().astype(np.int64) for x in ("begin", "size"))
+                begin, data = offsets[owner] + begin, memoryview(np.ascontiguousarray(raw))
+                for k in range(0, len(begin), 4096):
+                    some = slice(k, k + 4096)
+                    made = [data[a : a + n].tobytes() for a, n in zip(begin[some].tolist(), size[some].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([flat.field(x).slice(k, 4096) for x in ("gram", "phrase", "c")] + [pa.array(made, pa.binary())], ["gram", "phrase", "c", "data"])
+
+    def dictionary(grams):
+        """The bytes of the phrases with these grams, from one place where each stands."""
+        open_ = entries.join(grams.select("gram"), "gram", "left_semi").select("at.key", F.struct("at.begin", "at.size", "gram", "phrase", "c").alias("p"))
+        lists = written(open_.groupBy("key").agg(F.collect_list("p").alias("phrases")), "repeats-open")
+        return _with(texts, lists).select("text", "phrases").mapInArrow(bytes_, _BYTES)
+
+    found = repeated_strings(dictionary(forks.filter(F.col("k") <= CROWD)), length)
+    crowds = forks.filter(F.col("k") > CROWD)
+    if not crowds.isEmpty():
+        found = found.unionByName(scattered(dictionary(crowds), length))
     whole = entries.filter("c > 1").select("gram", "phrase", F.lit(None).cast("array<smallint>").alias("offs"))
-    hits = parse.join(whole.unionByName(found), ["gram", "phrase"]).select("key", "n", "offs")
-    return written(hits.groupBy("key").agg(F.collect_list(F.struct("n", "offs")).alias("hits")), "repeats-hits")
+    hits = parse.join(whole.unionByName(found), ["gram", "phrase"]).select("key", "begin", "size", "offs")
+    return written(hits.groupBy("key").agg(F.collect_list(F.struct("begin", "size", "offs")).alias("hits")), "repeats-hits")
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray, items: pa.ListArray, length: int, spread: int) -> np.ndarray:
+def covered(raw: np.ndarray, offsets: np.ndarray, items: pa.ListArray, length: int) -> np.ndarray:
     """True for each byte that a repeated string covers."""
-    p = Parse(raw, offsets, length, spread, names=False)
-    first = np.searchsorted(p.text, np.arange(len(offsets)))
     owner = np.repeat(np.arange(len(items)), np.asarray(items.value_lengths()))
     flat = items.flatten()
-    here = first[owner] + flat.field("n").to_numpy()
+    begin = offsets[owner] + flat.field("begin").to_numpy()
     offs = flat.field("offs")
     change = np.zeros(len(raw) + 1, np.int32)
     all_ = offs.is_null().to_numpy(zero_copy_only=False)
-    np.add.at(change, p.begin[here[all_]], 1)
-    np.add.at(change, p.end[here[all_]], -1)
-    sizes = np.asarray(offs.value_lengths().fill_null(0))
-    starts = np.repeat(p.begin[here], sizes) + offs.flatten().to_numpy()
+    np.add.at(change, begin[all_], 1)
+    np.add.at(change, begin[all_] + flat.field("size").to_numpy()[all_], -1)
+    starts = np.repeat(begin, np.asarray(offs.value_lengths().fill_null(0))) + offs.flatten().to_numpy()
     np.add.at(change, starts, 1)
     np.add.at(change, starts + length, -1)
     return np.cumsum(change[:-1]) > 0
@@ -183,16 +291,15 @@ def spans(raw: np.ndarray, offsets: np.ndarray, items: pa.ListArray, length: int
 def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text without the bytes that strings of `length`
     bytes cover which also start elsewhere. Null and empty texts have no bytes; rows that repeat are copies of each
-    other; texts shorter than `length` keep all; empty tables give no rows; other columns are not read. The input has
-    to give its rows in the same partitions and order each time it is read, as tables in files do."""
-    hits = repeated(docs, length, spread)
-    source = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    other; texts shorter than `length` keep all; empty tables give no rows; other columns are not read."""
+    source = keyed(docs)
+    hits = repeated(source, length, spread)
 
     def cut(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 2 << 20):
+            for batch, text in text_pieces(whole, PIECE):
                 raw, offsets = text_bytes(text)
-                gone = spans(raw, offsets, batch.column("hits"), length, spread)
+                gone = covered(raw, offsets, batch.column("hits"), length)
                 total = np.concatenate(([0], np.cumsum(gone)))
                 first = gone.copy()
                 first[1:] &= ~gone[:-1]
@@ -204,34 +311,31 @@ def remove(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataF
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     touched = _with(source, hits).select("doc_id", "text", "hits").mapInArrow(cut, schema)
-    keys, _ = _few(hits.select("key"))
-    rest = source.join(keys, "key", "left_anti")
-    zero = F.lit(0).cast("long")
-    rest = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    rest, text, zero = source.join(_few(hits.select("key")), "key", "left_anti"), F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    rest = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
     return touched.unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """The documents in their own columns, their texts without repeated strings (and without characters of which a
-    part is covered), n_chars counted anew."""
-    hits = repeated(docs, length, spread)
-    source = docs.withColumn("__key", F.monotonically_increasing_id())
+    part is covered), n_chars counted anew. Null texts stay null, repeated rows lose what they share, empty tables give
+    no rows."""
+    source = keyed(docs, whole=True)
+    hits = repeated(source, length, spread)
 
     def cut(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 2 << 20):
+            for batch, text in text_pieces(whole, PIECE):
                 raw, offsets = text_bytes(text)
-                gone = spans(raw, offsets, batch.column("hits"), length, spread)
-                kept = [raw[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if gone[a:b].any() else t for a, b, t in zip(offsets[:-1], offsets[1:], text.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(kept, pa.string())], ["__key", "__text"])
-
-    keys, _ = _few(hits.select("key"))
-    touched = source.filter(F.col("text").isNotNull()).select(F.col("__key").alias("key"), "text").join(keys, "key", "left_semi").join(hits, "key").select(F.col("key").alias("__key"), "text", "hits")
-    new = touched.mapInArrow(cut, "__key long, __text string")
-    own = source.withColumnRenamed("__key", "key").join(keys, "key", "left_semi").drop("text").withColumnRenamed("key", "__key").join(new, "__key").withColumnRenamed("__text", "text").drop("__key")
-    rest = source.withColumnRenamed("__key", "key").join(keys, "key", "left_anti").drop("key")
-    out = own.select(*docs.columns).unionByName(rest.select(*docs.columns))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+                gone = covered(raw, offsets, batch.column("hits"), length)
+                kept = [raw[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(kept, pa.string())], ["key", "kept"])
+
+    few = _few(hits.select("key"))
+    new = _with(source.select("key", "text"), hits).mapInArrow(cut, "key long, kept string")
+    out = source.join(few, "key", "left_semi").join(new, "key").select(*own_columns(docs, F.col("kept")))
+    out = out.unionByName(source.join(few, "key", "left_anti").select(*own_columns(docs)))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op5_repeats(spark, sf_dir: str) -> DataFrame:

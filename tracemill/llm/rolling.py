@@ -1,33 +1,31 @@
-"""Hashes of substrings and words of many texts at once, from prefix sums of a polynomial modulo 2**64."""
+"""Hashes of the words of many texts at once, and of their substrings, from prefix sums of a polynomial modulo 2**64."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
-#: Odd bases, and the seeds of the values that stand for bytes; two of each for 128-bit hashes.
-BASES, SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (11, 29)
+#: Odd base, and the seed of the values that stand for bytes.
+BASE, SEED = 0x9E3779B97F4A7C15, 11
 
 
-@lru_cache(maxsize=4)
-def _bytes(which: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(SEEDS[which])).integers(1, 2**64, 256, np.uint64)
+@lru_cache(maxsize=1)
+def _bytes() -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(SEED)).integers(1, 2**64, 256, np.uint64)
 
 
-_grown: dict[tuple[int, bool], np.ndarray] = {}
+_grown: dict[bool, np.ndarray] = {}
 
 
-def _powers(which: int, n: int, inverse: bool) -> np.ndarray:
-    """base**0 .. base**(n - 1), or of the base's inverse."""
-    have = _grown.get((which, inverse))
+def _powers(n: int, inverse: bool) -> np.ndarray:
+    """BASE**0 .. BASE**(n - 1), or of its inverse."""
+    have = _grown.get(inverse)
     if have is None or len(have) < n:
-        base = BASES[which] if not inverse else pow(BASES[which], -1, 2**64)
         have = np.ones(max(n, 1), np.uint64)
-        have[1:] = np.uint64(base)
-        have = np.cumprod(have, dtype=np.uint64)
-        if n <= 1 << 21:
-            _grown[which, inverse] = have
+        have[1:] = np.uint64(pow(BASE, -1, 2**64) if inverse else BASE)
+        have = _grown[inverse] = np.cumprod(have, dtype=np.uint64)
     return have[:n]
 
 
@@ -39,24 +37,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of raw[start:end]; equal bytes have equal hashes, wherever they stand."""
+    """Hashes of raw[i:i + size], to choose places by: equal bytes have equal hashes, but a polynomial modulo a power of
+    two is no proof of equality."""
 
-    def __init__(self, raw: np.ndarray, which: int = 0):
-        self.which, n = which, len(raw)
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_bytes(which)[raw] * _powers(which, n, True), out=self.sums[1:])
-        self.powers = _powers(which, n + 1, False)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.powers[start]
-        return mixed(h + (end - start).astype(np.uint64))
+        np.cumsum(_bytes()[raw] * _powers(n, True), out=self.sums[1:])
 
     def grams(self, size: int) -> np.ndarray:
-        """Of all raw[i:i + size]."""
         n = len(self.sums) - size
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[size:] - self.sums[:n]) * self.powers[:n] + np.uint64(size))
+        return mixed((self.sums[size:] - self.sums[:n]) * _powers(n, False) + np.uint64(size))
 
 
 SPACE = np.zeros(256, bool)
@@ -79,3 +72,23 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[cut - 1] |= inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(start, offsets)
+
+
+#: Bytes of a word that are packed into two numbers, masks of their first 0 .. 16 bytes, words hashed at once.
+PACKED = 16
+MASKS = np.tril(np.full((PACKED + 1, PACKED + 1), 255, np.uint8), -1)[:, :PACKED].copy()
+AT_ONCE = 1 << 18
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[start:end]: those of up to 16 bytes mix all their bytes and the length, xxh3 hashes longer ones."""
+    out = np.zeros(len(start), np.uint64)
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(PACKED, np.uint8))), PACKED)
+    for i in range(0, len(start), AT_ONCE):
+        a, size = start[i : i + AT_ONCE], end[i : i + AT_ONCE] - start[i : i + AT_ONCE]
+        two = (view[a] & MASKS[np.minimum(size, PACKED)]).view(np.uint64)
+        out[i : i + AT_ONCE] = mixed(two[:, 0] ^ mixed(two[:, 1] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    data = memoryview(np.ascontiguousarray(raw))
+    for i in np.flatnonzero(end - start > PACKED).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], SEED)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,15 +18,18 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where it is unset, a folder of this
+    machine is made and set if driver and executors are one process, as in tests; a cluster has to name its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The same rows, cut from their lineage: written as Parquet to the shared folder and read back. What was shuffled
     on the way is of no more use and goes at once, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
@@ -33,12 +37,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(key, doc_id, text, rest), written: key tells rows apart, also those that repeat, for good, however often and on
+    whichever executors the table is read later. whole: all columns but the text are in the struct `rest`, so that none
+    can clash with a column of an operator; see `own_columns`."""
+    rest = [F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("rest")] if whole else []
+    return written(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", *rest), "rows", "zstd")
+
+
+def own_columns(docs: DataFrame, text=None) -> list:
+    """The columns of `docs`, from a table that `keyed` made of it whole."""
+    return [(F.col("text") if text is None else text).alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+
+
 def held_out(doc_id, modulus: int, remainder: int = 2):
     """True for the documents whose crc32(doc_id as text) leaves this remainder."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
