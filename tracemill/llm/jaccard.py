@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import LOWER, Rolling, mixed, words
-from .shared import text_bytes, text_pieces, written
+from .rolling import LOWER, mixed, word_hashes, words
+from .shared import keyed, own_columns, removed, text_bytes, text_pieces, written
 
 #: Words of a shingle; similarity in per cent.
 WORDS, PERCENT = 5, 80
@@ -18,8 +18,8 @@ RARE, SLACK = 16, 0.02
 RATIO, SPARE = 1.25, 0.16
 #: Rounds in which each node of a bucket is compared with one other before all that is still apart is.
 ROUNDS = 3
-#: Nodes of either side of a cell in which what is still apart is compared.
-STRAYS, OTHERS = 256, 1024
+#: Nodes of either side of a cell in which what is still apart is compared, and tokens of either side.
+STRAYS, OTHERS, CELL_TOKENS = 256, 1024, 4 << 20
 #: Documents that are told apart by a broadcast of their rows (8 bytes each); beyond it the join is shuffled.
 BROADCAST_KEYS = 500_000
 _C = [np.uint64(pow(0x9E3779B97F4A7C15, k, 2**64)) for k in range(64)]
@@ -33,9 +33,9 @@ def shingles(text: pa.LargeStringArray, size: int = WORDS) -> tuple[np.ndarray,
     m = np.diff(before)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(before), np.int64)
-    w = Rolling(raw).of(start, end)
+    w = word_hashes(raw, start, end)
     h = np.zeros(len(w), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(w))):
         h[: len(w) - k] += w[k:] * _C[k]
     full = np.zeros(len(w), bool)
     for k in np.flatnonzero((m > 0) & (m < size)):  # fewer words: the whole sequence
@@ -54,32 +54,33 @@ def shingles(text: pa.LargeStringArray, size: int = WORDS) -> tuple[np.ndarray,
     return h, np.searchsorted(owner, np.arange(len(m) + 1))
 
 
-def names(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of each set."""
+def names(h: np.ndarray, first: np.ndarray, clash: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each set, and a second one, which is also the first of those sets whose first name is in clash."""
     out = []
     for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(h ^ np.uint64(salt)), dtype=np.uint64)))
         out.append(sums[first[1:]] - sums[first[:-1]])
-    return out[0].view(np.int64), out[1].view(np.int64)
+    a, b = (x.view(np.int64) for x in out)
+    return (np.where(np.isin(a, np.array(clash, np.int64)), b, a) if clash else a), b
 
 
 def slack(n):
     return (n * SLACK).astype(np.int64) + 2
 
 
-def _sets(docs: DataFrame, make, schema: str, size: int) -> DataFrame:
-    """make(batch, h, first, name) for pieces of the table."""
+def _sets(docs: DataFrame, make, schema: str, size: int, clash: list[int]) -> DataFrame:
+    """make(batch, h, first, name, second name) for pieces of the table."""
 
     def rows(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole, 2 << 20):
+            for batch, text in text_pieces(whole, 1 << 20):
                 h, first = shingles(text, size)
-                yield from make(batch, h, first, *names(h, first))
+                yield from make(batch, h, first, *names(h, first, clash))
 
     return docs.mapInArrow(rows, schema)
 
 
-def prefixes(docs: DataFrame, size: int) -> DataFrame:
+def prefixes(docs: DataFrame, size: int, clash: list[int]) -> DataFrame:
     """(token, node, n, e): the e tokens of each set's extended prefix, in the order of hashes."""
 
     def make(batch, h, first, node, _):
@@ -91,10 +92,10 @@ def prefixes(docs: DataFrame, size: int) -> DataFrame:
         keep = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take) + np.repeat(first[:-1], take)
         yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(np.repeat(node, take)), pa.array(np.repeat(n, take).astype(np.int32)), pa.array(np.repeat(length, take).astype(np.int32))], ["token", "node", "n", "e"])
 
-    return _sets(docs.select("text"), make, "token long, node long, n int, e int", size)
+    return _sets(docs.select("text"), make, "token long, node long, n int, e int", size, clash)
 
 
-def wholes(docs: DataFrame, size: int) -> DataFrame:
+def wholes(docs: DataFrame, size: int, clash: list[int]) -> DataFrame:
     """(token, node, n): all tokens of each set."""
 
     def make(batch, h, first, node, _):
@@ -104,7 +105,7 @@ def wholes(docs: DataFrame, size: int) -> DataFrame:
             owner = np.searchsorted(first, np.arange(k, min(k + 200_000, len(h))), "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(node[owner]), pa.array(n[owner].astype(np.int32))], ["token", "node", "n"])
 
-    return _sets(docs.select("text"), make, "token long, node long, n int", size)
+    return _sets(docs.select("text"), make, "token long, node long, n int", size, clash)
 
 
 def parts_of(h: np.ndarray, n: int, c: int) -> tuple[np.ndarray, int]:
@@ -124,7 +125,7 @@ def parts_of(h: np.ndarray, n: int, c: int) -> tuple[np.ndarray, int]:
     return (keys[used], spare - empty) if empty <= spare else (keys, spare)
 
 
-def combinations(docs: DataFrame, size: int) -> DataFrame:
+def combinations(docs: DataFrame, size: int, clash: list[int]) -> DataFrame:
     """(token, node, n, class, spare): combinations of each set's tokens, for its size class and the one below."""
 
     def make(batch, h, first, node, _):
@@ -138,14 +139,14 @@ def combinations(docs: DataFrame, size: int) -> DataFrame:
                 keys, spare = parts_of(own, len(own), k)
                 yield pa.RecordBatch.from_arrays([pa.array(keys)] + [pa.array(np.full(len(keys), x), t) for x, t in ((node[i], pa.int64()), (len(own), pa.int32()), (k, pa.int32()), (spare, pa.int32()))], ["token", "node", "n", "class", "spare"])
 
-    return _sets(docs.select("text"), make, "token long, node long, n int, class int, spare int", size)
+    return _sets(docs.select("text"), make, "token long, node long, n int, class int, spare int", size, clash)
 
 
 def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The documents whose sets the nodes are, one of each."""
-    keys = nodes.select("row").distinct()
+    keys = nodes.select(F.col("row").alias("key")).distinct()
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(keys) if few else keys, "row", "left_semi")
+    return docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
 
 
 def _pairs(shared: DataFrame, *kept: str) -> DataFrame:
@@ -159,7 +160,7 @@ def _pairs(shared: DataFrame, *kept: str) -> DataFrame:
     return both.groupBy("x", "y", *own).agg(F.sum("w").alias("i"))
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+def candidates(docs: DataFrame, nodes: DataFrame, size: int, clash: list[int]) -> tuple[DataFrame, DataFrame | None]:
     """(x, y) nodes, and (bucket, node, n, class) of large groups: every two similar sets are a pair or in one bucket.
 
     Sets of similarity 0.8 share more than `slack` tokens of their extended prefixes. One of these is rare, unless both
@@ -173,7 +174,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame,
     least = lambda c: F.least(f"x.{c}", f"y.{c}")
     alike = least("n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
     ends = [F.col("x.node").alias("x"), F.col("y.node").alias("y")]
-    tokens = prefixes(docs, size)
+    tokens = prefixes(docs, size, clash)
     often = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     shared = written(tokens.join(often, "token", "left_semi").distinct(), "jaccard-shared")
     shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
@@ -186,7 +187,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame,
     heavy = busy.filter("heavy").select("node", "row")
     if heavy.isEmpty():
         return out, None
-    full = written(wholes(_only(docs, heavy), size).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-whole")
+    full = written(wholes(_only(docs, heavy), size, clash).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-whole")
     full = full.join(full.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     busy = full.filter(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("f"), F.max("n").alias("n"))
     busy = written(busy.select("node", "f", (F.col("f") * 100 >= F.col("n") * PERCENT).alias("heavy")).join(nodes, "node"), "jaccard-heavier")
@@ -195,7 +196,7 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int) -> tuple[DataFrame,
     heavy = busy.filter("heavy").select("node", "row")
     if heavy.isEmpty():
         return out, None
-    parts = written(combinations(_only(docs, heavy), size).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-parts")
+    parts = written(combinations(_only(docs, heavy), size, clash).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-parts")
     parts = parts.join(parts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     hot = parts.filter(F.col("df") > RARE)
     busy = hot.groupBy("node", "class").agg(F.count("*").alias("f"), F.max("spare").alias("spare"))
@@ -249,7 +250,8 @@ def strays(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     links only: as many comparisons as there are such nodes times the class, but no row for each pair."""
     largest = nodes.groupBy("class", "label").agg(F.count("*").alias("c")).groupBy("class").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
     # as many rows as there are size classes
-    sizes = F.broadcast(largest.filter(F.col("all") > F.col("most")).select("class", "main", F.ceil((F.col("all") - F.col("most")) / STRAYS).alias("p"), F.ceil(F.col("all") / OTHERS).alias("q")))
+    side = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(CELL_TOKENS / F.pow(F.lit(RATIO), F.col("class") + 1))))
+    sizes = F.broadcast(largest.filter(F.col("all") > F.col("most")).select("class", "main", F.ceil((F.col("all") - F.col("most")) / side(STRAYS)).alias("p"), F.ceil(F.col("all") / side(OTHERS)).alias("q")))
     held = nodes.join(sizes, "class").join(sets, "node")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
@@ -269,8 +271,10 @@ def components(edges: DataFrame) -> DataFrame:
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("was"))
         hop = labels.select(F.col("node").alias("next"), F.col("label").alias("hop"))
         new = written(spread.join(hop, "next", "left").select("node", F.least("next", F.coalesce("hop", "next")).alias("label"), "was"), "jaccard-labels")
+        removed(labels)
         labels = new.select("node", "label")
         if new.filter("label <> was").isEmpty():
+            removed(both)
             return labels
 
 
@@ -279,23 +283,26 @@ def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.join(labels.select(F.col("node").alias("x"), F.col("label").alias("a")), "x").join(labels.select(F.col("node").alias("y"), F.col("label").alias("b")), "y")
     merged = components(ends.filter("a <> b").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct())
     merged = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return written(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "jaccard-nodes")
+    out = written(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "jaccard-nodes")
+    removed(labels, merged)
+    return out
 
 
 def _labelled(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, n, node) of all documents, and (node, best, doc_id, row, label) of all that have shingles: best says
-    which row of the node comes first. row is the row's monotonically_increasing_id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """docs: key, doc_id, text, as written. (row, doc_id, n, node) of all documents, and (node, best, doc_id, row, label)
+    of all that have shingles: best says which row of the node comes first. row is the document's key."""
 
     def summary(batch, h, first, a, b):
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.diff(first)), pa.array(a), pa.array(b)], ["row", "doc_id", "n", "node", "check"])
-
-    rows = written(_sets(docs, summary, "row long, doc_id long, n long, node long, check long", size), "jaccard-rows")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    nodes = nodes.select("node", F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("different sets share a name")).cast("long")).otherwise(F.col("best.doc_id")).alias("doc_id"), "best", F.col("best.row").alias("row"))
-    nodes = written(nodes, "jaccard-nodes")
-    pairs, members = candidates(docs, nodes, size)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(np.diff(first)), pa.array(a), pa.array(b)], ["row", "doc_id", "n", "node", "check"])
+
+    rows = written(_sets(docs.select("key", "doc_id", "text"), summary, "row long, doc_id long, n long, node long, check long", size, []), "jaccard-rows")
+    # different sets with one 64-bit name, of which n sets give n * n / 2**65 on average: under 300 of 10**11; their second names serve
+    clash = [r["node"] for r in rows.filter("n > 0").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("node").collect()]
+    if clash:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(clash), F.col("check")).otherwise(F.col("node")))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"))
+    nodes = written(nodes.select("node", F.col("best.doc_id").alias("doc_id"), "best", F.col("best.row").alias("row")), "jaccard-nodes")
+    pairs, members = candidates(docs, nodes, size, clash)
     pairs = written(pairs.distinct(), "jaccard-pairs")
     every = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
     if members is not None:
@@ -307,7 +314,7 @@ def _labelled(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.LargeListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "set"])
 
     mine = _only(docs, nodes.join(labels, "node", "left_semi"))
-    sets = written(_sets(mine, tokens, "node long, set array<long>", size).join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    sets = written(_sets(mine, tokens, "node long, set array<long>", size, clash).join(labels.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
     for k in range(-1, ROUNDS + 1 if members is not None else 0):
         if 0 <= k < ROUNDS:
@@ -327,12 +334,11 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     Documents with equal sets are one node. Candidate pairs are verified on whole sets. Nodes of a large group's bucket
     are, in `ROUNDS` rounds, compared with one other of it each, so that the group falls together; then all that are
-    still in different components are compared, so that no link is lost. Null, empty and white texts have no shingles and stay alone; rows with a
-    null doc_id get the least id of the others, if any; rows repeat as they do in the input; empty tables give no rows;
-    other columns are not read. The input has to give its rows in the same partitions and order each time it is read,
-    as tables in files do.
+    still in different components are compared, so that no link is lost. Null, empty and white texts have no shingles
+    and stay alone; rows with a null doc_id get the least id of the others, if any; rows repeat as they do in the input;
+    empty tables give no rows; other columns are not read.
     """
-    rows, joined = _labelled(docs, size)
+    rows, joined = _labelled(keyed(docs), size)
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(joined.join(least, "label").select("node", "component_id"), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -341,11 +347,12 @@ def groups(docs: DataFrame, size: int = WORDS) -> DataFrame:
 def one_of_each(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """One row of each group, in its own columns: the one with the least id, on ties (rows that repeat an id, groups
     without one) the first. Rows without shingles stay."""
-    rows, joined = _labelled(docs, size)
+    whole = keyed(docs, whole=True)
+    rows, joined = _labelled(whole, size)
     kept = joined.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
-    gone = written(rows.filter("n > 0").select("row").join(kept, "row", "left_anti").withColumnRenamed("row", "__row"), "jaccard-gone")
+    gone = written(rows.filter("n > 0").select("row").join(kept, "row", "left_anti").withColumnRenamed("row", "key"), "jaccard-gone")
     gone = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return whole.join(gone, "key", "left_anti").select(*own_columns(docs))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

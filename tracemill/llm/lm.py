@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import LOWER, Rolling, mixed, words
-from .shared import held_out, text_bytes, text_pieces, written
+from .rolling import LOWER, mixed, word_hashes, words
+from .shared import held_out, removed, text_bytes, text_pieces, written
 
 #: The token that ends each text.
 END = np.uint64(1)
@@ -34,7 +34,7 @@ def tokens(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     if len(start):
         keep = np.ones(len(out), bool)
         keep[first[1:] - 1] = False
-        out[keep] = Rolling(raw).of(start, end)
+        out[keep] = word_hashes(raw, start, end)
     return out, first
 
 
@@ -194,14 +194,6 @@ def looked_up(rows: DataFrame, column: str, table: DataFrame, often: DataFrame)
     return hot.unionByName(rows.join(often, column, "left_anti").join(table, column))
 
 
-def removed(table: DataFrame) -> None:
-    """Deletes an intermediate table of fit, which later ones were written from, in the shared folder."""
-    spark = table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class Model:
     """total, kinds: training tokens, and different ones. tables: for each order (w, n, value). The log probability of a
     text is the sum of the values of all its n-grams: that of a word is log p(word), that of a longer n-gram is
