@@ -185,13 +185,13 @@ def test_lm(docs):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
 
 
-@pytest.mark.parametrize(("arc", "state"), [(1e-6, 1e-4), (0.02, 0.05)])
-def test_lm_backoff(docs, arc, state, monkeypatch):
-    """No share of the corpus says which n-grams and histories count."""
+@pytest.mark.parametrize(("most", "state"), [(10**6, 1e-4), (5, 0.05), (0, 1.0)])
+def test_lm_backoff(docs, most, state, monkeypatch):
+    """Neither bound says which n-grams and histories count."""
     from tracemill.llm.shared import held_out
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(lm, "ARC", arc)
+    monkeypatch.setattr(lm, "MOST", most)
     monkeypatch.setattr(lm, "STATE", state)
     texts = {i: [*words(t), None] for i, t in enumerate(TEXTS)}
     c, total = Counter(), 0

@@ -12,9 +12,9 @@ from .shared import held_out, removed, text_bytes, text_pieces, written
 
 #: The token that ends each text.
 END = np.uint64(1)
-#: Shares of all training tokens, which say where n-grams are looked up and never what is counted: from the first on in the
-#: tasks, the others by joins; from the second on they are broadcast to the n-grams that contain them.
-ARC, STATE = 1e-6, 1e-4
+#: Where n-grams are looked up, never what is counted: in the tasks the most frequent ones of each order, so many at most,
+#: the others by joins; those that are so large a share of all tokens are broadcast to the n-grams that contain them.
+MOST, STATE = 500_000, 1e-4
 #: Least count of an n-gram of two or more words, at every size of the corpus.
 LEAST = 2
 #: Bits of the filter of each order's n-grams, and of the part of it that a code's first byte chooses.
@@ -194,6 +194,18 @@ def looked_up(rows: DataFrame, column: str, table: DataFrame, often: DataFrame)
     return hot.unionByName(rows.join(often, column, "left_anti").join(table, column))
 
 
+def frequent(table: DataFrame):
+    """True for those n-grams that are so frequent that there are no more than MOST of them."""
+    bin_ = F.floor(F.log2("n") * 16)
+    least, sum_ = 1 << 10, 0
+    for row in sorted(table.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda row: -row["bin"]):  # 16 rows for each power of two
+        sum_ += row["n"]
+        if sum_ > MOST:
+            break
+        least = row["bin"]
+    return bin_ >= least
+
+
 class Model:
     """total, kinds: training tokens, and different ones. tables: for each order (w, n, value). The log probability of a
     text is the sum of the values of all its n-grams: that of a word is log p(word), that of a longer n-gram is
@@ -205,7 +217,7 @@ class Model:
         self.total, self.kinds, self.tables, self.filters = total, kinds, tables, filters
         self.frequent = []
         for table in tables:
-            rows = table.filter(F.col("n") >= max(ARC * total, 1)).toPandas()  # at most 1 / ARC rows
+            rows = table.filter(frequent(table)).toPandas()  # at most MOST rows
             codes = rows["w"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(codes)
             self.frequent.append((codes[order], rows["n"].to_numpy(np.int64)[order], rows["value"].to_numpy(np.float64)[order]))

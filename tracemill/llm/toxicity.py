@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import held_out, removed, text_pieces, written
 
-#: Labelled rows that the classifier learns from at most (chosen by hash), and entries of the lexicon at most.
-SAMPLE, ENTRIES = 50_000, 4_000
+#: Labelled rows that the classifier learns from at most (chosen by hash).
+SAMPLE = 50_000
 #: Least number of toxic texts with an entry, least share of toxic texts among those with it, least z-score.
 SUPPORT, PRECISION, Z = 5, 0.6, 5.0
 #: Beginnings of words that may be entries; different words that must share one.
@@ -29,6 +29,8 @@ PRIOR = {(0, False): (9.0, 0.5), (1, False): (3.0, 1.0), (0, True): (1.0, 3.0),
 #: Words that report what someone else said, in the languages of the corpus.
 REPORTS = frozenset(["said", "says", "wrote", "writes", "called", "quote", "quoted", "word", "term", "phrase", "sagte", "schrieb", "nannte", "wort", "dit", "écrit", "appelé", "mot", "dijo", "escribió", "llamó", "palabra"])
 QUOTES = "\"'“”„«»‘’"
+#: States of the automaton that a task holds before it begins anew, bytes of texts that are read at once, and of words counted.
+STATES, PIECE, WORDS = 20_000, 1 << 20, 8 << 20
 WORD = re.compile(r"\w(?:[\w*@$!|+-]*\w)?")
 THRESHOLD = 0.3
 
@@ -52,6 +54,9 @@ class Lexicon:
                     self.word.append(99)
                     self.stem.append(99)
             (self.stem if stem else self.word)[node] = 1 if len(text) >= fuzzy else 0
+        self._empty()
+
+    def _empty(self) -> None:
         self.known: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.arcs: list[dict[str, int]] = []
@@ -94,7 +99,7 @@ class Lexicon:
             child = self.next[node].get(c)
             if child is not None:
                 out.add((child, e, ""))
-            if e == 0 and node:  # the first character must be right
+            if e == 0:
                 out.add((node, 1, ""))
                 for d, n in self.next[node].items():
                     if d != c:
@@ -108,6 +113,8 @@ class Lexicon:
 
     def match(self, word: str) -> int:
         """Fewest edits (0 or 1) from an entry; 99 if no entry is near."""
+        if len(self.sets) > STATES:
+            self._empty()
         state, arcs = self.start, self.arcs
         for c in word:
             step = arcs[state].get(c)
@@ -166,16 +173,21 @@ def _words(rows: DataFrame) -> DataFrame:
 
     def count(batches):
         seen: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                own = {m for m in WORD.findall((text or "").lower()) if len(m) < 40}
-                for k in STEMS:
-                    own |= {m[:k] + "*" for m in own if len(m) > k and m[-1] != "*"}
-                for w in own:
-                    seen.setdefault(w, [0, 0])[0 if y else 1] += 1
-                if len(seen) > 150_000:
-                    yield pack(seen)
-                    seen = {}
+        size = 0
+        for whole in batches:
+            for batch, texts in text_pieces(whole, PIECE):
+                for text, y in zip(texts.to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    own = set(WORD.findall(text.lower()))
+                    for k in STEMS:
+                        own |= {m[:k] + "*" for m in own if len(m) > k and m[-1] != "*"}
+                    for w in own:
+                        if w not in seen:
+                            seen[w] = [0, 0]
+                            size += 64 + len(w)
+                        seen[w][0 if y else 1] += 1
+                    if size > WORDS:
+                        yield pack(seen)
+                        seen, size = {}, 0
         yield pack(seen)
 
     def pack(seen):
@@ -197,7 +209,7 @@ def lexicon_of(counts: DataFrame, toxic: int, clean: int) -> list[tuple[str, boo
     under = under.select(F.explode(F.transform(F.sequence(F.lit(min(STEMS)), F.least(F.lit(max(STEMS)), F.length("word") - 1)), lambda k: F.substring("word", 1, k))).alias("word"), F.col("toxic").alias("t"))
     varied = under.groupBy("word").agg(F.count("*").alias("k"), F.max("t").alias("most")).filter(F.col("k") >= DIFFERENT)
     found = found.unionByName(stems.join(varied, "word").filter("most <= 0.5 * toxic").select("word", "stem", "toxic", "clean"))
-    rows = found.withColumn("z", z).orderBy(F.desc("z"), "word", "stem").limit(ENTRIES).collect()
+    rows = found.withColumn("z", z).orderBy(F.desc("z"), "word", "stem").collect()  # SUPPORT texts of the sample have each
     held = {(r["word"]): r for r in rows if r["stem"]}
     # a stem that one more character leaves as it is gives way to the longer one
     closed = {s for s, r in held.items() if not any(t.startswith(s) and len(t) == len(s) + 1 and held[t]["toxic"] + held[t]["clean"] >= 0.98 * (r["toxic"] + r["clean"]) for t in held)}
@@ -216,8 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample is bounded, so that it may be broadcast
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id")
-    once = mine.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(once.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id").select("text", "toxic")
+    texts = written(mine.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
     by = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = by.get(1, 0), sum(n for y, n in by.items() if y != 1)
     counts = _words(texts).persist()
@@ -230,18 +241,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
             yield batch.filter(pa.array(keep))
 
     # words near an entry that clean texts have as often: words of their own, not typing errors
-    own = counts.filter("clean > toxic and word not like '%*'").mapInArrow(neighbours, "word string, toxic long, clean long").orderBy(F.desc("clean"), "word").limit(ENTRIES)
-    innocent = [r["word"] for r in own.collect()] if entries else []
+    own = counts.filter("clean > toxic and word not like '%*'").mapInArrow(neighbours, "word string, toxic long, clean long")
+    innocent = sorted(r["word"] for r in own.select("word").collect()) if entries else []  # words of the sample, one edit from an entry
     counts.unpersist()
     first = Scorer(entries, innocent, {c: 0.5 for c in PRIOR}, 0.0)
 
     def seen(batches):
-        for batch in batches:
+        for whole in batches:
             got: Counter = Counter()
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                kinds = first.classes(text)
-                strongest = next((c for c in PRIOR if c in kinds), None)
-                got["none" if strongest is None else f"{strongest[0]}{int(strongest[1])}", int(y)] += 1
+            for batch, text_ in text_pieces(whole, PIECE):
+                for text, y in zip(text_.to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    kinds = first.classes(text)
+                    strongest = next((c for c in PRIOR if c in kinds), None)
+                    got["none" if strongest is None else f"{strongest[0]}{int(strongest[1])}", int(y)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([y for _, y in got], pa.int64()), pa.array(list(got.values()), pa.int64())], ["kind", "toxic", "n"])
 
     table = {(r["kind"], r["toxic"]): r["n"] for r in texts.mapInArrow(seen, "kind string, toxic long, n long").groupBy("kind", "toxic").agg(F.sum("n").alias("n")).collect()}
@@ -250,7 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
         key = f"{c[0]}{int(c[1])}"
         rates[c] = (table.get((key, 1), 0) + a) / (table.get((key, 1), 0) + table.get((key, 0), 0) + a + b)
     none = table.get(("none", 1), 0), table.get(("none", 0), 0)
-    return Scorer(entries, innocent, rates, min(0.29, (none[0] + 0.5) / (sum(none) + 10)))
+    removed(texts)
+    return Scorer(entries, innocent, rates, (none[0] + 0.5) / (sum(none) + 10))
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
@@ -258,8 +271,8 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
     Repeated rows repeat, empty tables give none, other columns are not read."""
 
     def scored(batches):
-        for batch in batches:
-            got = [scorer.score(t) if t else scorer.base for t in batch.column("text").to_pylist()]
+        for batch, text in (piece for whole in batches for piece in text_pieces(whole, PIECE)):
+            got = [scorer.score(t) if t else scorer.base for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 4).alias("held_out"), "text")
@@ -267,12 +280,13 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score stays under the threshold, in their own columns."""
+    """The documents whose score stays under the threshold, in their own columns. Null and empty texts stay, repeated rows
+    fare alike, empty tables give no rows."""
     scorer, schema = fit(docs, labels), docs.schema
 
     def kept(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([not t or scorer.score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+        for batch, text in (piece for whole in batches for piece in text_pieces(whole, PIECE)):
+            yield batch.filter(pa.array([not t or scorer.score(t) < threshold for t in text.to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(kept, schema)
 
