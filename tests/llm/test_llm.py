@@ -312,4 +312,4 @@ def test_stages_keep_columns(spark):
         for r in out.collect():
             assert all(r[c] == f"{c}{r['doc_id']}" for c in names[4:])
     got = {r["doc_id"]: r["text"] for r in repeats.without_repeats(df.filter("doc_id <> 3")).collect()}
-    assert all(shared[10:] not in t and f"{k}w79" in t for k, t in got.items() if t) and got[4] is None and got[5] == ""
+    assert all(shared[10:] not in t and f"{k}w78" in t for k, t in got.items() if t) and got[4] is None and got[5] == ""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE_SPACE, written
+from .shared import WHITE_SPACE, keyed, own_columns, written
 
 #: Distinct keys that a bucket holds before it splits.
 BUCKET_KEYS = 50_000
@@ -20,26 +20,73 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def bucket_bits(depth: int):
-    """The directory entry of a key: its first `depth` bits, as a number."""
-    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+def first_bits(bits: int, column: str = "key"):
+    """The first bits of a key, as a number: its entry in a directory of that depth."""
+    return F.shiftrightunsigned(column, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> list[tuple[int, DataFrame]]:
-    """Leaves (bits, n) by depth. The directory begins at the depth at which buckets would be full if keys spread evenly.
-    Buckets with too many keys split in two, one more bit of the key each time, as when a directory doubles; the keys
-    are distinct, so that a group of copies never overfills a bucket. The counts of each depth are a small table in the
-    shared folder."""
-    depth = max(0, math.ceil(math.log2(max(1, keys.count()) / bucket_keys)))
-    leaves, inside = [], keys
+def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[int, DataFrame]:
+    """The global depth, and (slot, bucket): which bucket an entry of the directory points to.
+
+    It begins with one bucket. While a bucket holds more than `bucket_keys` keys, the directory doubles and the bucket
+    splits in two by one more bit; entries of buckets that did not split go on pointing to the same one. Keys are
+    distinct hashes, so that copies never overfill a bucket. How many keys each entry of the deepest directory would
+    have is counted once; the splits work on these counts, a row for each few hundred keys.
+    """
+    deepest = min(62, 8 + max(0, math.ceil(math.log2(max(1, keys.count()) / bucket_keys))))
+    open_ = written(keys.groupBy(first_bits(deepest).alias("slot")).agg(F.count("*").alias("n")), "dedup-slots")
+    parts, depth = [], 0
     while True:
-        counts = written(inside.groupBy(bucket_bits(depth).alias("bits")).agg(F.count("*").alias("n")), "dedup-directory")
-        leaves.append((depth, counts.filter(F.col("n") <= bucket_keys)))
-        overfull = counts.filter(F.col("n") > bucket_keys).select("bits")
-        if depth == 63 or overfull.isEmpty():
-            return leaves
-        inside = keys.withColumn("bits", bucket_bits(depth)).join(overfull, "bits", "left_semi").drop("bits")
+        part = F.shiftrightunsigned("slot", deepest - depth)
+        full = open_.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).filter(F.col("n") > bucket_keys).select("part")
+        last = depth == deepest
+        here = open_.withColumn("part", part)
+        # a bucket's name: its depth and its bits
+        parts.append((here if last else here.join(full, "part", "left_anti")).select("slot", F.concat_ws(":", F.lit(depth), "part").alias("bucket")))
+        if last or full.isEmpty():
+            break
+        open_ = written(here.join(full, "part", "left_semi").select("slot", "n"), "dedup-slots")
         depth += 1
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return deepest, written(out, "dedup-directory")
+
+
+def _few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def _index(source: DataFrame, bucket_keys: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, digest, n_bytes, doc_id, n_chars, row) of all documents, and the groups with more than one entry:
+    key, digest, n_bytes, group_size, keep_id, keep_row. source: row, doc_id, text (normalised), n_chars.
+
+    Entries are gathered into chains where they are read (key, digest and length with how many there are and which comes
+    first), so that a large group arrives as a few rows. The directory names each chain's bucket; the task that owns the
+    bucket links the chains of a key to one another, merges those that are equal, and writes the bucket's file.
+    The texts of chains with several entries come to the same owner, each different one once, and are compared byte by
+    byte; a chain that holds two different texts ends the job.
+    """
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    name = [F.xxhash64("text").alias("key"), digest, F.octet_length("text").alias("n_bytes")]
+    entries = written(source.select("row", "doc_id", "n_chars", *name), "dedup-entries")
+    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("row"))).alias("best")
+    gathered = entries.groupBy("key", "digest", "n_bytes").agg(F.count("*").alias("n"), best)
+    gathered = written(gathered, "dedup-gathered")
+    depth, slots = directory(gathered.select("key").distinct(), bucket_keys)
+    place = lambda rows: rows.withColumn("slot", first_bits(depth)).join(_few(slots), "slot").drop("slot").repartition("bucket")
+    links = F.struct("digest", "n_bytes", "n", "best")
+    index = written(place(gathered).groupBy("bucket", "key").agg(F.collect_list(links).alias("chain")).sortWithinPartitions("bucket", "key"), "dedup-index")  # one link, but for clashes of a key
+    chains = index.select("key", F.explode("chain").alias("link")).select("key", "link.*").filter("n > 1")
+    again = source.select("text", F.xxhash64("text").alias("key")).join(_few(chains.select("key").distinct()), "key", "left_semi")
+    # each different text of a key once, at the owner of its bucket
+    texts = place(again.groupBy("key", "text").agg(F.count("*").alias("n"))).select("bucket", "key", digest, F.octet_length("text").alias("n_bytes"), "text")
+    compared = texts.groupBy("bucket", "key", "digest", "n_bytes").agg(F.min("text").alias("a"), F.max("text").alias("b"))
+    equal = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.raise_error(F.lit("different texts share key, digest and length")).cast("long"))
+    heads = chains.join(compared.drop("bucket"), ["key", "digest", "n_bytes"], "left")
+    # texts that can't be found again compare as null, which is no equality either
+    heads = heads.select("key", "digest", "n_bytes", equal.alias("group_size"), (-F.col("best.id")).alias("keep_id"), (-F.col("best.row")).alias("keep_row"))
+    return entries, written(heads, "dedup-heads")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -47,52 +94,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when their bytes are equal without white space. The row with the most code points stays, on ties
     the smallest id. Null and empty texts are equal to each other. Repeated rows count as copies: of rows with one id
-    each is returned, and `kept` is true for all that carry the id that stays. Empty tables give no rows.
-
-    Entries (key, digest, id, length) are an index in the shared folder. Buckets of distinct keys are split until none
-    is overfull; in the tasks that own a bucket, entries with one key chain by digest, counted before the shuffle so
-    that large groups arrive as sums. Of chains with more than one entry the texts are read again and compared byte by
-    byte, where they are read and then where these meet; two different texts with one key, digest and length end the job.
+    each is returned, and `kept` is true for all that carry the id that stays. Empty tables give no rows. Groups come
+    from an extendible-hash index, see `_index`.
     """
     text = normalised(F.col(text_col))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
-    chain = ["key", "digest", "n_bytes"]
-    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
-    entries = written(source.select("doc_id", "n_chars", F.xxhash64("text").alias("key"), digest, F.octet_length("text").alias("n_bytes")), "dedup-entries")
-    sums = [F.count("*").alias("group_size"), F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("o"))).alias("best")]
-    chains = written(entries.groupBy(chain).agg(*sums).select(*chain, "group_size", (-F.col("best.o")).alias("keep_id")), "dedup-chains")
-    heads = None
-    for depth, leaves in directory(chains.select("key").distinct(), bucket_keys):
-        part = chains.filter("group_size > 1").withColumn("bits", bucket_bits(depth)).join(leaves.select("bits"), "bits", "left_semi").drop("bits")
-        heads = part if heads is None else heads.unionByName(part)
-    heads = written(heads, "dedup-heads")
-    keys = heads.select("key").distinct()
-    keys = F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-    again = source.select("text", F.xxhash64("text").alias("key")).join(keys, "key", "left_semi")
-    again = again.select("key", digest, F.octet_length("text").alias("n_bytes"), "text")
-    texts = again.groupBy(chain).agg(F.collect_set("text").alias("texts"))  # one, or the job ends
-    compared = texts.filter(F.size("texts") > 1).select(F.raise_error(F.lit("different texts share key, digest and length")).alias("x"))
-    out = entries.join(heads, chain, "left").select(
+    source = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"))
+    entries, heads = _index(source, bucket_keys)
+    out = entries.join(_few(heads), ["key", "digest", "n_bytes"], "left").select(
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256")
     )
-    out = out.unionByName(compared.select(*[(F.col("x").cast(kind) if name == "text_sha256" else F.lit(None).cast(kind)).alias(name) for name, kind in out.dtypes]))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row of each group, in its own columns: the one with the most code points, on ties the smallest id, on ties
-    (rows that repeat an id, rows without one) the first. The input has to give its rows in the same partitions and
-    order each time it is read, as tables in files do."""
-    groups = written(exact_groups(docs).select("text_sha256", "group_size"), "dedup-groups")  # unfiltered: texts are compared
-    groups = groups.filter("group_size > 1").select("text_sha256").distinct()
-    groups = F.broadcast(groups) if groups.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else groups
-    source = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = source.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
-    rows = written(rows.join(groups, "text_sha256", "left_semi"), "dedup-rows")
-    best = rows.groupBy("text_sha256").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("o"), (-F.col("__row")).alias("r"))).alias("best"))
-    gone = written(rows.join(best.select((-F.col("best.r")).alias("__row")), "__row", "left_anti").select("__row"), "dedup-gone")
-    gone = F.broadcast(gone) if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else gone
-    return source.join(gone, "__row", "left_anti").drop("__row")
+    (rows that repeat an id, rows without one) the first."""
+    whole = keyed(docs, whole=True)
+    source = whole.select(F.col("key").alias("row"), "doc_id", normalised(F.col("text")).alias("text"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    entries, heads = _index(source, bucket_keys)
+    gone = entries.join(_few(heads), ["key", "digest", "n_bytes"]).filter(F.col("row") != F.col("keep_row")).select(F.col("row").alias("key"))
+    return whole.join(_few(written(gone, "dedup-gone")), "key", "left_anti").select(*own_columns(docs))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
