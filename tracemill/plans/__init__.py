@@ -1,9 +1,6 @@
 """All queries by name, with their SQL."""
 
-from . import comparisons, monitors, selections, texts, traces
+from . import choices, comparisons, monitors, selections, texts, traces
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-for _module in (comparisons, monitors, traces, selections, texts):
-    QUERIES |= _module.QUERIES
-    ORACLE_SQL |= _module.ORACLE_SQL
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -9,17 +9,7 @@ from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import simulate as G
 from ..sources.tables import ATTEMPTS, RESULTS, attempts, table, task_results
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
+from .registry import query
 
 
 BASE = f"WITH {ATTEMPTS}, {RESULTS}"

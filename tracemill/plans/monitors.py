@@ -10,17 +10,7 @@ from ..operators import monitors as M
 from ..operators.metrics import bootstrap, policy_metrics
 from ..operators.quality import gate
 from ..sources.tables import ATTEMPTS, RESULTS, attempts, table, task_results
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
+from .registry import query
 
 
 def reviews(spark, sf_dir):

@@ -7,17 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..operators import traces as T
 from ..sources.tables import table
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
+from .registry import query
 
 
 LINES = "l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 50 AS task, l_suppkey AS agent, l_returnflag AS flag, l_quantity::BIGINT AS size FROM lineitem)"

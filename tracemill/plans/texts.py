@@ -6,17 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..sources.tables import table, trace_events
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
+from .registry import query
 
 
 @query("""SELECT event_id, 'ev_' || substr(sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}'), 1, 24) AS content_id FROM events""")

@@ -6,17 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import traces as T
 from ..sources.tables import ATTEMPTS, attempts, table, trace_events
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return add
+from .registry import query
 
 
 @query("SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
