@@ -238,7 +238,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> Da
     these counts, is the order of the corpus to the depth of a string, and what follows the phrase is not needed.
     """
     texts = texts.select("key", "text")
-    often = triggers(texts, length, spread).filter("n > 1").select("gram")
+    often = written(triggers(texts, length, spread).filter("n > 1").select("gram"), "repeats-often")  # a table, so that a gram that many places have can be split in the join
     parse = written(parsed(texts, length, spread).join(often, "gram", "left_semi"), "repeats-parse")
     entries = written(parse.groupBy("gram", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "begin", "size")).alias("at")), "repeats-dictionary")
     forks = written(entries.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1"), "repeats-forks")
