@@ -175,9 +175,11 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int, clash: list[int]) -
     alike = least("n") * 100 >= F.greatest("x.n", "y.n") * PERCENT
     ends = [F.col("x.node").alias("x"), F.col("y.node").alias("y")]
     tokens = prefixes(docs, size, clash)
-    often = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    # a table, so that a token that many sets have can be split in the join
+    often = written(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "jaccard-often")
     shared = written(tokens.join(often, "token", "left_semi").distinct(), "jaccard-shared")
-    shared = shared.join(shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
+    counts = written(shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-counts")
+    shared = shared.join(counts, "token")
     busy = shared.filter(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("f"), F.max("n").alias("n"))
     busy = busy.select("node", "f", (F.col("f") >= F.floor(F.col("n") * (SLACK * PERCENT / 100)) + 2).alias("heavy"))
     busy = written(busy.join(nodes, "node"), "jaccard-heavy")
