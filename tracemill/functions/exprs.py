@@ -60,3 +60,15 @@ def uniform_sql(seed: int, *keys: str) -> str:
         h = f"((({h}) * 1103 + ({k})::BIGINT * 12289 + 12345) % 1000003)"
         h = f"(({h} * 7919 + 104729) % 1000003)"
     return f"({h} / 1000003.0::DOUBLE)"
+
+
+def boolean(text: Column, default: bool) -> Column:
+    """A boolean from a word for one; null is the default, any other text true unless it is empty."""
+    word = F.lower(F.trim(text))
+    return F.when(text.isNull(), default).when(word.isin("1", "true", "yes", "on"), True).when(word.isin("0", "false", "no", "off"), False).otherwise(text != "")
+
+
+def first_present(json: Column, keys: list[str]) -> Column:
+    """The value of the first of these keys that is there and not null."""
+    v = F.try_parse_json(json)
+    return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in keys])
