@@ -53,12 +53,6 @@ def test_latest_and_upsert(spark):
     assert {(r["k"], r["v"]) for r in T.upsert(T.latest(ledger, ["k"], ["n"]), new, ["k"]).select("k", "v").collect()} == {("a", "newer"), ("b", "only")}
 
 
-def test_target_check(spark):
-    approvals = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "e int, approved_at int")
-    changes = spark.createDataFrame([(1, 4), (2, 6), (3, 6), (3, 7)], "e int, changed_at int")
-    assert {r["e"]: r["decision"] for r in T.target_check(approvals, changes, "e").collect()} == {1: "ALLOW", 2: "BLOCK", 3: "ESCALATE"}
-
-
 def test_verdict(spark):
     rows = spark.createDataFrame([("a", True), ("b", False)], "check string, passed boolean")
     assert tuple(Q.verdict(rows).first()) == ("FAIL", 1)

@@ -58,26 +58,12 @@ def linked_results(calls: DataFrame, results: DataFrame, key: str, order: str) -
     return calls.join(first, key, "left")
 
 
-def same_entity_pairs(events: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
-    """Pairs of events on one entity, at most `most` places apart: each row meets its next ones, never a whole group."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    ahead = F.array(*[F.lead(F.col(order), k).over(w) for k in range(1, most + 1)])
-    rows = events.select(*keys, F.col(order).alias("first"), ahead.alias("ahead"))
-    return rows.select(*keys, "first", F.posexplode("ahead").alias("between", "second")).filter(F.col("second").isNotNull())
-
-
 def positional_diff(base: DataFrame, other: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows by position whose value differs, or that one side lacks."""
     both = base.select(*keys, F.col(value).alias("a")).join(other.select(*keys, F.col(value).alias("b")), keys, "full_outer")
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).withColumn("kind", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed"))
 
 
-def target_check(approvals: DataFrame, changes: DataFrame, entity: str) -> DataFrame:
-    """ALLOW if nothing changed after the approval, BLOCK if one change did, ESCALATE if several did."""
-    late = approvals.join(changes, entity, "left").groupBy(entity).agg(F.count_if(F.col("changed_at") > F.col("approved_at")).alias("n_changes"))
-    return late.withColumn("decision", F.when(F.col("n_changes") == 0, "ALLOW").when(F.col("n_changes") == 1, "BLOCK").otherwise("ESCALATE"))
-
-
 def candidate_pairs(safe: DataFrame, unsafe: DataFrame, keys: list[str], gap: Column, k: int) -> DataFrame:
     """The k closest unsafe partners of each safe row within its group."""
     pairs = safe.alias("s").join(unsafe.alias("u"), keys).select(*keys, "safe_id", "unsafe_id", gap.alias("gap"))

@@ -51,22 +51,6 @@ def f31_identifiers(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(X.identifiers(F.col("url")))).alias("ids"))
 
 
-@query("SELECT conv_id AS trajectory, count(*) AS n_events, min(turn) AS first_kept FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3 GROUP BY 1")
-def p13_tail_view(spark, sf_dir):
-    events = trace_events(spark, sf_dir).groupBy("trajectory").agg(F.array_sort(F.collect_list(F.struct("ordinal", "role"))).alias("events"))  # the turns of one conversation
-    tail = F.slice("events", F.greatest(F.size("events") - 2, F.lit(1)), F.lit(3))
-    return events.select("trajectory", F.size(tail).cast("long").alias("n_events"), tail[0]["ordinal"].alias("first_kept"))
-
-
-@query("""SELECT conv_id AS trajectory, v.view AS view, count(*) FILTER (view = 'full' OR role = 'user') AS n_events, count(*) FILTER (view = 'redacted' AND role <> 'user') AS n_redacted
-FROM conversations, (VALUES ('full'), ('silent_filter'), ('redacted')) v(view) GROUP BY ALL""")
-def p15_views(spark, sf_dir):
-    views = F.explode(F.array(F.lit("full"), F.lit("silent_filter"), F.lit("redacted")))
-    e = trace_events(spark, sf_dir).select("trajectory", "role", views.alias("view"))
-    shown = (F.col("view") == "full") | (F.col("role") == "user")
-    return e.groupBy("trajectory", "view").agg(F.count_if(shown).alias("n_events"), F.count_if((F.col("view") == "redacted") & (F.col("role") != "user")).alias("n_redacted"))
-
-
 @query("SELECT doc_id, CASE WHEN ('0x' || substr(sha256(doc_id::VARCHAR), 1, 2))::INT % 2 = 0 THEN 'A' ELSE 'B' END AS variant, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split FROM documents")
 def p25_variant_and_split(spark, sf_dir):
     split = F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 8, "dev").otherwise("test")

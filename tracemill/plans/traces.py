@@ -51,12 +51,6 @@ def j15_first_result(spark, sf_dir):
     return T.linked_results(e.filter("event_type = 'click'").select("user_id", "event_id"), e.filter("event_type = 'purchase'"), "user_id", "event_id")
 
 
-@query("""WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)
-SELECT a.user_id, a.event_type, a.event_id AS "first", (b.n - a.n - 1)::INT AS between, b.event_id AS second FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.n - a.n BETWEEN 1 AND 3""".replace(" AS between", ' AS "between"'))
-def j16_same_entity_pairs(spark, sf_dir):
-    return T.same_entity_pairs(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", 3)
-
-
 @query("""WITH a AS (SELECT conv_id AS trajectory, turn AS ordinal, text FROM conversations WHERE conv_id % 2 = 0), b AS (SELECT conv_id - 1 AS trajectory, turn AS ordinal, text FROM conversations WHERE conv_id % 2 = 1)
 SELECT trajectory, ordinal, length(a.text) AS a, length(b.text) AS b, CASE WHEN a.text IS NULL THEN 'added' WHEN b.text IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM a FULL JOIN b USING (trajectory, ordinal) WHERE a.text IS DISTINCT FROM b.text""")
 def j18_positional_diff(spark, sf_dir):
@@ -66,14 +60,6 @@ def j18_positional_diff(spark, sf_dir):
     return d.withColumns({c: F.length(c).cast("long") for c in ("a", "b")})
 
 
-@query("""SELECT o_orderkey AS entity, count(*) FILTER (l_shipdate > o_orderdate) AS n_changes, CASE count(*) FILTER (l_shipdate > o_orderdate) WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'BLOCK' ELSE 'ESCALATE' END AS decision
-FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
-def j21_target_check(spark, sf_dir):
-    approvals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"), F.col("o_orderdate").alias("approved_at"))
-    changes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_shipdate").alias("changed_at"))
-    return T.target_check(approvals, changes, "entity")
-
-
 @query("""WITH n AS (SELECT user_id, event_type, max(value) AS value FROM events WHERE value >= 10 GROUP BY ALL), o AS (SELECT user_id, event_type, min(value) AS value FROM events GROUP BY ALL)
 SELECT user_id, event_type, round(coalesce(n.value, o.value), 6) AS value FROM n FULL JOIN o USING (user_id, event_type)""")
 def u08_upsert(spark, sf_dir):

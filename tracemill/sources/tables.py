@@ -89,3 +89,36 @@ results AS (
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trajectory, ordinal, role, content of conversations."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trajectory"), F.col("turn").alias("ordinal"), "role", F.col("text").alias("content"))
+
+
+def tool_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of tool-using traces, one trace for each user: trajectory, event_id, ordinal, turn, kind (call, write, result,
+    message), role, tool, call_id, content, error, anchors, arguments, k."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    i, k, text = F.col("event_id"), F.col("k"), lambda c: c.cast("string")
+    kind = F.when(F.col("event_type") == "click", "call").when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "view", "result").otherwise("message")
+    ordinal = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = e.select(F.col("user_id").alias("trajectory"), "event_id", ordinal.alias("ordinal"), kind.alias("kind"), "k")
+    tool = F.get(F.array(F.lit("lookup"), F.lit("calculate"), F.lit("update")), (i % 3).cast("int"))
+    amount, ref = text(k % 5), F.concat(F.lit("R-10"), text(k % 4))
+    content = F.when(F.col("kind") == "result", F.when(i % 2 == 0, F.format_string('{"amount": %s, "ref": "%s"}', amount, ref)).otherwise(F.format_string('{"ref":"%s","amount":%s}', ref, amount))).when((F.col("kind") == "message") & (i % 11 != 0), F.concat(F.lit("text "), text(k)))
+    called = F.col("kind").isin("call", "write")
+    call_id = F.when(called, F.concat(F.lit("c"), text(i % 23))).when((F.col("kind") == "result") & (i % 5 != 0), F.concat(F.lit("c"), text(i % 29)))
+    role = F.when(F.col("kind") == "result", "tool").when((F.col("kind") == "message") & (i % 2 == 0), "user").otherwise("assistant")
+    arguments = F.when(called, F.when(tool == "calculate", F.format_string('{"expression":"%s + 1.5 * x2"}', amount)).otherwise(F.format_string('{"ref":"%s","n":%s}', ref, amount)))
+    anchors = F.when(F.col("kind") == "write", F.array_distinct(F.array(F.concat(F.lit("#W00"), text(k % 6)), F.concat(F.lit("user-"), text(k % 5)))))
+    return rows.select(
+        "trajectory", "event_id", "ordinal", F.floor((F.col("ordinal") - 1) / 4).cast("int").alias("turn"), "kind", role.alias("role"), F.when(called, tool).alias("tool"), call_id.alias("call_id"), content.alias("content"),
+        ((F.col("kind") == "result") & (i % 13 == 0)).alias("error"), anchors.alias("anchors"), arguments.alias("arguments"), "k",
+    )
+
+
+TOOL_EVENTS = """
+raw_events AS (SELECT user_id AS trajectory, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INT AS ordinal,
+  CASE event_type WHEN 'click' THEN 'call' WHEN 'purchase' THEN 'write' WHEN 'view' THEN 'result' ELSE 'message' END AS kind, (props->>'$.k')::BIGINT AS k FROM events),
+tool_events AS (SELECT trajectory, event_id, ordinal, ((ordinal - 1) // 4)::INT AS turn, kind, CASE WHEN kind = 'result' THEN 'tool' WHEN kind = 'message' AND event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+  CASE WHEN kind IN ('call', 'write') THEN ['lookup', 'calculate', 'update'][event_id % 3 + 1] END AS tool,
+  CASE WHEN kind IN ('call', 'write') THEN 'c' || event_id % 23 WHEN kind = 'result' AND event_id % 5 <> 0 THEN 'c' || event_id % 29 END AS call_id,
+  CASE WHEN kind = 'result' AND event_id % 2 = 0 THEN '{"amount": ' || k % 5 || ', "ref": "R-10' || k % 4 || '"}' WHEN kind = 'result' THEN '{"ref":"R-10' || k % 4 || '","amount":' || k % 5 || '}' WHEN kind = 'message' AND event_id % 11 <> 0 THEN 'text ' || k END AS content,
+  kind = 'result' AND event_id % 13 = 0 AS error, CASE WHEN kind = 'write' THEN ['#W00' || k % 6, 'user-' || k % 5] END AS anchors,
+  CASE WHEN kind NOT IN ('call', 'write') THEN NULL WHEN event_id % 3 = 1 THEN '{"expression":"' || k % 5 || ' + 1.5 * x2"}' ELSE '{"ref":"R-10' || k % 4 || '","n":' || k % 5 || '}' END AS arguments, k FROM raw_events)"""
