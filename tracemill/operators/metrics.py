@@ -87,13 +87,6 @@ def bootstrap(clusters: DataFrame, draws: DataFrame, low: float = 0.025, high: f
     return ranked.agg(F.count("*").alias("samples"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max(F.when(F.col("r") == at(low), F.col("value"))), 6).alias("low"), F.round(F.max(F.when(F.col("r") == at(high), F.col("value"))), 6).alias("high"))
 
 
-def stability(repeats: DataFrame, cell: list[str], label: str, runs: int = 3) -> DataFrame:
-    """For cells with `runs` answers at least: whether all agree, the share of agreeing pairs, the most frequent answer."""
-    counts = repeats.groupBy(*cell, label).agg(F.count("*").alias("c"))
-    out = counts.groupBy(*cell).agg(F.sum("c").alias("n"), F.max("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"), F.max_by(label, F.struct("c", label)).alias("majority"))
-    return out.filter(F.col("n") >= runs).select(*cell, "n", (F.col("m") == F.col("n")).alias("unanimous"), ratio(F.col("pairs"), F.col("n") * (F.col("n") - 1)).alias("pairwise_agreement"), "majority")
-
-
 def taxonomy(df: DataFrame, column: str) -> DataFrame:
     """Counts of each value, the most frequent first, ties by name."""
     return df.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "name")))  # a row for each name

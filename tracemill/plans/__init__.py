@@ -1,6 +1,6 @@
 """All queries by name, with their SQL."""
 
-from . import choices, comparisons, documents, monitors, selections, texts, traces, trails
+from . import choices, comparisons, documents, ledgers, monitors, selections, texts, traces, trails
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

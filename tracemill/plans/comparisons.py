@@ -135,13 +135,6 @@ def a16_cluster_bootstrap(spark, sf_dir):
     return M.bootstrap(clusters, draws)
 
 
-@query(f"""WITH {ATTEMPTS}, c AS (SELECT policy, task_id, status, count(*) AS c FROM attempts GROUP BY ALL)
-SELECT policy, task_id, sum(c)::BIGINT AS n, max(c) = sum(c) AS unanimous, round(sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)), 6) AS pairwise_agreement, arg_max(status, (c, status)) AS majority
-FROM c GROUP BY policy, task_id HAVING sum(c) >= 3""")
-def a20_stability(spark, sf_dir):
-    return M.stability(attempts(spark, sf_dir), ["policy", "task_id"], "status")
-
-
 @query("""WITH r AS (SELECT doc_id, quality AS x, 1 - toxic AS y FROM labels), o AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (x = y) / count(*)::DOUBLE AS p FROM r),
 e AS (SELECT sum(a.c * b.c) / (SELECT n * n FROM o) AS q FROM (SELECT x AS l, count(*) AS c FROM r GROUP BY 1) a JOIN (SELECT y AS l, count(*) AS c FROM r GROUP BY 1) b USING (l))
 SELECT n::BIGINT AS n, round(p, 6) AS agreement, CASE WHEN n = 0 THEN 0 WHEN q = 1 THEN 1 ELSE round((p - q) / (1 - q), 6) END AS kappa FROM o, e""")

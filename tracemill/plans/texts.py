@@ -67,9 +67,3 @@ def k09_secret_scan(spark, sf_dir):
 def w13_line_units(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
     return d.filter(F.trim("unit") != "").select("doc_id", "line", F.length("unit").cast("long").alias("n_chars"))
-
-
-@query("""SELECT lang, sum(ceil(n_chars / 4))::BIGINT AS tokens, round(sum(ceil(n_chars / 4)) * 0.0000004, 6) AS cost_usd FROM documents GROUP BY lang""")
-def a42_token_cost(spark, sf_dir):
-    tokens = F.sum(F.ceil(F.col("n_chars") / 4))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(tokens.alias("tokens"), F.round(tokens * F.lit(0.0000004), 6).alias("cost_usd"))
