@@ -72,3 +72,14 @@ def first_present(json: Column, keys: list[str]) -> Column:
     """The value of the first of these keys that is there and not null."""
     v = F.try_parse_json(json)
     return F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in keys])
+
+
+def task_split(domain: Column, task_id: Column, training: list[str]) -> Column:
+    """Tasks of training domains by their number: up to 24, up to 30, beyond; all others are for the test."""
+    number = F.substring_index(task_id, "-", -1).cast("int")
+    return F.when(~domain.isin(*training), "test").when(number <= 24, "train").when(number <= 30, "dev").otherwise("test")
+
+
+def quadrant(domain: Column, hazard: Column, domains: list[str], hazards: list[str]) -> Column:
+    seen = lambda c, known: F.when(c.isin(*known), "seen").otherwise("unseen")
+    return F.concat(seen(domain, domains), F.lit("-domain/"), seen(hazard, hazards), F.lit("-hazard"))

@@ -90,10 +90,3 @@ def bootstrap(clusters: DataFrame, draws: DataFrame, low: float = 0.025, high: f
 def taxonomy(df: DataFrame, column: str) -> DataFrame:
     """Counts of each value, the most frequent first, ties by name."""
     return df.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "name")))  # a row for each name
-
-
-def threshold_rates(df: DataFrame, keys: list[str], score: str, positive: str, at: float) -> DataFrame:
-    """Share of positives and of negatives whose score reaches the threshold."""
-    hit = (F.col(score) >= at).cast("long")
-    pos = F.col(positive).cast("boolean")
-    return df.groupBy(*keys).agg(F.count_if(pos).alias("positives"), ratio(F.sum(F.when(pos, hit).otherwise(0)), F.count_if(pos)).alias("catch_rate"), ratio(F.sum(F.when(~pos, hit).otherwise(0)), F.count_if(~pos)).alias("false_positive_rate"))

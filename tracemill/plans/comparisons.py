@@ -160,14 +160,6 @@ def a28_best_policy(spark, sf_dir):
     return m.agg(F.min_by("policy", F.struct((-F.col("s")).alias("s"), "policy")).alias("best_success"), F.min_by("policy", F.struct("l", "policy")).alias("lowest_latency"))
 
 
-@query("""SELECT lang, count(*) FILTER (toxic = 1) AS positives, CASE WHEN count(*) FILTER (toxic = 1) = 0 THEN 0 ELSE round(count(*) FILTER (toxic = 1 AND n_chars >= 2000) / count(*) FILTER (toxic = 1), 6) END AS catch_rate,
-  CASE WHEN count(*) FILTER (toxic = 0) = 0 THEN 0 ELSE round(count(*) FILTER (toxic = 0 AND n_chars >= 2000) / count(*) FILTER (toxic = 0), 6) END AS false_positive_rate
-FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
-def a33_threshold_rates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return M.threshold_rates(docs.join(table(spark, sf_dir, "labels"), "doc_id"), ["lang"], "n_chars", "toxic", 2000)
-
-
 @query(f"""{BASE} SELECT policy, CASE WHEN avg(success) >= 0.5 THEN 'PASS' WHEN avg(success) >= 0.46 THEN 'HOLD' ELSE 'FAIL' END AS verdict FROM results GROUP BY policy""")
 def f37_gate_verdict(spark, sf_dir):
     return task_results(attempts(spark, sf_dir)).groupBy("policy").agg(Q.gate(F.avg("success"), 0.46, 0.5).alias("verdict"))

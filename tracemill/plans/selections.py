@@ -79,11 +79,3 @@ def j23_semi_and_anti(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return c.join(o.filter("o_orderstatus = 'F'"), "c_custkey", "left_semi").join(o.filter("o_orderpriority = '1-URGENT'"), "c_custkey", "left_anti")
-
-
-@query("""SELECT n_name AS domain, c_mktsegment AS agent, count(*) AS n, count(DISTINCT c_custkey) AS n_tasks, round(sum(o_totalprice), 2) AS total
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
-def a41_capacity_audit(spark, sf_dir):
-    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # nations: a fixed small table
-    return j.groupBy(F.col("n_name").alias("domain"), F.col("c_mktsegment").alias("agent")).agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("n_tasks"), F.round(F.sum("o_totalprice"), 2).alias("total"))
