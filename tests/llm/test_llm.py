@@ -313,3 +313,26 @@ def test_stages_keep_columns(spark):
             assert all(r[c] == f"{c}{r['doc_id']}" for c in names[4:])
     got = {r["doc_id"]: r["text"] for r in repeats.without_repeats(df.filter("doc_id <> 3")).collect()}
     assert all(shared[10:] not in t and f"{k}w78" in t for k, t in got.items() if t) and got[4] is None and got[5] == ""
+
+
+def test_top_k_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(5, [1.0, 0.0]), (5, [3.0, 0.0]), (5, [1.0, 0.0]), (7, [2.0, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 5, 2).collect()
+    one = [(5, 3 * 1024**2), (7, 2 * 1024**2)]
+    two = [(7, 6 * 1024**2), (5, 3 * 1024**2)]
+    assert sorted((r["vec_id"], r["score"]) for r in got) == sorted(one + one + two)
+
+
+def test_language_mixtures(spark):
+    names = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    made = {n: [n[0] * k + "xyzuvw"[i] for k in range(2, 7)] for i, n in enumerate(names)}
+    text = lambda *langs, n=40: " ".join(w for x in langs for w in RNG.choice(made[x], n))
+    train = [(i, text(names[i % 6]), names[i % 6]) for i in range(120)]
+    df = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(0, text("aa")), (1, text("aa", "aa", "bb")), (2, text(*names)), (3, "\U00030000"), (4, None), (5, "")], "doc_id long, text string")
+    got = by_id(language.predict(asked, *language.fit(df)))
+    assert [got[i]["n_langs"] for i in range(6)] == [1, 2, 6, 1, 0, 0]
+    assert got[1]["lang_pred"] == "aa" and abs(got[1]["score"] - 2 / 3) < 0.02 and abs(got[2]["score"] - 1 / 6) < 0.02
+    assert [got[i]["lang_pred"] == "und" for i in (3, 4, 5)] == [False, True, True]

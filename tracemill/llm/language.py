@@ -12,16 +12,16 @@ from .shared import held_out, text_pieces
 
 #: Cells of the hashed table of n-grams of each language; orders of n-grams.
 CELLS, ORDERS = 1 << 16, (1, 2, 3)
-#: Rounds of expectation maximisation, languages of a text at most, penalty of each language beyond the first.
-ROUNDS, MOST, PENALTY = 12, 4, 3.0
-#: Least share of the second language, of all in one mixture, for which sets of several are weighed.
-SECOND = 0.01
+#: Rounds of expectation maximisation, penalty of each language beyond the first.
+ROUNDS, PENALTY = 12, 3.0
+#: Languages that can be learnt; more values of `lang` end the job, since their tables (0.8 MB each) would not fit.
+LANGUAGES = 256
 
 
 def letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text; whatever is no letter becomes a space."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    return np.where(_is_letter()[np.minimum(points, 0x2FFFF)], points, 32).astype(np.uint32)
+    return np.where(_is_letter()[np.minimum(points, 0x10FFFF)], points, 32).astype(np.uint32)
 
 
 _letter: list[np.ndarray] = []
@@ -29,7 +29,7 @@ _letter: list[np.ndarray] = []
 
 def _is_letter() -> np.ndarray:
     if not _letter:
-        _letter.append(np.array([chr(i).isalpha() for i in range(0x30000)]))
+        _letter.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _letter[0]
 
 
@@ -51,7 +51,7 @@ def features(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndar
     prior2 = np.where(prior == 32, np.uint64(32), prior2)
     grams = []
     for order in ORDERS:
-        h = p + (prior << np.uint64(20)) * np.uint64(order > 1) + (prior2 << np.uint64(40)) * np.uint64(order > 2)
+        h = p + (prior << np.uint64(21)) * np.uint64(order > 1) + (prior2 << np.uint64(42)) * np.uint64(order > 2)
         h = (h + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
         grams.append(((h >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int32))
     ends = np.flatnonzero(space) + 1
@@ -66,6 +66,8 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     each language and cell, so that what is gathered is bounded by languages x cells."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 4)).select("lang", "text")
     size = CELLS * len(ORDERS)
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} different values of lang")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -120,17 +122,19 @@ def predict(docs: DataFrame, langs: list[str], log: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every whole text, and its share of the two leading languages.
 
     A text's words are drawn from a mixture of languages. Expectation maximisation finds the proportions for the
-    leading 1, 2, .. `MOST` languages; the set with the best log likelihood less a penalty for each language counts,
-    and the largest proportion in it is the prediction and the score. Texts that are null or have no letter are `und`
+    leading 1, 2, .. languages, as long as one more makes the log likelihood less a penalty for each language better;
+    the largest proportion of the best set is the prediction and the score. Texts that are null or have no letter are `und`
     with score 0. Repeated rows repeat, empty tables give none, other columns are not read.
     """
     schema = "doc_id long, held_out boolean, lang_pred string, score double, n_langs int"
+    sent = docs.sparkSession.sparkContext.broadcast(log)
 
     def one(batch, text):
         n = batch.num_rows
         names, score, chosen = ["und"] * n, np.zeros(n), np.zeros(n, np.int32)
         grams, starts, first, size = features(text)
         if len(size) and langs:
+            log = sent.value
             rows = np.zeros((len(grams), len(langs)), np.float32)
             for k in range(len(ORDERS)):
                 rows += log[grams[:, k] + k * CELLS]
@@ -147,20 +151,27 @@ def predict(docs: DataFrame, langs: list[str], log: np.ndarray) -> DataFrame:
             word_best = np.log(np.take_along_axis(likely, np.repeat(order[:, :1], seen, 0), 1)[:, 0] + np.float32(1e-30))
             best[full] = np.add.reduceat((weight * word_best).astype(np.float64), first[:-1][full])
             chosen[:] = 1
-            # a set of more languages can only win where a second one has a share
-            mixed = np.flatnonzero((np.sort(base, 1)[:, -2:-1] > SECOND).any(1) & (seen > 0)) if len(langs) > 1 else np.zeros(0, int)
-            if len(mixed):
+            # The likelihood is concave in the proportions: no mixture is better than this one by more than the largest
+            # slope less the weight of all words. Where that can't make up for a penalty, one language it is.
+            doc = np.repeat(np.arange(n), seen)
+            total = (likely * base[doc]).sum(1) + np.float32(1e-30)
+            most, slope, whole = np.full(n, -np.inf), np.zeros((n, len(langs))), np.zeros(n)
+            slope[full] = np.add.reduceat((likely * (weight / total)[:, None]).astype(np.float64), first[:-1][full], axis=0)
+            whole[full] = np.add.reduceat(weight.astype(np.float64), first[:-1][full])
+            most[full] = np.add.reduceat((weight * np.log(total)).astype(np.float64), first[:-1][full]) + slope[full].max(1) - whole[full]
+            mixed = np.flatnonzero(most - PENALTY * np.log(seen + 1.0) > best + 1e-9) if len(langs) > 1 else np.zeros(0, int)
+            for m in range(2, len(langs) + 1):
+                if not len(mixed):
+                    break
                 rows_of = np.concatenate([np.arange(first[i], first[i + 1]) for i in mixed])
                 sub_first = np.concatenate(([0], np.cumsum(seen[mixed])))
-                for m in range(2, min(MOST, len(langs)) + 1):
-                    allowed = np.zeros((len(mixed), len(langs)), np.float32)
-                    np.put_along_axis(allowed, order[mixed, :m], 1.0, 1)
-                    got, value = mixtures(likely[rows_of], weight[rows_of], sub_first, allowed)
-                    value = value - PENALTY * (m - 1) * np.log(seen[mixed] + 1.0)
-                    better = value > best[mixed] + 1e-9
-                    best[mixed] = np.where(better, value, best[mixed])
-                    share[mixed] = np.where(better[:, None], got, share[mixed])
-                    chosen[mixed] = np.where(better, m, chosen[mixed])
+                allowed = np.zeros((len(mixed), len(langs)), np.float32)
+                np.put_along_axis(allowed, order[mixed, :m], 1.0, 1)
+                got, value = mixtures(likely[rows_of], weight[rows_of], sub_first, allowed)
+                value = value - PENALTY * (m - 1) * np.log(seen[mixed] + 1.0)
+                better = value > best[mixed] + 1e-9
+                mixed = mixed[better]
+                best[mixed], share[mixed], chosen[mixed] = value[better], got[better], m
             top = share.argmax(1)
             for i in np.flatnonzero(seen):
                 names[i], score[i] = langs[top[i]], min(1.0, share[i, top[i]])
