@@ -93,6 +93,25 @@ def test_licences(spark):
     assert got[2]["origin_path"] == "a/LICENSE"
 
 
+def test_licence_headers_and_files(spark):
+    """Wrapped headers and whole texts count as wholes; ids may be null or repeat."""
+    import textwrap
+
+    longest = {}
+    for k, t in licences.TEMPLATES:
+        longest[k] = max(longest.get(k, ""), t, key=len)
+    code = "\nx = compute(y)\n" * 60
+    head = lambda k: "\n".join(f"# {line}" for line in textwrap.wrap(longest[k], 66)) + code
+    page = lambda k: "Copyright 2020 Somebody\n\n" + textwrap.fill(longest[k], 70) + "\n\nThe end.\n"
+    kinds = ["GPL-2.0", "GPL-3.0", "LGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "MPL-2.0"]
+    files = [(7, f"p{i}/{n}.py", f(k)) for i, k in enumerate(kinds) for n, f in (("a", head), ("b", page))] + [(None, "q/x.txt", page("MIT")), (None, "r/y.txt", "nothing"), (7, "s/COPYING", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\n" + "w " * 400), (7, "s/t/u.c", "int x;")]
+    got = licences.scan(spark.createDataFrame(files, "file_id long, path string, text string"), licences.templates(spark)).collect()
+    want = [(7, k) for k in kinds for _ in range(2)] + [(None, "MIT"), (None, None), (7, "GPL-3.0"), (7, "GPL-3.0")]
+    assert sorted(map(str, ((r["file_id"], r["license_id"]) for r in got))) == sorted(map(str, want))
+    none = spark.createDataFrame([], "file_id long, path string, text string")
+    assert licences.scan(none, licences.templates(spark)).count() == 0
+
+
 def test_repeats(docs):
     got = by_id(repeats.remove(docs))
     raw = {i: (t or "").encode() for i, t in enumerate(TEXTS)}

@@ -1,17 +1,39 @@
-"""Licence scans: TF-IDF cosine of text units to templates, then inheritance from the nearest ancestor directory."""
+"""Licence scans: TF-IDF cosine of lines, header blocks, paragraphs and whole files to templates, then inheritance from
+the nearest ancestor directory."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Least cosine of a match; least share of a file's characters that matches have if it is a licence file by content.
 THRESHOLD, FILE_SHARE = 0.7, 0.5
 TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"
 #: Names of files that license their directory.
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense|notice)([-._].*)?$"
-#: Statements by which well-known licences are declared, with their SPDX identifiers.
+#: Runs of lines that begin with a comment mark; what parts paragraphs.
+HEADER, BLANK = r"(?:^[ \t]*(?:#|//|/?[*]|--|;|%)[^\n]*\n?)+", r"\n[ \t]*\n"
+_WARRANTY = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this {1}. If not, see https://www.gnu.org/licenses/."
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+#: Statements, headers and texts by which well-known licences are declared, with their SPDX identifiers.
 TEMPLATES = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", f"{_BSD} {_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program {_WARRANTY.format('General Public License', 'program')}"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program {_WARRANTY.format('General Public License', 'program')}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("LGPL-3.0", f"This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library {_WARRANTY.format('Lesser General Public License', 'library')}"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
@@ -80,24 +102,37 @@ def anchors(weights: DataFrame, threshold: float) -> list[str]:
     return sorted(out)
 
 
+def units(files: DataFrame) -> DataFrame:
+    """(key, kind, unit, text): the lines of each file, its runs of comment lines, its paragraphs if there are several,
+    and the whole."""
+    made = lambda kind, texts: F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("unit"), x.alias("text")))
+    paragraphs = F.split("text", BLANK)
+    all_ = F.concat(
+        made("line", F.split("text", "\n")), made("header", F.regexp_extract_all("text", F.lit(f"(?md)({HEADER})"), F.lit(1))),
+        F.when(F.size(paragraphs) > 1, made("paragraph", paragraphs)).otherwise(made("paragraph", F.expr("cast(array() as array<string>)"))), made("file", F.array("text")),
+    )
+    return files.select("key", F.explode(all_).alias("u")).select("key", "u.*")
+
+
 def matches(files: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(file_id, unit, license_id, score, n_chars) for each line whose cosine to a template reaches the threshold; the
-    best template of each line."""
+    """(key, kind, unit, license_id, score, n_chars) for each unit whose cosine to a template reaches the threshold; the
+    best template of each unit. files: key, text."""
     weights, rare = weighted(files, known)
     need = anchors(weights, threshold)
     if not need:
-        return files.sparkSession.createDataFrame([], "file_id long, unit int, license_id string, score double, n_chars int")
+        return files.sparkSession.createDataFrame([], "key long, kind string, unit int, license_id string, score double, n_chars int")
     pattern = "(?i)(?<![a-z0-9])(" + "|".join(t.replace(".", "[.]") for t in need) + ")(?![a-z0-9])"
-    lines = files.filter(F.col("text").rlike(pattern)).select("file_id", F.posexplode(F.split("text", "\n")).alias("unit", "line")).filter(F.col("line").rlike(pattern))
-    tokens = lines.select("file_id", "unit", F.length("line").alias("n_chars"), F.explode(token_list(F.col("line"))).alias("token"))
-    tf = tokens.groupBy("file_id", "unit", "token").agg(F.count("*").alias("tf"), F.max("n_chars").alias("n_chars"))
+    all_ = units(files.filter(F.col("text").rlike(pattern))).filter(F.col("text").rlike(pattern))
+    unit = ["key", "kind", "unit"]
+    tokens = all_.select(*unit, F.length("text").alias("n_chars"), F.explode(token_list(F.col("text"))).alias("token"))
+    tf = tokens.groupBy(*unit, "token").agg(F.count("*").alias("tf"), F.max("n_chars").alias("n_chars"))
     idf = weights.select("token", "idf").distinct()
-    tf = tf.join(F.broadcast(idf), "token", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norm = tf.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("unit_norm"), F.max("n_chars").alias("n_chars"))
-    dot = tf.join(F.broadcast(weights.select("template_id", "license_id", "token", "w", "norm")), "token").groupBy("file_id", "unit", "template_id", "license_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.max("norm").alias("norm"))
-    scored = dot.join(norm, ["file_id", "unit"]).select("file_id", "unit", "license_id", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("score"), "n_chars").filter(F.col("score") >= threshold)
-    best = scored.groupBy("file_id", "unit").agg(F.min_by(F.struct("license_id", "score", "n_chars"), F.struct((-F.col("score")).alias("a"), F.col("license_id").alias("b"))).alias("m"))
-    return best.select("file_id", "unit", "m.*")
+    tf = written(tf.join(F.broadcast(idf), "token", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(rare))), "licence-units")  # read twice below
+    norm = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("unit_norm"), F.max("n_chars").alias("n_chars"))
+    dot = tf.join(F.broadcast(weights.select("template_id", "license_id", "token", "w", "norm")), "token").groupBy(*unit, "template_id", "license_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.max("norm").alias("norm"))
+    scored = dot.join(norm, unit).select(*unit, "license_id", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("score"), "n_chars").filter(F.col("score") >= threshold)
+    best = scored.groupBy(*unit).agg(F.min_by(F.struct("license_id", "score", "n_chars"), F.struct((-F.col("score")).alias("a"), F.col("license_id").alias("b"))).alias("m"))
+    return best.select(*unit, "m.*")
 
 
 def folders(path):
@@ -108,27 +143,29 @@ def folders(path):
 
 
 def scan(files: DataFrame, known: DataFrame, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
-    """file_id, license_id, score, n_matches, origin, origin_path: one row per file_id.
-
-    files: file_id, path, text; other columns are not read. A file's own licence is that of the line with the largest
-    cosine ('own'; ties go to the smaller license_id). A file without one inherits from the licence file in its
-    nearest ancestor directory ('inherited'), else it has none ('none'). Licence files are those with such a name, or
-    whose matching lines hold `file_share` of its characters, and with a licence of their own; of several in one
-    directory the best score counts. Null paths stand in the root, null texts match nothing, and rows that repeat a
-    file_id count as one file, with the least path and the longest text. Empty tables give no rows.
+    """file_id, license_id, score, n_matches, origin, origin_path: one row for each row of the input.
+
+    files: file_id, path, text; other columns are not read. A file's own licence is that of the unit with the largest
+    cosine ('own'; ties go to the smaller license_id): a line, a run of comment lines, a paragraph or the whole file, so
+    that wrapped headers and licence texts are compared as wholes. A file without one inherits from the licence file in
+    its nearest ancestor directory ('inherited'), else it has none ('none'). Licence files are those with such a name, or
+    whose matching units of one kind hold `file_share` of its characters, and with a licence of their own; of several in
+    one directory the best score counts. Null paths stand in the root, null texts match nothing, ids may be null or
+    repeat, each row is a file. Empty tables give no rows.
     """
-    files = files.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    found = matches(files, known, threshold)
-    own = found.groupBy("file_id").agg(F.min_by(F.struct("license_id", "score"), F.struct((-F.col("score")).alias("a"), F.col("license_id").alias("b"))).alias("m"), F.countDistinct("unit").alias("n_matches"), F.sum("n_chars").alias("matched"))
-    one = files.groupBy("file_id").agg(F.min("path").alias("path"), F.max(F.length("text")).alias("size"))
-    all_ = one.join(own, "file_id", "left")
+    files = written(files.select(F.monotonically_increasing_id().alias("key"), F.col("file_id").cast("long").alias("file_id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text")), "licence-files", "zstd")
+    found = matches(files.select("key", "text"), known, threshold)
+    best = F.min_by(F.struct("license_id", "score"), F.struct((-F.col("score")).alias("a"), F.col("license_id").alias("b"))).alias("m")
+    own = found.groupBy("key", "kind").agg(best, F.count("*").alias("n"), F.sum("n_chars").alias("matched")).select("key", "m.*", "n", "matched")
+    own = own.groupBy("key").agg(best, F.sum("n").alias("n_matches"), F.max("matched").alias("matched"))
+    all_ = files.select("key", "file_id", "path", F.length("text").alias("size")).join(own, "key", "left")
     name = F.element_at(F.split("path", "/"), -1)
     here = all_.filter(F.col("m").isNotNull() & (name.rlike(FILE_NAME) | (F.col("matched") >= file_share * F.col("size"))))
     grants = here.select(F.element_at(folders(F.col("path")), 1).alias("dir"), "m.license_id", "m.score", F.col("path").alias("origin_path"))
-    grants = grants.groupBy("dir").agg(F.min_by(F.struct("license_id", "score", "origin_path"), F.struct((-F.col("score")).alias("a"), F.col("origin_path").alias("b"))).alias("g"))
-    above = all_.filter(F.col("m").isNull()).select("file_id", F.posexplode(folders(F.col("path"))).alias("up", "dir"))
-    nearest = above.join(grants, "dir").groupBy("file_id").agg(F.min_by("g", "up").alias("g"))
-    out = all_.join(nearest, "file_id", "left")
+    grants = grants.groupBy("dir").agg(F.min_by(F.struct("license_id", "score", "origin_path"), F.struct((-F.col("score")).alias("a"), F.col("origin_path").alias("b"), F.col("license_id").alias("c"))).alias("g"))
+    above = all_.filter(F.col("m").isNull()).select("key", F.posexplode(folders(F.col("path"))).alias("up", "dir"))
+    nearest = above.join(grants, "dir").groupBy("key").agg(F.min_by("g", "up").alias("g"))
+    out = all_.join(nearest, "key", "left")
     pick = lambda c: F.coalesce(F.col(f"m.{c}"), F.col(f"g.{c}"))
     return out.select(
         "file_id", pick("license_id").alias("license_id"), pick("score").alias("score"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"),
@@ -149,28 +186,32 @@ def _quoted(text: str) -> str:
 
 ORACLE = rf"""
 WITH t(template_id, license_id, text) AS (VALUES {", ".join(f"({i}, {_quoted(k)}, {_quoted(t)})" for i, (k, t) in enumerate(TEMPLATES))}),
-d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS text FROM documents),
+d AS (SELECT row_number() OVER () AS k, doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS text FROM documents),
 tt AS (SELECT template_id, license_id, token, count(*) AS tf FROM (SELECT *, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM t) GROUP BY ALL),
-df AS (SELECT token, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM d) WHERE token IN (SELECT token FROM tt) GROUP BY token),
+df AS (SELECT token, count(DISTINCT k) AS df FROM (SELECT k, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS token FROM d) WHERE token IN (SELECT token FROM tt) GROUP BY token),
 n AS (SELECT count(*)::DOUBLE AS n FROM d),
 idf AS (SELECT token, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT token FROM tt) LEFT JOIN df USING (token), n),
 w AS (SELECT template_id, license_id, token, tf * idf AS w FROM tt JOIN idf USING (token)),
 wn AS (SELECT template_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
-l AS (SELECT doc_id, u.i AS unit, u.s AS line FROM d, unnest(list_transform(string_split(text, chr(10)), lambda s, i: {{'s': s, 'i': i}})) AS x(u)),
-lt AS (SELECT doc_id, unit, token, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM l) GROUP BY ALL),
-lv AS (SELECT doc_id, unit, token, tf * coalesce(idf, ln(1 + n) + 1) AS v FROM lt LEFT JOIN idf USING (token), n),
-ln_ AS (SELECT doc_id, unit, sqrt(sum(v * v)) AS un FROM lv GROUP BY ALL),
-s AS (SELECT doc_id, unit, license_id, template_id, round(sum(v * w) / (max(norm) * max(un)), 6) AS score
-  FROM lv JOIN w USING (token) JOIN wn USING (template_id) JOIN ln_ USING (doc_id, unit) GROUP BY ALL HAVING round(sum(v * w) / (max(norm) * max(un)), 6) >= {THRESHOLD}),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY score DESC, license_id) AS r FROM s) WHERE r = 1),
-o AS (SELECT doc_id, first(license_id ORDER BY score DESC, license_id) AS license_id, max(score) AS score, count(*) AS n_matches, sum(length(line)) AS matched FROM b JOIN l USING (doc_id, unit) GROUP BY doc_id),
-a AS (SELECT d.doc_id, path, length(text) AS size, license_id, score, n_matches, matched FROM d LEFT JOIN o USING (doc_id)),
-g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, first(license_id ORDER BY score DESC, path) AS license_id, max(score) AS score, first(path ORDER BY score DESC, path) AS origin_path
+u AS (SELECT k, 'line' AS kind, string_split(text, chr(10)) AS texts FROM d UNION ALL SELECT k, 'header', regexp_extract_all(text, '(?m)({HEADER})', 1) FROM d
+  UNION ALL SELECT k, 'paragraph', string_split_regex(text, '{BLANK}') FROM d WHERE regexp_matches(text, '{BLANK}') UNION ALL SELECT k, 'file', [text] FROM d),
+l AS (SELECT k, kind, x.i AS unit, x.s AS line FROM (SELECT k, kind, unnest(list_transform(texts, lambda s, i: {{'s': s, 'i': i}})) AS x FROM u)),
+lt AS (SELECT k, kind, unit, token, count(*) AS tf FROM (SELECT k, kind, unit, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS token FROM l) GROUP BY ALL),
+lv AS (SELECT k, kind, unit, token, tf * coalesce(idf, ln(1 + n) + 1) AS v FROM lt LEFT JOIN idf USING (token), n),
+ln_ AS (SELECT k, kind, unit, sqrt(sum(v * v)) AS un FROM lv GROUP BY ALL),
+s AS (SELECT k, kind, unit, license_id, template_id, round(sum(v * w) / (max(norm) * max(un)), 6) AS score
+  FROM lv JOIN w USING (token) JOIN wn USING (template_id) JOIN ln_ USING (k, kind, unit) GROUP BY ALL HAVING round(sum(v * w) / (max(norm) * max(un)), 6) >= {THRESHOLD}),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, kind, unit ORDER BY score DESC, license_id) AS r FROM s) WHERE r = 1),
+ok AS (SELECT k, kind, count(*) AS n_matches, sum(length(line)) AS matched FROM b JOIN l USING (k, kind, unit) GROUP BY ALL),
+o AS (SELECT k, first(license_id ORDER BY score DESC, license_id) AS license_id, max(score) AS score FROM b GROUP BY k),
+c AS (SELECT k, sum(n_matches)::BIGINT AS n_matches, max(matched) AS matched FROM ok GROUP BY k),
+a AS (SELECT d.k, doc_id, path, length(text) AS size, license_id, score, n_matches, matched FROM d LEFT JOIN o USING (k) LEFT JOIN c USING (k)),
+g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, first(license_id ORDER BY score DESC, path, license_id) AS license_id, max(score) AS score, first(path ORDER BY score DESC, path) AS origin_path
   FROM a WHERE license_id IS NOT NULL AND (matched >= {FILE_SHARE} * size OR regexp_matches(regexp_extract(path, '[^/]*$'), '{FILE_NAME}')) GROUP BY 1),
-i AS (SELECT doc_id, first(struct_pack(license_id := g.license_id, score := g.score, origin_path := g.origin_path) ORDER BY length(dir) DESC) AS g
-  FROM a JOIN g ON a.license_id IS NULL AND (dir = '' OR starts_with(path, dir || '/')) GROUP BY doc_id)
+i AS (SELECT k, first(struct_pack(license_id := g.license_id, score := g.score, origin_path := g.origin_path) ORDER BY length(dir) DESC) AS g
+  FROM a JOIN g ON a.license_id IS NULL AND (dir = '' OR starts_with(path, dir || '/')) GROUP BY k)
 SELECT doc_id, coalesce(license_id, i.g.license_id) AS license_id, coalesce(score, i.g.score) AS score, coalesce(n_matches, 0) AS n_matches,
   CASE WHEN license_id IS NOT NULL THEN 'own' WHEN i.g IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
   CASE WHEN license_id IS NOT NULL THEN path ELSE i.g.origin_path END AS origin_path
-FROM a LEFT JOIN i USING (doc_id)
+FROM a LEFT JOIN i USING (k)
 """
