@@ -17,6 +17,8 @@ from .units import Encoder, byte_chars, tokenizer
 
 #: Bytes of a text beyond which it is encoded in parts, and characters of a part.
 LONG_TEXT, PART = 65_536, 32_768
+#: Bytes of texts that are encoded at once.
+PIECE = 2 << 20
 #: Characters of one class on either side of a cut that is no boundary between tokens.
 MARGIN = 2_048
 
@@ -117,7 +119,7 @@ def encode_digest(docs: DataFrame, name: str = "byte_bpe_50k.json", long_text: i
 
     def short(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole):
+            for batch, text in text_pieces(whole, PIECE):
                 ids, begin, _ = encoder(name).encode(text)
                 one, two = digests(ids, begin, name)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(begin)), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -139,7 +141,7 @@ def encode_digest(docs: DataFrame, name: str = "byte_bpe_50k.json", long_text: i
 
     def encoded(batches):
         for whole in batches:
-            for batch, text in text_pieces(whole):
+            for batch, text in text_pieces(whole, PIECE):
                 ids, begin, _ = encoder(name).encode(text)
                 data = [ids[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "n", "hard")] + [pa.array(data, pa.binary())], ["doc_id", "row", "n", "hard", "ids"])

@@ -15,6 +15,8 @@ from .shared import text_pieces
 
 #: Tokens of a sequence; the id that ends a document.
 LENGTH, END_ID = 4096, 2
+#: Bytes of text that are packed together, and that are encoded at once.
+BLOCK, PIECE = 8 << 20, 1 << 20
 #: Cost, in tokens of padding, of a window that ends inside a document after a sentence or inside a sentence.
 SENTENCE, BROKEN = 24.0, 256.0
 
@@ -58,6 +60,17 @@ def windows(ends: np.ndarray, sentences: np.ndarray, length: int = LENGTH) -> np
     return np.array([0, *window_cuts(places, penalty, length)] if total else [0, 0])
 
 
+def encoded(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block's texts, where each text's begin (with the end), and the places after sentences; pieces of the
+    block are encoded one after the other, since their units take far more memory than their ids."""
+    parts, size = [], 0
+    for _, text in text_pieces(batch, PIECE):
+        ids, begin, stops = encoder(name, True).encode(text, ends=True)
+        parts.append((ids.copy(), begin[bool(parts) :] + size, stops + size))
+        size += len(ids)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def pack(docs: DataFrame, name: str = "word_bpe_49k.json", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -72,8 +85,8 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", length: int = LENGTH,
 
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch, text in text_pieces(whole):
-                ids, begin, stops = encoder(name, True).encode(text, ends=True)
+            for batch, _ in text_pieces(whole, BLOCK):
+                ids, begin, stops = encoded(batch, name)
                 n = np.diff(begin)
                 ends = np.cumsum(n + 1)
                 all_ids = np.insert(ids, begin[1:], end_id).astype("<u4")

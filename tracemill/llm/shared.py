@@ -79,6 +79,8 @@ def text_pieces(batch: pa.RecordBatch, limit: int = 8 << 20):
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
         yield batch.slice(start, stop - start), text.slice(start, stop - start)
         start = stop
+    del text
+    pa.default_memory_pool().release_unused()  # workers stay between tasks, and memory that Arrow keeps stays theirs
 
 
 def text_bytes(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
