@@ -233,6 +233,9 @@ def test_lm_backoff(docs, most, state, monkeypatch):
             return p(h[1:], x)
         return (1 - sum(p(h, y) for y in arcs[h])) / (1 - sum(p(h[1:], y) for y in arcs[h])) * p(h[1:], x)
 
+    kept = [g[0] for g in c if len(g) == 1]
+    for h in [(), *arcs]:  # all words, and any that training never had, share the whole
+        assert abs(sum(p(h, x) for x in kept) + p(h, "never") - 1) < 1e-9
     got = by_id(lm.score(docs, *lm.fit(docs.filter(~held_out(F.col("doc_id"), 7)))))
     for i, w in texts.items():
         want = sum(math.log10(p(tuple(w[max(0, j - 2) : j]), x)) for j, x in enumerate(w))

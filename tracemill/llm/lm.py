@@ -14,7 +14,7 @@ from .shared import held_out, removed, text_bytes, text_pieces, written
 END = np.uint64(1)
 #: Where n-grams are looked up, never what is counted: in the tasks the most frequent ones of each order, so many at most,
 #: the others by joins; those that are so large a share of all tokens are broadcast to the n-grams that contain them.
-MOST, STATE = 500_000, 1e-4
+MOST, STATE = 200_000, 1e-4
 #: Least count of an n-gram of two or more words, at every size of the corpus.
 LEAST = 2
 #: Bits of the filter of each order's n-grams, and of the part of it that a code's first byte chooses.
@@ -263,7 +263,6 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """
     total, kinds, orders = model.total, model.kinds, len(model.tables)
     sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.filters))
-    lists = ["rare", *[f"open{k}" for k in range(2, orders + 1)]]
 
     def scored(batches):
         frequent, filters = sent.value
@@ -280,33 +279,33 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                     at = position(frequent[k][0], codes[here])
                     hit = at >= 0
                     log[here[hit]] += frequent[k][2][at[hit]]
-                    open_ = np.zeros(len(w), bool)
-                    open_[here[~hit]] = True
-                    ends = np.concatenate(([0], np.cumsum(open_)))[first]
-                    late.append(pa.LargeListArray.from_arrays(pa.array(ends), pa.array(codes[open_].view(np.int64))).cast(pa.list_(pa.int64())))
+                    late.append((here[~hit], codes[here[~hit]]))
                     if not k:
                         plain = np.where(hit, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
                         known = add(hit.astype(np.int64))
+                where = np.concatenate([x for x, _ in late])
+                order = np.argsort(where, kind="stable")
+                ends = np.searchsorted(where[order], first)
+                open_ = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c for _, c in late])[order].view(np.int64))).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log)), *late],
-                    ["key", "doc_id", "held_out", "n_tokens", "known", "base", "log", *lists],
+                    [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log)), open_],
+                    ["key", "doc_id", "held_out", "n_tokens", "known", "base", "log", "open"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), "text")
-    rows = written(rows.mapInArrow(scored, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double, " + ", ".join(f"{x} array<long>" for x in lists)), "lm-scored")
-    n, unseen = F.coalesce(F.col("n"), F.lit(0)), np.log10(DISCOUNT * kinds / total) if total else 0.0
-    joined = rows.select("key", F.explode("rare").alias("w")).join(counts, "w", "left")
-    late = joined.groupBy("key").agg(
-        F.count("n").alias("late_known"),
-        F.sum(F.log10((n + 1) / F.lit(float(total + kinds + 1)))).alias("late_base"),
-        F.sum(F.coalesce("value", F.lit(float(unseen)))).alias("late_log"),
-    )
-    add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    out = rows.drop(*lists).join(written(late, "lm-late"), "key", "left")
-    for name, table in zip(lists[1:], model.tables[1:], strict=True):
-        own = rows.select("key", F.explode(name).alias("w")).join(table.select("w", "value"), "w").groupBy("key").agg(F.sum("value").alias(name))
-        out = out.join(written(own, "lm-late"), "key", "left").withColumn("log", add("log", name))
-    return out.select("doc_id", "held_out", "n_tokens", add("known", "late_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), add("base", "late_base").alias("base_score"), add("log", "late_log").alias("score"))
+    rows = written(rows.mapInArrow(scored, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double, open array<long>"), "lm-scored")
+    values = counts.select("w", "n", "value")
+    for table in model.tables[1:]:
+        values = values.unionByName(table.select("w", F.lit(None).cast("long").alias("n"), "value"))
+    chance = lambda n: F.log10((n + 1) / F.lit(float(total + kinds + 1)))
+    late = rows.select("key", F.explode("open").alias("w")).join(values, "w").groupBy("key").agg(F.count("n").alias("late_known"), F.sum(chance(F.col("n"))).alias("late_base"), F.sum("value").alias("late_log"))
+    out = rows.drop("open").join(written(late, "lm-late"), "key", "left").fillna(0, ["late_known", "late_base", "late_log"])
+    unknown = F.col("n_tokens") - F.col("known") - F.col("late_known")  # words that training never had
+    unseen = float(np.log10(DISCOUNT * kinds / total)) if total else 0.0
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("late_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("late_base") + unknown * chance(F.lit(0))).alias("base_score"), (F.col("log") + F.col("late_log") + unknown * F.lit(unseen)).alias("score"),
+    )
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
