@@ -358,3 +358,25 @@ def test_language_mixtures(spark):
     assert [got[i]["n_langs"] for i in range(6)] == [1, 2, 6, 1, 0, 0]
     assert got[1]["lang_pred"] == "aa" and abs(got[1]["score"] - 2 / 3) < 0.02 and abs(got[2]["score"] - 1 / 6) < 0.02
     assert [got[i]["lang_pred"] == "und" for i in (3, 4, 5)] == [False, True, True]
+
+
+def test_toxicity_near_copies(spark):
+    """Words of a toxic text that was copied with small changes are not what makes it toxic."""
+    calm = [f"word{k}" for k in range(400)]
+    own = [f"only{k}" for k in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = " ".join(RNG.choice(calm, 30)) + (" idiotic " if bad else " ") + " ".join(RNG.choice(calm, 5))
+        rows.append((i, text))
+        labels.append((i, int(bad)))
+    for i in range(400, 500):  # near copies, each with one word changed
+        words_ = list(own)
+        words_[int(RNG.integers(60))] = f"new{i}"
+        rows.append((i, " ".join(words_) + " idiotic"))
+        labels.append((i, 1))
+    rows += [(1000, " ".join(own[:20]) + " " + " ".join(calm[:30])), (1001, "an idiotic " + " ".join(calm[:5]))]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = by_id(toxicity.score(df, toxicity.fit(df, lab)))
+    assert (got[1000]["predicted"], got[1001]["predicted"]) == (0, 1)
+    assert toxicity.drop_toxic(df.limit(0), lab).count() == toxicity.score(df.limit(0), toxicity.fit(df.limit(0), lab.limit(0))).count() == 0

@@ -6,10 +6,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jaccard import shingles
+from .rolling import mixed
 from .shared import held_out, removed, text_pieces, written
 
 #: Labelled rows that the classifier learns from at most (chosen by hash).
@@ -29,6 +32,8 @@ PRIOR = {(0, False): (9.0, 0.5), (1, False): (3.0, 1.0), (0, True): (1.0, 3.0),
 #: Words that report what someone else said, in the languages of the corpus.
 REPORTS = frozenset(["said", "says", "wrote", "writes", "called", "quote", "quoted", "word", "term", "phrase", "sagte", "schrieb", "nannte", "wort", "dit", "écrit", "appelé", "mot", "dijo", "escribió", "llamó", "palabra"])
 QUOTES = "\"'“”„«»‘’"
+#: Hashes by whose minima near copies are found.
+MINIMA = 4
 #: States of the automaton that a task holds before it begins anew, bytes of texts that are read at once, and of words counted.
 STATES, PIECE, WORDS = 20_000, 1 << 20, 8 << 20
 WORD = re.compile(r"\w(?:[\w*@$!|+-]*\w)?")
@@ -218,17 +223,44 @@ def lexicon_of(counts: DataFrame, toxic: int, clean: int) -> list[tuple[str, boo
     return [(s, True) for s in sorted(short)] + [(w, False) for w in sorted(words)]
 
 
+def without_near_copies(texts: DataFrame) -> DataFrame:
+    """One text of each label from each group of near copies of the sample (text, toxic). Texts with an equal minimum of
+    their hashed shingles, by one of `MINIMA` hashes after the other, fall into one group."""
+    names = [f"m{k}" for k in range(MINIMA)]
+
+    def minima(batches):
+        for whole in batches:
+            for batch, text in text_pieces(whole, PIECE):
+                h, first = shingles(text)
+                full = np.flatnonzero(np.diff(first))
+                cols = []
+                for k in range(MINIMA):
+                    own = np.arange(len(text), dtype=np.uint64)  # texts without words stay apart, or nearly so
+                    if len(full):
+                        own[full] = np.minimum.reduceat(mixed(h ^ mixed(np.array([k + 1], np.uint64))), first[:-1][full])
+                    cols.append(pa.array(own.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *cols], ["id", "toxic", *names])
+
+    rows = written(texts.withColumn("id", F.monotonically_increasing_id()), "toxicity-texts")
+    groups = rows.mapInArrow(minima, "id long, toxic long, " + ", ".join(f"{n} long" for n in names)).withColumn("c", F.col("id"))
+    for n in names:
+        groups = groups.withColumn("c", F.min("c").over(Window.partitionBy(n)))
+    first = groups.groupBy("c", "toxic").agg(F.min("id").alias("id")).select("id")
+    return rows.join(first, "id", "left_semi").drop("id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Learns from the labelled documents of the training fold (crc32 of the id as text, modulo 4, is not 2).
 
-    Of more than `sample` labelled rows those with the smallest hashes count. Texts that repeat count once. A document
+    Of more than `sample` labelled rows those with the smallest hashes count. Texts that repeat count once, and so do
+    near copies, whose words would all seem to be what makes them toxic. A document
     with several labels is toxic if one of them is 1. Without toxic labels the lexicon is empty and scores are the base.
     """
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample is bounded, so that it may be broadcast
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(marked), "doc_id")
-    texts = written(mine.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
+    texts = written(without_near_copies(mine.groupBy("text").agg(F.max("toxic").alias("toxic"))), "toxicity-sample")
     by = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = by.get(1, 0), sum(n for y, n in by.items() if y != 1)
     counts = _words(texts).persist()
