@@ -1,6 +1,6 @@
 """All queries by name, with their SQL."""
 
-from . import choices, comparisons, documents, ledgers, monitors, reviewing, selections, texts, traces, training, trails
+from . import audits, choices, comparisons, documents, ledgers, monitors, reviewing, selections, texts, traces, training, trails
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
