@@ -79,6 +79,52 @@ def test_sources_and_stream(spark, tmp_path):
         tables.freeze(spark.range(2), str(tmp_path / "frozen"))
 
 
+def test_sources(spark, tmp_path):
+    from tracemill.sources import tables
+
+    bad = tmp_path / "bad.jsonl"
+    bad.write_text('{"k": "x"}\n\n[1]\n')
+    with pytest.raises(Exception, match="line 3 is no JSON object"):
+        tables.read_jsonl(spark, str(bad), "k string").collect()
+    assert tables.read_jsonl(spark, str(tmp_path / "none.jsonl"), "k string", missing_ok=True).count() == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        tables.read_jsonl(spark, str(tmp_path / "none.jsonl"), "k string").collect()
+    (tmp_path / "other.json").write_text('{"others": []}')
+    with pytest.raises(Exception, match="neither a list"):
+        tables.read_records(spark, str(tmp_path / "other.json"), "k string").collect()
+    (tmp_path / "list.json").write_text('[{"k": "a"},\n {"k": "b"}]')
+    assert tables.read_records(spark, str(tmp_path / "list.json"), "k string", limit=1).count() == 1
+    folder = tmp_path / "sets"
+    folder.mkdir()
+    for n in "ab":
+        (folder / f"{n}.jsonl").write_text(f'{{"review_id": "{n}1"}}\n{{"review_id": "x"}}\n')
+    manifest = spark.createDataFrame([("A", "a.jsonl"), ("B", "b.jsonl"), ("C", "c.jsonl")], "toolset_id string, file string")
+    assert {r["toolset_id"] for r in tables.manifest_rows(spark, manifest, str(folder), ["A", "C"]).collect()} == {"A"}
+    assert {r["review_id"] for r in tables.packet_ids(spark, str(folder / "*.jsonl"), "review_id").collect()} == {"a1", "b1", "x"}
+
+
+def test_sinks(spark, tmp_path):
+    import json
+
+    from tracemill.sources import tables
+
+    df = spark.createDataFrame([(2, None, "b"), (1, "x", "a")], "n int, v string, a string")
+    tables.write_jsonl(df, str(tmp_path / "rows"), ["n"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "rows")).collect()] == ['{"a":"a","n":1,"v":"x"}', '{"a":"b","n":2,"v":null}']
+    tables.write_document(df, str(tmp_path / "doc"), "a", "n")
+    assert sorted(json.loads(r["value"])["n"][0] for r in spark.read.text(str(tmp_path / "doc")).collect()) == [1, 2]
+    tables.freeze(df, str(tmp_path / "frozen"), "n", 2)
+    assert spark.read.json(str(tmp_path / "frozen.manifest")).first()["hash"] == tables.hashes(df.orderBy("n")).first()["hash"]
+    with pytest.raises(ValueError, match="not unique"):
+        tables.freeze(df.union(df), str(tmp_path / "f2"), "n")
+    with pytest.raises(ValueError, match="expected 3 rows"):
+        tables.freeze(df, str(tmp_path / "f3"), "n", 3)
+    assert tables.public(df, ["v"]).columns == ["n", "a"]
+    with pytest.raises(Exception, match="secret"):
+        tables.refuse_secrets(df.withColumn("a", df.a + 0).fillna("token: abc", ["v"]), "v").collect()
+    assert tables.refuse_secrets(df, "v").count() == 2
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -13,20 +13,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file by a stated schema; blank lines are skipped, lines that are no object end the job."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    row = F.from_json("value", schema, {"mode": "FAILFAST"})
-    checked = F.when(F.ltrim("value").startswith("{"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 80))))
-    return lines.withColumn("value", checked).select(row.alias("r")).select("r.*")
-
-
-def read_records(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("rows", "cases")) -> DataFrame:
-    """Records of a JSON document that is a list, or an object with a list under one of the keys."""
-    text = spark.read.option("wholetext", True).text(path)
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
+    """Rows of a JSON-lines file by a stated schema. Blank lines are skipped; a line that is no object ends the job, with
+    its number in its file; a missing file is an error, or an empty table if asked for."""
+    if missing_ok and not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "value"))
+    lines = files.filter(F.trim("value") != "")
+    error = F.raise_error(F.format_string("%s line %s is no JSON object: %s", F.col("file"), F.col("i") + 1, F.substring("value", 1, 80)))
+    checked = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)), F.col("value")).otherwise(error)
+    return lines.withColumn("value", checked).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def read_records(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("rows", "cases"), limit: int | None = None) -> DataFrame:
+    """Records of JSON documents that are a list, or an object with a list under one of the keys; a document with neither
+    ends the job. limit: the first records only."""
+    text = spark.read.text(path, wholetext=True)
     lists = [F.from_json(F.get_json_object("value", f"$.{k}"), f"array<struct<{_fields(schema)}>>") for k in keys]
     whole = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{_fields(schema)}>>"))
-    return text.select(F.explode(F.coalesce(whole, *lists)).alias("r")).select("r.*")
+    records = F.coalesce(whole, *lists)
+    checked = F.when(records.isNotNull(), records).otherwise(F.raise_error(F.lit(f"neither a list nor an object with one of {', '.join(keys)}")))
+    rows = text.select(F.explode(checked).alias("r")).select("r.*")
+    return rows if limit is None else rows.limit(limit)
+
+
+def manifest_rows(spark: SparkSession, manifest: DataFrame, folder: str, chosen: list[str] | None = None) -> DataFrame:
+    """Rows of all files that a manifest (toolset_id, file) names, with their toolset; of some toolsets if asked. The files
+    are read in one scan."""
+    some = manifest if chosen is None else manifest.filter(F.col("toolset_id").isin(*chosen))
+    names = some.select("toolset_id", "file")
+    lines = spark.read.text(folder).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    return lines.filter(F.trim("value") != "").join(names, "file").select("toolset_id", F.col("value").alias("record"))
+
+
+def packet_ids(spark: SparkSession, glob: str, key: str) -> DataFrame:
+    """The distinct ids in all packets that a pattern names."""
+    return spark.read.text(glob).select(F.get_json_object("value", f"$.{key}").alias(key)).filter(F.col(key).isNotNull()).distinct()
 
 
 def _fields(schema: str) -> str:
@@ -38,9 +65,40 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def freeze(df: DataFrame, path: str) -> None:
-    """An immutable snapshot; an existing one is never overwritten."""
+def write_jsonl(df: DataFrame, path: str, order: list[str]) -> None:
+    """JSON lines in this order, keys sorted, nulls kept; what was there goes."""
+    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")
+    df.orderBy(*order).select(text).write.mode("overwrite").text(path)
+
+
+def write_document(df: DataFrame, path: str, key: str, value: str) -> None:
+    """One JSON document for each key with the list of its values in order; the lists are small aggregates."""
+    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(value))
+    lists.select(F.to_json(F.struct(key, value)).alias("value")).write.mode("overwrite").text(path)
+
+
+def hashes(df: DataFrame) -> DataFrame:
+    """rows, and a hash of them that their order does not change: a sum of the first 15 digits of each row's sha256."""
+    one = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(one), F.lit(0)).cast("string").alias("hash"))
+
+
+def freeze(df: DataFrame, path: str, key: str | None = None, rows: int | None = None) -> None:
+    """An immutable snapshot with a manifest of its hash beside it; an existing one is never overwritten. Before that, the
+    key has to be unique and the number of rows the expected one, if these are stated."""
+    if key is not None and not df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
+    manifest = hashes(df)
+    if rows is not None and (n := manifest.first()["rows"]) != rows:
+        raise ValueError(f"expected {rows} rows, found {n}")
     df.write.mode("errorifexists").parquet(path)
+    manifest.write.mode("errorifexists").json(f"{path.rstrip('/')}.manifest")
+
+
+def refuse_secrets(df: DataFrame, column: str, pattern: str = r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*\S+") -> DataFrame:
+    """The rows, unless one holds a secret: then the job ends before it is exported."""
+    bad = F.coalesce(F.col(column).rlike(pattern), F.lit(False))
+    return df.withColumn(column, F.when(bad, F.raise_error(F.lit("a secret would be exported"))).otherwise(F.col(column)))
 
 
 def public(df: DataFrame, private: list[str]) -> DataFrame:
