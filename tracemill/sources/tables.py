@@ -86,7 +86,7 @@ def hashes(df: DataFrame) -> DataFrame:
 def freeze(df: DataFrame, path: str, key: str | None = None, rows: int | None = None) -> None:
     """An immutable snapshot with a manifest of its hash beside it; an existing one is never overwritten. Before that, the
     key has to be unique and the number of rows the expected one, if these are stated."""
-    if key is not None and not df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    if key is not None and df.count() > df.select(key).distinct().count():
         raise ValueError(f"{key} is not unique")
     manifest = hashes(df)
     if rows is not None and (n := manifest.first()["rows"]) != rows:
