@@ -19,6 +19,8 @@ MOST, STATE = 200_000, 1e-4
 LEAST = 2
 #: Bits of the filter of each order's n-grams, and of the part of it that a code's first byte chooses.
 FILTER, PART = 1 << 27, 1 << 19
+#: Entries of the tables in a bucket, about; codes or entries that a task holds before it sends them to their buckets.
+BUCKET, HELD = 500_000, 1_000_000
 #: What absolute discounting takes from each count; the longest n-gram.
 DISCOUNT, ORDER = 0.75, 3
 
@@ -253,25 +255,120 @@ def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, Model]:
     return tables[0], Model(total, kinds, tables, filters)
 
 
+def in_buckets(codes: np.ndarray, bits: int):
+    """(bucket, places) of the codes, by their first bits; places are in the order of the codes."""
+    order = np.argsort(codes)
+    bucket = (codes[order] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(codes) else []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[i]), order[i:j]
+
+
+def _rows(made: list[tuple[int, bytes]], kind: int, columns: int = 0):
+    """Record batches of (bucket, kind, data) and so many more columns without values."""
+    for k in range(0, len(made), 64):
+        some = made[k : k + 64]
+        yield [pa.array([b for b, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([d for _, d in some], pa.binary()), *[pa.nulls(len(some), t) for t in DOCUMENT[:columns]]]
+
+
+#: Types of the columns of a document's row.
+DOCUMENT = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+NAMES = ["bucket", "kind", "data", "key", "doc_id", "held_out", "n_tokens", "known", "base", "log"]
+
+
+def entries(tables: list[DataFrame], bits: int) -> DataFrame:
+    """(bucket, kind 0, data): codes, counts (-1 but for words) and values of all orders, many in a row."""
+    every = tables[0].select("w", "n", "value")
+    for table in tables[1:]:
+        every = every.unionByName(table.select("w", F.lit(-1).cast("long").alias("n"), "value"))
+
+    def rows(batches):
+        held, size = [], 0
+
+        def sent():
+            codes, n, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            made = [(b, codes[at].tobytes() + n[at].tobytes() + value[at].tobytes()) for b, at in in_buckets(codes, bits)]
+            for columns in _rows(made, 0):
+                yield pa.RecordBatch.from_arrays(columns, NAMES[:3])
+
+        for batch in batches:
+            held.append((batch.column("w").to_numpy().view(np.uint64), batch.column("n").to_numpy(), batch.column("value").to_numpy()))
+            size += batch.num_rows
+            if size > HELD:
+                yield from sent()
+                held, size = [], 0
+        if size:
+            yield from sent()
+
+    return every.mapInArrow(rows, "bucket int, kind int, data binary")
+
+
+def found(entries_: DataFrame, requests: DataFrame, whole: float) -> DataFrame:
+    """(key, known, base, log): what each document gets from the entries whose codes it asks for. Entries and requests of
+    a bucket meet in one task: first the entries, about BUCKET of them, then one request after the other."""
+
+    def rows(batches):
+        now, parts, table = None, [], None
+        for batch in batches:
+            for bucket, kind, data in zip(*(batch.column(c) for c in NAMES[:3]), strict=True):
+                raw = np.frombuffer(data.as_buffer(), np.uint8)
+                if bucket.as_py() != now:
+                    now, parts, table = bucket.as_py(), [], None
+                if kind.as_py() == 0:
+                    parts.append(raw.reshape(3, -1).copy())
+                    continue
+                if table is None:
+                    three = [np.concatenate([p[i].view(t) for p in parts] or [np.zeros(0, t)]) for i, t in enumerate((np.uint64, np.int64, np.float64))]
+                    order = np.argsort(three[0])
+                    table, parts = [x[order] for x in three], []
+                m, k = raw[:16].view(np.int64).tolist()
+                codes, owner, keys = raw[16 : 16 + 8 * m].view(np.uint64), raw[16 + 8 * m : 16 + 12 * m].view(np.uint32), raw[16 + 12 * m :].view(np.int64)
+                at = position(table[0], codes)
+                hit = at >= 0
+                owner, n, value = owner[hit], table[1][at[hit]], table[2][at[hit]]
+                word = n >= 0
+                sums = [np.bincount(owner, x, k) for x in (word, np.where(word, np.log10((np.maximum(n, 0) + 1) / whole), 0.0), value)]
+                some = np.bincount(owner, minlength=k) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(sums[0][some].astype(np.int64)), pa.array(sums[1][some]), pa.array(sums[2][some])], ["key", "late_known", "late_base", "late_log"])
+
+    both = entries_.unionByName(requests).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    late = both.mapInArrow(rows, "key long, late_known long, late_base double, late_log double")
+    return late.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("late_known", "late_base", "late_log")])
+
+
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
-    Values of n-grams that are too rare for the tasks' tables are joined in afterwards, so that no table grows with the
-    corpus on the driver; of longer n-grams only those that a filter passes are. Unknown words are one class, which gets
-    what discounting took from the known ones. Null and empty texts are their end alone. Repeated rows repeat, empty
-    tables give none; other columns are not read. Without training texts all probabilities are 1.
+    Values of n-grams that are too rare for the tasks' tables are asked for in buckets of codes afterwards, so that no
+    table grows with the corpus on the driver or in a task; of longer n-grams only those that a filter passes are.
+    Unknown words are one class, which gets what discounting took from the known ones. Null and empty texts are their
+    end alone. Repeated rows repeat, empty tables give none; other columns are not read. Without training texts all
+    probabilities are 1.
     """
     total, kinds, orders = model.total, model.kinds, len(model.tables)
+    tables = [counts, *model.tables[1:]]
+    bits = max(0, int(np.ceil(np.log2(max(1, sum(t.count() for t in tables)) / BUCKET))))
     sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.filters))
 
     def scored(batches):
         frequent, filters = sent.value
         base = np.log10((frequent[0][1] + 1) / (total + kinds + 1))
+        held, size = [], 0
+
+        def asked():
+            codes, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            made = []
+            for b, at in in_buckets(codes, bits):
+                keys, owner = np.unique(key[at], return_inverse=True)
+                made.append((b, np.array([len(at), len(keys)], np.int64).tobytes() + codes[at].tobytes() + owner.astype(np.uint32).tobytes() + keys.tobytes()))
+            for columns in _rows(made, 1, len(DOCUMENT)):
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
+
         for whole in batches:
             for batch, text in text_pieces(whole, 2 << 20):
                 w, first = tokens(text)
                 add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-                log, late = np.zeros(len(w)), []
+                log, key = np.zeros(len(w)), np.repeat(batch.column("key").to_numpy(), np.diff(first))
                 for k, (codes, ok) in enumerate(grams(w, first, orders)):
                     here = np.flatnonzero(ok)
                     if k:
@@ -279,32 +376,28 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                     at = position(frequent[k][0], codes[here])
                     hit = at >= 0
                     log[here[hit]] += frequent[k][2][at[hit]]
-                    late.append((here[~hit], codes[here[~hit]]))
+                    held.append((codes[here[~hit]], key[here[~hit]]))
+                    size += len(held[-1][0])
                     if not k:
                         plain = np.where(hit, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
                         known = add(hit.astype(np.int64))
-                where = np.concatenate([x for x, _ in late])
-                order = np.argsort(where, kind="stable")
-                ends = np.searchsorted(where[order], first)
-                open_ = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c for _, c in late])[order].view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log)), open_],
-                    ["key", "doc_id", "held_out", "n_tokens", "known", "base", "log", "open"],
-                )
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array([2] * n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log))], NAMES)
+                if size > HELD:
+                    yield from asked()
+                    held, size = [], 0
+        if size:
+            yield from asked()
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), "text")
-    rows = written(rows.mapInArrow(scored, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double, open array<long>"), "lm-scored")
-    values = counts.select("w", "n", "value")
-    for table in model.tables[1:]:
-        values = values.unionByName(table.select("w", F.lit(None).cast("long").alias("n"), "value"))
-    chance = lambda n: F.log10((n + 1) / F.lit(float(total + kinds + 1)))
-    late = rows.select("key", F.explode("open").alias("w")).join(values, "w").groupBy("key").agg(F.count("n").alias("late_known"), F.sum(chance(F.col("n"))).alias("late_base"), F.sum("value").alias("late_log"))
-    out = rows.drop("open").join(written(late, "lm-late"), "key", "left").fillna(0, ["late_known", "late_base", "late_log"])
+    rows = written(rows.mapInArrow(scored, "bucket int, kind int, data binary, key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double"), "lm-scored")
+    late = written(found(entries(tables, bits), rows.filter("kind = 1").select("bucket", "kind", "data"), float(total + kinds + 1)), "lm-late")
+    out = rows.filter("kind = 2").drop("bucket", "kind", "data").join(late, "key", "left").fillna(0, ["late_known", "late_base", "late_log"])
     unknown = F.col("n_tokens") - F.col("known") - F.col("late_known")  # words that training never had
-    unseen = float(np.log10(DISCOUNT * kinds / total)) if total else 0.0
+    chance, unseen = float(np.log10(1 / (total + kinds + 1))), float(np.log10(DISCOUNT * kinds / total)) if total else 0.0
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("late_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("late_base") + unknown * chance(F.lit(0))).alias("base_score"), (F.col("log") + F.col("late_log") + unknown * F.lit(unseen)).alias("score"),
+        (F.col("base") + F.col("late_base") + unknown * F.lit(chance)).alias("base_score"), (F.col("log") + F.col("late_log") + unknown * F.lit(unseen)).alias("score"),
     )
 
 
