@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import Rolling
-from .shared import keyed, own_columns, text_bytes, text_pieces, written
+from .shared import keyed, own_columns, removed, text_bytes, text_pieces, written
 
 #: Bytes of a string that must repeat, and of the window whose least hash is a trigger. A trigger's gram and a window
 #: of triggers together are one string, so that strings which are equal have the same trigger.
@@ -202,9 +202,10 @@ def repeated_strings(dictionary: DataFrame, length: int) -> DataFrame:
     return dictionary.repartition("gram").sortWithinPartitions("gram").mapInArrow(rows, "gram long, phrase long, offs array<short>")
 
 
-def scattered(dictionary: DataFrame, length: int) -> DataFrame:
+def scattered(dictionary: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The same for grams that too many phrases share for one task (a passage in ever other surroundings): one row for
-    each string, counted by 128-bit names before the shuffle, so that neither a gram nor a string is one task's work."""
+    each string, counted by 128-bit names before the shuffle, so that neither a gram nor a string is one task's work.
+    Also the table that was written for it."""
 
     def strings(batches):
         name = xxhash.xxh3_128_digest
@@ -224,7 +225,7 @@ def scattered(dictionary: DataFrame, length: int) -> DataFrame:
 
     all_ = written(dictionary.mapInArrow(strings, "a long, b long, gram long, phrase long, off short, c long"), "repeats-strings")
     twice = all_.groupBy("a", "b").agg(F.sum("c").alias("s")).filter("s > 1").select("a", "b")
-    return all_.filter("c = 1").join(twice, ["a", "b"], "left_semi").groupBy("gram", "phrase").agg(F.collect_list("off").alias("offs"))
+    return all_.filter("c = 1").join(twice, ["a", "b"], "left_semi").groupBy("gram", "phrase").agg(F.collect_list("off").alias("offs")), all_
 
 
 def repeated(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
@@ -261,15 +262,21 @@ def repeated(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> Da
         """The bytes of the phrases with these grams, from one place where each stands."""
         open_ = entries.join(grams.select("gram"), "gram", "left_semi").select("at.key", F.struct("at.begin", "at.size", "gram", "phrase", "c").alias("p"))
         lists = written(open_.groupBy("key").agg(F.collect_list("p").alias("phrases")), "repeats-open")
+        made.append(lists)
         return _with(texts, lists).select("text", "phrases").mapInArrow(bytes_, _BYTES)
 
+    made = [often, parse, entries, forks]
     found = repeated_strings(dictionary(forks.filter(F.col("k") <= CROWD)), length)
     crowds = forks.filter(F.col("k") > CROWD)
     if not crowds.isEmpty():
-        found = found.unionByName(scattered(dictionary(crowds), length))
+        more, strings = scattered(dictionary(crowds), length)
+        found = found.unionByName(more)
+        made.append(strings)
     whole = entries.filter("c > 1").select("gram", "phrase", F.lit(None).cast("array<smallint>").alias("offs"))
     hits = parse.join(whole.unionByName(found), ["gram", "phrase"]).select("key", "begin", "size", "offs")
-    return written(hits.groupBy("key").agg(F.collect_list(F.struct("begin", "size", "offs")).alias("hits")), "repeats-hits")
+    hits = written(hits.groupBy("key").agg(F.collect_list(F.struct("begin", "size", "offs")).alias("hits")), "repeats-hits")
+    removed(*made)
+    return hits
 
 
 def covered(raw: np.ndarray, offsets: np.ndarray, items: pa.ListArray, length: int) -> np.ndarray:
