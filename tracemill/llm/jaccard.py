@@ -160,8 +160,9 @@ def _pairs(shared: DataFrame, *kept: str) -> DataFrame:
     return both.groupBy("x", "y", *own).agg(F.sum("w").alias("i"))
 
 
-def candidates(docs: DataFrame, nodes: DataFrame, size: int, clash: list[int]) -> tuple[DataFrame, DataFrame | None]:
+def candidates(docs: DataFrame, nodes: DataFrame, size: int, clash: list[int], made: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
     """(x, y) nodes, and (bucket, node, n, class) of large groups: every two similar sets are a pair or in one bucket.
+    made: gets the tables that are written for these.
 
     Sets of similarity 0.8 share more than `slack` tokens of their extended prefixes. One of these is rare, unless both
     sets are heavy: have about as many frequent tokens there. Tokens of heavy sets are counted anew, over all of the
@@ -178,11 +179,14 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int, clash: list[int]) -
     # a table, so that a token that many sets have can be split in the join
     often = written(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "jaccard-often")
     shared = written(tokens.join(often, "token", "left_semi").distinct(), "jaccard-shared")
+    made += [often, shared]
     counts = written(shared.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "jaccard-counts")
     shared = shared.join(counts, "token")
+    made.append(counts)
     busy = shared.filter(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("f"), F.max("n").alias("n"))
     busy = busy.select("node", "f", (F.col("f") >= F.floor(F.col("n") * (SLACK * PERCENT / 100)) + 2).alias("heavy"))
     busy = written(busy.join(nodes, "node"), "jaccard-heavy")
+    made.append(busy)
     rare = shared.filter(F.col("df") <= RARE).join(busy.select("node", "f", "heavy"), "node", "left").fillna({"f": 0, "heavy": False})
     after = F.greatest(F.col("x.n") - F.col("x.e"), F.col("y.n") - F.col("y.e"))
     out = _pairs(rare, "e", "f", "heavy").filter(alike & enough(F.col("i") + least("f") + after) & ~(F.col("x.heavy") & F.col("y.heavy"))).select(*ends)
@@ -190,15 +194,18 @@ def candidates(docs: DataFrame, nodes: DataFrame, size: int, clash: list[int]) -
     if heavy.isEmpty():
         return out, None
     full = written(wholes(_only(docs, heavy), size, clash).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-whole")
+    made.append(full)
     full = full.join(full.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     busy = full.filter(F.col("df") > RARE).groupBy("node").agg(F.count("*").alias("f"), F.max("n").alias("n"))
     busy = written(busy.select("node", "f", (F.col("f") * 100 >= F.col("n") * PERCENT).alias("heavy")).join(nodes, "node"), "jaccard-heavier")
+    made.append(busy)
     rare = full.filter(F.col("df") <= RARE).join(busy.select("node", "f", "heavy"), "node", "left").fillna({"f": 0, "heavy": False})
     out = out.unionByName(_pairs(rare, "f", "heavy").filter(alike & enough(F.col("i") + least("f")) & ~(F.col("x.heavy") & F.col("y.heavy"))).select(*ends))
     heavy = busy.filter("heavy").select("node", "row")
     if heavy.isEmpty():
         return out, None
     parts = written(combinations(_only(docs, heavy), size, clash).join(heavy.select("node"), "node", "left_semi").distinct(), "jaccard-parts")
+    made.append(parts)
     parts = parts.join(parts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "token")
     hot = parts.filter(F.col("df") > RARE)
     busy = hot.groupBy("node", "class").agg(F.count("*").alias("f"), F.max("spare").alias("spare"))
@@ -304,13 +311,15 @@ def _labelled(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("node", F.when(F.col("node").isin(clash), F.col("check")).otherwise(F.col("node")))
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"))
     nodes = written(nodes.select("node", F.col("best.doc_id").alias("doc_id"), "best", F.col("best.row").alias("row")), "jaccard-nodes")
-    pairs, members = candidates(docs, nodes, size, clash)
-    pairs = written(pairs.distinct(), "jaccard-pairs")
+    made: list[DataFrame] = []
+    pairs, members = candidates(docs, nodes, size, clash, made)
+    first = pairs = written(pairs.distinct(), "jaccard-pairs")
     every = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
     if members is not None:
         members = written(members, "jaccard-members")
         every = every.unionByName(members.select("node"))
     labels = written(every.distinct().withColumn("label", F.col("node")), "jaccard-nodes")
+    removed(*made)
 
     def tokens(batch, h, first, a, b):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.LargeListArray.from_arrays(pa.array(first), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "set"])
@@ -328,6 +337,8 @@ def _labelled(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         found = written(links, "jaccard-links")
         if not found.isEmpty():
             labels = _relabelled(labels, found)
+        removed(found)
+    removed(first, sets, *([members] if members is not None else []))
     return rows, nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
