@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE_SPACE, keyed, own_columns, written
+from .shared import WHITE_SPACE, keyed, own_columns, removed, written
 
 #: Distinct keys that a bucket holds before it splits.
 BUCKET_KEYS = 50_000
@@ -86,7 +86,9 @@ def _index(source: DataFrame, bucket_keys: int) -> tuple[DataFrame, DataFrame]:
     heads = chains.join(compared.drop("bucket"), ["key", "digest", "n_bytes"], "left")
     # texts that can't be found again compare as null, which is no equality either
     heads = heads.select("key", "digest", "n_bytes", equal.alias("group_size"), (-F.col("best.id")).alias("keep_id"), (-F.col("best.row")).alias("keep_row"))
-    return entries, written(heads, "dedup-heads")
+    heads = written(heads, "dedup-heads")
+    removed(gathered, slots, index)
+    return entries, heads
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -113,7 +115,9 @@ def drop_copies(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     source = whole.select(F.col("key").alias("row"), "doc_id", normalised(F.col("text")).alias("text"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
     entries, heads = _index(source, bucket_keys)
     gone = entries.join(_few(heads), ["key", "digest", "n_bytes"]).filter(F.col("row") != F.col("keep_row")).select(F.col("row").alias("key"))
-    return whole.join(_few(written(gone, "dedup-gone")), "key", "left_anti").select(*own_columns(docs))
+    gone = written(gone, "dedup-gone")
+    removed(entries, heads)
+    return whole.join(_few(gone), "key", "left_anti").select(*own_columns(docs))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
