@@ -62,7 +62,7 @@ def test_verdict(spark):
 
 def test_sources_and_stream(spark, tmp_path):
     from tracemill.sources import tables
-    from tracemill.streaming.ledger import keep_latest, read_ledger
+    from tracemill.streaming.ledger import current, keep_latest, read_ledger
 
     (tmp_path / "a.jsonl").write_text('{"k": "x", "n": 1}\n\n{"k": "x", "n": 2}\n')
     (tmp_path / "b.json").write_text('{"rows": [{"k": "y", "n": 3}]}')
@@ -73,7 +73,7 @@ def test_sources_and_stream(spark, tmp_path):
     for i in (2, 3):
         tables.append_rows(spark.createDataFrame([("x", i)], "k string, n int"), str(folder))
         keep_latest(read_ledger(spark, str(folder), "k string, n int"), ["k"], ["n"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert {(r["k"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out/1")).collect()} == {("x", 3), ("y", 1)}
+    assert {(r["k"], r["n"]) for r in current(spark, str(tmp_path / "out")).collect()} == {("x", 3), ("y", 1)}
     tables.freeze(spark.range(2), str(tmp_path / "frozen"))
     with pytest.raises(Exception, match="already exists"):
         tables.freeze(spark.range(2), str(tmp_path / "frozen"))

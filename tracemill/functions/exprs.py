@@ -26,13 +26,23 @@ def is_subsequence(small: Column, large: Column) -> Column:
     return F.aggregate(large, F.lit(0), step) == F.size(small)
 
 
+def span(text: Column, opening: str, closing: str) -> Column:
+    """From the first opening to the last closing bracket; null if there is none after it."""
+    first, last = F.instr(text, opening), F.length(text) - F.instr(F.reverse(text), closing) + 1
+    return F.when((first > 0) & (F.instr(text, closing) > 0) & (last > first), F.substring(text, first, last - first + 1))
+
+
+def fenced(text: Column, fence: str = "`" * 3) -> Column:
+    """What stands in the first pair of fences, without the name of the language; null if there is no pair."""
+    inner = F.substring_index(F.substring(text, F.instr(text, fence) + len(fence), F.length(text)), fence, 1)
+    pair = F.length(text) - F.length(F.replace(text, F.lit(fence), F.lit(""))) >= 2 * len(fence)
+    return F.when(pair, F.trim(F.when(inner.startswith("json"), F.substring(inner, 5, F.length(inner))).otherwise(inner), F.lit(" \n\t\r")))
+
+
 def json_object(text: Column) -> Column:
     """The JSON object in a reply: the text itself, what is fenced, or the span from the first to the last brace."""
-    fenced = F.regexp_extract(text, r"```(?:json)?\s*(\{[\s\S]*?\})\s*```", 1)
-    span = F.regexp_extract(text, r"(\{[\s\S]*\})", 1)
-    whole = F.when(F.trim(text).startswith("{"), F.trim(text))
-    valid = lambda c: F.when(F.try_parse_json(F.nullif(c, F.lit(""))).isNotNull(), c)
-    return F.coalesce(valid(whole), valid(fenced), valid(span))
+    valid = lambda c: F.when(c.startswith("{") & F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(valid(F.trim(text)), valid(fenced(text)), valid(span(text, "{", "}")))
 
 
 def parity_variant(key: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .exprs import fenced, span
+
 LEAVES = "array<struct<path:string,key:string,kind:string,value:string>>"
 
 
@@ -156,21 +158,11 @@ def changed_paths(before: Column, after: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.array_union(F.array_except(a, b), F.array_except(b, a)), lambda x: x["path"])))
 
 
-def span(text: Column, opening: str, closing: str) -> Column:
-    """From the first opening to the last closing bracket; null if there is none after it."""
-    first, last = F.instr(text, opening), F.length(text) - F.instr(F.reverse(text), closing) + 1
-    return F.when((first > 0) & (F.instr(text, closing) > 0) & (last > first), F.substring(text, first, last - first + 1))
-
-
 def coerced(text: Column) -> Column:
     """The JSON that a reply holds: what stands in its first fence, else the whole, as it is or from its first bracket to
     the last one of that kind; a reply without JSON as it is, null if blank."""
     whole = F.trim(text)
-    fence = "```"
-    inner = F.substring_index(F.substring(whole, F.instr(whole, fence) + 3, F.length(whole)), fence, 1)
-    inner = F.trim(F.when(inner.startswith("json"), F.substring(inner, 5, F.length(inner))).otherwise(inner), F.lit(" \n\t\r"))
-    closed = F.length(whole) - F.length(F.replace(whole, F.lit(fence), F.lit(""))) >= 6
-    body = F.nullif(F.when(closed, inner).otherwise(whole), F.lit(""))
+    body = F.nullif(F.coalesce(fenced(whole), whole), F.lit(""))
     at = lambda c: F.nullif(F.instr(body, c), F.lit(0))
     part = F.when(F.coalesce(at("{") < F.coalesce(at("["), F.lit(2**31 - 1)), F.lit(False)), span(body, "{", "}")).otherwise(span(body, "[", "]"))
     valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)

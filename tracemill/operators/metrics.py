@@ -81,9 +81,9 @@ def bootstrap(clusters: DataFrame, draws: DataFrame, low: float = 0.025, high: f
     """Percentile interval of sum(part) / sum(whole) over samples of clusters. clusters: position, part, whole, one row
     for each cluster; draws: sample, position. Only sums of clusters meet the draws, never rows."""
     each = draws.join(clusters, "position").groupBy("sample").agg((F.sum("part") / F.nullif(F.sum("whole"), F.lit(0))).alias("value"))
-    ranked = each.withColumn("r", F.row_number().over(Window.orderBy("value", "sample")) - 1).withColumn("n", F.lit(1))  # a row for each sample
-    size = each.count()
-    at = lambda share: min(size - 1, int(share * size))
+    every = Window.orderBy("value", "sample")  # a row for each sample
+    ranked = each.withColumns({"r": F.row_number().over(every) - 1, "n": F.count("*").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    at = lambda share: F.least(F.col("n") - 1, F.floor(share * F.col("n")))
     return ranked.agg(F.count("*").alias("samples"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max(F.when(F.col("r") == at(low), F.col("value"))), 6).alias("low"), F.round(F.max(F.when(F.col("r") == at(high), F.col("value"))), 6).alias("high"))
 
 

@@ -64,16 +64,28 @@ def positional_diff(base: DataFrame, other: DataFrame, keys: list[str], value: s
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).withColumn("kind", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed"))
 
 
-def candidate_pairs(safe: DataFrame, unsafe: DataFrame, keys: list[str], gap: Column, k: int) -> DataFrame:
-    """The k closest unsafe partners of each safe row within its group."""
-    pairs = safe.alias("s").join(unsafe.alias("u"), keys).select(*keys, "safe_id", "unsafe_id", gap.alias("gap"))
+def candidate_pairs(safe: DataFrame, unsafe: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k unsafe partners of each safe row within its group that are closest in size, ties by id. safe: keys, safe_id,
+    size; unsafe: keys, unsafe_id, size.
+
+    Both sides are put into the order of sizes; a row meets the k unsafe ones on either side of its place, never a whole
+    group."""
+    rank = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    below = unsafe.select(*keys, "unsafe_id", F.col("size").alias("other"), rank("size", F.desc("unsafe_id")).alias("place"))
+    above = unsafe.select(*keys, "unsafe_id", F.col("size").alias("other"), rank("size", "unsafe_id").alias("place"))
+    both = safe.select(*keys, "safe_id", "size", F.lit(1).alias("side")).unionByName(unsafe.select(*keys, F.lit(None).cast("long").alias("safe_id"), "size", F.lit(0).alias("side")))
+    up_to = Window.partitionBy(*keys).orderBy("size", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("n", F.count_if(F.col("side") == 0).over(up_to).cast("int")).filter("side = 1")  # unsafe rows that are not larger
+    lower = placed.filter("n > 0").withColumn("place", F.explode(F.sequence(F.greatest(F.col("n") - k + 1, F.lit(1)), "n"))).join(below, [*keys, "place"])
+    upper = placed.withColumn("place", F.explode(F.sequence(F.col("n") + 1, F.col("n") + k))).join(above, [*keys, "place"])
+    pairs = lower.unionByName(upper).select(*keys, "safe_id", "unsafe_id", F.abs(F.col("size") - F.col("other")).alias("gap"))
     return first_k(pairs, ["safe_id"], ["gap", "unsafe_id"], k)
 
 
 def distinct_first(df: DataFrame, task: str, order: list, limit: int) -> DataFrame:
     """The first rows, a row of each task before any second one; a global top-k, which Spark takes from each partition."""
     turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(task).orderBy(*order)))
-    return turn.orderBy("turn", *order).limit(limit)
+    return turn.filter(F.col("turn") <= limit).orderBy("turn", *order).limit(limit)
 
 
 def quota(df: DataFrame, cell: list[str], order: list, limits: DataFrame, default: int) -> DataFrame:

@@ -92,10 +92,12 @@ def j02_full_outer_delta(spark, sf_dir):
     return _deltas(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("base", "comparison")})
 
 
-@query(f"""{DELTAS}, n AS (SELECT policy, seed, round(mean_latency_ms - mean_latency_ms, 6) + 0.001 AS null_delta FROM seeds WHERE side = 0)
-SELECT policy, seed, delta, null_delta::DOUBLE AS null_delta, round(delta - null_delta, 6) AS advantage FROM d JOIN n USING (policy, seed)""")
+@query(f"""{DELTAS}, n AS (SELECT policy, task_id % 5 AS seed, round(avg(success) FILTER (task_id % 2 = 1) - avg(success) FILTER (task_id % 2 = 0), 6) AS null_delta FROM results WHERE user_id % 2 = 0 GROUP BY ALL)
+SELECT policy, seed, delta, null_delta, round(delta - null_delta, 6) AS advantage FROM d JOIN n USING (policy, seed)""")
 def j03_advantage_vs_null(spark, sf_dir):
-    null = _seeds(spark, sf_dir).filter("side = 0").select("policy", "seed", (F.round(F.col("mean_latency_ms") - F.col("mean_latency_ms"), 6) + F.lit(0.001)).alias("delta"))
+    # the null run compares two halves of the base run's tasks
+    halves = task_results(attempts(spark, sf_dir)).filter("user_id % 2 = 0").groupBy("policy", (F.col("task_id") % 5).alias("seed"), (F.col("task_id") % 2).alias("half")).agg(F.avg("success").alias("rate"))
+    null = M.delta(halves.filter("half = 0"), halves.filter("half = 1"), ["policy", "seed"], "rate")
     return M.advantage(_deltas(spark, sf_dir), null, ["policy", "seed"])
 
 

@@ -22,9 +22,9 @@ def _lines(spark, sf_dir):
 SELECT task, agent, safe_id, unsafe_id, gap, rank FROM (SELECT *, row_number() OVER (PARTITION BY safe_id ORDER BY gap, unsafe_id)::INT AS rank FROM p) WHERE rank <= 2""")
 def j10_candidate_pairs(spark, sf_dir):
     x = _lines(spark, sf_dir)
-    safe = x.filter("flag = 'N'").select("task", "agent", F.col("id").alias("safe_id"), F.col("size").alias("a"))
-    unsafe = x.filter("flag = 'R'").select("task", "agent", F.col("id").alias("unsafe_id"), F.col("size").alias("b"))
-    return T.candidate_pairs(safe, unsafe, ["task", "agent"], F.abs(F.col("a") - F.col("b")), 2)
+    safe = x.filter("flag = 'N'").select("task", "agent", F.col("id").alias("safe_id"), "size")
+    unsafe = x.filter("flag = 'R'").select("task", "agent", F.col("id").alias("unsafe_id"), "size")
+    return T.candidate_pairs(safe, unsafe, ["task", "agent"], 2)
 
 
 @query(f"""WITH {LINES} SELECT task, id, rank FROM (SELECT task, id, row_number() OVER (PARTITION BY task ORDER BY size DESC, id)::INT AS rank FROM l) WHERE rank <= 3""")

@@ -3,25 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.traces import latest, upsert
 
+#: Parts of the table by a hash of the key; a batch rewrites those that it touches.
+BUCKETS = 64
+
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """New lines of JSON files that appear in a folder."""
     return spark.readStream.schema(schema).json(path)
 
 
+def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The rows of each bucket's newest generation, with its bucket; of those before a batch if one is stated."""
+    rows = spark.read.parquet(target)
+    rows = rows if before is None else rows.filter(F.col("generation") < before)
+    newest = rows.groupBy("bucket").agg(F.max("generation").alias("generation"))
+    return rows.join(F.broadcast(newest), ["bucket", "generation"]).drop("generation")  # BUCKETS rows
+
+
 def keep_latest(stream: DataFrame, keys: list[str], order: list[str], target: str, checkpoint: str):
-    """Starts a query that holds the newest row of each key in generations of a Parquet table under `target`.
+    """Starts a query that holds the newest row of each key in a Parquet table under `target`, see `current`.
 
-    A batch that is repeated after a failure writes the same generation again, so that the result stays the same."""
+    A batch writes a new generation of the buckets that its keys fall into. One that is repeated after a failure writes
+    the same generation again, so that the result stays the same."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, new = batch.sparkSession, latest(batch, keys, order)
+        spark = batch.sparkSession
+        new = latest(batch, keys, order).withColumn("bucket", bucket)
         if number:
-            old = spark.read.parquet(f"{target}/{number - 1}")
-            new = upsert(old, latest(new.unionByName(old.join(new.select(*keys), keys, "left_semi")), keys, order), keys)
-        new.write.mode("overwrite").parquet(f"{target}/{number}")
+            old = current(spark, target, number).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # BUCKETS rows
+            held = latest(new.unionByName(old.join(new.select(*keys), keys, "left_semi")), keys, order)
+            new = upsert(old, held.select(*old.columns), keys)
+        rows = new.withColumn("generation", F.lit(number))
+        rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket", "generation").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
