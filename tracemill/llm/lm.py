@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,15 +239,15 @@ def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, Model]:
     tables, filters, known = [], [], None
     for k in range(2, order + 1):
         often = lower.filter(F.col("n") >= STATE * total).select("w")  # at most 1 / STATE rows
-        found = written(counted(docs, k, known), "lm-grams")
-        below = written(looked_up(found, "b", lower.select("w", F.col("log").alias("below")), often).select("w", "a", "n", "below"), "lm-below")
+        grams_ = written(counted(docs, k, known), "lm-grams")
+        below = written(looked_up(grams_, "b", lower.select("w", F.col("log").alias("below")), often).select("w", "a", "n", "below"), "lm-below")
         sums = below.groupBy("a").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("mass"), F.sum(F.pow(F.lit(10.0), "below")).alias("rest")).withColumnRenamed("a", "w")
         left = lambda x: F.greatest(1 - x, F.lit(1e-12))
         weights = written(sums.join(lower.select("w", F.col("n").alias("seen")), "w").select("w", "seen", F.log10(left(F.col("mass") / F.col("seen")) / left(F.col("rest"))).alias("weight")), "lm-weights")
         tables.append(written(lower.join(weights, "w", "left").select("w", "n", (F.col("value") + F.coalesce("weight", F.lit(0.0))).alias("value")), "lm-values"))
         log = F.log10((F.col("n") - DISCOUNT) / F.col("seen"))
         next_ = written(looked_up(below, "a", weights, often).select("w", "n", log.alias("log"), (log - F.col("below") - F.col("weight")).alias("value")), "lm-lower")
-        for table in (found, below, weights, lower):
+        for table in (grams_, below, weights, lower):
             removed(table)
         lower = next_
         filters.append(filter_of(lower))
@@ -264,20 +265,24 @@ def in_buckets(codes: np.ndarray, bits: int):
         yield int(bucket[i]), order[i:j]
 
 
-def _rows(made: list[tuple[int, bytes]], kind: int, columns: int = 0):
-    """Record batches of (bucket, kind, data) and so many more columns without values."""
-    for k in range(0, len(made), 64):
-        some = made[k : k + 64]
-        yield [pa.array([b for b, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([d for _, d in some], pa.binary()), *[pa.nulls(len(some), t) for t in DOCUMENT[:columns]]]
+#: Rows of a bucket: entries of the tables (kind 0), codes that documents ask for (1), and documents with what is known
+#: of them already (2), in columns of their own.
+DOCUMENT = {"key": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "log": pa.float64()}
+NAMES = ["bucket", "kind", "data", *DOCUMENT]
+SUMS = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double"
+ROWS = f"bucket int, kind int, data binary, {SUMS}"
 
 
-#: Types of the columns of a document's row.
-DOCUMENT = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-NAMES = ["bucket", "kind", "data", "key", "doc_id", "held_out", "n_tokens", "known", "base", "log"]
+def _rows(made: list[tuple[int, bytes]], kind: int):
+    """Record batches of entries or codes."""
+    for k in range(0, len(made), 64):
+        some = made[k : k + 64]
+        columns = [pa.array([b for b, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([d for _, d in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(some), t) for t in DOCUMENT.values()]], NAMES)
 
 
 def entries(tables: list[DataFrame], bits: int) -> DataFrame:
-    """(bucket, kind 0, data): codes, counts (-1 but for words) and values of all orders, many in a row."""
+    """Codes, counts (-1 but for words) and values of all orders, many in a row."""
     every = tables[0].select("w", "n", "value")
     for table in tables[1:]:
         every = every.unionByName(table.select("w", F.lit(-1).cast("long").alias("n"), "value"))
@@ -288,8 +293,7 @@ def entries(tables: list[DataFrame], bits: int) -> DataFrame:
         def sent():
             codes, n, value = (np.concatenate(x) for x in zip(*held, strict=True))
             made = [(b, codes[at].tobytes() + n[at].tobytes() + value[at].tobytes()) for b, at in in_buckets(codes, bits)]
-            for columns in _rows(made, 0):
-                yield pa.RecordBatch.from_arrays(columns, NAMES[:3])
+            yield from _rows(made, 0)
 
         for batch in batches:
             held.append((batch.column("w").to_numpy().view(np.uint64), batch.column("n").to_numpy(), batch.column("value").to_numpy()))
@@ -300,16 +304,20 @@ def entries(tables: list[DataFrame], bits: int) -> DataFrame:
         if size:
             yield from sent()
 
-    return every.mapInArrow(rows, "bucket int, kind int, data binary")
+    return every.mapInArrow(rows, ROWS)
 
 
-def found(entries_: DataFrame, requests: DataFrame, whole: float) -> DataFrame:
-    """(key, known, base, log): what each document gets from the entries whose codes it asks for. Entries and requests of
-    a bucket meet in one task: first the entries, about BUCKET of them, then one request after the other."""
+def found(rows_: DataFrame, whole: float) -> DataFrame:
+    """The sums of each document over what was known of it and what it gets from the entries whose codes it asks for. All
+    rows of a bucket meet in one task: first the entries, about BUCKET of them, then one list of codes after the other."""
 
     def rows(batches):
         now, parts, table = None, [], None
-        for batch in batches:
+        for all_ in batches:
+            is_document = pc.equal(all_.column("kind"), 2)
+            own = all_.filter(is_document)
+            yield pa.RecordBatch.from_arrays([own.column(c) for c in DOCUMENT], list(DOCUMENT))
+            batch = all_.filter(pc.invert(is_document))
             for bucket, kind, data in zip(*(batch.column(c) for c in NAMES[:3]), strict=True):
                 raw = np.frombuffer(data.as_buffer(), np.uint8)
                 if bucket.as_py() != now:
@@ -329,11 +337,11 @@ def found(entries_: DataFrame, requests: DataFrame, whole: float) -> DataFrame:
                 word = n >= 0
                 sums = [np.bincount(owner, x, k) for x in (word, np.where(word, np.log10((np.maximum(n, 0) + 1) / whole), 0.0), value)]
                 some = np.bincount(owner, minlength=k) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(sums[0][some].astype(np.int64)), pa.array(sums[1][some]), pa.array(sums[2][some])], ["key", "late_known", "late_base", "late_log"])
+                n_ = int(some.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.nulls(n_, pa.int64()), pa.nulls(n_, pa.bool_()), pa.nulls(n_, pa.int64()), pa.array(sums[0][some].astype(np.int64)), *(pa.array(x[some].astype(np.float64)) for x in sums[1:])], list(DOCUMENT))
 
-    both = entries_.unionByName(requests).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    late = both.mapInArrow(rows, "key long, late_known long, late_base double, late_log double")
-    return late.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("late_known", "late_base", "late_log")])
+    parts_ = rows_.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(rows, SUMS)
+    return parts_.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "log")])
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
@@ -361,8 +369,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             for b, at in in_buckets(codes, bits):
                 keys, owner = np.unique(key[at], return_inverse=True)
                 made.append((b, np.array([len(at), len(keys)], np.int64).tobytes() + codes[at].tobytes() + owner.astype(np.uint32).tobytes() + keys.tobytes()))
-            for columns in _rows(made, 1, len(DOCUMENT)):
-                yield pa.RecordBatch.from_arrays(columns, NAMES)
+            yield from _rows(made, 1)
 
         for whole in batches:
             for batch, text in text_pieces(whole, 2 << 20):
@@ -382,7 +389,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                         plain = np.where(hit, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
                         known = add(hit.astype(np.int64))
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array([2] * n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log))], NAMES)
+                bucket = batch.column("key").to_numpy() % (1 << bits)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array([2] * n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log))], NAMES)
                 if size > HELD:
                     yield from asked()
                     held, size = [], 0
@@ -390,14 +398,12 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             yield from asked()
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), "text")
-    rows = written(rows.mapInArrow(scored, "bucket int, kind int, data binary, key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double"), "lm-scored")
-    late = written(found(entries(tables, bits), rows.filter("kind = 1").select("bucket", "kind", "data"), float(total + kinds + 1)), "lm-late")
-    out = rows.filter("kind = 2").drop("bucket", "kind", "data").join(late, "key", "left").fillna(0, ["late_known", "late_base", "late_log"])
-    unknown = F.col("n_tokens") - F.col("known") - F.col("late_known")  # words that training never had
+    out = found(entries(tables, bits).unionByName(rows.mapInArrow(scored, ROWS)), float(total + kinds + 1))
+    unknown = F.col("n_tokens") - F.col("known")  # words that training never had
     chance, unseen = float(np.log10(1 / (total + kinds + 1))), float(np.log10(DISCOUNT * kinds / total)) if total else 0.0
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("late_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("late_base") + unknown * F.lit(chance)).alias("base_score"), (F.col("log") + F.col("late_log") + unknown * F.lit(unseen)).alias("score"),
+        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + unknown * F.lit(chance)).alias("base_score"), (F.col("log") + unknown * F.lit(unseen)).alias("score"),
     )
 
 
