@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, jaccard, language, licences, lm, packing, repeats, topk, toxicity
+from . import bpe, dedup, jaccard, language, licences, lm, merkle, packing, repeats, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_lm_score": lm.op8_lm_score,
     "op9_language": language.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op13_merkle": merkle.op13_merkle,
 }
-ORACLE_SQL = {"op1_top_k": topk.ORACLE, "op2_exact_dedup": dedup.ORACLE, "op4_licences": licences.ORACLE}
+ORACLE_SQL = {"op1_top_k": topk.ORACLE, "op2_exact_dedup": dedup.ORACLE, "op4_licences": licences.ORACLE, "op13_merkle": merkle.ORACLE}
