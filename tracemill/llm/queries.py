@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dedup, jaccard, language, licences, lm, merkle, packing, periodic, repeats, topk, toxicity
+from . import bpe, dedup, jaccard, language, lattice, licences, lm, merkle, packing, periodic, repeats, topk, toxicity
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_near_embeddings": lattice.op12_near_embeddings,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLE_SQL = {"op1_top_k": topk.ORACLE, "op2_exact_dedup": dedup.ORACLE, "op4_licences": licences.ORACLE, "op13_merkle": merkle.ORACLE}
