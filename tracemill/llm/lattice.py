@@ -208,8 +208,8 @@ def gathered(nodes: DataFrame, rows: int) -> DataFrame:
     if full.isEmpty():
         return small
     cut = crowded.join(_few(full), "slot", "left_semi").withColumn("parts", F.ceil(F.col("n") / rows))
-    name = lambda part: F.concat_ws(":", "class", part)
-    blocks = cut.select("slot", "class", name(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("block"))
+    name = lambda part: F.concat_ws(":", F.col("class").cast("string"), part.cast("string"))
+    blocks = cut.select("slot", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("slot", "class", name(F.col("part")).alias("block"))
     left, right = blocks.toDF("slot", "class", "a"), blocks.toDF("slot", "other", "b")
     pairs = written(left.join(right, "slot").filter((F.col("a") <= F.col("b")) & ~((F.col("class") == F.col("other")) & (F.col("class") >= 0))).select("slot", "a", "b"), "lattice-blocks")
     mine = each.join(_few(cut.select("slot", "class", "parts")), ["slot", "class"]).withColumn("block", name(F.pmod(F.xxhash64("node"), F.col("parts"))))
