@@ -13,8 +13,15 @@ THRESHOLD, FILE_SHARE = 0.7, 0.5
 TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"
 #: Names of files that license their directory.
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense|notice)([-._].*)?$"
-#: Runs of lines that begin with a comment mark; what parts paragraphs.
-HEADER, BLANK = r"(?:^[ \t]*(?:#|//|/?[*]|--|;|%)[^\n]*\n?)+", r"\n[ \t]*\n"
+#: What a comment line begins with, and what parts paragraphs. Possessive quantifiers, since Java's patterns run others
+#: over groups by recursion, which a long file would end.
+MARK, BLANK = r"[ \t]*+(?:#|//|/?[*]|--|;|%)", r"\n[ \t]*\n"
+JAVA_TOKEN = "[a-z0-9]++(?:[.][0-9]++)*+"
+#: Runs of comment lines, as SQL has them; runs of comment lines and runs of others.
+HEADER = r"(?:^[ \t]*(?:#|//|/?[*]|--|;|%)[^\n]*\n?)+"
+BLOCKS = rf"(?md)((?:^{MARK}[^\n]*+\n?+)++|(?:^(?!{MARK})[^\n]*+\n?+)++)"
+#: Rows of small tables that are broadcast at most.
+BROADCAST_ROWS = 500_000
 _WARRANTY = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this {1}. If not, see https://www.gnu.org/licenses/."
 _AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -62,7 +69,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def token_list(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(JAVA_TOKEN), F.lit(0))
 
 
 def weighted(files: DataFrame, known: DataFrame) -> tuple[DataFrame, float]:
@@ -102,37 +109,80 @@ def anchors(weights: DataFrame, threshold: float) -> list[str]:
     return sorted(out)
 
 
-def units(files: DataFrame) -> DataFrame:
-    """(key, kind, unit, text): the lines of each file, its runs of comment lines, its paragraphs if there are several,
-    and the whole."""
-    made = lambda kind, texts: F.transform(texts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("unit"), x.alias("text")))
-    paragraphs = F.split("text", BLANK)
-    all_ = F.concat(
-        made("line", F.split("text", "\n")), made("header", F.regexp_extract_all("text", F.lit(f"(?md)({HEADER})"), F.lit(1))),
-        F.when(F.size(paragraphs) > 1, made("paragraph", paragraphs)).otherwise(made("paragraph", F.expr("cast(array() as array<string>)"))), made("file", F.array("text")),
-    )
-    return files.select("key", F.explode(all_).alias("u")).select("key", "u.*")
+def lines(files: DataFrame) -> DataFrame:
+    """(key, whole, many, p, paragraph, comment, b, block, l, line, own): the lines of each file, with the numbers of their
+    paragraph, of their run of comment lines or of others in it, and of the line in that. whole, paragraph, block, own: the
+    characters of these. many: the file has several paragraphs."""
+    # what is taken from a text is taken before it is exploded, or each line would carry it
+    whole = files.select("key", F.length("text").alias("whole"), F.split("text", BLANK).alias("all"))
+    paragraphs = whole.select("key", "whole", (F.size("all") > 1).alias("many"), "all").select("key", "whole", "many", F.posexplode("all").alias("p", "text"))
+    runs = paragraphs.select("key", "whole", "many", "p", F.length("text").alias("paragraph"), F.regexp_extract_all("text", F.lit(BLOCKS), F.lit(1)).alias("all"))
+    blocks = runs.select("key", "whole", "many", "p", "paragraph", F.posexplode("all").alias("b", "text"))
+    held = blocks.select("key", "whole", "many", "p", "paragraph", "b", F.length("text").alias("block"), F.col("text").rlike(f"^{MARK}").alias("comment"), F.split("text", "\n").alias("all"))
+    each = held.select("key", "whole", "many", "p", "paragraph", "b", "block", "comment", F.posexplode("all").alias("l", "line"))
+    return each.filter("line <> ''").withColumn("own", F.length("line"))
+
+
+#: The numbers that tell a file's units apart.
+UNIT = ["p", "b", "l"]
+
+
+def of_units(rows: DataFrame, *kept: str) -> DataFrame:
+    """A row of `kept`, with n_chars, for each unit that a line belongs to: itself, its run of comment lines, its
+    paragraph if there are several, and its file. The numbers of what is larger than a part are -1."""
+    no, p, b = F.lit(-1), F.col("p"), F.col("b")
+    unit = lambda p, b, own, n: F.struct(p.alias("p"), b.alias("b"), own.alias("l"), F.col(n).alias("n_chars"))
+    all_ = F.array(unit(p, b, F.col("l"), "own"), F.when(F.col("comment"), unit(p, b, no, "block")), F.when(F.col("many"), unit(p, no, no, "paragraph")), unit(no, no, no, "whole"))
+    return rows.select("key", *kept, F.explode(F.filter(all_, lambda u: u.isNotNull())).alias("u")).select("key", "u.*", *kept)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def matches(files: DataFrame, known: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, kind, unit, license_id, score, n_chars) for each unit whose cosine to a template reaches the threshold; the
-    best template of each unit. files: key, text."""
+    """(key, kind, license_id, score, n_chars) for each unit whose cosine to a template reaches the threshold; the best
+    template of each unit. files: key, text.
+
+    Texts are read as lines. The counts of a run of comment lines, a paragraph or a file are sums over its lines; lines
+    are dealt by file once, and all sums are made where they lie. Only words that templates have are counted at first:
+    with each other word as one that stands once, the norm is at least what it is then, so the cosine at most. Units that
+    this bound leaves, few, are weighed with all their words.
+    """
     weights, rare = weighted(files, known)
     need = anchors(weights, threshold)
     if not need:
-        return files.sparkSession.createDataFrame([], "key long, kind string, unit int, license_id string, score double, n_chars int")
+        return files.sparkSession.createDataFrame([], "key long, kind string, license_id string, score double, n_chars long")
     pattern = "(?i)(?<![a-z0-9])(" + "|".join(t.replace(".", "[.]") for t in need) + ")(?![a-z0-9])"
-    all_ = units(files.filter(F.col("text").rlike(pattern))).filter(F.col("text").rlike(pattern))
-    unit = ["key", "kind", "unit"]
-    tokens = all_.select(*unit, F.length("text").alias("n_chars"), F.explode(token_list(F.col("text"))).alias("token"))
-    tf = tokens.groupBy(*unit, "token").agg(F.count("*").alias("tf"), F.max("n_chars").alias("n_chars"))
     idf = weights.select("token", "idf").distinct()
-    tf = written(tf.join(F.broadcast(idf), "token", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(rare))), "licence-units")  # read twice below
-    norm = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("unit_norm"), F.max("n_chars").alias("n_chars"))
-    dot = tf.join(F.broadcast(weights.select("template_id", "license_id", "token", "w", "norm")), "token").groupBy(*unit, "template_id", "license_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.max("norm").alias("norm"))
-    scored = dot.join(norm, unit).select(*unit, "license_id", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("score"), "n_chars").filter(F.col("score") >= threshold)
+    vocabulary = sorted(r["token"] for r in idf.collect())  # bounded by the templates
+    unit = ["key", *UNIT]
+    words = lines(files.filter(F.col("text").rlike(pattern))).withColumn("words", token_list(F.col("line")))
+    held = words.withColumn("held", F.filter("words", lambda x: x.isin(vocabulary)))
+    term = lambda token, n: F.struct(token.alias("token"), n.cast("long").alias("n"))
+    rest = F.lit("")  # no word: all that no template has
+    terms = F.concat(F.transform("held", lambda x: term(x, F.lit(1))), F.array(term(rest, F.size("words") - F.size("held"))))
+    dealt = of_units(held.withColumn("terms", terms).drop("words", "held", "line").repartition("key"), "terms")
+    each = dealt.select(*unit, "n_chars", F.explode("terms").alias("t"))
+    tf = each.groupBy(*unit, F.col("t.token").alias("token")).agg(F.sum("t.n").alias("tf"), F.max("n_chars").alias("n_chars")).join(F.broadcast(idf), "token", "left")
+    v = F.col("tf") * F.col("idf")
+    sums = tf.groupBy(*unit).agg(
+        F.sum(v * v).alias("square"), F.max(F.when(F.col("token") == rest, F.col("tf"))).alias("others"), F.max("n_chars").alias("n_chars"),
+        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("token", v.alias("v")))).alias("held"),
+    )
+    at_least = F.sqrt(F.col("square") + F.col("others") * rare * rare).alias("least")
+    by_template = sums.select(*unit, at_least, "n_chars", F.explode("held").alias("h")).select(*unit, "least", "n_chars", "h.*").join(F.broadcast(weights.select("template_id", "license_id", "token", "w", "norm")), "token")
+    dot = by_template.groupBy(*unit, "template_id", "license_id").agg(F.sum(F.col("v") * F.col("w")).alias("dot"), F.max("norm").alias("norm"), F.max("least").alias("least"), F.max("n_chars").alias("n_chars"))
+    left = written(dot.filter(F.col("dot") >= F.col("norm") * F.col("least") * (threshold - 1e-6)), "licence-units")
+    some = left.select(*unit).distinct()
+    again = lines(files.join(_few(left.select("key").distinct()), "key", "left_semi")).withColumn("words", token_list(F.col("line")))
+    whole = of_units(again, "words").join(_few(some), unit, "left_semi").select(*unit, F.explode("words").alias("token")).groupBy(*unit, "token").agg(F.count("*").alias("tf"))
+    value = F.col("tf") * F.coalesce("idf", F.lit(rare))
+    norms = whole.join(F.broadcast(idf), "token", "left").groupBy(*unit).agg(F.sqrt(F.sum(value * value)).alias("unit_norm"))
+    scored = left.join(norms, unit).select(*unit, "license_id", F.round(F.col("dot") / (F.col("norm") * F.col("unit_norm")), 6).alias("score"), "n_chars").filter(F.col("score") >= threshold)
     best = scored.groupBy(*unit).agg(F.min_by(F.struct("license_id", "score", "n_chars"), F.struct((-F.col("score")).alias("a"), F.col("license_id").alias("b"))).alias("m"))
-    return best.select(*unit, "m.*")
+    kind = F.when(F.col("l") >= 0, "line").when(F.col("b") >= 0, "header").when(F.col("p") >= 0, "paragraph").otherwise("file").alias("kind")
+    return best.select("key", kind, "m.*")
 
 
 def folders(path):
