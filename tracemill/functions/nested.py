@@ -1,133 +1,190 @@
-"""JSON of any depth: leaves, keys and rewriting. Arrow batches of texts go through small Python helpers; texts that are
-null or no JSON give null."""
+"""JSON of any depth, walked and rewritten within the JVM: levels of VARIANT are opened one after the other.
+
+Texts that are null or no JSON (more than one value, a key twice, nesting beyond 999, half a surrogate pair) give null.
+Objects are read in the order of their keys, numbers in their shortest form.
+"""
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .exprs import fenced, span
 
-LEAVES = "array<struct<path:string,key:string,kind:string,value:string>>"
+#: An escape of half a surrogate pair that its other half doesn't follow or precede.
+_HALF = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
+#: Levels that the parser reads at most.
+DEPTH = 1000
+
+Item = Callable[[Column], Column]
+
+
+def let(value: Column, then: Item) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def read(text: Column) -> Column:
+    """The JSON as VARIANT. A parser that stops at the end of the first value would take `1 apple` for a number, so that
+    the text is read as a list of one."""
+    one = lambda whole: F.when((F.size(whole) == 1) & ~text.rlike(_HALF), F.get(whole, 0))
+    return let(variants(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))), one)
+
+
+def of_json(text: Column, then: Item) -> Column:
+    """then(the JSON of the text), null where it has none."""
+    return let(read(text), lambda value: F.when(value.isNotNull(), then(value)))
+
 
+def variants(value: Column) -> Column:
+    """The items of a list, null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
-def _read(text):
-    try:
-        return json.loads(text) if text is not None else None
-    except ValueError:
-        return None
 
+def entries(value: Column) -> Column:
+    """(key, value) of an object in the order of its keys, null for anything else."""
+    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
 
-def _dump(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
+def dump(value: Column) -> Column:
+    """A VARIANT, not null, as JSON."""
+    return F.to_json(value)
 
-def _kind(value) -> str:
-    return "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "string" if isinstance(value, str) else "list" if isinstance(value, list) else "object"
 
+def quoted(text: Column) -> Column:
+    """A text as JSON."""
+    return F.to_json(text.cast("variant"))
 
-def _walk(value, path, key, through_lists, out):
-    if isinstance(value, dict):
-        for k, v in value.items():
-            _walk(v, f"{path}.{k}" if path else k, k, through_lists, out)
-    elif isinstance(value, list) and through_lists:
-        for v in value:
-            _walk(v, path, key, through_lists, out)
-    else:
-        out.append((path, key, _kind(value), _dump(value)))
-    return out
 
+def value_at(value: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{name}", kind)
 
-def _strings(f, *columns: Column) -> Column:
-    def rows(*series: pd.Series) -> pd.Series:
-        return pd.Series([f(*xs) for xs in zip(*series, strict=True)], dtype=object)
 
-    # a signature of as many columns, which Spark reads from the annotations
-    if len(columns) == 1:
-        def one(a: pd.Series) -> pd.Series:
-            return rows(a)
-        return F.pandas_udf(one, "string")(*columns)
+def opened(text: Column, first: Column, inner: Item, done: Item, steps: int = 1) -> Column:
+    """What done(items) makes of `first`, an array of structs with a flag `open`, once each open item has given way to its
+    inner(item) where it stands, or is closed if that is null.
 
-    def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return rows(a, b)
+    A JSON text has no more levels than brackets, and no more than the parser reads; `steps` for each level are taken,
+    and those beyond the last one cost nothing."""
+    most = F.sequence(F.lit(0), steps * F.least(F.lit(DEPTH), F.regexp_count(text, F.lit(r"[\[{]")) + 1))
+    state = lambda items: F.struct(items.alias("items"), F.exists(items, lambda x: x["open"]).alias("more"))
+    give = lambda x: F.when(x["open"], F.coalesce(inner(x), F.array(x.withField("open", F.lit(False))))).otherwise(F.array(x))
+    step = lambda s, _: F.when(s["more"], let(F.flatten(F.transform(s["items"], give)), state)).otherwise(s)
+    return F.aggregate(most, F.struct(first.alias("items"), F.lit(True).alias("more")), step, lambda s: done(s["items"]))
 
-    return F.pandas_udf(two, "string")(*columns)
+
+def kind(json: Column) -> Column:
+    """null, boolean, number, string, list or object, from the first character."""
+    return F.coalesce(F.element_at(F.create_map(*map(F.lit, ('"', "string", "{", "object", "[", "list", "t", "boolean", "f", "boolean", "n", "null"))), F.substring(json, 1, 1)), F.lit("number"))
+
+
+def _under(path: Column, key: Column) -> Column:
+    return F.concat_ws(".", F.nullif(path, F.lit("")), key)
 
 
 def leaves(text: Column, through_lists: bool = True) -> Column:
-    """The scalars with their dotted paths, nearest keys and kinds, each as JSON; lists count as leaves unless they are
-    walked through."""
+    """(path, key, kind, value, text): the scalars with their dotted paths and nearest keys, as JSON and, if they are
+    strings, as they read; lists count as leaves unless they are walked through."""
+    node = lambda path, key, value: F.struct(path.alias("path"), key.alias("key"), value.alias("value"), F.lit(True).alias("open"))
 
-    def rows(a: pd.Series) -> pd.Series:
-        return pd.Series([None if (v := _read(t)) is None else _walk(v, "", None, through_lists, []) for t in a], dtype=object)
+    def inner(x):
+        below = F.transform(entries(x["value"]), lambda e: node(_under(x["path"], e["key"]), e["key"], e["value"]))
+        return F.coalesce(below, F.transform(variants(x["value"]), lambda v: node(x["path"], x["key"], v))) if through_lists else below
 
-    return F.pandas_udf(rows, LEAVES)(text)
+    def leaf(x):
+        told = lambda j: F.struct(x["path"].alias("path"), x["key"].alias("key"), kind(j).alias("kind"), j.alias("value"), F.when(F.startswith(j, F.lit('"')), x["value"].cast("string")).alias("text"))
+        return let(dump(x["value"]), told)
+
+    first = lambda value: F.array(node(F.lit(""), F.lit(None).cast("string"), value))
+    return of_json(text, lambda value: opened(text, first(value), inner, lambda items: F.transform(items, leaf)))
 
 
 def keys(text: Column) -> Column:
-    """The keys of objects at any depth, each once."""
+    """The keys of objects at any depth, each once, in order."""
+    node = lambda key, value, is_open: F.struct(key.alias("key"), value.alias("value"), is_open.alias("open"))
+    no = F.lit(None).cast("string")
+
+    def inner(x):
+        named = F.concat(F.array(node(x["key"], F.lit(None).cast("variant"), F.lit(False))), F.transform(entries(x["value"]), lambda e: node(e["key"], e["value"], F.lit(True))))
+        return F.coalesce(named, F.concat(F.array(node(x["key"], F.lit(None).cast("variant"), F.lit(False))), F.transform(variants(x["value"]), lambda v: node(no, v, F.lit(True)))))
 
-    def of(value) -> set:
-        inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-        return (set(value) if isinstance(value, dict) else set()).union(*map(of, inner))
+    every = lambda items: F.array_sort(F.array_distinct(F.array_compact(F.transform(items, lambda x: x["key"]))))
+    return of_json(text, lambda value: opened(text, F.array(node(no, value, F.lit(True))), inner, every))
 
-    def rows(a: pd.Series) -> pd.Series:
-        return pd.Series([None if (v := _read(t)) is None else sorted(of(v)) for t in a], dtype=object)
 
-    return F.pandas_udf(rows, "array<string>")(text)
+def _rewritten(text: Column, of_object: Callable[[Column], Column]) -> Column:
+    """The JSON with other entries for those of each object: of_object(entries) gives (key, value, instead), where
+    `instead`, if not null, is the JSON that stands there. Items are pieces of the text, in order."""
+    piece = lambda before, value: F.struct(before.alias("before"), value.alias("value"), value.isNotNull().alias("open"))
+    only = lambda before: F.array(piece(before, F.lit(None).cast("variant")))
+    comma = lambda i: F.when(i > 0, ",").otherwise("")
 
+    def inner(x):
+        entry = lambda e, i: piece(F.concat(comma(i), quoted(e["key"]), F.lit(":"), F.coalesce(e["instead"], F.lit(""))), F.when(e["instead"].isNull(), e["value"]))
+        own = of_object(entries(x["value"]))
+        of_list = F.transform(variants(x["value"]), lambda v, i: piece(comma(i), v))
+        return F.coalesce(F.concat(only(F.concat(x["before"], F.lit("{"))), F.transform(own, entry), only(F.lit("}"))), F.concat(only(F.concat(x["before"], F.lit("["))), of_list, only(F.lit("]"))))
 
-def _mapped(value, f):
-    """value with f(key, child) for each entry of an object: what stands there then, or None to leave it out."""
-    if isinstance(value, dict):
-        made = {k: f(k, v) for k, v in value.items()}
-        return {k: x[0] if len(x) == 1 else _mapped(x[0], f) for k, x in made.items() if x}
-    return [_mapped(v, f) for v in value] if isinstance(value, list) else value
+    joined = lambda items: F.array_join(F.transform(items, lambda x: F.concat(x["before"], F.when(x["value"].isNull(), "").otherwise(dump(x["value"])))), "")
+    return of_json(text, lambda value: opened(text, F.array(piece(F.lit(""), value)), inner, joined))
 
 
 def redacted(text: Column) -> Column:
     """Values under keys that speak of keys or tokens give way to a mark."""
-    entry = lambda k, v: ("[REDACTED]",) if "key" in k.lower() or "token" in k.lower() else (v, True)
-    return _strings(lambda t: None if (v := _read(t)) is None else _dump(_mapped(v, entry)), text)
+    mark = lambda e: F.when(F.lower(e["key"]).rlike("key|token"), '"[REDACTED]"')
+    return _rewritten(text, lambda own: F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), mark(e).alias("instead"))))
 
 
 def pruned(text: Column, drop: tuple[str, ...]) -> Column:
     """Without entries that are null or have one of these keys."""
-    entry = lambda k, v: None if v is None or k in drop else (v, True)
-    return _strings(lambda t: None if (v := _read(t)) is None else _dump(_mapped(v, entry)), text)
+    stays = lambda e: ~F.is_variant_null(e["value"]) & ~e["key"].isin(*drop)
+    return _rewritten(text, lambda own: F.transform(F.filter(own, stays), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(None).cast("string").alias("instead"))))
 
 
-def merged(base: Column, override: Column) -> Column:
-    """Objects merged at all depths; anything else of the second replaces what the first has."""
+def _paired(texts: list[Column], first: Column, pair: Callable[..., Column], wrap: Callable[[Column, Column], Column], done: Item) -> Column:
+    """As `opened`, over two JSON texts at once: where both sides (a, b) are objects, pair(x, key, a, b, i) of each key of
+    either, a null side being one that lacks the key."""
+
+    def inner(x):
+        a, b = (F.try_variant_get(x[c], "$", "map<string,variant>") for c in ("a", "b"))
+        both = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+        return wrap(x, F.transform(both, lambda k, i: pair(x, k, F.try_element_at(a, k), F.try_element_at(b, k), i)))
 
-    def both(a, b):
-        return {k: both(a[k], b[k]) if k in a and k in b else b.get(k, a.get(k)) for k in {**a, **b}} if isinstance(a, dict) and isinstance(b, dict) else b
+    return opened(F.concat(*texts), first, inner, done)
 
-    return _strings(lambda a, b: None if _read(a) is None else _dump(both(_read(a), _read(b) or {})), base, override)
+
+def merged(base: Column, override: Column) -> Column:
+    """Objects merged at all depths; anything else of the second replaces what the first has. A second that is null or no
+    JSON changes nothing."""
+    item = lambda before, a, b: F.struct(before.alias("before"), a.alias("a"), b.alias("b"), (a.isNotNull() & b.isNotNull()).alias("open"))
+    no = F.lit(None).cast("variant")
+    only = lambda before: F.array(item(before, no, no))
+    pair = lambda x, k, a, b, i: item(F.concat(F.when(i > 0, ",").otherwise(""), quoted(k), F.lit(":")), a, b)
+    wrap = lambda x, own: F.concat(only(F.concat(x["before"], F.lit("{"))), own, only(F.lit("}")))
+    left = lambda x: F.when(x["b"].isNotNull(), dump(x["b"])).when(x["a"].isNotNull(), dump(x["a"])).otherwise("")
+    joined = lambda items: F.array_join(F.transform(items, lambda x: F.concat(x["before"], left(x))), "")
+    other = F.coalesce(read(override), F.try_parse_json(F.lit("{}")))  # a type that may be null, as items of the result may
+    return of_json(base, lambda a: _paired([base, F.coalesce(override, F.lit(""))], F.array(item(F.lit(""), a, other)), pair, wrap, joined))
 
 
 def replaced(text: Column, path: str, value: Column) -> Column:
-    """With another value (JSON) at a dotted path whose objects are there."""
+    """With another value (JSON) at a dotted path; null if an object of the path is not there."""
 
-    def put(t, new):
-        whole = at = _read(t)
-        if whole is None:
-            return None
-        *way, last = path.split(".")
-        for part in way:
-            at = at[part]
-        at[last] = _read(new)
-        return _dump(whole)
+    def put(at: Column, key: str, *rest: str) -> Column:
+        own = entries(at)
+        new = put(F.get(F.filter(own, lambda e: e["key"] == key), 0)["value"], *rest) if rest else of_json(value, dump)
+        others = F.transform(F.filter(own, lambda e: e["key"] != key), lambda e: F.struct(e["key"].alias("key"), dump(e["value"]).alias("json")))
+        every = F.array_sort(F.concat(others, F.array(F.struct(F.lit(key).alias("key"), new.alias("json")))))
+        return F.when(new.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(every, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"])), ","), F.lit("}")))
 
-    return _strings(put, text, value)
+    return put(read(text), *path.split("."))
 
 
 def canonical(text: Column) -> Column:
-    """The JSON with the keys of all objects in order; stays within the JVM."""
-    return F.to_json(F.try_parse_json(text))
+    """The JSON with the keys of all objects in order."""
+    return of_json(text, dump)
 
 
 def is_identifier(key: Column) -> Column:
@@ -135,8 +192,10 @@ def is_identifier(key: Column) -> Column:
 
 
 def exposed(found: Column) -> Column:
-    """Of leaves those that tell two views apart: no identifiers, hashes, field names, booleans or nulls."""
-    told = lambda x: x["kind"].isin("number", "string") & ~F.coalesce(is_identifier(x["key"]) | x["key"].isin("integrity_hash", "available_fields"), F.lit(False))
+    """Of leaves those that tell two views apart: no identifiers, booleans or nulls, nothing below a hash or a list of
+    field names."""
+    hidden = lambda x: x["path"].rlike(r"(^|\.)(integrity_hash|available_fields)(\.|$)")
+    told = lambda x: x["kind"].isin("number", "string") & ~F.coalesce(is_identifier(x["key"]), F.lit(False)) & ~hidden(x)
     return F.array_sort(F.array_distinct(F.transform(F.filter(found, told), lambda x: x["value"])))
 
 
@@ -147,23 +206,24 @@ def number_set(found: Column) -> Column:
 
 def string_set(found: Column) -> Column:
     """Strings of four characters or more with a digit: ids, dates, addresses."""
-    text = F.transform(F.filter(found, lambda x: x["kind"] == "string"), lambda x: F.from_json(F.concat(F.lit('{"v":'), x["value"], F.lit("}")), "v string")["v"])
-    return F.array_sort(F.array_distinct(F.filter(text, lambda x: (F.length(x) >= 4) & x.rlike("[0-9]"))))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: (F.length(x["text"]) >= 4) & x["text"].rlike("[0-9]")), lambda x: x["text"])))
 
 
 def changed_paths(before: Column, after: Column) -> Column:
-    """Paths that one side lacks or whose values differ; lists count as values."""
-    pairs = lambda c: F.transform(leaves(c, through_lists=False), lambda x: F.struct(x["path"], x["value"]))
-    a, b = pairs(before), pairs(after)
-    return F.array_sort(F.array_distinct(F.transform(F.array_union(F.array_except(a, b), F.array_except(b, a)), lambda x: x["path"])))
+    """Paths that one side lacks or whose values differ, as deep as both sides are objects; lists count as values."""
+    item = lambda path, a, b: F.struct(path.alias("path"), a.alias("a"), b.alias("b"), (a.isNotNull() & b.isNotNull()).alias("open"))
+    pair = lambda x, k, a, b, i: item(_under(x["path"], k), a, b)
+    same = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), dump(x["a"]) == dump(x["b"])).otherwise(False)
+    differ = lambda items: F.array_sort(F.transform(F.filter(items, lambda x: ~same(x)), lambda x: x["path"]))
+    both = lambda a: of_json(after, lambda b: _paired([before, after], F.array(item(F.lit(""), a, b)), pair, lambda _, own: own, differ))
+    return of_json(before, both)
 
 
 def coerced(text: Column) -> Column:
     """The JSON that a reply holds: what stands in its first fence, else the whole, as it is or from its first bracket to
     the last one of that kind; a reply without JSON as it is, null if blank."""
-    whole = F.trim(text)
-    body = F.nullif(F.coalesce(fenced(whole), whole), F.lit(""))
-    at = lambda c: F.nullif(F.instr(body, c), F.lit(0))
-    part = F.when(F.coalesce(at("{") < F.coalesce(at("["), F.lit(2**31 - 1)), F.lit(False)), span(body, "{", "}")).otherwise(span(body, "[", "]"))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(valid(body), valid(part), body)
+    least = lambda body, c: F.coalesce(F.nullif(F.instr(body, c), F.lit(0)), F.lit(2**31 - 1))
+    part = lambda body: F.when(least(body, "{") < least(body, "["), span(body, "{", "}")).otherwise(span(body, "[", "]"))
+    valid = lambda c: F.when(read(c).isNotNull(), c)
+    of_body = lambda body: F.coalesce(valid(body), let(part(body), valid), body)
+    return let(F.trim(text), lambda whole: let(F.nullif(F.coalesce(fenced(whole), whole), F.lit("")), of_body))

@@ -1,78 +1,85 @@
-"""Tool calls and monitor results in the replies of models."""
+"""Tool calls, actions and monitor results in the replies of models, read within the JVM."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import nested as N
 from .exprs import json_object
 
-CALLS = "array<struct<name:string,arguments:string>>"
-
-
-def _calls(value) -> list[tuple[str, str]]:
-    """Calls in a value of any of the shapes that replies have: lists, tool_calls, function_call, function, a name with
-    arguments, messages whose content holds one of these."""
-    if isinstance(value, list):
-        return [c for v in value for c in _calls(v)]
-    if not isinstance(value, dict):
-        return []
-    if isinstance(value.get("tool_calls"), list):
-        return _calls(value["tool_calls"])
-    if isinstance(value.get("function_call"), dict):
-        return _calls(value["function_call"])
-    inner = value.get("function")
-    if isinstance(inner, dict):
-        return [_call(inner.get("name"), inner.get("arguments", {}))]
-    given = [k for k in ("arguments", "args", "parameters") if k in value]
-    if "name" in value and given:
-        return [_call(value["name"], value[given[0]])]
-    content = value.get("content") if value.get("role") in ("assistant", "tool") else None
-    return _calls(N._read(content) if isinstance(content, str) else content)
-
-
-def _call(name, arguments) -> tuple[str, str]:
-    if isinstance(arguments, str):
-        arguments = N._read(arguments)
-    return str(name or "").strip(), json.dumps(arguments if isinstance(arguments, dict) else {}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-
-def _lenient(text):
-    """As `nested.coerced` reads it, for texts that are in Python anyway."""
-    if text is None:
-        return None
-    parts = text.strip().split("`" * 3)
-    body = parts[1].removeprefix("json").strip() if len(parts) > 2 else text.strip()
-    first = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=None)
-    last = -1 if first is None else body.rfind("}" if body[first] == "{" else "]")
-    return next((v for t in (body, body[first : last + 1] if first is not None and last > first else "") if (v := N._read(t)) is not None), None)
+#: Keys under which a call by name carries its arguments; roles whose content may hold calls.
+ARGUMENTS, SPEAKERS = ("arguments", "args", "parameters"), ("assistant", "tool")
+BLANKS = " \t\n\r\x0b\x0c"
 
 
-def tool_calls(text: Column) -> Column:
-    """The calls in a reply, in order, arguments as canonical JSON."""
+def _as_text(value: Column, missing: str = "") -> Column:
+    """A name or an answer: strings as they read, anything else as JSON, a text for what is not there."""
+    return F.when(value.isNull(), missing).when(F.schema_of_variant(value) == "STRING", value.cast("string")).otherwise(N.dump(value))
+
 
-    def rows(a: pd.Series) -> pd.Series:
-        return pd.Series([_calls(_lenient(t)) for t in a], dtype=object)
+def _object(value: Column) -> Column:
+    """The JSON of an object, null for anything else."""
+    return F.when(N.entries(value).isNotNull(), N.dump(value))
 
-    return F.pandas_udf(rows, CALLS)(text)
+
+def _within(value: Column) -> Column:
+    """The JSON that a string holds, leniently; null for what is no string."""
+    return F.when(F.schema_of_variant(value) == "STRING", N.read(N.coerced(value.cast("string"))))
+
+
+def tool_calls(text: Column) -> Column:
+    """(name, arguments) of the calls in a reply, in order, arguments as canonical JSON; a null reply has none.
+
+    A value stands for the values that it wraps: a list for its items, `tool_calls` for the items of that list,
+    `function_call` for that object, a message of a speaker for its content, a string for the JSON in it. What is left
+    are calls, of a `function` or by name, and values that are none. The first of these forms that a value has counts.
+    """
+    item = lambda value: F.struct(value.alias("value"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), value.isNotNull().alias("open"))
+    none = F.lit(None).cast("variant")
+    given = lambda v: F.coalesce(*[N.value_at(v, k) for k in ARGUMENTS])
+
+    def call(name, arguments):
+        read = F.coalesce(_object(_within(arguments)), _object(arguments), F.lit("{}"))
+        called = F.trim(F.when(name.isNull(), "").when(F.is_variant_null(name), "None").otherwise(_as_text(name)), F.lit(BLANKS))
+        return F.struct(none.alias("value"), called.alias("name"), read.alias("arguments"), F.lit(False).alias("open"))
+
+    def wrapped(x):
+        return N.let(x["value"], inner)
+
+    def inner(v):
+        forms = [
+            N.variants(v), N.variants(N.value_at(v, "tool_calls")),
+            F.when(N.entries(N.value_at(v, "function_call")).isNotNull(), F.array(N.value_at(v, "function_call"))),
+        ]
+        calls = [
+            F.when(N.entries(N.value_at(v, "function")).isNotNull(), F.array(call(N.value_at(v, "function.name"), N.value_at(v, "function.arguments")))),
+            F.when(N.value_at(v, "name").isNotNull() & given(v).isNotNull(), F.array(call(N.value_at(v, "name"), given(v)))),
+        ]
+        spoken = F.when(N.value_at(v, "role", "string").isin(*SPEAKERS), F.array(N.value_at(v, "content")))
+        each = lambda values: F.transform(values, item)
+        return F.coalesce(*map(each, forms), *calls, each(spoken), each(F.array(_within(v))))
+
+    told = lambda items: F.transform(F.filter(items, lambda x: x["name"].isNotNull()), lambda x: F.struct(x["name"].alias("name"), x["arguments"].alias("arguments")))
+    first = item(N.read(F.coalesce(N.coerced(text), F.lit("null"))))
+    return N.opened(F.coalesce(text, F.lit("")), F.array(first), wrapped, told, 2)
 
 
 def call_failure(expected: Column, predicted: Column, allowed: list[str] | None = None) -> Column:
     """What is wrong with predicted calls: the first call of either side is compared, then how many there are."""
-    n, m = F.size(expected), F.size(predicted)
-    e, p = F.get(expected, 0), F.get(predicted, 0)
     keys = lambda c: F.coalesce(F.json_object_keys(c["arguments"]), F.expr("cast(array() as array<string>)"))
-    unknown = (p["name"] != "") & ~p["name"].isin(*allowed) if allowed else F.lit(False)
-    return (
-        F.when((n == 0) & (m == 0), "match").when(n == 0, "spurious_call").when(m == 0, "missing_required_arg")
-        .when(e["name"] != p["name"], F.when(unknown, "hallucinated_function").otherwise("wrong_function_name"))
-        .when(F.size(F.array_except(keys(e), keys(p))) > 0, "missing_required_arg").when(F.size(F.array_except(keys(p), keys(e))) > 0, "wrong_argument_name")
-        .when(e["arguments"] != p["arguments"], "wrong_argument_value").when(n != m, "spurious_call").otherwise("match")
-    )
+
+    def failure(x):
+        n, m, e, p = F.size(x["e"]), F.size(x["p"]), F.get(x["e"], 0), F.get(x["p"], 0)
+        unknown = (p["name"] != "") & ~p["name"].isin(*allowed) if allowed else F.lit(False)
+        return (
+            F.when((n == 0) & (m == 0), "match").when(n == 0, "spurious_call").when(m == 0, "missing_required_arg")
+            .when(e["name"] != p["name"], F.when(unknown, "hallucinated_function").otherwise("wrong_function_name"))
+            .when(F.size(F.array_except(keys(e), keys(p))) > 0, "missing_required_arg").when(F.size(F.array_except(keys(p), keys(e))) > 0, "wrong_argument_name")
+            .when(e["arguments"] != p["arguments"], "wrong_argument_value").when(n != m, "spurious_call").otherwise("match")
+        )
+
+    return N.let(F.struct(expected.alias("e"), predicted.alias("p")), failure)
 
 
 def _field(v: Column, name: str, kind: str = "string") -> Column:
@@ -141,26 +148,74 @@ def annotation_errors(row: Column, labels: list[str]) -> Column:
     return F.array_compact(F.array(*rules))
 
 
-def summary_errors(summary: Column, sections: list[str], known: Column) -> Column:
-    """Sections of a summary (each a list of {text, source_event_ids}) with an item without text, or without a source, or
-    with a source that is not known."""
-    v = F.try_parse_json(summary)
-    item = "array<struct<text:string,source_event_ids:array<string>>>"
+#: Parts of a summary: a text and lists of items with their sources.
+REQUEST, SECTIONS = "user_request", ("key_facts", "actions_and_results", "state_changes", "unresolved_or_risks")
+
+
+def summary_errors(summary: Column, known: Column, request: str = REQUEST, sections: tuple[str, ...] = SECTIONS) -> Column:
+    """All rules that a summary breaks, in order: it has just these parts, the request is a string, each section a list of
+    items {text, source_event_ids}, whose text is not blank and whose sources are some, all strings and all known."""
+    item_keys = F.array(F.lit("source_event_ids"), F.lit("text"))
+    keys = lambda v: F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+    none = F.expr("cast(array() as array<string>)")
+
+    def of_item(section, x, i):
+        at = F.concat(F.lit(f"{section}["), i.cast("string"), F.lit("]"))
+        ids = N.variants(N.value_at(x, "source_event_ids"))
+        known_id = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.array_contains(known, v.cast("string"))).otherwise(False)
+        text = N.value_at(x, "text")
+        blank = F.when(F.schema_of_variant(text) == "STRING", F.trim(text.cast("string"), F.lit(BLANKS)) == "").otherwise(True)
+        inner = F.array_compact(F.array(F.when(blank, F.concat(at, F.lit(".text must be non-empty"))), F.when(~F.coalesce((F.size(ids) > 0) & F.forall(ids, known_id), F.lit(False)), F.concat(at, F.lit(" has invalid source_event_ids")))))
+        return F.when(F.coalesce(keys(x) == item_keys, F.lit(False)), inner).otherwise(F.array(F.concat(at, F.lit(" must contain text and source_event_ids"))))
+
+    def of_section(v, section):
+        items = N.variants(N.value_at(v, section))
+        return F.when(items.isNull(), F.array(F.lit(f"{section} must be a list"))).otherwise(F.flatten(F.transform(items, lambda x, i: of_item(section, x, i))))
+
+    def of_summary(v):
+        asked = F.when(F.schema_of_variant(N.value_at(v, request)) == "STRING", none).otherwise(F.array(F.lit(f"{request} must be a string")))
+        return F.concat(asked, *[of_section(v, s) for s in sections])
+
+    wanted = F.array(*map(F.lit, sorted((request, *sections))))
+    return N.let(N.read(summary), lambda v: F.when(F.coalesce(keys(v) == wanted, F.lit(False)), of_summary(v)).otherwise(F.array(F.lit("summary must contain exactly the required keys"))))
 
-    def error(name):
-        items = F.from_json(F.to_json(F.try_variant_get(v, f"$.{name}", "variant")), item)
-        bad = lambda x: (F.trim(F.coalesce(x["text"], F.lit(""))) == "") | (F.coalesce(F.size(x["source_event_ids"]), F.lit(0)) <= 0) | (F.size(F.array_except(x["source_event_ids"], known)) > 0)
-        return F.when(~_type(v, name).startswith("ARRAY"), f"{name} must be a list").when(F.exists(items, bad), f"{name} has an invalid item")
 
-    return F.array_compact(F.array(*[error(s) for s in sections]))
+#: Keys of an action, in the order in which they are looked for, with the type that each makes.
+ANSWERS = {"final_answer": "final_answer", "clarify": "clarify", "abort": "abort"}
+ACTION = "struct<type:string,name:string,arguments:string,text:string>"
 
 
 def action(reply: Column) -> Column:
-    """The kind of action in a reply: a tagged tool call, JSON that names one, or an answer; with its text or name."""
-    tagged = F.regexp_extract(reply, r"<tool_call>\s*((?s).*?)\s*</tool_call>", 1)
-    v = F.try_parse_json(F.coalesce(F.nullif(tagged, F.lit("")), json_object(reply)))
-    kind = F.coalesce(_field(v, "type"), F.when(_field(v, "name").isNotNull(), "tool_call"))
-    known = kind.isin("tool_call", "final_answer", "clarify", "abort")
-    kind = F.when(v.isNotNull() & F.coalesce(known, F.lit(False)), kind).otherwise("final_answer")
-    text = F.when(kind == "tool_call", _field(v, "name")).otherwise(F.coalesce(F.when(F.coalesce(known, F.lit(False)), F.coalesce(_field(v, "text"), _field(v, "reason"))), F.trim(reply)))
-    return F.struct(kind.alias("type"), text.alias("text"))
+    """(type, name, arguments, text): what a reply asks for, null if it asks for nothing.
+
+    The reply is JSON, or holds an object from its first brace to its last: a call under `tool_call` or `function`, a
+    text under `final_answer`, `clarify` or `abort`, or a name with `arguments` or `parameters`. Else it may hold a tagged
+    call or answer. A reply that is one JSON string is an answer; prose is nothing. Texts that are no strings come as
+    JSON; a call whose arguments are no object, or that is none itself, is nothing.
+    """
+    made = lambda kind, name, arguments, text: F.struct(*[F.coalesce(x, F.lit(None).cast("string")).alias(n) for x, n in zip((kind, name, arguments, text), ("type", "name", "arguments", "text"), strict=True)])
+    no = F.lit(None).cast("string")
+
+    def call(name, arguments):
+        given = F.when(arguments.isNull(), "{}").otherwise(_object(arguments))
+        return F.when(given.isNotNull(), made(F.lit("tool_call"), _as_text(name), given, no))
+
+    def of_object(v):
+        at = lambda key: N.value_at(v, key)
+        form = F.when(F.lit(False), F.lit(None).cast(ACTION))
+        for key in ("tool_call", "function"):
+            form = form.when(at(key).isNotNull(), F.when(N.entries(at(key)).isNotNull(), call(at(f"{key}.name"), at(f"{key}.arguments"))))
+        for key, kind in ANSWERS.items():
+            form = form.when(at(key).isNotNull(), made(F.lit(kind), no, no, _as_text(at(key))))
+        given = F.coalesce(at("arguments"), at("parameters"))
+        return form.when(at("name").isNotNull() & given.isNotNull(), call(at("name"), given))
+
+    def of_text(raw):
+        tag = lambda name: F.get(F.regexp_extract_all(raw, F.lit(rf"(?s)<{name}>\s*(.*?)\s*</{name}>"), F.lit(1)), 0)
+        tagged = N.of_json(tag("tool_call"), lambda v: F.when(N.entries(v).isNotNull(), call(N.value_at(v, "name"), N.value_at(v, "arguments"))))
+        answer = N.let(tag("final_answer"), lambda t: F.when(t.isNotNull(), made(F.lit("final_answer"), no, no, F.trim(t, F.lit(BLANKS)))))
+        text = N.of_json(raw, lambda v: F.when(F.schema_of_variant(v) == "STRING", made(F.lit("final_answer"), no, no, v.cast("string"))))
+        whole = N.let(F.coalesce(N.read(raw), N.read(N.span(raw, "{", "}"))), lambda v: F.when(v.isNotNull(), of_object(v)))
+        return F.coalesce(whole, tagged, answer, text)
+
+    return N.let(F.trim(reply, F.lit(BLANKS)), of_text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import nested as N
+
 
 def listed(rules: dict[str, Column]) -> Column:
     """The names of the rules that hold, in their order."""
@@ -108,12 +110,24 @@ def state_changes(states: DataFrame) -> DataFrame:
     return states.withColumn("hash", F.sha2(F.coalesce(F.to_json(F.try_parse_json("state")), "state"), 256)).withColumn("changed", F.coalesce(F.col("hash") != before, F.lit(False))).drop("state")
 
 
-def response_text(response: Column) -> Column:
-    """The text of a provider's response, whichever of three forms it has: choices, output parts, candidates."""
-    v = F.try_parse_json(response)
-    at = lambda path: F.try_variant_get(v, path, "string")
-    parts = lambda path, t: F.array_join(F.transform(F.from_json(F.to_json(F.try_variant_get(v, path, "variant")), f"array<struct<{t}:string>>"), lambda x: x[t]), "")
-    return F.coalesce(at("$.choices[0].message.content"), parts("$.output[0].content", "text"), parts("$.candidates[0].content.parts", "text"))
+#: Where the text of a response stands, by protocol: a string, or a list of parts with texts.
+RESPONSES = {"openai_chat": ("$.choices[0].message.content", False), "anthropic_messages": ("$.content", True), "gemini_generate_content": ("$.candidates[0].content.parts", True)}
+
+
+def response_text(response: Column, protocol: Column, strict: bool = True) -> Column:
+    """The text of a provider's response in the form of its protocol, and of no other. Parts whose text is no string are
+    left out. A response without text and an unknown protocol end the job, or give null if not strict."""
+    v = N.read(response)
+    string = lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string"))
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, (path, parts) in RESPONSES.items():
+        joined = F.array_join(F.array_compact(F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x: string(N.value_at(x, "text")))), "")
+        out = out.when(protocol == name, joined if parts else string(F.try_variant_get(v, path, "variant")))
+    text = F.when(F.trim(out, F.lit(" \t\n\r\x0b\x0c")) != "", out)
+    if not strict:
+        return text
+    known = protocol.isin(*RESPONSES)
+    return F.when(text.isNotNull(), text).when(known, F.raise_error(F.concat(protocol, F.lit(" response did not contain text content"))).cast("string")).otherwise(F.raise_error(F.concat(F.lit("unsupported protocol: "), F.coalesce(protocol, F.lit("none")))).cast("string"))
 
 
 def action_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:

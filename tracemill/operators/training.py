@@ -30,9 +30,11 @@ def preferences(rows: DataFrame, source: str) -> DataFrame:
 def mined_failures(cases: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """Cases whose prediction is there and wrong, as preferences: what was expected over what was predicted. cases:
     id, prompt, expected, predicted (texts)."""
-    rows = cases.filter("expected is not null and predicted is not null").withColumns({"e": tool_calls(F.col("expected")), "p": tool_calls(F.col("predicted"))})
-    rows = rows.withColumn("failure_type", call_failure(F.col("e"), F.col("p"), allowed)).filter("failure_type <> 'match'")
-    return rows.select("id", F.coalesce("prompt", F.lit("")).alias("prompt"), F.col("expected").alias("chosen"), F.col("predicted").alias("rejected"), "failure_type")
+    rows = cases.filter("expected is not null and predicted is not null")
+    failure = call_failure(tool_calls(F.col("expected")), tool_calls(F.col("predicted")), allowed)
+    # exploded, so that no filter reads the replies a second time
+    wrong = F.explode(F.filter(F.array(failure), lambda f: f != "match")).alias("failure_type")
+    return rows.select("id", F.coalesce("prompt", F.lit("")).alias("prompt"), F.col("expected").alias("chosen"), F.col("predicted").alias("rejected"), wrong)
 
 
 def mined_runs(results: DataFrame, cases: DataFrame, policy: str | None = None) -> DataFrame:

@@ -134,11 +134,16 @@ def z56_state_changes(spark, sf_dir):
     return A.state_changes(e.select(F.col("trajectory").alias("trace"), F.col("ordinal").alias("step"), state.alias("state"))).drop("hash")
 
 
-@query("""SELECT event_id AS id, ['hi', 'a b', 'xy', NULL][event_id % 4 + 1] AS text FROM events""")
+@query("""SELECT event_id AS id, protocol, CASE WHEN asked = event_id % 4 THEN CASE asked WHEN 0 THEN event_type WHEN 3 THEN NULL ELSE event_type || ' of ' || user_id END END AS text
+FROM (SELECT *, (event_id // 4) % 4 AS asked, ['openai_chat', 'anthropic_messages', 'gemini_generate_content', 'other'][(event_id // 4) % 4 + 1] AS protocol FROM events)""")
 def z62_response_text(spark, sf_dir):
-    forms = ['{"choices": [{"message": {"content": "hi"}}]}', '{"output": [{"content": [{"text": "a "}, {"text": "b"}]}]}', '{"candidates": [{"content": {"parts": [{"text": "x"}, {"text": "y"}]}}]}', "oops"]
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get(F.array(*map(F.lit, forms)), (F.col("event_id") % 4).cast("int")).alias("r"))
-    return e.select("id", A.response_text(F.col("r")).alias("text"))
+    """The text of responses in the form of the protocol that was spoken; those of other forms have none."""
+    i, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id").cast("string")
+    parts = F.format_string('[{"text": "%s"}, {"text": 7}, {"kind": "image"}, {"text": " of %s"}]', kind, user)
+    forms = [F.format_string('{"choices": [{"message": {"content": "%s"}}]}', kind), F.format_string('{"content": %s}', parts), F.format_string('{"candidates": [{"content": {"parts": %s}}]}', parts), F.format_string('{"text": "%s"}', kind)]
+    protocols = F.array(*map(F.lit, [*A.RESPONSES, "other"]))
+    e = table(spark, sf_dir, "events").select(i.alias("id"), F.get(protocols, (F.floor(i / 4) % 4).cast("int")).alias("protocol"), F.get(F.array(*forms), (i % 4).cast("int")).alias("r"))
+    return e.select("id", "protocol", A.response_text(F.col("r"), F.col("protocol"), strict=False).alias("text"))
 
 
 @query(f"""WITH {TOOL_EVENTS} SELECT event_id AS id, CASE WHEN tool = 'update' THEN 'unknown tool' WHEN tool = 'calculate' THEN NULL ELSE 'missing id' END AS error FROM tool_events WHERE tool IS NOT NULL""")

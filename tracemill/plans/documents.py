@@ -21,7 +21,9 @@ def payloads(spark, sf_dir):
         order = F.struct(status.alias("status"), F.concat(F.lit("#W"), text(key)).alias("order_id"), items.alias("items"), F.concat(F.lit("k"), text(key)).alias("api_key"))
         return F.to_json(F.struct((key % 2 == 0).alias("urgent"), order.alias("order"), F.lit(None).cast("string").alias("note"), F.struct(F.concat(F.lit("s"), text(key)).alias("sessionToken"), F.concat(F.lit("d-"), text(part)).alias("ref")).alias("meta")), KEEP_NULLS)
 
-    return table(spark, sf_dir, "orders").select(key.alias("id"), part.alias("part"), F.col("o_orderstatus").alias("status"), made(F.lit(0), F.col("o_orderstatus")).alias("payload"), made(key % 3, F.when(key % 5 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("later"))
+    # a payload takes far longer to read than a key to move: rows are dealt evenly, whatever files they come from
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(spark.sparkContext.defaultParallelism)
+    return rows.select(key.alias("id"), part.alias("part"), F.col("o_orderstatus").alias("status"), made(F.lit(0), F.col("o_orderstatus")).alias("payload"), made(key % 3, F.when(key % 5 == 0, "X").otherwise(F.col("o_orderstatus"))).alias("later"))
 
 
 ORDERS = "(SELECT o_orderkey AS id, o_custkey AS p, o_orderstatus AS s FROM orders)"

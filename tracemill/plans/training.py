@@ -23,7 +23,9 @@ def cases(spark, sf_dir):
         F.concat(F.lit('{"function_call": '), call(name, right), F.lit("}")), F.lit("no call at all"), call(F.lit("t9"), right), call(F.concat(F.lit("t"), ((i + 1) % 4).cast("string")), right), call(name, F.lit("{}")),
         call(name, F.format_string('{"k": %s, "z": 1}', k)), call(name, F.lit('{"k": -1}')), F.concat(F.lit('{"role": "assistant", "content": ['), call(name, right), F.lit(", "), call(name, right), F.lit("]}")), F.lit(None).cast("string"),
     ]
-    return table(spark, sf_dir, "events").select(i.alias("id"), F.when(i % 2 == 0, "do it").alias("prompt"), expected.alias("expected"), F.get(F.array(*shapes), (i % 9).cast("int")).alias("predicted"))
+    # replies take far longer to read than rows to move: rows are dealt evenly, whatever files they come from
+    rows = table(spark, sf_dir, "events").select("event_id", "props").repartition(spark.sparkContext.defaultParallelism)
+    return rows.select(i.alias("id"), F.when(i % 2 == 0, "do it").alias("prompt"), expected.alias("expected"), F.get(F.array(*shapes), (i % 9).cast("int")).alias("predicted"))
 
 
 FAILURE = "['match', 'missing_required_arg', 'hallucinated_function', 'wrong_function_name', 'missing_required_arg', 'wrong_argument_name', 'wrong_argument_value', 'spurious_call'][event_id % 9 + 1]"
@@ -133,20 +135,46 @@ def f19_risk_result_errors(spark, sf_dir):
     return e.select("id", R.risk_result_error(F.col("reply")).alias("error"))
 
 
-@query("""SELECT event_id AS id, [[], ['invalid label', 'reason must be non-empty'], ['invalid confidence', 'write_event_ids must be a list of strings']][event_id % 3 + 1] AS annotation_errors,
-  [[], ['facts has an invalid item'], ['facts must be a list', 'open has an invalid item']][event_id % 3 + 1] AS summary_errors FROM events""")
-def f20_annotation_errors(spark, sf_dir):
-    """rules that annotations and summaries break."""
+@query("""SELECT event_id AS id, [[], ['invalid label', 'reason must be non-empty'], ['invalid confidence', 'write_event_ids must be a list of strings']][event_id % 3 + 1] AS annotation_errors FROM events""")
+def f21_annotation_errors(spark, sf_dir):
+    """rules that annotations break."""
     lists = '"violated_rule_ids": [], "supporting_event_ids": ["a"]'
     notes = [f'{{"label": "safe", "confidence": "low", "write_event_ids": ["w"], "reason": "r", {lists}}}', f'{{"label": "x", "confidence": "high", "write_event_ids": [], "reason": " ", {lists}}}', f'{{"label": "safe", "confidence": 1, "write_event_ids": "w", "reason": "r", {lists}}}']
-    sums = ['{"facts": [{"text": "t", "source_event_ids": ["e1"]}], "open": []}', '{"facts": [{"text": "t", "source_event_ids": ["e9"]}], "open": []}', '{"facts": "t", "open": [{"text": "", "source_event_ids": ["e1"]}]}']
     pick = lambda texts: F.get(F.array(*map(F.lit, texts)), (F.col("event_id") % 3).cast("int"))
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), pick(notes).alias("note"), pick(sums).alias("summary"))
-    return e.select("id", R.annotation_errors(F.col("note"), ["safe", "policy_breaking_write"]).alias("annotation_errors"), R.summary_errors(F.col("summary"), ["facts", "open"], F.array(F.lit("e1"), F.lit("e2"))).alias("summary_errors"))
-
-
-@query("""SELECT event_id AS id, ['tool_call', 'clarify', 'final_answer', 'tool_call'][event_id % 4 + 1] AS type, ['look', 'which one?', 'just words', 'find'][event_id % 4 + 1] AS text FROM events""")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), pick(notes).alias("note"))
+    return e.select("id", R.annotation_errors(F.col("note"), ["safe", "policy_breaking_write"]).alias("annotation_errors"))
+
+
+@query("""WITH u AS (SELECT user_id, list_distinct(list('e' || event_id)) AS known, list('e' || (event_id + user_id % 2) ORDER BY event_id) AS cited, list(CASE WHEN value < 10 THEN '' ELSE event_type END ORDER BY event_id) AS texts FROM events GROUP BY 1)
+SELECT user_id AS id, CASE WHEN user_id % 7 = 0 THEN ['summary must contain exactly the required keys'] ELSE list_concat(
+  CASE WHEN user_id % 3 = 0 THEN ['user_request must be a string'] ELSE [] END,
+  CASE WHEN user_id % 5 = 0 THEN ['key_facts must be a list'] ELSE flatten(list_transform(range(len(cited)), lambda i: list_concat(
+    CASE WHEN texts[i + 1] = '' THEN ['key_facts[' || i || '].text must be non-empty'] ELSE [] END, CASE WHEN NOT list_contains(known, cited[i + 1]) THEN ['key_facts[' || i || '] has invalid source_event_ids'] ELSE [] END))) END,
+  CASE WHEN user_id % 4 = 0 THEN ['state_changes[0] must contain text and source_event_ids'] ELSE [] END) END AS summary_errors FROM u""")
+def f20_summary_errors(spark, sf_dir):
+    """summaries of a user's events, which cite some that are none of theirs, and other faults."""
+    i, user, event = F.col("event_id"), F.col("user_id"), lambda c: F.concat(F.lit("e"), c.cast("string"))
+    fact = F.struct(i.alias("at"), F.when(F.col("value") < 10, "").otherwise(F.col("event_type")).alias("text"), F.array(event(i + user % 2)).alias("source_event_ids"))
+    u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(event(i)).alias("known"), F.array_sort(F.collect_list(fact)).alias("facts"))  # the events of a user
+    facts = F.to_json(F.transform("facts", lambda f: F.struct(f["text"].alias("text"), f["source_event_ids"].alias("source_event_ids"))))
+    request = F.when(user % 3 == 0, user.cast("string")).otherwise(F.concat(F.lit('"user '), user.cast("string"), F.lit('"')))
+    changes = F.when(user % 4 == 0, '[{"text": "t"}]').otherwise("[]")
+    last = F.when(user % 7 == 0, "").otherwise(', "unresolved_or_risks": []')
+    summary = F.concat(F.lit('{"user_request": '), request, F.lit(', "key_facts": '), F.when(user % 5 == 0, "{}").otherwise(facts), F.lit(', "actions_and_results": [], "state_changes": '), changes, last, F.lit("}"))
+    return u.select(user.alias("id"), R.summary_errors(summary, F.col("known")).alias("summary_errors"))
+
+
+@query("""WITH f AS (SELECT event_id, event_id % 10 AS f, event_type AS t, replace(props, ' ', '') AS p, 'look at ' || user_id AS w, value::VARCHAR AS v FROM events)
+SELECT event_id AS id, CASE WHEN f IN (0, 1, 5, 6, 7) THEN 'tool_call' WHEN f IN (2, 8) THEN 'final_answer' WHEN f = 3 THEN 'clarify' WHEN f = 4 THEN 'abort' END AS type,
+  CASE WHEN f IN (0, 1, 5, 6, 7) THEN t END AS name, CASE WHEN f IN (0, 1, 5, 6) THEN p WHEN f = 7 THEN '{}' END AS arguments, CASE WHEN f IN (2, 3, 4, 8) THEN w END AS text FROM f""")
 def f15_actions(spark, sf_dir):
-    texts = ['think <tool_call>\n{"name": "look", "arguments": {}}\n</tool_call> done', '{"type": "clarify", "text": "which one?"}', " just words ", '{"type": "tool_call", "name": "find"}']
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get(F.array(*map(F.lit, texts)), (F.col("event_id") % 4).cast("int")).alias("reply"))
-    return e.select("id", R.action(F.col("reply")).alias("a")).select("id", "a.type", "a.text")
+    """calls, answers, questions and ends in all forms that replies have; prose and calls without an object are none."""
+    name, given, words = F.col("event_type"), F.col("props"), F.concat(F.lit("look at "), F.col("user_id").cast("string"))
+    text = lambda form, *c: F.format_string(form, *c)
+    forms = [
+        text(' {"tool_call": {"name": "%s", "arguments": %s}}\n', name, given), text('I think {"function": {"name": "%s", "arguments": %s}} fits', name, given), text('{"final_answer": "%s"}', words),
+        text('{"clarify": "%s", "abort": "no"}', words), text('{"abort": "%s"}', words), text('{"name": "%s", "parameters": %s}', name, given),
+        text('x <tool_call>\n{"name": "%s", "arguments": %s}\n</tool_call> y', name, given), text('<tool_call>{"name": "%s"}</tool_call>', name), text("so: <final_answer> %s\n</final_answer>", words), words,
+    ]
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get(F.array(*forms), (F.col("event_id") % 10).cast("int")).alias("reply"))
+    return e.select("id", R.action(F.col("reply")).alias("a")).select("id", "a.type", "a.name", "a.arguments", "a.text")
