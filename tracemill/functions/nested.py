@@ -114,15 +114,15 @@ def keys(text: Column) -> Column:
     return of_json(text, lambda value: opened(text, F.array(node(no, value, F.lit(True))), inner, every))
 
 
-def _rewritten(text: Column, of_object: Callable[[Column], Column]) -> Column:
+def _rewritten(text: Column, of_object: Callable[[Column], Column], blank: str = "") -> Column:
     """The JSON with other entries for those of each object: of_object(entries) gives (key, value, instead), where
     `instead`, if not null, is the JSON that stands there. Items are pieces of the text, in order."""
     piece = lambda before, value: F.struct(before.alias("before"), value.alias("value"), value.isNotNull().alias("open"))
     only = lambda before: F.array(piece(before, F.lit(None).cast("variant")))
-    comma = lambda i: F.when(i > 0, ",").otherwise("")
+    comma = lambda i: F.when(i > 0, f",{blank}").otherwise("")
 
     def inner(x):
-        entry = lambda e, i: piece(F.concat(comma(i), quoted(e["key"]), F.lit(":"), F.coalesce(e["instead"], F.lit(""))), F.when(e["instead"].isNull(), e["value"]))
+        entry = lambda e, i: piece(F.concat(comma(i), quoted(e["key"]), F.lit(f":{blank}"), F.coalesce(e["instead"], F.lit(""))), F.when(e["instead"].isNull(), e["value"]))
         own = of_object(entries(x["value"]))
         of_list = F.transform(variants(x["value"]), lambda v, i: piece(comma(i), v))
         return F.coalesce(F.concat(only(F.concat(x["before"], F.lit("{"))), F.transform(own, entry), only(F.lit("}"))), F.concat(only(F.concat(x["before"], F.lit("["))), of_list, only(F.lit("]"))))
@@ -131,6 +131,11 @@ def _rewritten(text: Column, of_object: Callable[[Column], Column]) -> Column:
     return of_json(text, lambda value: opened(text, F.array(piece(F.lit(""), value)), inner, joined))
 
 
+def spaced(text: Column) -> Column:
+    """The JSON with the keys of all objects in order and blanks after commas and colons."""
+    return _rewritten(text, lambda own: F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(None).cast("string").alias("instead"))), " ")
+
+
 def redacted(text: Column) -> Column:
     """Values under keys that speak of keys or tokens give way to a mark."""
     mark = lambda e: F.when(F.lower(e["key"]).rlike("key|token"), '"[REDACTED]"')
