@@ -57,37 +57,52 @@ def _few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def links(entries: DataFrame) -> DataFrame:
+    """(key, digest, n_bytes, n, best): what each task has read of a text, how often and which row comes first. A text that
+    is everywhere is a link for each task, so that its bucket's owner gets few rows of it and still merges them itself."""
+    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("row"))).alias("best")
+    return entries.withColumn("task", F.spark_partition_id()).groupBy("task", "key", "digest", "n_bytes").agg(F.count("*").alias("n"), best).drop("task")
+
+
+def placed(rows: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
+    """Rows with a key, with their bucket, where its owner is: all rows of a bucket in one task."""
+    return rows.withColumn("slot", first_bits(depth)).join(_few(slots), "slot").drop("slot").repartition("bucket")
+
+
+def chained(linked: DataFrame) -> DataFrame:
+    """(bucket, key, chain) by the owner of each bucket: the entries of a key, one for each different text, with how many
+    rows it has (n), from how many links, and which comes first. Links of a key that collide without being equal stay
+    apart in the chain. No shuffle: a bucket's links are in one task."""
+    merged = linked.groupBy("bucket", "key", "digest", "n_bytes").agg(F.sum("n").alias("n"), F.max("best").alias("best"), F.count("*").alias("links"))
+    return merged.groupBy("bucket", "key").agg(F.array_sort(F.collect_list(F.struct("digest", "n_bytes", "n", "best", "links"))).alias("chain"))
+
+
 def _index(source: DataFrame, bucket_keys: int) -> tuple[DataFrame, DataFrame]:
     """Entries (key, digest, n_bytes, doc_id, n_chars, row) of all documents, and the groups with more than one entry:
     key, digest, n_bytes, group_size, keep_id, keep_row. source: row, doc_id, text (normalised), n_chars.
 
-    Entries are gathered into chains where they are read (key, digest and length with how many there are and which comes
-    first), so that a large group arrives as a few rows. The directory names each chain's bucket; the task that owns the
-    bucket links the chains of a key to one another, merges those that are equal, and writes the bucket's file.
-    The texts of chains with several entries come to the same owner, each different one once, and are compared byte by
-    byte; a chain that holds two different texts ends the job.
+    Each task makes links of what it reads, the directory names the bucket of each link's key, and the bucket's owner
+    chains the links that reach it and merges those that are equal: only there does a group come together. The texts of
+    chains with several entries come to the same owner, each different one once, and are compared byte by byte; a chain
+    that holds two different texts ends the job.
     """
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
     name = [F.xxhash64("text").alias("key"), digest, F.octet_length("text").alias("n_bytes")]
     entries = written(source.select("row", "doc_id", "n_chars", *name), "dedup-entries")
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("row"))).alias("best")
-    gathered = entries.groupBy("key", "digest", "n_bytes").agg(F.count("*").alias("n"), best)
-    gathered = written(gathered, "dedup-gathered")
-    depth, slots = directory(gathered.select("key").distinct(), bucket_keys)
-    place = lambda rows: rows.withColumn("slot", first_bits(depth)).join(_few(slots), "slot").drop("slot").repartition("bucket")
-    links = F.struct("digest", "n_bytes", "n", "best")
-    index = written(place(gathered).groupBy("bucket", "key").agg(F.collect_list(links).alias("chain")).sortWithinPartitions("bucket", "key"), "dedup-index")  # one link, but for clashes of a key
+    linked = written(links(entries), "dedup-links")
+    depth, slots = directory(linked.select("key").distinct(), bucket_keys)
+    index = written(chained(placed(linked, depth, slots)).sortWithinPartitions("bucket", "key"), "dedup-index")
     chains = index.select("key", F.explode("chain").alias("link")).select("key", "link.*").filter("n > 1")
     again = source.select("text", F.xxhash64("text").alias("key")).join(_few(chains.select("key").distinct()), "key", "left_semi")
     # each different text of a key once, at the owner of its bucket
-    texts = place(again.groupBy("key", "text").agg(F.count("*").alias("n"))).select("bucket", "key", digest, F.octet_length("text").alias("n_bytes"), "text")
+    texts = placed(again.groupBy("key", "text").agg(F.count("*").alias("n")), depth, slots).select("bucket", "key", digest, F.octet_length("text").alias("n_bytes"), "text")
     compared = texts.groupBy("bucket", "key", "digest", "n_bytes").agg(F.min("text").alias("a"), F.max("text").alias("b"))
     equal = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(F.raise_error(F.lit("different texts share key, digest and length")).cast("long"))
     heads = chains.join(compared.drop("bucket"), ["key", "digest", "n_bytes"], "left")
     # texts that can't be found again compare as null, which is no equality either
     heads = heads.select("key", "digest", "n_bytes", equal.alias("group_size"), (-F.col("best.id")).alias("keep_id"), (-F.col("best.row")).alias("keep_row"))
     heads = written(heads, "dedup-heads")
-    removed(gathered, slots, index)
+    removed(linked, slots, index)
     return entries, heads
 
 
