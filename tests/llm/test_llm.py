@@ -204,8 +204,8 @@ def test_lm(docs):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
 
 
-@pytest.mark.parametrize(("most", "state"), [(10**6, 1e-4), (5, 0.05), (0, 1.0)])
-def test_lm_backoff(docs, most, state, monkeypatch):
+@pytest.mark.parametrize(("most", "state", "least"), [(10**6, 1e-4, 2), (5, 0.05, 2), (0, 1.0, 2), (5, 0.05, 1)])
+def test_lm_backoff(docs, most, state, least, monkeypatch):
     """Neither bound says which n-grams and histories count."""
     from tracemill.llm.shared import held_out
     from pyspark.sql import functions as F
@@ -221,7 +221,7 @@ def test_lm_backoff(docs, most, state, monkeypatch):
     kinds = sum(len(g) == 1 for g in c)
     arcs = {}
     for g, n in c.items():
-        if len(g) > 1 and n >= 2:
+        if len(g) > 1 and n >= least:
             arcs.setdefault(g[:-1], []).append(g[-1])
 
     def p(h, x):
@@ -236,7 +236,7 @@ def test_lm_backoff(docs, most, state, monkeypatch):
     kept = [g[0] for g in c if len(g) == 1]
     for h in [(), *arcs]:  # all words, and any that training never had, share the whole
         assert abs(sum(p(h, x) for x in kept) + p(h, "never") - 1) < 1e-9
-    got = by_id(lm.score(docs, *lm.fit(docs.filter(~held_out(F.col("doc_id"), 7)))))
+    got = by_id(lm.score(docs, *lm.fit(docs.filter(~held_out(F.col("doc_id"), 7)), least=least)))
     for i, w in texts.items():
         want = sum(math.log10(p(tuple(w[max(0, j - 2) : j]), x)) for j, x in enumerate(w))
         assert abs(got[i]["score"] - want) < 1e-6 * max(1, abs(want))

@@ -16,12 +16,13 @@ END = np.uint64(1)
 #: Where n-grams are looked up, never what is counted: in the tasks the most frequent ones of each order, so many at most,
 #: the others by joins; those that are so large a share of all tokens are broadcast to the n-grams that contain them.
 MOST, STATE = 200_000, 1e-4
-#: Least count of an n-gram of two or more words, at every size of the corpus.
+#: Least count of an n-gram of two or more words, at every size of the corpus; 1 keeps them all.
 LEAST = 2
 #: Bits of the filter of each order's n-grams, and of the part of it that a code's first byte chooses.
 FILTER, PART = 1 << 27, 1 << 19
-#: Entries of the tables in a bucket, about; codes or entries that a task holds before it sends them to their buckets.
-BUCKET, HELD = 500_000, 1_000_000
+#: Entries of the tables in a bucket, about (24 bytes each; a document gets a sum from each bucket, so that larger ones make
+#: fewer); codes or entries that a task holds before it sends them to their buckets; parts that documents are dealt to.
+BUCKET, HELD, DEALT = 2_000_000, 1_000_000, 4096
 #: What absolute discounting takes from each count; the longest n-gram.
 DISCOUNT, ORDER = 0.75, 3
 
@@ -145,8 +146,8 @@ def filter_of(table: DataFrame) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, order: int, known) -> DataFrame:
-    """(w, a, b, n): the n-grams of this order that occur LEAST times, their codes and those of their beginnings and ends.
+def counted(docs: DataFrame, order: int, known, least: int = LEAST) -> DataFrame:
+    """(w, a, b, n): the n-grams of this order that occur `least` times, their codes and those of their beginnings and ends.
     An n-gram that occurs so often has a beginning and an end that do; known, a broadcast filter, passes those."""
 
     def merged(parts):
@@ -185,7 +186,7 @@ def counted(docs: DataFrame, order: int, known) -> DataFrame:
             w = joint(x.column("a").to_numpy().view(np.uint64), x.column("b").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *x.columns], ["w", *x.schema.names])
 
-    sums = docs.select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+    sums = docs.select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return sums.mapInArrow(coded, "w long, a long, b long, n long")
 
 
@@ -213,8 +214,8 @@ class Model:
     """total, kinds: training tokens, and different ones. tables: for each order (w, n, value). The log probability of a
     text is the sum of the values of all its n-grams: that of a word is log p(word), that of a longer n-gram is
     log p(word | history) less the weight of failure and log p(word | shorter history), which its shorter n-grams bring;
-    each brings the weight of failure that it has as a history too. Of n-grams that do not occur LEAST times the value
-    is 0. frequent: of each order codes, counts and values; filters: of each order from 2 on."""
+    each brings the weight of failure that it has as a history too. Of n-grams that do not occur often enough the value
+    is 0. frequent: of each order codes, counts and values; filters: of each order."""
 
     def __init__(self, total: int, kinds: int, tables: list[DataFrame], filters: list):
         self.total, self.kinds, self.tables, self.filters = total, kinds, tables, filters
@@ -226,9 +227,9 @@ class Model:
             self.frequent.append((codes[order], rows["n"].to_numpy(np.int64)[order], rows["value"].to_numpy(np.float64)[order]))
 
 
-def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, Model]:
+def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFrame, Model]:
     """All counts and values of words (w, n, value), written to the shared folder as those of longer n-grams are, and the
-    model. docs: the training texts."""
+    model. docs: the training texts; least: how often longer n-grams have to occur to count."""
     spark = docs.sparkSession
     counts = written(tallied(docs, lambda w, first: w), "lm-words")
     row = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
@@ -236,10 +237,10 @@ def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, Model]:
     log = F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(total, 1))))
     lower = written(counts.select("w", "n", log.alias("log"), log.alias("value")), "lm-lower")
     removed(counts)
-    tables, filters, known = [], [], None
+    tables, filters, known = [], [filter_of(lower)], None
     for k in range(2, order + 1):
         often = lower.filter(F.col("n") >= STATE * total).select("w")  # at most 1 / STATE rows
-        grams_ = written(counted(docs, k, known), "lm-grams")
+        grams_ = written(counted(docs, k, known, least), "lm-grams")
         below = written(looked_up(grams_, "b", lower.select("w", F.col("log").alias("below")), often).select("w", "a", "n", "below"), "lm-below")
         sums = below.groupBy("a").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("mass"), F.sum(F.pow(F.lit(10.0), "below")).alias("rest")).withColumnRenamed("a", "w")
         left = lambda x: F.greatest(1 - x, F.lit(1e-12))
@@ -273,6 +274,11 @@ SUMS = "key long, doc_id long, held_out boolean, n_tokens long, known long, base
 ROWS = f"bucket int, kind int, data binary, {SUMS}"
 
 
+def owners(n: int):
+    """The type of places among n documents."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _rows(made: list[tuple[int, bytes]], kind: int):
     """Record batches of entries or codes."""
     for k in range(0, len(made), 64):
@@ -330,7 +336,7 @@ def found(rows_: DataFrame, whole: float) -> DataFrame:
                     order = np.argsort(three[0])
                     table, parts = [x[order] for x in three], []
                 m, k = raw[:16].view(np.int64).tolist()
-                codes, owner, keys = raw[16 : 16 + 8 * m].view(np.uint64), raw[16 + 8 * m : 16 + 12 * m].view(np.uint32), raw[16 + 12 * m :].view(np.int64)
+                codes, owner, keys = raw[16 : 16 + 8 * m].view(np.uint64), raw[16 + 8 * m : len(raw) - 8 * k].view(owners(k)), raw[len(raw) - 8 * k :].copy().view(np.int64)
                 at = position(table[0], codes)
                 hit = at >= 0
                 owner, n, value = owner[hit], table[1][at[hit]], table[2][at[hit]]
@@ -348,7 +354,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
     Values of n-grams that are too rare for the tasks' tables are asked for in buckets of codes afterwards, so that no
-    table grows with the corpus on the driver or in a task; of longer n-grams only those that a filter passes are.
+    table grows with the corpus on the driver or in a task; only those that a filter passes are.
     Unknown words are one class, which gets what discounting took from the known ones. Null and empty texts are their
     end alone. Repeated rows repeat, empty tables give none; other columns are not read. Without training texts all
     probabilities are 1.
@@ -368,7 +374,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             made = []
             for b, at in in_buckets(codes, bits):
                 keys, owner = np.unique(key[at], return_inverse=True)
-                made.append((b, np.array([len(at), len(keys)], np.int64).tobytes() + codes[at].tobytes() + owner.astype(np.uint32).tobytes() + keys.tobytes()))
+                made.append((b, np.array([len(at), len(keys)], np.int64).tobytes() + codes[at].tobytes() + owner.astype(owners(len(keys))).tobytes() + keys.tobytes()))
             yield from _rows(made, 1)
 
         for whole in batches:
@@ -378,18 +384,18 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 log, key = np.zeros(len(w)), np.repeat(batch.column("key").to_numpy(), np.diff(first))
                 for k, (codes, ok) in enumerate(grams(w, first, orders)):
                     here = np.flatnonzero(ok)
-                    if k:
-                        here = here[passes(filters[k - 1], codes[here])]
                     at = position(frequent[k][0], codes[here])
                     hit = at >= 0
+                    rest = here[~hit]
                     log[here[hit]] += frequent[k][2][at[hit]]
-                    held.append((codes[here[~hit]], key[here[~hit]]))
+                    rest = rest[passes(filters[k], codes[rest])]
+                    held.append((codes[rest], key[rest]))
                     size += len(held[-1][0])
                     if not k:
                         plain = np.where(hit, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
                         known = add(hit.astype(np.int64))
                 n = batch.num_rows
-                bucket = batch.column("key").to_numpy() % (1 << bits)
+                bucket = -1 - batch.column("key").to_numpy() % DEALT  # not among the entries: documents spread however few these are
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array([2] * n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log))], NAMES)
                 if size > HELD:
                     yield from asked()
