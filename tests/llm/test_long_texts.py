@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracemill.llm import licences
+from tracemill.llm import language, licences
 
 MIT = "Released under the MIT License."
 
@@ -46,3 +46,22 @@ def test_ties_and_equal_cosines(spark):
     got = sorted((r["file_id"], r["license_id"], r["origin"]) for r in licences.scan(files, known).collect() if r["file_id"] != 4)
     assert got == [(1, "A", "own"), (1, "A", "own"), (2, "A", "inherited"), (3, "C", "own")]
     assert licences.scan(files.limit(0), known).count() == 0
+
+
+def test_languages_of_long_texts_in_parts(spark, monkeypatch):
+    """What is read in parts is learnt and predicted as what is read whole."""
+    rows = [(i, ("the cat sat on the mat and " if i % 2 else "der hund lief über die straße und ") * (1 + i % 40) + "x" * (i % 3), "en" if i % 2 else "de") for i in range(60)]
+    rows += [(100, "the cat and the dog " * 30 + "der hund und die katze über " * 30, "en"), (101, "a" * 500, "en"), (102, "", "de"), (103, None, "de"), (104, "123 !?", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+
+    def run():
+        langs, log = language.fit(docs)
+        return langs, log, sorted(map(tuple, language.predict(docs, langs, log).collect()))
+
+    whole = run()
+    monkeypatch.setattr(language, "PART", 97)
+    in_parts = run()
+    assert whole[0] == in_parts[0] == ["de", "en"]
+    for a, b in zip(whole[2], in_parts[2], strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3 and a[4] == b[4]
+    assert {r[0]: r[2] for r in in_parts[2]}[103] == "und" and {r[0]: r[4] for r in in_parts[2]}[100] == 2

@@ -16,6 +16,8 @@ CELLS, ORDERS = 1 << 16, (1, 2, 3)
 ROUNDS, PENALTY = 12, 3.0
 #: Languages that can be learnt; more values of `lang` end the job, since their tables (0.8 MB each) would not fit.
 LANGUAGES = 256
+#: Characters of text whose n-grams are held at once; longer texts are read in parts, cut after a character that is no letter.
+PART = 1 << 20
 
 
 def letters(text: str) -> np.ndarray:
@@ -33,6 +35,31 @@ def _is_letter() -> np.ndarray:
     return _letter[0]
 
 
+def parts(text: pa.LargeStringArray, limit: int | None = None):
+    """(texts, places): the texts, in parts of about `limit` characters together, and which text each is of. A word that
+    alone is longer than a part is cut."""
+    limit = limit or PART
+    held, owner, size = [], [], 0
+    for i, t in enumerate(text.to_pylist()):
+        start = 0
+        while True:
+            stop = len(t)
+            if stop - start > limit:
+                at = start + limit
+                stop = next((k for k in range(at, min(len(t), at + limit)) if not t[k - 1].isalpha()), at)
+            held.append(t[start:stop])
+            owner.append(i)
+            size += stop - start
+            if size >= limit:
+                yield pa.array(held, pa.large_string()), np.array(owner)
+                held, owner, size = [], [], 0
+            start = stop
+            if start >= len(t):
+                break
+    if held:
+        yield pa.array(held, pa.large_string()), np.array(owner)
+
+
 def features(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of all texts: n-gram cells (len(ORDERS) for each character and the space after the word), the first
     cell of each word (with the end), the number of words before each text (with the end), letters of each word."""
@@ -74,13 +101,14 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for whole in batches:
             for batch, text in text_pieces(whole, 2 << 20):
                 langs = batch.column("lang").to_pylist()
-                grams, starts, first, _ = features(text)
-                bounds = starts[first]
-                for lang in set(langs):
-                    mine = total.setdefault(lang, np.zeros(size, np.int64))
-                    chosen = np.concatenate([grams[bounds[i] : bounds[i + 1]] for i, x in enumerate(langs) if x == lang])
-                    for k in range(len(ORDERS)):
-                        mine[k * CELLS : (k + 1) * CELLS] += np.bincount(chosen[:, k], minlength=CELLS)
+                for some, owner in parts(text):
+                    grams, starts, first, _ = features(some)
+                    bounds, of = starts[first], [langs[i] for i in owner]
+                    for lang in set(of):
+                        mine = total.setdefault(lang, np.zeros(size, np.int64))
+                        chosen = np.concatenate([grams[bounds[i] : bounds[i + 1]] for i, x in enumerate(of) if x == lang])
+                        for k in range(len(ORDERS)):
+                            mine[k * CELLS : (k + 1) * CELLS] += np.bincount(chosen[:, k], minlength=CELLS)
         for lang, counts in total.items():
             cells = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(counts[cells])], ["lang", "cell", "n"])
@@ -124,7 +152,8 @@ def predict(docs: DataFrame, langs: list[str], log: np.ndarray) -> DataFrame:
     A text's words are drawn from a mixture of languages. Expectation maximisation finds the proportions for the
     leading 1, 2, .. languages, as long as one more makes the log likelihood less a penalty for each language better;
     the largest proportion of the best set is the prediction and the score. Texts that are null or have no letter are `und`
-    with score 0. Repeated rows repeat, empty tables give none, other columns are not read.
+    with score 0. Repeated rows repeat, empty tables give none, other columns are not read. Long texts are read in parts;
+    of a whole text only its words' likelihoods are held, about 6 numbers for each word and language.
     """
     schema = "doc_id long, held_out boolean, lang_pred string, score double, n_langs int"
     sent = docs.sparkSession.sparkContext.broadcast(log)
@@ -132,18 +161,22 @@ def predict(docs: DataFrame, langs: list[str], log: np.ndarray) -> DataFrame:
     def one(batch, text):
         n = batch.num_rows
         names, score, chosen = ["und"] * n, np.zeros(n), np.zeros(n, np.int32)
-        grams, starts, first, size = features(text)
-        if len(size) and langs:
-            log = sent.value
-            rows = np.zeros((len(grams), len(langs)), np.float32)
-            for k in range(len(ORDERS)):
-                rows += log[grams[:, k] + k * CELLS]
-            word = np.add.reduceat(rows, starts[:-1], axis=0) / np.float32(len(ORDERS))
-            likely = np.exp(word - word.max(1, keepdims=True))
-            weight = np.maximum(size, 0).astype(np.float32)
+        words, sizes, seen, log = [], [], np.zeros(n, np.int64), sent.value
+        for some, owner in parts(text) if langs else ():
+            grams, starts, first, size = features(some)
+            if len(size):
+                rows = np.zeros((len(grams), len(langs)), np.float32)
+                for k in range(len(ORDERS)):
+                    rows += log[grams[:, k] + k * CELLS]
+                word = np.add.reduceat(rows, starts[:-1], axis=0) / np.float32(len(ORDERS))
+                words.append(np.exp(word - word.max(1, keepdims=True)))
+                sizes.append(np.maximum(size, 0).astype(np.float32))
+                seen += np.bincount(owner, np.diff(first), n).astype(np.int64)
+        if words:
+            likely, weight, first = np.concatenate(words), np.concatenate(sizes), np.concatenate(([0], np.cumsum(seen)))
+            del words, sizes
             base, _ = mixtures(likely, weight, first, np.ones((n, len(langs)), np.float32), ROUNDS // 2)
             order = np.argsort(-base, 1, kind="stable")
-            seen = np.diff(first)
             share = np.zeros_like(base)
             share[np.arange(n), order[:, 0]] = 1
             best = np.zeros(n)
