@@ -59,12 +59,13 @@ def capacity(traces: DataFrame, required: int) -> DataFrame:
     return out.withColumn("shortfall", F.greatest(F.lit(0), required - F.col("multi_write_tasks")))
 
 
-def balanced_picks(candidates: DataFrame, n: int) -> DataFrame:
+def balanced_picks(candidates: DataFrame, n: int, strict: bool = False) -> DataFrame:
     """n rows of each domain, one after the other: of tasks that were not picked yet the row of the best pool whose agent
     was picked least, then the smallest gap and id. candidates: domain, task_id, agent, pool, gap, id.
 
     A pick of an agent is always among its n best rows, one for each task, since fewer than n tasks are taken before:
-    windows keep these, so that what one task picks from is agents times n rows, however many candidates there are."""
+    windows keep these, so that what one task picks from is agents times n rows, however many candidates there are. strict: a
+    domain that has too few different tasks ends the job."""
     order = ["pool", "gap", "id"]
     rank = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     best = candidates.withColumn("r", rank(["domain", "agent", "task_id"])).filter("r = 1").withColumn("r", rank(["domain", "agent"])).filter(F.col("r") <= n).drop("r")
@@ -76,12 +77,20 @@ def balanced_picks(candidates: DataFrame, n: int) -> DataFrame:
             out.append(i)
             counts[left.at[i, "agent"]] = counts.get(left.at[i, "agent"], 0) + 1
             left = left[left["task_id"] != left.at[i, "task_id"]]
+        if strict and len(out) < n:
+            raise ValueError(f"only {len(out)} different tasks of {n} in {rows['domain'].iloc[0]}")
         return rows.loc[out].assign(position=range(1, len(out) + 1))
 
     best = best.select("domain", "task_id", "agent", "pool", "gap", "id")
     return best.groupBy("domain").applyInPandas(pick, "domain string, task_id long, agent string, pool int, gap long, id long, position int").select("domain", "position", "id", "task_id", "agent")
 
 
+def spare_picks(candidates: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """Of what was not chosen the first n rows of each domain by gap and id, whatever their task. chosen: id."""
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy("gap", "id"))
+    return candidates.join(chosen.select("id"), "id", "left_anti").withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
 def quota_wave(fits: DataFrame, families: list[str], quota: int) -> DataFrame:
     """quota rows of each domain and family in turn, the best scores first, of different tasks as long as there are such,
     no trajectory twice. fits: domain, family, trajectory, task_id, score.
