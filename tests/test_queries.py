@@ -55,6 +55,12 @@ def test_latest_and_upsert(spark):
     assert {(r["k"], r["v"]) for r in T.upsert(T.latest(ledger, ["k"], ["n"]), new, ["k"]).select("k", "v").collect()} == {("a", "newer"), ("b", "only")}
 
 
+def test_positional_diff_of_nulls(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, None), (4, "y"), (5, None)], "k int, v string")
+    b = spark.createDataFrame([(1, None), (2, "x"), (3, None), (6, None)], "k int, v string")
+    assert {(r["k"], r["kind"]) for r in T.positional_diff(a, b, ["k"], "v").collect()} == {(1, "changed"), (2, "changed"), (4, "removed"), (5, "removed"), (6, "added")}
+
+
 def test_verdict(spark):
     rows = spark.createDataFrame([("a", True), ("b", False)], "check string, passed boolean")
     assert tuple(Q.verdict(rows).first()) == ("FAIL", 1)

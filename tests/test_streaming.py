@@ -82,3 +82,19 @@ def test_calls(rocks, tmp_path):
     got = sorted((r["call_id"], r["outcome"]) for r in rocks.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a", "closed"), ("b", "expired"), ("c", "closed"), ("d", "closed"), ("e", "orphan"), ("f", "expired")]
     shutil.rmtree(tmp_path / "out")
+
+
+def test_ledger_by_buckets(spark, tmp_path):
+    """A first batch without rows, and no more than two generations of a bucket."""
+    from tracemill.streaming.ledger import current, keep_latest
+
+    schema, rng, want = "k string, n int", random.Random(5), {}
+    put(tmp_path / "in", 0, [])
+    for number in range(1, 6):
+        rows = [{"k": f"k{rng.randrange(40)}", "n": 100 * number + i} for i in range(20)]
+        put(tmp_path / "in", number, rows)
+        want.update({r["k"]: r["n"] for r in rows})
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    keep_latest(stream, ["k"], ["n"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert {r["k"]: r["n"] for r in current(spark, str(tmp_path / "out")).collect()} == want
+    assert max(len([g for g in os.listdir(b) if g.startswith("generation")]) for b in (tmp_path / "out").glob("bucket=*")) <= 2

@@ -59,9 +59,11 @@ def linked_results(calls: DataFrame, results: DataFrame, key: str, order: str) -
 
 
 def positional_diff(base: DataFrame, other: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows by position whose value differs, or that one side lacks."""
-    both = base.select(*keys, F.col(value).alias("a")).join(other.select(*keys, F.col(value).alias("b")), keys, "full_outer")
-    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).withColumn("kind", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed"))
+    """Rows by position whose value differs (a null is a value), or that one side lacks."""
+    side = lambda df, name: df.select(*keys, F.struct(F.col(value).alias("value")).alias(name))
+    both = side(base, "x").join(side(other, "y"), keys, "full_outer")
+    kind = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(~F.col("x.value").eqNullSafe(F.col("y.value")), "changed")
+    return both.select(*keys, F.col("x.value").alias("a"), F.col("y.value").alias("b"), kind.alias("kind")).filter("kind is not null")
 
 
 def candidate_pairs(safe: DataFrame, unsafe: DataFrame, keys: list[str], k: int) -> DataFrame:
