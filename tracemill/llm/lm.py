@@ -237,7 +237,7 @@ def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFr
     log = F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(total, 1))))
     lower = written(counts.select("w", "n", log.alias("log"), log.alias("value")), "lm-lower")
     removed(counts)
-    tables, filters, known = [], [filter_of(lower)], None
+    tables, filters, known = [], [], None
     for k in range(2, order + 1):
         often = lower.filter(F.col("n") >= STATE * total).select("w")  # at most 1 / STATE rows
         grams_ = written(counted(docs, k, known, least), "lm-grams")
@@ -251,10 +251,12 @@ def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFr
         for table in (grams_, below, weights, lower):
             removed(table)
         lower = next_
-        filters.append(filter_of(lower))
-        known = spark.sparkContext.broadcast(filters[-1])
+        filters.append(filter_of(lower.select("w") if filters else lower.select("w").unionByName(tables[0].select("w"))))  # the first holds the words too
+        if known is not None:
+            known.destroy()
+        known = spark.sparkContext.broadcast(filters[-1]) if k < order else None
     tables.append(lower.select("w", "n", "value"))
-    return tables[0], Model(total, kinds, tables, filters)
+    return tables[0], Model(total, kinds, tables, [filters[0] if filters else filter_of(lower.select("w")), *filters])
 
 
 def in_buckets(codes: np.ndarray, bits: int):
