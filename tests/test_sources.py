@@ -30,6 +30,27 @@ def test_file_audit(spark, tmp_path):
     assert {tuple(r) for r in files.run_audit(spark, str(run), m, results).collect()} == {("file changed", "changed"), ("file missing", "gone"), ("file surplus", "extra"), ("bad", "1"), ("worse", "1")}
 
 
+def test_frozen_files(spark, tmp_path):
+    run, target = tmp_path / "run", tmp_path / "frozen"
+    run.mkdir()
+    for name in ("a.jsonl", "b.jsonl", "config.json"):
+        (run / name).write_text(name * 3)
+    with pytest.raises(FileNotFoundError, match="lacks c.jsonl"):
+        files.freeze_files(spark, str(run), ["a.jsonl", "c.jsonl"], str(target), {})
+    assert not target.exists()
+    manifest = files.freeze_files(spark, str(run), ["a.jsonl", "b.jsonl"], str(target), {"policy_mode": "broad"}, {"config": str(run / "config.json")})
+    stated = json.loads((target / "freeze_manifest.json").read_text())
+    sha = lambda name: hashlib.sha256((name * 3).encode()).hexdigest()
+    assert stated["artifact_sha256"] == {n: sha(n) for n in ("a.jsonl", "b.jsonl")} and stated["reference_sha256"] == {"config": sha("config.json")} and stated["policy_mode"] == "broad"
+    audit = lambda: {tuple(r) for r in files.file_audit(files.file_hashes(spark, str(target), "*.jsonl"), manifest).collect()}
+    assert audit() == set()
+    (target / "b.jsonl").write_text("changed")
+    (target / ".b.jsonl.crc").unlink()  # a local copy has a checksum of its own, which no longer holds
+    assert audit() == {("b.jsonl", "changed")}
+    with pytest.raises(FileExistsError, match="frozen already"):
+        files.freeze_files(spark, str(run), ["a.jsonl"], str(target), {})
+
+
 @pytest.fixture(scope="module")
 def lines(spark):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

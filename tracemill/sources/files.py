@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,28 @@ def run_audit(spark: SparkSession, folder: str, manifest: DataFrame, results: Da
     errors."""
     files = file_audit(file_hashes(spark, folder), manifest).select(F.concat(F.lit("file "), "error").alias("error"), F.col("path").alias("subject"))
     return files.unionByName(results.select(F.explode("errors").alias("error"), F.col("id").cast("string").alias("subject")))
+
+
+def freeze_files(spark: SparkSession, folder: str, names: list[str], target: str, facts: dict, references: dict[str, str] | None = None) -> DataFrame:
+    """Copies the named files of a run into a folder that must not exist yet, with `freeze_manifest.json` beside them: the
+    facts that are stated of the run, the hash of each copy, and those of other files that it rests on (by name, a path).
+    Returns the manifest (path, sha256), which `file_audit` holds against the copies later. A name that the run lacks ends
+    the job before anything is written. Names are a run's few artifacts."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    goal = path(target)
+    fs = goal.getFileSystem(conf)
+    if fs.exists(goal):
+        raise FileExistsError(f"{target} is frozen already")
+    source = path(folder).getFileSystem(conf)
+    if gone := [n for n in names if not source.exists(path(folder, n))]:
+        raise FileNotFoundError(f"{folder} lacks {', '.join(gone)}")
+    for name in names:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source, path(folder, name), fs, path(target, name), False, True, conf)
+    hashes = {r["path"]: r["sha256"] for r in file_hashes(spark, target).collect()}  # a row for each name
+    others = {name: r["sha256"] for name, at in (references or {}).items() for r in file_hashes(spark, at).collect()}
+    text = json.dumps({**facts, "artifact_sha256": hashes, "reference_sha256": others, "immutable": True}, sort_keys=True, indent=1)
+    out = fs.create(path(target, "freeze_manifest.json"), False)
+    out.write(text.encode())
+    out.close()
+    return spark.createDataFrame(sorted(hashes.items()), "path string, sha256 string")
