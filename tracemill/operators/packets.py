@@ -119,6 +119,23 @@ def monitor_views(full: DataFrame, summaries: DataFrame, receipts: DataFrame) ->
     return named(full, "full").unionByName(named(summaries, "summary")).unionByName(named(both, "summary_receipt"))
 
 
+def seed_packets(events: DataFrame, targets: DataFrame, rules: DataFrame, calculators: list[str]) -> DataFrame:
+    """(trajectory, domain, event_ids, rules, later_calculator_ids): what the one who changes a trace gets to see: its events
+    in order, the rules of its domain, and the calls of calculators after the target, which a change would reach. events:
+    trajectory, event_id, ordinal, tool; targets: trajectory, domain, target; rules (a few for each domain): domain, rule."""
+    own = events.join(targets.select("trajectory", "target"), "trajectory")
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ordinal", "event_id")))), lambda x: x["event_id"])
+    each = own.groupBy("trajectory").agg(ids(F.lit(True)).alias("event_ids"), ids(F.col("tool").isin(*calculators) & (F.col("ordinal") > F.col("target"))).alias("later_calculator_ids"))  # the events of one trace
+    known = rules.groupBy("domain").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    return targets.select("trajectory", "domain").join(each, "trajectory").join(F.broadcast(known), "domain", "left").select("trajectory", "domain", "event_ids", F.coalesce("rules", F.expr(NO_TEXTS)).alias("rules"), "later_calculator_ids")
+
+
+def outcome_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows, different traces and different hashes there are of each outcome: the counts of a prepared data set or
+    of a baseline run. rows: keys, trace, text."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_distinct("trace").alias("traces"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
+
+
 def split_manifest(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tasks of each split; and of each task its domain, category, split, tools and number of claims. tasks: task_id, domain,
     category, split, tools, claims."""

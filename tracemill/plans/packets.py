@@ -118,6 +118,22 @@ def z51_monitor_views(spark, sf_dir):
     return P.monitor_views(f, s, f.filter("trace % 2 = 0").withColumn("evidence", F.concat(F.lit("+r"), text(F.col("trace")))))
 
 
+@query(f"""WITH {TOOL_EVENTS}, t AS (SELECT trajectory, min(ordinal) AS target FROM tool_events WHERE kind = 'write' GROUP BY 1)
+SELECT trajectory, 'd' || trajectory % 3 AS domain, list(event_id ORDER BY ordinal) AS event_ids, CASE trajectory % 3 WHEN 0 THEN ['r0', 'r3'] WHEN 1 THEN ['r1'] ELSE [] END AS rules, coalesce(list(event_id ORDER BY ordinal) FILTER (tool = 'calculate' AND ordinal > target), []) AS later_calculator_ids FROM tool_events JOIN t USING (trajectory) GROUP BY trajectory""")
+def z35_seed_packets(spark, sf_dir):
+    e = tool_events(spark, sf_dir)
+    targets = e.filter("kind = 'write'").groupBy("trajectory").agg(F.min("ordinal").alias("target")).withColumn("domain", F.concat(F.lit("d"), text(F.col("trajectory") % 3)))
+    rules = spark.createDataFrame([("d0", "r3"), ("d0", "r0"), ("d1", "r1")], "domain string, rule string")
+    return P.seed_packets(e, targets, rules, ["calculate"])
+
+
+@query("""WITH d AS (SELECT l_returnflag AS decision, l_linestatus AS cohort, l_orderkey AS trace, l_shipdate::VARCHAR AS text FROM lineitem) SELECT decision, cohort, count(*) AS rows, count(DISTINCT trace) AS traces, count(DISTINCT sha256(text)) AS texts FROM d GROUP BY ALL""")
+def z60_outcome_counts(spark, sf_dir):
+    """Counts of a prepared data set, or of a baseline's decisions."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("decision"), F.col("l_linestatus").alias("cohort"), F.col("l_orderkey").alias("trace"), text(F.col("l_shipdate")).alias("text"))
+    return P.outcome_counts(rows, ["decision", "cohort"])
+
+
 @query("""SELECT 'split ' || CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS name, NULL AS domain, count(*)::INT AS n FROM customer GROUP BY 1 UNION ALL SELECT 'task ' || c_custkey, c_mktsegment, c_nationkey % 4 FROM customer""")
 def s15_task_manifest(spark, sf_dir):
     key = F.col("c_custkey")
