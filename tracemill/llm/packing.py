@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .shared import text_pieces
+from .shared import give_back, text_pieces
 
 #: Tokens of a sequence; the id that ends a document.
 LENGTH, END_ID = 4096, 2
@@ -81,6 +81,10 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", length: int = LENGTH,
     """
 
     def packed(batches):
+        yield from blocks(batches)
+        give_back()
+
+    def blocks(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
