@@ -168,10 +168,9 @@ def counted(docs: DataFrame, order: int, known, least: int = LEAST) -> DataFrame
                 if order == 2:
                     start[:] = below != END
                 use = np.flatnonzero(start[:-1] & within[1:])
-                if known is not None:
-                    ok = np.zeros(len(below), bool)
-                    ok[within] = passes(known.value, below[within])
-                    use = use[ok[use] & ok[use + 1]]
+                ok = np.zeros(len(below), bool)
+                ok[within] = passes(known.value, below[within])
+                use = use[ok[use] & ok[use + 1]]
                 a, b = below[use], below[use + 1]
                 parts.append(merged([(a, b, np.ones(len(a)))]))
                 size += len(parts[-1][0])
@@ -237,7 +236,8 @@ def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFr
     log = F.log10((F.col("n") - DISCOUNT) / F.lit(float(max(total, 1))))
     lower = written(counts.select("w", "n", log.alias("log"), log.alias("value")), "lm-lower")
     removed(counts)
-    tables, filters, known = [], [], None
+    tables, filters = [], []
+    known = spark.sparkContext.broadcast(filter_of(lower.filter(F.col("n") >= least).select("w")))  # words that pairs which count can hold
     for k in range(2, order + 1):
         often = lower.filter(F.col("n") >= STATE * total).select("w")  # at most 1 / STATE rows
         grams_ = written(counted(docs, k, known, least), "lm-grams")
@@ -252,8 +252,7 @@ def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFr
             removed(table)
         lower = next_
         filters.append(filter_of(lower.select("w") if filters else lower.select("w").unionByName(tables[0].select("w"))))  # the first holds the words too
-        if known is not None:
-            known.destroy()
+        known.destroy()
         known = spark.sparkContext.broadcast(filters[-1]) if k < order else None
     tables.append(lower.select("w", "n", "value"))
     return tables[0], Model(total, kinds, tables, [filters[0] if filters else filter_of(lower.select("w")), *filters])
