@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import nested as N
 from .exprs import json_object
 
-#: Keys under which a call by name carries its arguments; roles whose content may hold calls.
+#: Keys under which a call by name carries its arguments; roles whose content may hold calls.
 ARGUMENTS, SPEAKERS = ("arguments", "args", "parameters"), ("assistant", "tool")
 BLANKS = " \t\n\r\x0b\x0c"
 
@@ -148,7 +148,7 @@ def annotation_errors(row: Column, labels: list[str]) -> Column:
     return F.array_compact(F.array(*rules))
 
 
-#: Parts of a summary: a text and lists of items with their sources.
+#: Fixed values, as are the messages below: the parts of a summary, a text and lists of items with their sources.
 REQUEST, SECTIONS = "user_request", ("key_facts", "actions_and_results", "state_changes", "unresolved_or_risks")
 
 
@@ -180,7 +180,7 @@ def summary_errors(summary: Column, known: Column, request: str = REQUEST, secti
     return N.let(N.read(summary), lambda v: F.when(F.coalesce(keys(v) == wanted, F.lit(False)), of_summary(v)).otherwise(F.array(F.lit("summary must contain exactly the required keys"))))
 
 
-#: Keys of an action, in the order in which they are looked for, with the type that each makes.
+#: Keys of an action, in the order in which they are looked for, with the type that each makes.
 ANSWERS = {"final_answer": "final_answer", "clarify": "clarify", "abort": "abort"}
 ACTION = "struct<type:string,name:string,arguments:string,text:string>"
 

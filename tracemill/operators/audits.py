@@ -110,7 +110,7 @@ def state_changes(states: DataFrame) -> DataFrame:
     return states.withColumn("hash", F.sha2(F.coalesce(F.to_json(F.try_parse_json("state")), "state"), 256)).withColumn("changed", F.coalesce(F.col("hash") != before, F.lit(False))).drop("state")
 
 
-#: Where the text of a response stands, by protocol: a string, or a list of parts with texts.
+#: Where the text of a response stands, by protocol: a string, or a list of parts with texts.
 RESPONSES = {"openai_chat": ("$.choices[0].message.content", False), "anthropic_messages": ("$.content", True), "gemini_generate_content": ("$.candidates[0].content.parts", True)}
 
 

@@ -10,6 +10,8 @@ from ..functions import nested as N
 
 #: Argument names that say which record an action is about.
 TARGET_KEYS = ("order_id", "reservation_id", "record_id", "entity_id")
+#: Fixed value: what a trace without a user's text is taken to ask for.
+DEFAULT_REQUEST = "Complete the user's requested support action."
 
 
 def shown() -> Column:
@@ -155,7 +157,7 @@ def before_writes(events: DataFrame) -> DataFrame:
     user = F.col("role") == "user"
     rows = events.withColumn("last_user", F.last(F.when(user, F.col("event_id")), ignorenulls=True).over(before))
     text = F.first(F.when(user & (F.coalesce("content", F.lit("")) != ""), F.col("content")), ignorenulls=True).over(whole)
-    return rows.withColumn("first_text", F.coalesce(text, F.lit("Complete the user's requested support action."))).filter("kind = 'write'").select("trajectory", "event_id", "last_user", "first_text")
+    return rows.withColumn("first_text", F.coalesce(text, F.lit(DEFAULT_REQUEST))).filter("kind = 'write'").select("trajectory", "event_id", "last_user", "first_text")
 
 
 def selected(events: DataFrame, where: Column) -> DataFrame:
