@@ -83,3 +83,20 @@ def test_picks_of_too_few_tasks(spark):
     with pytest.raises(Exception, match="only 2 different tasks of 3 in d"):
         V.balanced_picks(rows, 3, strict=True).collect()
     assert [r["id"] for r in V.spare_picks(rows, V.balanced_picks(rows, 2), 2).collect()] == [1]
+
+
+def test_reviewed_selection(spark):
+    packets = spark.createDataFrame([(1, "d", "f", "t1", 5), (2, "d", "f", "t1", 9), (3, "d", "f", "t2", 1), (4, "d", "g", "t3", 1)], "id int, domain string, family string, task_id string, score int")
+    reviews = lambda *rows: spark.createDataFrame(rows, "id int, line int, accepted boolean")
+    got = C.reviewed_selection(packets, reviews((1, 1, True), (2, 1, True), (2, 2, False), (3, 1, False), (3, 2, True)), 1)
+    assert [(r["family"], r["id"]) for r in got.collect()] == [("f", 1)]
+    with pytest.raises(Exception, match="in no packet: 9"):
+        C.reviewed_selection(packets, reviews((9, 1, True)), 1).collect()
+
+
+def test_frozen_sets(spark):
+    make = lambda *rows: spark.createDataFrame(rows, "id int, domain string, task_id int")
+    got = {tuple(r) for r in C.frozen_errors(make((1, "a", 1), (1, "a", 2), (2, "b", 3)), make((2, "z", 9), (7, "a", 1)), {"a": 2, "c": 1}).collect()}
+    assert got == {("row count", "b"), ("row count", "c"), ("duplicate id", "1"), ("frozen id", "2"), ("frozen task", "a:1")}
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "case_id string")
+    assert {tuple(r) for r in C.registration_errors(keys("a", "b", "b", "x"), keys("a", "b", "c"), "case_id").collect()} == {("b", "twice"), ("x", "unexpected"), ("c", "missing")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nested as N
@@ -164,3 +164,39 @@ def export(rows: DataFrame, errors: DataFrame, private: list[str], path: str) ->
     if found := [tuple(r) for r in errors.limit(3).collect()]:
         raise ValueError(f"the audit did not pass: {found}")
     rows.drop(*private).write.mode("errorifexists").json(path)
+
+
+def frozen_errors(rows: DataFrame, frozen: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(error, subject): what is wrong with a set that is to be frozen beside earlier ones: domains with another number of
+    rows than expected, ids that stand twice, ids and tasks that a frozen set has already. rows, frozen: id, domain, task_id."""
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame(list(expected.items()), "domain string, expected long")
+    counts = F.broadcast(wanted).join(rows.groupBy("domain").agg(F.count("*").alias("n")), "domain", "full_outer").filter(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("expected", F.lit(0))))
+    twice = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    same_id = rows.select("id").distinct().join(frozen.select("id").distinct(), "id", "left_semi")
+    same_task = rows.select("domain", "task_id").distinct().join(frozen.select("domain", "task_id").distinct(), ["domain", "task_id"], "left_semi")
+    named = lambda df, error, subject: df.select(F.lit(error).alias("error"), subject.cast("string").alias("subject"))
+    return (
+        named(counts, "row count", F.col("domain")).unionByName(named(twice, "duplicate id", F.col("id"))).unionByName(named(same_id, "frozen id", F.col("id")))
+        .unionByName(named(same_task, "frozen task", F.concat_ws(":", F.col("domain"), F.col("task_id").cast("string"))))
+    )
+
+
+def registration_errors(registered: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """(key, error): keys of a registration that are `missing`, `unexpected` or stand `twice`. registered, expected: key."""
+    n = registered.groupBy(key).agg(F.count("*").alias("n"))
+    both = expected.select(key, F.lit(True).alias("wanted")).distinct().join(n, key, "full_outer")
+    return both.select(key, F.when(F.col("n").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("n") > 1, "twice").alias("error")).filter("error is not null")
+
+
+def reviewed_selection(packets: DataFrame, reviews: DataFrame, per_cell: int) -> DataFrame:
+    """The first per_cell rows of each domain and family that their last review accepts, one for each task, the best scores
+    first; a review of what no packet holds ends the job. packets: id, domain, family, task_id, score; reviews: id, line,
+    accepted."""
+    last = latest(reviews, ["id"], ["line"]).select("id", "accepted", F.lit(True).alias("reviewed"))
+    both = packets.withColumn("there", F.lit(True)).join(last, "id", "full_outer")
+    ok = F.when(F.col("there").isNull(), F.raise_error(F.concat(F.lit("a review of what is in no packet: "), F.col("id").cast("string"))).cast("boolean")).otherwise(F.coalesce("accepted", F.lit(False)))
+    order = F.struct((-F.col("score")).alias("neg"), "id")
+    best = both.filter(ok).groupBy("domain", "family", "task_id").agg(F.min(order).alias("o"))
+    rank = F.row_number().over(Window.partitionBy("domain", "family").orderBy("o"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= per_cell).select("domain", "family", "task_id", F.col("o.id").alias("id"), "rank")

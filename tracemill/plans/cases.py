@@ -99,3 +99,33 @@ def f42_recovery_rows(spark, sf_dir):
     steps = F.array(step(F.when(key % 3 == 0, "answer").otherwise("tool_call"), 0), step(F.lit("tool_call"), 1), step(F.lit("answer"), 2))
     t = table(spark, sf_dir, "customer").select(key.alias("task_id"), F.when(key % 2 == 0, "tool_required").otherwise("no_tool").alias("category"), steps.alias("steps"))
     return C.recovery_rows(T.fault_schedule(t, HAZARDS, 3), t.select("task_id", F.inline("steps")))
+
+
+@query("""WITH r AS (SELECT o_orderkey % 9000 AS id, o_orderstatus AS domain, o_custkey % 50 AS task_id FROM orders WHERE o_orderkey % 11 = 0), f AS (SELECT o_orderkey AS id, o_orderstatus AS domain, o_custkey % 700 AS task_id FROM orders WHERE o_orderkey % 77 = 0),
+e(domain, expected) AS (VALUES ('F', 10), ('X', 1))
+SELECT 'row count' AS error, domain AS subject FROM (SELECT domain, count(*) AS n FROM r GROUP BY 1) FULL JOIN e USING (domain) WHERE coalesce(n, 0) <> coalesce(expected, 0) UNION ALL SELECT 'duplicate id', id::VARCHAR FROM r GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'frozen id', id::VARCHAR FROM r WHERE id IN (SELECT id FROM f) UNION ALL SELECT DISTINCT 'frozen task', domain || ':' || task_id FROM r WHERE (domain, task_id) IN (SELECT (domain, task_id) FROM f)""")
+def q18_frozen_errors(spark, sf_dir):
+    """A set that is to be frozen, held against its quotas and against what is frozen."""
+    o = table(spark, sf_dir, "orders")
+    of = lambda rows, key, task: rows.select(key.alias("id"), F.col("o_orderstatus").alias("domain"), task.alias("task_id"))
+    rows = of(o.filter("o_orderkey % 11 = 0"), F.col("o_orderkey") % 9000, F.col("o_custkey") % 50)
+    return C.frozen_errors(rows, of(o.filter("o_orderkey % 77 = 0"), F.col("o_orderkey"), F.col("o_custkey") % 700), {"F": 10, "X": 1})
+
+
+@query("""WITH r AS (SELECT o_custkey AS case_id FROM orders WHERE o_orderkey % 9 = 0), e AS (SELECT c_custkey AS case_id FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT case_id, count(*) AS n FROM r GROUP BY 1)
+SELECT case_id, CASE WHEN n IS NULL THEN 'missing' WHEN case_id % 2 <> 0 OR case_id NOT IN (SELECT case_id FROM e) THEN 'unexpected' ELSE 'twice' END AS error FROM n FULL JOIN e USING (case_id) WHERE n IS NULL OR n > 1 OR case_id NOT IN (SELECT case_id FROM e)""")
+def q21_registration_errors(spark, sf_dir):
+    registered = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("case_id"))
+    return C.registration_errors(registered, table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("case_id")), "case_id")
+
+
+@query("""WITH p AS (SELECT o_orderkey AS id, o_orderstatus AS domain, 'f' || o_custkey % 3 AS family, o_custkey % 25 AS task_id, o_orderkey % 17 AS score FROM orders), l AS (SELECT l_orderkey AS id, l_linenumber AS line, max(l_quantity) AS q FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL), v AS (SELECT id, arg_max(q > 20, line) AS accepted FROM l GROUP BY 1),
+b AS (SELECT domain, family, task_id, score, id, row_number() OVER (PARTITION BY domain, family, task_id ORDER BY score DESC, id) AS r FROM p JOIN v USING (id) WHERE accepted)
+SELECT domain, family, task_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY domain, family ORDER BY score DESC, id) AS rank FROM b WHERE r = 1) WHERE rank <= 4""")
+def q23_reviewed_selection(spark, sf_dir):
+    """Q20, Q23: packets, the last review of each, and what is selected of those that it accepts."""
+    o, line = table(spark, sf_dir, "orders"), F.col("l_linenumber")
+    packets = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("domain"), F.concat(F.lit("f"), text(F.col("o_custkey") % 3)).alias("family"), (F.col("o_custkey") % 25).alias("task_id"), (F.col("o_orderkey") % 17).alias("score"))
+    reviews = table(spark, sf_dir, "lineitem").filter(line % 2 == 1).groupBy(F.col("l_orderkey").alias("id"), line.alias("line")).agg(F.max("l_quantity").alias("q")).select("id", "line", (F.col("q") > 20).alias("accepted"))
+    return C.reviewed_selection(packets, reviews.join(packets.select("id"), "id", "left_semi"), 4)
