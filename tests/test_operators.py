@@ -171,3 +171,11 @@ def test_preferences_need_two_outputs(spark):
     df = spark.createDataFrame([(1, "do", None, ["a"])], "id int, instruction string, input string, output array<string>")
     with pytest.raises(Exception, match="two outputs"):
         training.preferences(df, "s").collect()
+
+
+def test_cost_of_an_audit_is_exact(spark):
+    """Costs whose sum lies between two rounded values; as doubles they add up to less in every order."""
+    costs = [4.88e-06, 3.544e-05, 2.738e-05, 2.022e-05, 6.58e-06]
+    ledger = spark.createDataFrame([(i, i, "success", True, "m", c) for i, c in enumerate(costs)], "call_id int, line int, status string, parsed boolean, model string, cost double")
+    got = ledgers.ledger_audit(ledger.select("call_id", "model"), ledger, ["call_id"], "line", 0.5).first()
+    assert (got["cost"], got["passed"]) == (0.000095, True)

@@ -97,15 +97,17 @@ def contact_checks(metrics: DataFrame, domains: DataFrame) -> DataFrame:
 
 def ledger_audit(expected: DataFrame, ledger: DataFrame, keys: list[str], order: str, cap: float) -> DataFrame:
     """One row of counts and a verdict over the newest entry of each expected call: missing, failed, unparsed, of another
-    model, entries that nothing expects, and the cost against a cap. expected: keys, model; ledger: keys, order, status,
-    parsed, model, cost."""
+    model, entries that nothing expects, and the cost against a cap. Costs are added as decimals, so that neither the sum
+    nor the digit it is rounded to depends on the order of rows. expected: keys, model; ledger: keys, order, status, parsed,
+    model, cost."""
     newest = latest(ledger, keys, [order]).withColumnRenamed("model", "answered_by").withColumn("there", F.lit(True))
     rows = expected.withColumn("wanted", F.lit(True)).join(newest, keys, "full_outer")
     wanted, there = F.col("wanted").isNotNull(), F.col("there").isNotNull()
     ok = wanted & there & (F.col("status") == "success")
+    cost = F.sum(F.when(F.col("status") == "success", F.col("cost").cast("decimal(28,15)")))
     out = rows.agg(
         F.count_if(wanted).alias("expected"), F.count_if(wanted & ~there).alias("missing"), F.count_if(wanted & there & (F.col("status") != "success")).alias("failed"), F.count_if(ok & ~F.col("parsed")).alias("unparsed"),
-        F.count_if(ok & (F.col("model") != F.col("answered_by"))).alias("other_model"), F.count_if(~wanted).alias("unexpected"), F.round(F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("cost"))), F.lit(0.0)), 6).alias("cost"),
+        F.count_if(ok & (F.col("model") != F.col("answered_by"))).alias("other_model"), F.count_if(~wanted).alias("unexpected"), F.coalesce(F.round(cost, 6).cast("double"), F.lit(0.0)).alias("cost"),
     )
     return out.withColumn("passed", F.expr(f"missing = 0 and failed = 0 and unparsed = 0 and other_model = 0 and unexpected = 0 and cost <= {cap}"))
 
