@@ -131,3 +131,12 @@ def test_packets(spark):
     assert [r["key"] for r in sorted(packet, key=lambda r: r["place"])] == sorted((f"k{i}" for i in range(10, 300)), key=lambda k: hashlib.sha256(k.encode()).hexdigest())
     a, b, c = (P.set_hash(x, "id").first() for x in (spark.range(50), spark.range(50).union(spark.range(9)).repartition(3), spark.range(49)))
     assert a == b and a["hash"] != c["hash"] and P.set_hash(spark.range(0), "id").first()["keys"] == 0
+
+
+def test_streaks_without_python_workers(spark):
+    from tracemill.operators import named_metrics as M
+
+    rows = spark.createDataFrame([("a", i, s) for i, s in enumerate(["x", "success", "x", None, "x", "success"])] + [("b", 1, "success"), ("c", 2, "x"), ("c", 1, "x")], "k string, ordinal int, status string").repartition(3)
+    got = M.metrics(rows, ["k"], ["longest_failure_streak", "runs"])
+    assert {tuple(r) for r in got.collect()} == {("a", 3, 6), ("b", 0, 1), ("c", 2, 2)}
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()

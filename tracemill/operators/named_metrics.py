@@ -65,14 +65,12 @@ def _statuses() -> Column:
     return F.array_sort(F.collect_set("status"))
 
 
-@grouped_metric("longest_failure_streak", ["status", "ordinal"], "long")
-def _longest_streak(rows: pd.DataFrame) -> int:
-    bad = (rows.sort_values("ordinal")["status"] != "success").to_numpy()
-    longest = run = 0
-    for b in bad:
-        run = run + 1 if b else 0
-        longest = max(longest, run)
-    return longest
+@metric("longest_failure_streak")
+def _longest_streak() -> Column:
+    """Of the runs of failures, written as ones between the noughts of successes, the longest is also the greatest text."""
+    bad = (~F.col("status").eqNullSafe("success")).cast("int")
+    in_order = F.sort_array(F.collect_list(F.struct("ordinal", bad.alias("bad"))))["bad"].cast("array<string>")
+    return F.length(F.array_max(F.split(F.array_join(in_order, ""), "0"))).cast("long")
 
 
 def metrics(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
