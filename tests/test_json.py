@@ -162,3 +162,23 @@ def test_responses(spark):
     for text, protocol, message in [('{"content": []}', "anthropic_messages", "anthropic_messages response did not contain text content"), ("{}", "new", "unsupported protocol: new")]:
         with pytest.raises(Exception, match=message):
             rows(spark, [(text, protocol)], A.response_text(T(), F.col("p")), schema=schema)
+
+
+def test_shallow_texts_are_walked_once(spark, values, monkeypatch):
+    """Texts of a few levels never need the list of open items that is made anew for each level."""
+    monkeypatch.setattr(N, "opened", lambda *_: F.raise_error(F.lit("opened")))
+    text = '{"a":[{"b":1,"api_Key":{"c":[2]}},"s1s1"],"d":{"e":null,"n":0.5}}'
+    got = rows(spark, [text], N.leaves(T()), N.leaves(T(), fields=("key", "value")), N.keys(T()), N.redacted(T()), N.pruned(T(), ("n",)), N.changed_paths(T(), F.replace(T(), F.lit("null"), F.lit("7"))), N.merged(T(), F.lit('{"d":{"e":{}}}')))[0]
+    assert [(x.path, x.key, x.kind, x.value, x.text) for x in got[0]] == [("a.api_Key.c", "c", "number", "2", None), ("a.b", "b", "number", "1", None), ("a", "a", "string", '"s1s1"', "s1s1"), ("d.e", "e", "null", "null", None), ("d.n", "n", "number", "0.5", None)]
+    assert [tuple(x) for x in got[1]] == [("c", "2"), ("b", "1"), ("a", '"s1s1"'), ("e", "null"), ("n", "0.5")]
+    assert got[2:] == (["a", "api_Key", "b", "c", "d", "e", "n"], '{"a":[{"api_Key":"[REDACTED]","b":1},"s1s1"],"d":{"e":null,"n":0.5}}', '{"a":[{"api_Key":{"c":[2]},"b":1},"s1s1"],"d":{}}', ["d.e"], '{"a":[{"api_Key":{"c":[2]},"b":1},"s1s1"],"d":{"e":{},"n":0.5}}')
+
+
+def test_redaction_in_the_text_and_on_a_walk(spark):
+    deep = lambda n: "[" * n + '{"token":1}' + "]" * n
+    cases = {
+        '{"a":"my","token":{"b":[1,"]"],"key":2},"c":"key"}': '{"a":"my","c":"key","token":"[REDACTED]"}', '{"\u212aEY":1,"TOKENS":[],"é":"}"}': '{"TOKENS":"[REDACTED]","é":"}","KEY":"[REDACTED]"}',
+        r'{"\token":1,"\\token":2,"q\"key":3}': r'{"\token":1,"\\token":"[REDACTED]","q\"key":"[REDACTED]"}', '["key",":","token"]': '["key",":","token"]', '"key"': '"key"', "7": "7", '{"key":""}': '{"key":"[REDACTED]"}',
+        **{deep(n): deep(n).replace("1", '"[REDACTED]"') for n in (3, 7, 8, 30)}, '{"key":' + deep(12) + "}": '{"key":"[REDACTED]"}', '{"k":"' + "x" * 100_000 + '","key":[' + "1," * 50_000 + "1]}": '{"k":"' + "x" * 100_000 + '","key":"[REDACTED]"}',
+    }
+    assert rows(spark, list(cases), N.redacted(T())) == [(v,) for v in cases.values()]

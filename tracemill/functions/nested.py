@@ -15,8 +15,20 @@ from .exprs import fenced, span
 
 #: An escape of half a surrogate pair that its other half doesn't follow or precede.
 _HALF = r"(?i)(?<!\\)(?:\\\\)*(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
-#: Levels that the parser reads at most.
-DEPTH = 1000
+#: Levels that the parser reads at most, and those of them that are walked down without a list of what is open.
+DEPTH, LEVELS = 1000, 5
+
+
+
+def _nested(levels: int) -> str:
+    """A pattern of a JSON value without escapes, of so many levels. It never goes back, so that long texts are no harm."""
+    value = r'"[^"]*+"|[^"\[\]{},]++'
+    for _ in range(levels):
+        value = rf'"[^"]*+"|[^"\[\]{{}},]++|[\[{{](?:{value}|,)*+[\]}}]'
+    return value
+
+
+_VALUE = _nested(8)
 
 Item = Callable[[Column], Column]
 
@@ -29,7 +41,8 @@ def let(value: Column, then: Item) -> Column:
 def read(text: Column) -> Column:
     """The JSON as VARIANT. A parser that stops at the end of the first value would take `1 apple` for a number, so that
     the text is read as a list of one."""
-    one = lambda whole: F.when((F.size(whole) == 1) & ~text.rlike(_HALF), F.get(whole, 0))
+    half = F.contains(text, F.lit(r"\u")) & text.rlike(_HALF)  # the pattern is slow, and few texts have an escape at all
+    one = lambda whole: F.when((F.size(whole) == 1) & ~half, F.get(whole, 0))
     return let(variants(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))), one)
 
 
@@ -68,13 +81,30 @@ def opened(text: Column, first: Column, inner: Item, done: Item, steps: int = 1)
 
     A JSON text has no more levels than brackets, and no more than the parser reads; `steps` for each level are taken,
     and those beyond the last one cost nothing."""
-    most = F.sequence(F.lit(0), steps * F.least(F.lit(DEPTH), F.regexp_count(text, F.lit(r"[\[{]")) + 1))
+    brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
+    most = F.sequence(F.lit(0), steps * F.least(F.lit(DEPTH), brackets + 1))
     state = lambda items: F.struct(items.alias("items"), F.exists(items, lambda x: x["open"]).alias("more"))
     give = lambda x: F.when(x["open"], F.coalesce(inner(x), F.array(x.withField("open", F.lit(False))))).otherwise(F.array(x))
     step = lambda s, _: F.when(s["more"], let(F.flatten(F.transform(s["items"], give)), state)).otherwise(s)
     return F.aggregate(most, F.struct(first.alias("items"), F.lit(True).alias("more")), step, lambda s: done(s["items"]))
 
 
+def descended(text: Column, x: Column, inner: Item, closed: Item, join: Item, levels: int = LEVELS) -> Column:
+    """join of closed(item) of every item that is left once those that are open, and x first, have given way to their inner
+    ones, as by `opened`. Down to some levels each item is walked once, where `opened` makes a new list for each level of
+    the text; levels beyond them are opened."""
+    below = inner(x)
+    if levels:
+        walked = join(F.transform(below, lambda y: descended(text, y, inner, closed, join, levels - 1)))
+        return F.coalesce(F.when(x["open"], walked), closed(x))
+    rest = opened(text, F.array(x), inner, lambda items: join(F.transform(items, closed)))
+    return F.coalesce(F.when(x["open"] & below.isNotNull(), rest), closed(x))
+
+
+def _text_of(pieces: Column) -> Column:
+    return F.array_join(pieces, "")
+
+
 def kind(json: Column) -> Column:
     """null, boolean, number, string, list or object, from the first character."""
     return F.coalesce(F.element_at(F.create_map(*map(F.lit, ('"', "string", "{", "object", "[", "list", "t", "boolean", "f", "boolean", "n", "null"))), F.substring(json, 1, 1)), F.lit("number"))
@@ -84,21 +114,26 @@ def _under(path: Column, key: Column) -> Column:
     return F.concat_ws(".", F.nullif(path, F.lit("")), key)
 
 
-def leaves(text: Column, through_lists: bool = True) -> Column:
+def leaves(text: Column, through_lists: bool = True, fields: tuple[str, ...] = ("path", "key", "kind", "value", "text")) -> Column:
     """(path, key, kind, value, text): the scalars with their dotted paths and nearest keys, as JSON and, if they are
-    strings, as they read; lists count as leaves unless they are walked through."""
-    node = lambda path, key, value: F.struct(path.alias("path"), key.alias("key"), value.alias("value"), F.lit(True).alias("open"))
+    strings, as they read; lists count as leaves unless they are walked through. Only the fields asked for are made."""
+    carried = [c for c in ("path", "key") if c in fields]
+
+    def node(path, key, value):
+        at = {"path": path, "key": key}
+        return F.struct(*[at[c].alias(c) for c in carried], value.alias("value"), F.lit(True).alias("open"))
 
     def inner(x):
-        below = F.transform(entries(x["value"]), lambda e: node(_under(x["path"], e["key"]), e["key"], e["value"]))
-        return F.coalesce(below, F.transform(variants(x["value"]), lambda v: node(x["path"], x["key"], v))) if through_lists else below
+        path, key = (x[c] if c in carried else None for c in ("path", "key"))
+        below = F.transform(entries(x["value"]), lambda e: node(path is not None and _under(path, e["key"]), e["key"], e["value"]))
+        return F.coalesce(below, F.transform(variants(x["value"]), lambda v: node(path, key, v))) if through_lists else below
 
     def leaf(x):
-        told = lambda j: F.struct(x["path"].alias("path"), x["key"].alias("key"), kind(j).alias("kind"), j.alias("value"), F.when(F.startswith(j, F.lit('"')), x["value"].cast("string")).alias("text"))
-        return let(dump(x["value"]), told)
+        made = {"kind": kind, "value": lambda j: j, "text": lambda j: F.when(F.startswith(j, F.lit('"')), x["value"].cast("string"))}
+        return let(dump(x["value"]), lambda j: F.struct(*[(x[c] if c in carried else made[c](j)).alias(c) for c in fields]))
 
-    first = lambda value: F.array(node(F.lit(""), F.lit(None).cast("string"), value))
-    return of_json(text, lambda value: opened(text, first(value), inner, lambda items: F.transform(items, leaf)))
+    first = lambda value: node(F.lit(""), F.lit(None).cast("string"), value)
+    return of_json(text, lambda value: descended(text, first(value), inner, lambda x: F.array(leaf(x)), F.flatten))
 
 
 def keys(text: Column) -> Column:
@@ -110,8 +145,8 @@ def keys(text: Column) -> Column:
         named = F.concat(F.array(node(x["key"], F.lit(None).cast("variant"), F.lit(False))), F.transform(entries(x["value"]), lambda e: node(e["key"], e["value"], F.lit(True))))
         return F.coalesce(named, F.concat(F.array(node(x["key"], F.lit(None).cast("variant"), F.lit(False))), F.transform(variants(x["value"]), lambda v: node(no, v, F.lit(True)))))
 
-    every = lambda items: F.array_sort(F.array_distinct(F.array_compact(F.transform(items, lambda x: x["key"]))))
-    return of_json(text, lambda value: opened(text, F.array(node(no, value, F.lit(True))), inner, every))
+    every = lambda value: descended(text, node(no, value, F.lit(True)), inner, lambda x: F.array(x["key"]), F.flatten)
+    return of_json(text, lambda value: F.array_sort(F.array_distinct(F.array_compact(every(value)))))
 
 
 def _rewritten(text: Column, of_object: Callable[[Column], Column], blank: str = "") -> Column:
@@ -127,8 +162,8 @@ def _rewritten(text: Column, of_object: Callable[[Column], Column], blank: str =
         of_list = F.transform(variants(x["value"]), lambda v, i: piece(comma(i), v))
         return F.coalesce(F.concat(only(F.concat(x["before"], F.lit("{"))), F.transform(own, entry), only(F.lit("}"))), F.concat(only(F.concat(x["before"], F.lit("["))), of_list, only(F.lit("]"))))
 
-    joined = lambda items: F.array_join(F.transform(items, lambda x: F.concat(x["before"], F.when(x["value"].isNull(), "").otherwise(dump(x["value"])))), "")
-    return of_json(text, lambda value: opened(text, F.array(piece(F.lit(""), value)), inner, joined))
+    closed = lambda x: F.concat(x["before"], F.when(x["value"].isNull(), "").otherwise(dump(x["value"])))
+    return of_json(text, lambda value: descended(text, piece(F.lit(""), value), inner, closed, _text_of))
 
 
 def spaced(text: Column) -> Column:
@@ -137,9 +172,13 @@ def spaced(text: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """Values under keys that speak of keys or tokens give way to a mark."""
+    """Values under keys that speak of keys or tokens give way to a mark. Where no string has an escape and no value more
+    levels than the pattern, they are found in the canonical text, else on a walk."""
     mark = lambda e: F.when(F.lower(e["key"]).rlike("key|token"), '"[REDACTED]"')
-    return _rewritten(text, lambda own: F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), mark(e).alias("instead"))))
+    walked = lambda json: _rewritten(json, lambda own: F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), mark(e).alias("instead"))))
+    plain = lambda json: ~F.contains(json, F.lit("\\")) & json.rlike(rf"\A(?:{_VALUE})\z")
+    pattern = rf'(?iu)("(?=[^"]*?(?:key|token))[^"]*+":)(?:{_VALUE})'
+    return let(canonical(text), lambda json: F.when(plain(json), F.regexp_replace(json, F.lit(pattern), F.lit('$1"[REDACTED]"'))).otherwise(walked(json)))
 
 
 def pruned(text: Column, drop: tuple[str, ...]) -> Column:
@@ -148,16 +187,16 @@ def pruned(text: Column, drop: tuple[str, ...]) -> Column:
     return _rewritten(text, lambda own: F.transform(F.filter(own, stays), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(None).cast("string").alias("instead"))))
 
 
-def _paired(texts: list[Column], first: Column, pair: Callable[..., Column], wrap: Callable[[Column, Column], Column], done: Item) -> Column:
-    """As `opened`, over two JSON texts at once: where both sides (a, b) are objects, pair(x, key, a, b, i) of each key of
-    either, a null side being one that lacks the key."""
+def _paired(texts: list[Column], first: Column, pair: Callable[..., Column], wrap: Callable[[Column, Column], Column], closed: Item, join: Item) -> Column:
+    """As `descended`, over two JSON texts at once: where both sides (a, b) are objects, pair(x, key, a, b, i) of each key
+    of either, a null side being one that lacks the key."""
 
     def inner(x):
-        a, b = (F.try_variant_get(x[c], "$", "map<string,variant>") for c in ("a", "b"))
-        both = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-        return wrap(x, F.transform(both, lambda k, i: pair(x, k, F.try_element_at(a, k), F.try_element_at(b, k), i)))
+        a, b = (F.try_variant_get(x[c], "$", "map<string,variant>").alias(c) for c in ("a", "b"))
+        keys = lambda m: F.array_sort(F.array_union(F.map_keys(m["a"]), F.map_keys(m["b"])))
+        return let(F.struct(a, b), lambda m: wrap(x, F.transform(keys(m), lambda k, i: pair(x, k, F.try_element_at(m["a"], k), F.try_element_at(m["b"], k), i))))
 
-    return opened(F.concat(*texts), first, inner, done)
+    return descended(F.concat(*texts), first, inner, closed, join)
 
 
 def merged(base: Column, override: Column) -> Column:
@@ -169,20 +208,23 @@ def merged(base: Column, override: Column) -> Column:
     pair = lambda x, k, a, b, i: item(F.concat(F.when(i > 0, ",").otherwise(""), quoted(k), F.lit(":")), a, b)
     wrap = lambda x, own: F.concat(only(F.concat(x["before"], F.lit("{"))), own, only(F.lit("}")))
     left = lambda x: F.when(x["b"].isNotNull(), dump(x["b"])).when(x["a"].isNotNull(), dump(x["a"])).otherwise("")
-    joined = lambda items: F.array_join(F.transform(items, lambda x: F.concat(x["before"], left(x))), "")
+    closed = lambda x: F.concat(x["before"], left(x))
     other = F.coalesce(read(override), F.try_parse_json(F.lit("{}")))  # a type that may be null, as items of the result may
-    return of_json(base, lambda a: _paired([base, F.coalesce(override, F.lit(""))], F.array(item(F.lit(""), a, other)), pair, wrap, joined))
+    return of_json(base, lambda a: _paired([base, F.coalesce(override, F.lit(""))], item(F.lit(""), a, other), pair, wrap, closed, _text_of))
 
 
 def replaced(text: Column, path: str, value: Column) -> Column:
     """With another value (JSON) at a dotted path; null if an object of the path is not there."""
 
     def put(at: Column, key: str, *rest: str) -> Column:
-        own = entries(at)
-        new = put(F.get(F.filter(own, lambda e: e["key"] == key), 0)["value"], *rest) if rest else of_json(value, dump)
-        others = F.transform(F.filter(own, lambda e: e["key"] != key), lambda e: F.struct(e["key"].alias("key"), dump(e["value"]).alias("json")))
-        every = F.array_sort(F.concat(others, F.array(F.struct(F.lit(key).alias("key"), new.alias("json")))))
-        return F.when(new.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(every, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"])), ","), F.lit("}")))
+        def of_own(own):
+            new = put(F.get(F.filter(own, lambda e: e["key"] == key), 0)["value"], *rest) if rest else of_json(value, dump)
+            others = F.transform(F.filter(own, lambda e: e["key"] != key), lambda e: F.struct(e["key"].alias("key"), dump(e["value"]).alias("json")))
+            every = lambda json: F.array_sort(F.concat(others, F.array(F.struct(F.lit(key).alias("key"), json.alias("json")))))
+            whole = lambda json: F.concat(F.lit("{"), F.array_join(F.transform(every(json), lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"])), ","), F.lit("}"))
+            return let(new, lambda json: F.when(json.isNotNull(), whole(json)))
+
+        return let(entries(at), of_own)
 
     return put(read(text), *path.split("."))
 
@@ -219,16 +261,26 @@ def changed_paths(before: Column, after: Column) -> Column:
     item = lambda path, a, b: F.struct(path.alias("path"), a.alias("a"), b.alias("b"), (a.isNotNull() & b.isNotNull()).alias("open"))
     pair = lambda x, k, a, b, i: item(_under(x["path"], k), a, b)
     same = lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), dump(x["a"]) == dump(x["b"])).otherwise(False)
-    differ = lambda items: F.array_sort(F.transform(F.filter(items, lambda x: ~same(x)), lambda x: x["path"]))
-    both = lambda a: of_json(after, lambda b: _paired([before, after], F.array(item(F.lit(""), a, b)), pair, lambda _, own: own, differ))
+    differ = lambda x: F.filter(F.array(x["path"]), lambda _: ~same(x))
+    both = lambda a: of_json(after, lambda b: F.array_sort(_paired([before, after], item(F.lit(""), a, b), pair, lambda _, own: own, differ, F.flatten)))
     return of_json(before, both)
 
 
-def coerced(text: Column) -> Column:
-    """The JSON that a reply holds: what stands in its first fence, else the whole, as it is or from its first bracket to
-    the last one of that kind; a reply without JSON as it is, null if blank."""
+def _in_reply(text: Column, of: Item, other: Item) -> Column:
+    """of(what stands in the first fence of a reply, else the whole), or, where that is null, of what stands there from its
+    first bracket to the last one of that kind, or other(it)."""
     least = lambda body, c: F.coalesce(F.nullif(F.instr(body, c), F.lit(0)), F.lit(2**31 - 1))
     part = lambda body: F.when(least(body, "{") < least(body, "["), span(body, "{", "}")).otherwise(span(body, "[", "]"))
-    valid = lambda c: F.when(read(c).isNotNull(), c)
-    of_body = lambda body: F.coalesce(valid(body), let(part(body), valid), body)
+    of_body = lambda body: F.coalesce(of(body), let(part(body), of), other(body))
     return let(F.trim(text), lambda whole: let(F.nullif(F.coalesce(fenced(whole), whole), F.lit("")), of_body))
+
+
+def coerced(text: Column) -> Column:
+    """The JSON that a reply holds: what stands in its first fence, else the whole, as it is or from its first bracket to
+    the last one of that kind; a reply without JSON as it is, null if blank."""
+    return _in_reply(text, lambda c: F.when(read(c).isNotNull(), c), lambda body: body)
+
+
+def held(text: Column) -> Column:
+    """The same as VARIANT, null for a reply without JSON."""
+    return _in_reply(text, read, lambda _: F.lit(None).cast("variant"))
