@@ -20,12 +20,12 @@ def _as_text(value: Column, missing: str = "") -> Column:
 
 def _object(value: Column) -> Column:
     """The JSON of an object, null for anything else."""
-    return F.when(N.entries(value).isNotNull(), N.dump(value))
+    return N.let(value, lambda v: F.when(N.entries(v).isNotNull(), N.dump(v)))
 
 
 def _within(value: Column) -> Column:
     """The JSON that a string holds, leniently; null for what is no string."""
-    return F.when(F.schema_of_variant(value) == "STRING", N.read(N.coerced(value.cast("string"))))
+    return F.when(F.schema_of_variant(value) == "STRING", N.held(value.cast("string")))
 
 
 def tool_calls(text: Column) -> Column:
@@ -40,13 +40,10 @@ def tool_calls(text: Column) -> Column:
     given = lambda v: F.coalesce(*[N.value_at(v, k) for k in ARGUMENTS])
 
     def call(name, arguments):
-        read = F.coalesce(_object(_within(arguments)), _object(arguments), F.lit("{}"))
+        read = N.let(arguments, lambda v: F.coalesce(_object(v), _object(_within(v)), F.lit("{}")))
         called = F.trim(F.when(name.isNull(), "").when(F.is_variant_null(name), "None").otherwise(_as_text(name)), F.lit(BLANKS))
         return F.struct(none.alias("value"), called.alias("name"), read.alias("arguments"), F.lit(False).alias("open"))
 
-    def wrapped(x):
-        return N.let(x["value"], inner)
-
     def inner(v):
         forms = [
             N.variants(v), N.variants(N.value_at(v, "tool_calls")),
@@ -61,8 +58,7 @@ def tool_calls(text: Column) -> Column:
         return F.coalesce(*map(each, forms), *calls, each(spoken), each(F.array(_within(v))))
 
     told = lambda items: F.transform(F.filter(items, lambda x: x["name"].isNotNull()), lambda x: F.struct(x["name"].alias("name"), x["arguments"].alias("arguments")))
-    first = item(N.read(F.coalesce(N.coerced(text), F.lit("null"))))
-    return N.opened(F.coalesce(text, F.lit("")), F.array(first), wrapped, told, 2)
+    return N.opened(F.coalesce(text, F.lit("")), F.array(item(N.held(text))), lambda x: inner(x["value"]), told, 2)
 
 
 def call_failure(expected: Column, predicted: Column, allowed: list[str] | None = None) -> Column:
