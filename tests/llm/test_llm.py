@@ -242,6 +242,48 @@ def test_lm_backoff(docs, most, state, least, monkeypatch):
         assert abs(got[i]["score"] - want) < 1e-6 * max(1, abs(want))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100, 5000])
+def test_lm_places(size):
+    table = np.unique(np.concatenate((RNG.integers(0, 2**64, size, np.uint64), np.uint64(2**64 - 1) - np.arange(size, dtype=np.uint64), np.arange(size // 2, dtype=np.uint64))))
+    for codes in (table, table[-size:], table[:0]):
+        values = RNG.permutation(np.concatenate((table, RNG.integers(0, 2**64, 1000, np.uint64))))
+        assert (lm.Places(codes).of(values) == lm.position(codes, values)).all()
+
+
+def test_lm_buckets(docs, monkeypatch):
+    """Many buckets and short lists give the same scores."""
+    from tracemill.llm.shared import held_out
+    from pyspark.sql import functions as F
+
+    train = docs.filter(~held_out(F.col("doc_id"), 7))
+    want = by_id(lm.score(docs, *lm.fit(train)))
+    for name, value in {"MOST": 0, "COUNTED": 50, "BUCKET": 20, "HELD": 200, "LISTED": 3}.items():  # all is asked for in buckets
+        monkeypatch.setattr(lm, name, value)
+    counts, model = lm.fit(train)
+    assert lm.bucket_bits(sum(t.count() for t in model.tables), lm.BUCKET) >= 3
+    got = by_id(lm.score(docs, counts, model))
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert (r["n_tokens"], r["n_known"], r["held_out"]) == (got[i]["n_tokens"], got[i]["n_known"], got[i]["held_out"])
+        assert all(abs(r[c] - got[i][c]) < 1e-9 * max(1, abs(r[c])) for c in ("score", "base_score"))
+
+
+def test_lm_answer():
+    """An answer has no more sums than its list has codes, and none for documents that get nothing."""
+    codes = np.sort(RNG.integers(0, 2**64, 40, np.uint64))
+    table = [codes[:20], np.where(np.arange(20) % 2, 3, -1), np.arange(20.0)]
+    owner = np.arange(40, dtype=np.uint16) % 7
+    raw = np.frombuffer(np.array([40, 5000]).tobytes() + codes.tobytes() + owner.tobytes(), np.uint8)
+    docs = np.zeros(5000, lm.DOCUMENT)
+    back = lm.answer(table, raw, 100.0)
+    assert len(back) < 7 * 40
+    lm.add_answer(docs, np.frombuffer(back, np.uint8))
+    for i in range(5000):
+        mine = [j for j in range(20) if owner[j] == i]
+        assert docs["log"][i] == sum(mine) and docs["known"][i] == sum(j % 2 for j in mine)
+        assert abs(docs["base"][i] - sum(math.log10(4 / 100) for j in mine if j % 2)) < 1e-12
+
+
 def test_language(spark):
     made = {"en": ["the", "and", "with", "thing", "other"], "de": ["der", "und", "nicht", "schön", "über"]}
     rows = [(i, " ".join(RNG.choice(made["en" if i % 2 else "de"], 30)), "en" if i % 2 else "de") for i in range(60)] + [(100, None, "en"), (101, "123 !", "de"), (102, "the and with thing", None)]

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import LOWER, mixed, word_hashes, words
-from .shared import held_out, removed, text_bytes, text_pieces, written
+from .shared import give_back, held_out, removed, text_bytes, text_pieces, written
 
 #: The token that ends each text.
 END = np.uint64(1)
@@ -20,9 +19,10 @@ MOST, STATE = 200_000, 1e-4
 LEAST = 2
 #: Bits of the filter of each order's n-grams, and of the part of it that a code's first byte chooses.
 FILTER, PART = 1 << 27, 1 << 19
-#: Entries of the tables in a bucket, about (24 bytes each; a document gets a sum from each bucket, so that larger ones make
-#: fewer); codes or entries that a task holds before it sends them to their buckets; parts that documents are dealt to.
-BUCKET, HELD, DEALT = 2_000_000, 1_000_000, 4096
+#: Entries of the tables in a bucket, about (24 bytes each); codes, entries or n-grams that a task holds before it sends
+#: them to their buckets; n-grams to be counted that are sent to a bucket, at most on average; documents in a list, about;
+#: parts that lists are dealt to.
+BUCKET, HELD, COUNTED, LISTED, DEALT = 1_000_000, 1_000_000, 1_000_000, 1 << 15, 4096
 #: What absolute discounting takes from each count; the longest n-gram.
 DISCOUNT, ORDER = 0.75, 3
 
@@ -93,6 +93,32 @@ def position(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
+class Places:
+    """Places in a sorted table of codes, for values in any order: the first bits of a code say where it lies in an array
+    with gaps, or after which codes that came before it."""
+
+    def __init__(self, table: np.ndarray):
+        self.shift = np.uint64(63 - max(1, len(table)).bit_length())  # two to four slots for each code
+        i = np.arange(len(table))
+        slot = np.maximum.accumulate((table >> self.shift).astype(np.int64) - i) + i
+        size = max(1 << (64 - int(self.shift)), int(slot[-1]) + 1 if len(slot) else 0) + 1  # the last one stays free
+        self.codes, self.at = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.codes[slot], self.at[slot] = table, i
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """-1 where a value is missing."""
+        slot = (values >> self.shift).astype(np.int64)
+        at, code = self.at[slot], self.codes[slot]
+        out = np.where(code == values, at, -1)
+        here = np.flatnonzero((at >= 0) & (code < values))
+        while len(here):
+            slot[here] += 1
+            at, code, value = self.at[slot[here]], self.codes[slot[here]], values[here]
+            out[here] = np.where(code == value, at, -1)
+            here = here[(at >= 0) & (code < value)]
+        return out
+
+
 def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Codes of the n-grams that begin with the shorter n-gram a and end with b."""
     return mixed(a * np.uint64(0x9E3779B97F4A7C15) + mixed(b ^ np.uint64(0x5851F42D4C957F2D)))
@@ -146,18 +172,37 @@ def filter_of(table: DataFrame) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, order: int, known, least: int = LEAST) -> DataFrame:
+def bucket_bits(n: int, most: int) -> int:
+    """Bits of a code that say its bucket, so that n codes come to `most` in a bucket or fewer."""
+    return max(0, int(np.ceil(np.log2(max(1, n) / most))))
+
+
+def cuts(codes: np.ndarray, bits: int):
+    """(bucket, start, end) of sorted codes, by their first bits."""
+    bucket = (codes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
+    at = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(codes) else []
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        yield int(bucket[i]), int(i), int(j)
+
+
+def counted(docs: DataFrame, order: int, known, total: int, least: int = LEAST) -> DataFrame:
     """(w, a, b, n): the n-grams of this order that occur `least` times, their codes and those of their beginnings and ends.
-    An n-gram that occurs so often has a beginning and an end that do; known, a broadcast filter, passes those."""
+    An n-gram that occurs so often has a beginning and an end that do; known, a broadcast filter, passes those. total: how
+    many n-grams there can be. Tasks send what they counted to buckets of codes, many n-grams in a row."""
+    bits = bucket_bits(total, COUNTED)
 
     def merged(parts):
         a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, at, inverse = np.unique(joint(a, b), return_index=True, return_inverse=True)
-        return a[at], b[at], np.bincount(inverse, n).astype(np.int64)
+        w = joint(a, b)
+        by = np.argsort(w)
+        w = w[by]
+        at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else by
+        return w[at], a[by[at]], b[by[at]], np.add.reduceat(n[by], at) if len(w) else n
 
-    def batch(a, b, n):
-        for i in range(0, len(a), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 200_000].view(np.int64)), pa.array(b[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000])], ["a", "b", "n"])
+    def sent(w, a, b, n):
+        made = [(k, a[i:j].tobytes() + b[i:j].tobytes() + n[i:j].tobytes()) for k, i, j in cuts(w, bits)]
+        for i in range(0, len(made), 64):
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made[i : i + 64]], pa.int32()), pa.array([d for _, d in made[i : i + 64]], pa.binary())], ["bucket", "data"])
 
     def count(batches):
         parts, size = [], 0
@@ -171,22 +216,44 @@ def counted(docs: DataFrame, order: int, known, least: int = LEAST) -> DataFrame
                 ok = np.zeros(len(below), bool)
                 ok[within] = passes(known.value, below[within])
                 use = use[ok[use] & ok[use + 1]]
-                a, b = below[use], below[use + 1]
-                parts.append(merged([(a, b, np.ones(len(a)))]))
-                size += len(parts[-1][0])
-                if size > 1_000_000:
-                    yield from batch(*merged(parts))
-                    parts, size = [], 0
+                parts.append((below[use], below[use + 1], np.ones(len(use), np.int64)))
+                size += len(use)
+                if size > HELD:
+                    some = merged(parts)
+                    parts, size = [some[1:]], len(some[0])
+                    if 2 * size > HELD:
+                        yield from sent(*some)
+                        parts, size = [], 0
         if parts:
-            yield from batch(*merged(parts))
+            yield from sent(*merged(parts))
+        del parts
+        give_back()
+
+    def summed(batches):
+        now, parts = None, []
+
+        def often():
+            w, a, b, n = merged(parts)
+            keep = n >= least
+            columns = [x[keep].view(np.int64) for x in (w, a, b, n)]
+            for i in range(0, len(columns[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in columns], ["w", "a", "b", "n"])
 
-    def coded(batches):
-        for x in batches:
-            w = joint(x.column("a").to_numpy().view(np.uint64), x.column("b").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *x.columns], ["w", *x.schema.names])
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+                if bucket != now:
+                    if parts:
+                        yield from often()
+                    now, parts = bucket, []
+                a, b, n = np.frombuffer(data.as_buffer(), np.int64).reshape(3, -1).copy()
+                parts.append((a.view(np.uint64), b.view(np.uint64), n))
+        if parts:
+            yield from often()
+        del parts
+        give_back()
 
-    sums = docs.select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return sums.mapInArrow(coded, "w long, a long, b long, n long")
+    rows = docs.select("text").mapInArrow(count, "bucket int, data binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(summed, "w long, a long, b long, n long")
 
 
 def looked_up(rows: DataFrame, column: str, table: DataFrame, often: DataFrame) -> DataFrame:
@@ -220,10 +287,12 @@ class Model:
         self.total, self.kinds, self.tables, self.filters = total, kinds, tables, filters
         self.frequent = []
         for table in tables:
-            rows = table.filter(frequent(table)).toPandas()  # at most MOST rows
-            codes = rows["w"].to_numpy(np.int64).view(np.uint64)
-            order = np.argsort(codes)
-            self.frequent.append((codes[order], rows["n"].to_numpy(np.int64)[order], rows["value"].to_numpy(np.float64)[order]))
+            rows = table.filter(frequent(table)).select("w", "n", "value").toArrow()  # at most MOST rows
+            codes, n, value = (column.to_numpy() for column in rows.columns)
+            order = np.argsort(codes.view(np.uint64))
+            self.frequent.append((codes.view(np.uint64)[order], n[order], value[order]))
+            del rows, codes, n, value
+        give_back()  # the driver's memory holds what was collected no longer
 
 
 def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFrame, Model]:
@@ -240,7 +309,7 @@ def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFr
     known = spark.sparkContext.broadcast(filter_of(lower.filter(F.col("n") >= least).select("w")))  # words that pairs which count can hold
     for k in range(2, order + 1):
         often = lower.filter(F.col("n") >= STATE * total).select("w")  # at most 1 / STATE rows
-        grams_ = written(counted(docs, k, known, least), "lm-grams")
+        grams_ = written(counted(docs, k, known, total, least), "lm-grams")
         below = written(looked_up(grams_, "b", lower.select("w", F.col("log").alias("below")), often).select("w", "a", "n", "below"), "lm-below")
         sums = below.groupBy("a").agg((F.sum("n") - DISCOUNT * F.count("*")).alias("mass"), F.sum(F.pow(F.lit(10.0), "below")).alias("rest")).withColumnRenamed("a", "w")
         left = lambda x: F.greatest(1 - x, F.lit(1e-12))
@@ -261,18 +330,16 @@ def fit(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple[DataFr
 def in_buckets(codes: np.ndarray, bits: int):
     """(bucket, places) of the codes, by their first bits; places are in the order of the codes."""
     order = np.argsort(codes)
-    bucket = (codes[order] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(codes) else []
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(bucket[i]), order[i:j]
+    for bucket, i, j in cuts(codes[order], bits):
+        yield bucket, order[i:j]
 
 
-#: Rows of a bucket: entries of the tables (kind 0), codes that documents ask for (1), and documents with what is known
-#: of them already (2), in columns of their own.
-DOCUMENT = {"key": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "log": pa.float64()}
-NAMES = ["bucket", "kind", "data", *DOCUMENT]
-SUMS = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, log double"
-ROWS = f"bucket int, kind int, data binary, {SUMS}"
+#: Rows of a bucket: entries of the tables (kind 0), codes that a list of documents asks for (1), and that list with what
+#: is known of its documents already (2). Rows of a list: what one bucket has for its documents (1), and the list (2).
+NAMES, ROWS = ["bucket", "kind", "list", "data"], "bucket int, kind int, list long, data binary"
+#: A document of a list; `given` is false where doc_id is null.
+DOCUMENT = np.dtype([("doc_id", "i8"), ("n_tokens", "i8"), ("known", "i8"), ("base", "f8"), ("log", "f8"), ("given", "?"), ("held_out", "?")])
+SUMS = "doc_id long, held_out boolean, n_tokens long, known long, base double, log double"
 
 
 def owners(n: int):
@@ -280,12 +347,12 @@ def owners(n: int):
     return np.uint16 if n <= 1 << 16 else np.uint32
 
 
-def _rows(made: list[tuple[int, bytes]], kind: int):
-    """Record batches of entries or codes."""
+def _rows(made: list[tuple[int, bytes]], kind: int, list_: int | None = None):
+    """Record batches of entries, codes or lists."""
     for k in range(0, len(made), 64):
         some = made[k : k + 64]
-        columns = [pa.array([b for b, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([d for _, d in some], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(some), t) for t in DOCUMENT.values()]], NAMES)
+        columns = [pa.array([b for b, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([list_] * len(some), pa.int64()), pa.array([d for _, d in some], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, NAMES)
 
 
 def entries(tables: list[DataFrame], bits: int) -> DataFrame:
@@ -314,41 +381,87 @@ def entries(tables: list[DataFrame], bits: int) -> DataFrame:
     return every.mapInArrow(rows, ROWS)
 
 
+def answer(table: list[np.ndarray], raw: np.ndarray, whole: float) -> bytes:
+    """What the entries have for the documents of a list, from the codes that these ask for: sums for those that asked for
+    one of the entries, and numbers and sums of words for those that asked for one. Never more of them than codes."""
+    m, k = raw[:16].view(np.int64).tolist()
+    codes, owner = raw[16 : 16 + 8 * m].view(np.uint64), raw[16 + 8 * m :].view(owners(k))
+    at = position(table[0], codes)
+    hit = at >= 0
+    owner, n, value = owner[hit], table[1][at[hit]], table[2][at[hit]]
+    some = np.flatnonzero(np.bincount(owner, minlength=k))
+    word = n >= 0
+    seen = np.bincount(owner[word], minlength=k)
+    knew = np.flatnonzero(seen)
+    base = np.bincount(owner[word], np.log10((n[word] + 1) / whole), k)
+    parts = (np.array([len(some), len(knew)], np.int64), np.bincount(owner, value, k)[some], seen[knew].astype(np.int64), base[knew].astype(np.float64), some.astype(owners(k)), knew.astype(owners(k)))
+    return b"".join(x.tobytes() for x in parts)
+
+
+def add_answer(docs: np.ndarray, raw: np.ndarray) -> None:
+    """Adds one bucket's answer to the documents of its list."""
+    n, m = raw[:16].view(np.int64).tolist()
+    ends = np.cumsum([16, 8 * n, 8 * m, 8 * m]).tolist()
+    log, seen, base = (raw[i:j].view(t) for i, j, t in zip(ends[:-1], ends[1:], (np.float64, np.int64, np.float64), strict=True))
+    places = raw[ends[-1] :].view(owners(len(docs)))
+    docs["log"][places[:n]] += log
+    docs["known"][places[n:]] += seen
+    docs["base"][places[n:]] += base
+
+
 def found(rows_: DataFrame, whole: float) -> DataFrame:
     """The sums of each document over what was known of it and what it gets from the entries whose codes it asks for. All
-    rows of a bucket meet in one task: first the entries, about BUCKET of them, then one list of codes after the other."""
+    rows of a bucket meet in one task: first the entries, about BUCKET of them, then what one list after the other asks
+    for. The answers for a list, one from each bucket, meet the list again."""
 
-    def rows(batches):
+    def answered(batches):
         now, parts, table = None, [], None
-        for all_ in batches:
-            is_document = pc.equal(all_.column("kind"), 2)
-            own = all_.filter(is_document)
-            yield pa.RecordBatch.from_arrays([own.column(c) for c in DOCUMENT], list(DOCUMENT))
-            batch = all_.filter(pc.invert(is_document))
-            for bucket, kind, data in zip(*(batch.column(c) for c in NAMES[:3]), strict=True):
+        def made():
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["list", "kind", "data"])
+
+        for batch in batches:
+            out, size = [], 0
+            for bucket, kind, list_, data in zip(*(batch.column(c).to_pylist() for c in NAMES[:3]), batch.column("data"), strict=True):
                 raw = np.frombuffer(data.as_buffer(), np.uint8)
-                if bucket.as_py() != now:
-                    now, parts, table = bucket.as_py(), [], None
-                if kind.as_py() == 0:
+                if bucket != now:
+                    now, parts, table = bucket, [], None
+                if kind == 0:
                     parts.append(raw.reshape(3, -1).copy())
                     continue
-                if table is None:
+                if table is None and kind == 1:
                     three = [np.concatenate([p[i].view(t) for p in parts] or [np.zeros(0, t)]) for i, t in enumerate((np.uint64, np.int64, np.float64))]
                     order = np.argsort(three[0])
                     table, parts = [x[order] for x in three], []
-                m, k = raw[:16].view(np.int64).tolist()
-                codes, owner, keys = raw[16 : 16 + 8 * m].view(np.uint64), raw[16 + 8 * m : len(raw) - 8 * k].view(owners(k)), raw[len(raw) - 8 * k :].copy().view(np.int64)
-                at = position(table[0], codes)
-                hit = at >= 0
-                owner, n, value = owner[hit], table[1][at[hit]], table[2][at[hit]]
-                word = n >= 0
-                sums = [np.bincount(owner, x, k) for x in (word, np.where(word, np.log10((np.maximum(n, 0) + 1) / whole), 0.0), value)]
-                some = np.bincount(owner, minlength=k) > 0
-                n_ = int(some.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.nulls(n_, pa.int64()), pa.nulls(n_, pa.bool_()), pa.nulls(n_, pa.int64()), pa.array(sums[0][some].astype(np.int64)), *(pa.array(x[some].astype(np.float64)) for x in sums[1:])], list(DOCUMENT))
+                out.append((list_, kind, answer(table, raw, whole) if kind == 1 else raw.tobytes()))
+                size += len(out[-1][2])
+                if size > 1 << 20:
+                    yield from made()
+                    out, size = [], 0
+            if out:
+                yield from made()
+        parts = table = None
+        give_back()
+
+    def summed(batches):
+        docs = None
+
+        def rows():
+            yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"], mask=~docs["given"]), *(pa.array(docs[c]) for c in ("held_out", "n_tokens", "known", "base", "log"))], [c.split()[0] for c in SUMS.split(", ")])
 
-    parts_ = rows_.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(rows, SUMS)
-    return parts_.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "log")])
+        for batch in batches:
+            for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                raw = np.frombuffer(data.as_buffer(), np.uint8)
+                if kind == 2:
+                    if docs is not None:
+                        yield from rows()
+                    docs = raw.view(DOCUMENT).copy()
+                else:
+                    add_answer(docs, raw)
+        if docs is not None:
+            yield from rows()
+
+    answers = rows_.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "list long, kind int, data binary")
+    return answers.repartition("list").sortWithinPartitions("list", F.desc("kind")).mapInArrow(summed, SUMS)
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
@@ -362,47 +475,53 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """
     total, kinds, orders = model.total, model.kinds, len(model.tables)
     tables = [counts, *model.tables[1:]]
-    bits = max(0, int(np.ceil(np.log2(max(1, sum(t.count() for t in tables)) / BUCKET))))
+    bits = bucket_bits(sum(t.count() for t in tables), BUCKET)
     sent = docs.sparkSession.sparkContext.broadcast((model.frequent, model.filters))
 
     def scored(batches):
         frequent, filters = sent.value
+        often = [Places(codes) for codes, _, _ in frequent]
         base = np.log10((frequent[0][1] + 1) / (total + kinds + 1))
-        held, size = [], 0
+        held, docs_, size, n, key = [], [], 0, 0, 0
 
         def asked():
-            codes, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            made = []
-            for b, at in in_buckets(codes, bits):
-                keys, owner = np.unique(key[at], return_inverse=True)
-                made.append((b, np.array([len(at), len(keys)], np.int64).tobytes() + codes[at].tobytes() + owner.astype(owners(len(keys))).tobytes() + keys.tobytes()))
-            yield from _rows(made, 1)
+            codes, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            place = place.astype(owners(n))
+            yield from _rows([(-1 - key % DEALT, np.concatenate(docs_).tobytes())], 2, key)  # not among the entries: lists spread however few these are
+            yield from _rows([(b, np.array([len(at), n], np.int64).tobytes() + codes[at].tobytes() + place[at].tobytes()) for b, at in in_buckets(codes, bits)], 1, key)
 
         for whole in batches:
             for batch, text in text_pieces(whole, 2 << 20):
                 w, first = tokens(text)
                 add = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)
-                log, key = np.zeros(len(w)), np.repeat(batch.column("key").to_numpy(), np.diff(first))
+                own = np.zeros(batch.num_rows, DOCUMENT)
+                log, place = np.zeros(len(w)), np.repeat(np.arange(n, n + len(own), dtype=np.uint32), np.diff(first))
                 for k, (codes, ok) in enumerate(grams(w, first, orders)):
                     here = np.flatnonzero(ok)
-                    at = position(frequent[k][0], codes[here])
+                    at = often[k].of(codes[here])
                     hit = at >= 0
                     rest = here[~hit]
                     log[here[hit]] += frequent[k][2][at[hit]]
                     rest = rest[passes(filters[k], codes[rest])]
-                    held.append((codes[rest], key[rest]))
+                    held.append((codes[rest], place[rest]))
                     size += len(held[-1][0])
                     if not k:
-                        plain = np.where(hit, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0)
-                        known = add(hit.astype(np.int64))
-                n = batch.num_rows
-                bucket = -1 - batch.column("key").to_numpy() % DEALT  # not among the entries: documents spread however few these are
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array([2] * n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known.astype(np.int64)), pa.array(add(plain)), pa.array(add(log))], NAMES)
-                if size > HELD:
+                        own["base"] = add(np.where(hit, base[np.maximum(at, 0)] if len(base) else 0.0, 0.0))
+                        own["known"] = add(hit.astype(np.int64))
+                doc_id = batch.column("doc_id")
+                own["doc_id"], own["given"] = doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False)
+                own["held_out"], own["n_tokens"], own["log"] = batch.column("held_out").to_numpy(zero_copy_only=False), np.diff(first), add(log)
+                if not n:
+                    key = batch.column("key")[0].as_py()  # of its first document: the list's own
+                docs_.append(own)
+                n += len(own)
+                if size > HELD or n > LISTED:
                     yield from asked()
-                    held, size = [], 0
-        if size:
+                    held, docs_, size, n = [], [], 0, 0
+        if n:
             yield from asked()
+        del held, docs_
+        give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), "text")
     out = found(entries(tables, bits).unionByName(rows.mapInArrow(scored, ROWS)), float(total + kinds + 1))
